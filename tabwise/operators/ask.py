@@ -62,16 +62,15 @@ def _marked(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"(?U)\b", EDGE)
 
 
-def find_column(text: Column, columns: list[str]) -> Column:
-    """Longest column name that stands in the text as a whole word, else NULL.
+def find_column(marked: Column, columns: list[str]) -> Column:
+    """Longest column name that stands in a marked text as a whole word, else NULL.
 
-    Word boundaries are marked once per text; each name is then a plain substring test.
+    Word boundaries were marked once per text; each name is then a plain substring test.
     """
     keys = sorted(columns, key=len, reverse=True)
     table = F.array(*[
         F.struct(F.lit(c).alias("name"), F.lit(re.sub(r"\b", EDGE, c.lower())).alias("key")) for c in keys
     ])
-    marked = _marked(text)
     return F.get(F.filter(table, lambda c: F.contains(marked, c["key"])), F.lit(0)).getField("name")
 
 
@@ -84,8 +83,8 @@ def classify_questions(questions: DataFrame, columns: list[str], text: str = "te
     def form(op, pattern, col_at, key_at):
         return F.struct(
             F.lit(op).alias("op"),
-            F.trim(F.regexp_extract(low, pattern, col_at)).alias("col_text"),
-            F.trim(F.regexp_extract(low, pattern, key_at)).alias("key_text") if key_at else F.lit(None).cast("string").alias("key_text"),
+            _marked(F.regexp_extract(low, pattern, col_at)).alias("col_text"),
+            (_marked(F.regexp_extract(low, pattern, key_at)) if key_at else F.lit(None).cast("string")).alias("key_text"),
             F.lit(bool(key_at)).alias("grouped"),
         )
 
@@ -111,16 +110,27 @@ def classify_questions(questions: DataFrame, columns: list[str], text: str = "te
     rows = low.rlike(ROW_COUNT)
     can_count = "count" in allowed
     none = F.lit(None).cast("string")
-    pick = F.when(F.col("_a").isNotNull(), F.struct(F.col("_a.op").alias("op"), F.col("_a.column").alias("c"), F.col("_a.group_column").alias("g")))
+
+    def triple(op, c, g):
+        return F.struct(op.alias("operation"), c.alias("column"), g.alias("group_column"))
+
+    a, b = F.col("_a"), F.col("_b")
+    pick = F.when(a.isNotNull(), triple(a["op"], a["column"], a["group_column"]))
     if can_count:
-        pick = pick.when(rows, F.struct(F.lit("count").alias("op"), none.alias("c"), none.alias("g")))
-        pick = pick.when(F.col("_b").isNotNull(), F.struct(F.lit("count").alias("op"), F.col("_b.column").alias("c"), none.alias("g")))
-    pick = pick.otherwise(F.struct(F.lit("unclassified").alias("op"), none.alias("c"), none.alias("g")))
-    return (
-        questions.withColumn("_a", first).withColumn("_b", counted).withColumn("_p", pick)
-        .withColumn("operation", F.col("_p.op")).withColumn("column", F.col("_p.c")).withColumn("group_column", F.col("_p.g"))
-        .drop("_a", "_b", "_p")
-    )
+        pick = pick.when(F.col("_rows"), triple(F.lit("count"), none, none))
+        pick = pick.when(b.isNotNull(), triple(F.lit("count"), b["column"], none))
+    pick = pick.otherwise(triple(F.lit("unclassified"), none, none))
+    once = _once(questions, F.struct(first.alias("_a"), counted.alias("_b"), rows.alias("_rows")))
+    return _once(once, pick).drop("_a", "_b", "_rows")
+
+
+def _once(df: DataFrame, value: Column) -> DataFrame:
+    """Add the fields of a struct as columns that are computed exactly once per row.
+
+    A one-element generator keeps the optimizer from copying a long expression into every
+    later filter and projection that mentions its result.
+    """
+    return df.select("*", F.inline(F.array(value)))
 
 
 def sensitive_columns(profile: DataFrame) -> DataFrame:
@@ -159,8 +169,7 @@ def judge_questions(classified: DataFrame, sensitive: list[str], numeric: list[s
 
     needs_number = ~op.isin("count", "value_counts")
     numbers = F.array(*[F.lit(x) for x in numeric]) if numeric else F.array().cast("array<string>")
-    return classified.withColumn(
-        "status",
+    status = (
         F.when(F.trim(q(text)) == "", "unavailable")
         .when(screen_message(q(text)).isNotNull(), "refusal")
         .when((op == "unclassified") & mentions(q(text), sensitive).isNotNull(), "refusal")
@@ -170,8 +179,9 @@ def judge_questions(classified: DataFrame, sensitive: list[str], numeric: list[s
         .when(blocked(c), "refusal")
         .when(op.startswith("groupby") & blocked(g), "refusal")
         .when(needs_number & ~F.array_contains(numbers, c), "error")
-        .otherwise("success"),
+        .otherwise("success")
     )
+    return _once(classified, F.struct(status.alias("status")))
 
 
 def _scalar(op: str, x: Column, c: Column) -> Column:

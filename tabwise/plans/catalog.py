@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tabwise.plans import catalog_ask  # noqa: F401
+from tabwise.plans import catalog_ask, catalog_clean, catalog_profile  # noqa: F401
 from tabwise.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
