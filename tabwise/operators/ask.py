@@ -16,6 +16,7 @@ from tabwise.functions import fixed as V
 from tabwise.functions.exprs import as_double, as_text, is_numeric, q, screen_message, shielded, shielded_by_header
 from tabwise.operators.profile import data_columns
 from tabwise.operators.quantiles import exact_quantiles
+from tabwise.session import local_table
 
 EDGE = "\u0001"  # marks word boundaries inside texts and column names
 MAX_PLANS = 10_000
@@ -221,7 +222,7 @@ def aggregate(df: DataFrame, operation: str, column: str | None = None, group_co
         return out.orderBy(*([F.desc("value"), "key"] if by_value else ["key"])).limit(10)
     if operation == "median":
         m = exact_quantiles(df, [column], [0.5])[column][0]
-        return df.sparkSession.createDataFrame([(None if m is None else round(m, 4),)], "value double")
+        return local_table(df.sparkSession, [(None if m is None else round(m, 4),)], "value double")
     return df.agg(F.round(_scalar(operation, x, q(column)), 4).alias("value"))
 
 
@@ -245,7 +246,7 @@ def answer_plans(df: DataFrame, plans: list[tuple[str, str | None, str | None]])
     if medians:
         got = exact_quantiles(df, medians, [0.5])
         rows += [("median", c, None, None if got[c][0] is None else round(got[c][0], 4), None) for c in medians]
-    out = spark.createDataFrame(rows, schema)
+    out = local_table(spark, rows, schema)
     if grouped:
         cells = []
         for i, (op, c, g) in enumerate(grouped):
@@ -268,7 +269,7 @@ def answer_plans(df: DataFrame, plans: list[tuple[str, str | None, str | None]])
             sums.withColumn("k", F.row_number().over(w)).where("k <= 10")
             .groupBy("p").agg(F.array_sort(F.collect_list(F.struct("k", "key", "value"))).alias("e"))  # ten at most
         )
-        names = spark.createDataFrame([(i, *p) for i, p in enumerate(grouped)], "p int, operation string, column string, group_column string")
+        names = local_table(spark, [(i, *p) for i, p in enumerate(grouped)], "p int, operation string, column string, group_column string")
         out = out.unionByName(names.join(tops, "p", "left").select(
             "operation", "column", "group_column", F.lit(None).cast("double").alias("value"),
             F.transform("e", lambda t: F.struct(t["key"].alias("key"), t["value"].alias("value"))).alias("entries"),

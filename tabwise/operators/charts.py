@@ -14,6 +14,7 @@ from tabwise.functions.exprs import as_double, as_text, q, share
 from tabwise.operators.profile import ROW_ID, data_columns
 from tabwise.operators.quantiles import exact_quantiles, global_positions, smallest_by_hash
 from tabwise.operators.stats import eligible_numeric, numeric_columns, sensitive_names
+from tabwise.session import local_table
 
 TREND_POINTS = 5_000
 SCATTER_POINTS = 10_000
@@ -59,7 +60,7 @@ def chart_plan(
         rules[7] = [("data_completeness", None, None, names[:15])]
     plan = [p for rule in rules for p in rule][:max_charts]
     rows = [(i + 1, *p) for i, p in enumerate(plan)]
-    return df.sparkSession.createDataFrame(
+    return local_table(df.sparkSession, 
         rows, "place int, chart_type string, x_col string, y_col string, columns array<string>"
     )
 
@@ -70,7 +71,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     x = as_double(column, types[column])
     lo, hi = df.agg(F.min(x), F.max(x)).first()
     if lo is None:
-        return df.sparkSession.createDataFrame([], "bin int, low double, high double, n long")
+        return local_table(df.sparkSession, [], "bin int, low double, high double, n long")
     width = (hi - lo) / bins if hi > lo else 1.0
     no = F.least(F.floor((x - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
     return (
@@ -191,7 +192,7 @@ def violin_density(df: DataFrame, value: str, group: str | None = None, bins: in
     g = F.lit("all") if group is None else as_text(group, types[group])
     lo, hi = df.agg(F.min(x), F.max(x)).first()
     if lo is None:
-        return df.sparkSession.createDataFrame([], "group string, bin int, centre double, n long, density double")
+        return local_table(df.sparkSession, [], "group string, bin int, centre double, n long, density double")
     width = (hi - lo) / bins if hi > lo else 1.0
     no = F.least(F.floor((x - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
     cells = (

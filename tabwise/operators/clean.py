@@ -17,6 +17,7 @@ from tabwise.functions.exprs import (
 from tabwise.operators.dates import normalize_date
 from tabwise.operators.profile import ROW_ID, data_columns
 from tabwise.operators.quantiles import exact_quantiles
+from tabwise.session import local_table
 
 UNTOUCHED_LABELS = ["identifier", "email", "phone", "person_name", "credit_card", "ssn_national_id"]
 
@@ -248,7 +249,7 @@ def impute(
     if cells:
         sidecar = df.select(F.explode(F.filter(F.array(*cells), lambda e: e.isNotNull())).alias("e")).select("e.*")
     else:
-        sidecar = df.sparkSession.createDataFrame([], schema)
+        sidecar = local_table(df.sparkSession, [], schema)
     return df.select(*out), sidecar, logs
 
 
@@ -277,7 +278,7 @@ def outlier_cells(df: DataFrame, bounds: dict[str, dict], row_id: str = ROW_ID)
     """(column, _row_id, value) of every value outside its bounds; nothing is modified."""
     types = {f.name: f.dataType for f in df.schema.fields}
     if not bounds:
-        return df.sparkSession.createDataFrame([], f"column string, {row_id} bigint, value double")
+        return local_table(df.sparkSession, [], f"column string, {row_id} bigint, value double")
     cells = []
     for c, b in bounds.items():
         x = as_double(c, types[c])
@@ -293,7 +294,7 @@ def outlier_summary(df: DataFrame, bounds: dict[str, dict]) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
     names = list(bounds)
     if not names:
-        return df.sparkSession.createDataFrame(
+        return local_table(df.sparkSession, 
             [], "column string, q1 double, q3 double, iqr double, lower_bound double, upper_bound double, "
             "outlier_count long, outlier_pct double",
         )
@@ -412,7 +413,7 @@ def clean(df: DataFrame, profile: DataFrame, dates: DataFrame, row_id: str = ROW
         null_cells=null_cells,
         raw_cells=raw_sidecar(kept, filled, row_id),
         outliers=outlier_cells(filled, bounds, row_id),
-        log=spark.createDataFrame(logs, LOG_SCHEMA) if logs else spark.createDataFrame([], LOG_SCHEMA),
+        log=local_table(spark, logs, LOG_SCHEMA) if logs else local_table(spark, [], LOG_SCHEMA),
         log_rows=logs,
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tabwise.functions import fixed as V
 from tabwise.functions.exprs import q, share
 from tabwise.operators.profile import ROW_ID, data_columns, first_values, value_counts
+from tabwise.session import local_table
 
 
 def date_evidence(counts: DataFrame) -> DataFrame:
@@ -45,8 +46,8 @@ def locale_format(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
     named = [c for c in data_columns(df) if c.lower() in V.LOCALE_HEADERS]
     empty = "locale_column string, locale_value string, locale_format string"
     if not named or row_id not in df.columns:
-        return spark.createDataFrame([], empty)
-    known = spark.createDataFrame(list(V.LOCALE_FORMATS.items()), "locale_value string, locale_format string")
+        return local_table(spark, [], empty)
+    known = local_table(spark, list(V.LOCALE_FORMATS.items()), "locale_value string, locale_format string")
     place = F.create_map(*[x for i, c in enumerate(named) for x in (F.lit(c), F.lit(i))])
     lead = first_values(df, 10, named, row_id).withColumn("locale_value", F.lower("value"))
     return (
@@ -71,7 +72,7 @@ def resolve_dates(
     native = [c for c in columns if isinstance(types[c], (T.DateType, T.TimestampType, T.TimestampNTZType))]
     text = [c for c in columns if isinstance(types[c], T.StringType)]
     spark = df.sparkSession
-    place = spark.createDataFrame([(c, i) for i, c in enumerate(columns)], "column string, ordinal int")
+    place = local_table(spark, [(c, i) for i, c in enumerate(columns)], "column string, ordinal int")
     if text:
         if sample_rows:
             counts = first_values(df, V.SAMPLE_DATE_ROWS, text, row_id)
@@ -79,7 +80,7 @@ def resolve_dates(
             counts = value_counts(df, text, row_id)
         seen = date_evidence(counts.where(F.col("column").isin(text)))
     else:
-        seen = date_evidence(spark.createDataFrame([], "column string, value string, n long, first_row long"))
+        seen = date_evidence(local_table(spark, [], "column string, value string, n long, first_row long"))
     seen = seen.where((F.col("matched") > 0) & (share(F.col("matched"), F.col("filled")) >= 0.60))
     s = F.col("sep")
     own = (

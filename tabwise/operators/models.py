@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as
 from tabwise.functions import fixed as V
 from tabwise.functions.exprs import as_double, as_text, is_numeric, is_post_outcome, q, safe_corr, sample_skewness
 from tabwise.operators.quantiles import running_start
-from tabwise.session import checkpoint_cut
+from tabwise.session import checkpoint_cut, local_table
 
 BOOST_MIN_ROWS = 500
 MAX_CATEGORIES = 20
@@ -124,7 +124,7 @@ def leakage_pearson(df: DataFrame, target: str, features: list[str]) -> DataFram
     types = {f.name: f.dataType for f in df.schema.fields}
     y = as_double(target, types[target])
     if not features:
-        return df.sparkSession.createDataFrame([], "column string, measured double")
+        return local_table(df.sparkSession, [], "column string, measured double")
     wide = df.agg(*[F.abs(safe_corr(as_double(c, types[c]), y)).alias(f"r{i}") for i, c in enumerate(features)])
     return wide.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.coalesce(f"r{i}", F.lit(0.0)).alias("measured")) for i, c in enumerate(features)
@@ -139,7 +139,7 @@ def leakage_nmi(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     if not features:
-        return df.sparkSession.createDataFrame([], "column string, measured double")
+        return local_table(df.sparkSession, [], "column string, measured double")
     text = df.select(as_text(target, types[target]).alias("__y"), *[as_text(c, types[c]).alias(c) for c in features])
     cells = (
         text.where("__y is not null").unpivot(["__y"], [q(c) for c in features], "column", "value")
@@ -163,7 +163,7 @@ def leakage_nmi(df: DataFrame, target: str, features: list[str]) -> DataFrame:
         F.when(n <= 2, 0.0).when(single, 1.0)
         .when(mi <= 1e-12, 0.0).otherwise(mi / ((hx + hy) / 2))
     )
-    names = df.sparkSession.createDataFrame([(c,) for c in features], "column string")
+    names = local_table(df.sparkSession, [(c,) for c in features], "column string")
     return names.join(joint.join(x, "column").join(y, "column"), "column", "left").select(
         "column", F.coalesce(nmi, F.lit(0.0)).alias("measured")
     )
@@ -437,7 +437,7 @@ def train_models(
         models[name] = model
         board.append((name, "trained", score(model.transform(test))))
     schema = "model string, status string, metrics map<string,double>"
-    return spark.createDataFrame(board, schema), models, split
+    return local_table(spark, board, schema), models, split
 
 
 def select_model(board: DataFrame, task: str) -> DataFrame:
@@ -469,7 +469,7 @@ def feature_importance(model: PipelineModel, scored: DataFrame) -> DataFrame:
     attrs = scored.schema["features"].metadata["ml_attr"]["attrs"]
     names = {a["idx"]: a.get("name", f"f{a['idx']}") for group in attrs.values() for a in group}
     rows = [(names.get(i, f"f{i}"), round(float(v), 4)) for i, v in enumerate(values)]
-    return scored.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    return local_table(scored.sparkSession, rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
 def save_and_verify(model: PipelineModel, sample: DataFrame, path: str, rows: int = 2) -> DataFrame:

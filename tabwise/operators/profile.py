@@ -14,6 +14,7 @@ from tabwise.functions import fixed as V
 from tabwise.functions.exprs import (
     as_double, as_text, is_numeric, label_by_header, pii_by_header, q, share, strip_number,
 )
+from tabwise.session import local_table
 
 ROW_ID = "_row_id"
 
@@ -66,7 +67,7 @@ def _schema_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
     fields = {f.name: f.dataType for f in df.schema.fields}
     rows = [(i, c, fields[c].simpleString(), kind(fields[c])) for i, c in enumerate(columns)]
-    return df.sparkSession.createDataFrame(rows, "ordinal int, name string, dtype_raw string, kind string")
+    return local_table(df.sparkSession, rows, "ordinal int, name string, dtype_raw string, kind string")
 
 
 def column_facts(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tabwise.functions.exprs import q
+from tabwise.session import local_table
 
 
 def newest_runs(runs: DataFrame, n: int = 50, status: str | None = None) -> DataFrame:
@@ -68,7 +69,7 @@ def metadata_issues(tables: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
             rows.append((section, f"'{section}' is missing"))
             continue
         rows += [(section, f"'{section}' lacks field '{f}'") for f in fields if f not in tables[section].columns]
-    out = spark.createDataFrame(rows, "section string, issue string")
+    out = local_table(spark, rows, "section string, issue string")
     for c in ("schema_version", "dataset_id"):
         out = out.unionByName(
             ids.where(F.coalesce(F.trim(q(c).cast("string")), F.lit("")) == "").select(F.lit("header").alias("section"), F.lit(f"Missing '{c}'").alias("issue"))

@@ -43,16 +43,9 @@ def screen_messages(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("screened", screen_message(q(column)))
 
 
-def _grams(text, sizes: list[int]):
-    """Distinct substrings of the given sizes of one text."""
-    parts = [
-        F.when(
-            F.length(text) >= k,
-            F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i, k=k: F.substr(text, i, F.lit(k))),
-        ).otherwise(F.array().cast("array<string>"))
-        for k in sizes
-    ]
-    return F.array_distinct(F.concat(*parts))
+def _grams(text, size: int):
+    """All substrings of one size, overlapping, in one linear pass (an empty look-ahead match per position)."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)
 
 
 def leak_scan(texts: DataFrame, text_id: str, text: str, values: DataFrame, value: str, few: int = FEW_VALUES) -> DataFrame:
@@ -69,16 +62,13 @@ def leak_scan(texts: DataFrame, text_id: str, text: str, values: DataFrame, valu
     if len(head) <= few:
         hits = sum((F.when(F.contains(q(text), F.lit(v)), 1).otherwise(0) for v in head), F.lit(0))
         return texts.select(q(text_id).alias(text_id), F.coalesce(hits, F.lit(0)).cast("long").alias("leaked"))
-    size = F.least(F.length("v"), F.lit(GRAM))
-    own = listed.withColumn(
-        "g",
-        F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("v") - size + 1), lambda i: F.substr(F.col("v"), i, size)))),
-    )
+    own = listed.withColumn("g", F.explode(F.array_distinct(F.when(F.length("v") < GRAM, F.array("v")).otherwise(_grams(F.col("v"), GRAM)))))
     freq = own.groupBy("g").agg(F.count("*").alias("k"))
     anchor = own.join(freq, "g").groupBy("v").agg(F.min(F.struct("k", "g")).getField("g").alias("g"))
-    sizes = [r[0] for r in anchor.select(F.length("g")).distinct().collect()]  # six sizes at most
-    grams = texts.select(q(text_id).alias("_tid"), F.explode(_grams(q(text), sizes)).alias("g"))
-    pairs = grams.join(anchor, "g").select("_tid", "v")
+    sizes = sorted(r[0] for r in anchor.select(F.length("g")).distinct().collect())  # six sizes at most
+    parts = F.concat(*[_grams(q(text), k) for k in sizes])
+    grams = texts.select(q(text_id).alias("_tid"), F.explode(parts).alias("g"))
+    pairs = grams.join(anchor, "g").select("_tid", "v").distinct()
     found = (
         pairs.join(texts.select(q(text_id).alias("_tid"), q(text).alias("_text")), "_tid")
         .where(F.contains("_text", "v")).groupBy("_tid").agg(F.count_distinct("v").alias("n"))

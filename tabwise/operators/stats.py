@@ -9,6 +9,7 @@ from tabwise.functions.exprs import (
 )
 from tabwise.operators.profile import data_columns
 from tabwise.operators.quantiles import SMALL_ROWS, attach_ranks, exact_quantiles
+from tabwise.session import local_table
 
 BATCH = 200  # expressions per aggregation, so that generated code stays within JVM method limits
 
@@ -40,7 +41,7 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, small_rows:
         f"{c} {'long' if c in ('count', 'null_count') else 'double'}" for c in NUMERIC_SUMMARY[1:]
     )
     if not columns:
-        return df.sparkSession.createDataFrame([], schema)
+        return local_table(df.sparkSession, [], schema)
     quart = exact_quantiles(df, columns, [0.25, 0.5, 0.75], small_rows)
     out = None
     for batch in _batches(columns, 8):
@@ -100,7 +101,7 @@ def categorical_summary(df: DataFrame, columns: list[str], sensitive: list[str]
     Values of sensitive columns (personal data, identifiers) are never shown.
     """
     if not columns:
-        return df.sparkSession.createDataFrame(
+        return local_table(df.sparkSession, 
             [], "column string, count long, unique_count long, null_count long, null_pct double, "
             "top_category string, top_category_freq long, top_categories array<struct<value:string,n:long>>",
         )
@@ -175,7 +176,7 @@ PAIRS = "i int, j int, col1 string, col2 string, r double"
 def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """(i, j, col1, col2, r) for every pair i < j, pairwise complete, one pass, no row shuffle."""
     if len(columns) < 2:
-        return df.sparkSession.createDataFrame([], PAIRS)
+        return local_table(df.sparkSession, [], PAIRS)
     types = {f.name: f.dataType for f in df.schema.fields}
     return _pair_agg(df, {c: as_double(c, types[c]) for c in columns})
 
@@ -187,7 +188,7 @@ def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     taken over the complete pairs, so such pairs are ranked on their own rows.
     """
     if len(columns) < 2:
-        return df.sparkSession.createDataFrame([], PAIRS)
+        return local_table(df.sparkSession, [], PAIRS)
     types = {f.name: f.dataType for f in df.schema.fields}
     num = df.select(*[as_double(c, types[c]).alias(c) for c in columns])
     row = num.agg(F.count("*").alias("n"), *[F.count(q(c)).alias(f"f{i}") for i, c in enumerate(columns)]).first()
@@ -222,5 +223,5 @@ def correlation_matrix(pairs: DataFrame, columns: list[str]) -> DataFrame:
     """Long matrix (col1, col2, r) with both triangles and the diagonal, four decimals."""
     half = pairs.select("col1", "col2", F.round("r", 4).alias("r"))
     flipped = half.select(F.col("col2").alias("col1"), F.col("col1").alias("col2"), "r")
-    diagonal = pairs.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], "col1 string, col2 string, r double")
+    diagonal = local_table(pairs.sparkSession, [(c, c, 1.0) for c in columns], "col1 string, col2 string, r double")
     return half.unionByName(flipped).unionByName(diagonal)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabwise.operators import charts, clean as K, dates as D, insights as I, models as M, profile as P, stats as S
 from tabwise.operators.profile import ROW_ID
-from tabwise.session import checkpoint_cut
+from tabwise.session import checkpoint_cut, local_table, settle
 
 MODEL_FACTS = (
     "status string, task string, target string, selected_model string, metrics map<string,double>, "
@@ -17,11 +17,6 @@ MODEL_FACTS = (
 )
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Hold a fact table (rows ~ columns of the data) as literal rows, so it is computed once."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
-
-
 @dataclass
 class Analysis:
     """Everything one run produces."""
@@ -97,13 +92,13 @@ def analyse(
             errors["ml"] = str(e)
             model = {"status": "failed", "reason": str(e)}
     row = {k: model.get(k) for k in ("status", "task", "target", "selected_model", "metrics", "improved_over_baseline", "train_rows", "test_rows", "reason")}
-    model_facts = spark.createDataFrame([tuple(row.values())], MODEL_FACTS)
+    model_facts = local_table(spark, [tuple(row.values())], MODEL_FACTS)
     importance = model.get("importance")
     if importance is None:
-        importance = spark.createDataFrame([], "feature string, importance double")
+        importance = local_table(spark, [], "feature string, importance double")
     lap("ml")
 
-    shape = spark.createDataFrame([(prof[0]["n_rows"] if prof else 0, len(prof))], "n_rows long, n_columns int")
+    shape = local_table(spark, [(prof[0]["n_rows"] if prof else 0, len(prof))], "n_rows long, n_columns int")
     facts = I.Facts(
         dataset_id, profile, shape, quality, issues, domain, dates, numeric, categorical, pearson, spearman, model_facts,
         settle(importance), cleaned.log,
@@ -116,5 +111,5 @@ def analyse(
 def run_metrics(analysis: Analysis, run_id: str) -> DataFrame:
     """(run_id, stage, seconds, status) of a finished run."""
     rows = [(run_id, s, t, "failed" if s in analysis.errors else "finished") for s, t in analysis.runtimes.items()]
-    df = analysis.table.sparkSession.createDataFrame(rows, "run_id string, stage string, seconds double, status string")
+    df = local_table(analysis.table.sparkSession, rows, "run_id string, stage string, seconds double, status string")
     return df.withColumn("created_at", F.current_timestamp())

@@ -6,6 +6,7 @@ from tabwise.functions import fixed as V
 from tabwise.operators import ask as A, profile as P
 from tabwise.plans.registry import first_match, query, table, view
 from tabwise.plans.views import CLIENTS
+from tabwise.session import local_table
 
 
 def _scalar(spark, d, name, op, column, digits=4):
@@ -113,7 +114,7 @@ CASE q.shape WHEN 1 THEN g1.e WHEN 2 THEN g2.e WHEN 4 THEN g4.e END AS entries
 FROM q JOIN plan USING (shape), s, g1, g2, g4""")
 def ask_batch(spark, d):
     lines = table(spark, d, "lineitem")
-    profile = spark.createDataFrame(
+    profile = local_table(spark, 
         [(i, c, "unknown", False, "none") for i, c in enumerate(lines.columns)],
         "ordinal int, name string, semantic_label string, is_pii boolean, pii_type string",
     )

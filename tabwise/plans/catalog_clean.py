@@ -6,6 +6,7 @@ from tabwise.functions.exprs import normalize_category, parse_bool, strip_number
 from tabwise.operators import clean as K, dates as D, profile as P
 from tabwise.plans.registry import query, table, view
 from tabwise.plans.views import COPIES, GAPPY, TEXTS
+from tabwise.session import local_table
 
 _KEY = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
 
@@ -80,7 +81,7 @@ UNION ALL SELECT 'whole', CASE WHEN abs((SELECT skewness(whole) FROM v)) > 1 THE
 def impute_numeric_facts(spark, d):
     facts = K.numeric_fill_facts(view(spark, d, GAPPY), ["price", "skewed", "whole"])
     rows = [(c, f["method"], f["missing"], round(float(f["value"]), 3)) for c, f in facts.items()]
-    return spark.createDataFrame(rows, "column string, method string, missing long, value double")
+    return local_table(spark, rows, "column string, method string, missing long, value double")
 
 
 _BLANK = "({c} IS NULL OR trim({c}) = '' OR lower({c}) IN ('nan', 'none'))"

@@ -7,6 +7,7 @@ from tabwise.operators import models as M, profile as P
 from tabwise.plans.catalog_ask import WORDS, words
 from tabwise.plans.registry import query, table, view
 from tabwise.plans.views import CLIENTS
+from tabwise.session import local_table
 
 # Line items with a derived outcome, a copy of it and a leaky number.
 CASES = """SELECT l_orderkey * 10 + l_linenumber AS _row_id, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
@@ -28,7 +29,7 @@ UNION ALL SELECT 'o_totalprice', 'regression', 'continuous' FROM orders HAVING c
 def task_types(spark, d):
     rows = P.profile_columns(table(spark, d, "orders").withColumnRenamed("o_orderkey", "_row_id")).collect()
     got = [(r["name"], *M.task_type(r["dtype_inferred"], r["unique_count"], r["n_rows"] - r["null_count"])[:2]) for r in rows if r["name"] in ("o_orderstatus", "o_totalprice")]
-    return spark.createDataFrame(got, "target string, task string, subtype string")
+    return local_table(spark, got, "target string, task string, subtype string")
 
 
 @query("""WITH c AS (SELECT o_orderstatus AS class, count(*) AS n FROM orders GROUP BY 1)
@@ -189,7 +190,7 @@ def model_round_trip(spark, d):
 def model_status(spark, d):
     df = view(spark, d, CASES).drop("flag_copy", "shadow")
     out = M.model_status(df, P.profile_columns(df), "_row_id", "churn", trees=5, rounds=3, only=["logistic_regression"])
-    return spark.createDataFrame([(out["status"], out.get("target"), out.get("task"), out.get("selected_model"))], "status string, target string, task string, selected_model string")
+    return local_table(spark, [(out["status"], out.get("target"), out.get("task"), out.get("selected_model"))], "status string, target string, task string, selected_model string")
 
 
 @query("""WITH r AS (SELECT quality AS q, n FROM (SELECT quality, count(*) AS n FROM labels GROUP BY 1)) SELECT CAST((SELECT q FROM r ORDER BY n DESC, q LIMIT 1) AS DOUBLE) AS majority, round(avg(toxic), 6) AS mean FROM labels""")

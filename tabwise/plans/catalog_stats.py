@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tabwise.operators import charts as C, profile as P, stats as S
 from tabwise.plans.registry import each, query, table, view
 from tabwise.plans.views import CLIENTS, GAPPY, PEOPLE, PEOPLE_COLUMNS
+from tabwise.session import local_table
 
 _LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _SUMMARY = """SELECT '{c}' AS "column", count({c}) AS count, count(*) - count({c}) AS null_count, round((count(*) - count({c})) / count(*) * 100, 2) AS null_pct,
@@ -30,7 +31,7 @@ def exact_quantiles(spark, d):
     # small_rows=0 takes the banded path that suits tables of any size
     got = quantiles(table(spark, d, "lineitem"), _LINE, [0.01, 0.5, 0.999, 0.0, 1.0], small_rows=0)
     rows = [(c, round(v[0], 6), round(v[1], 6), round(v[2], 6), v[3], v[4]) for c, v in got.items()]
-    return spark.createDataFrame(rows, "column string, p01 double, p50 double, p999 double, p0 double, p1 double")
+    return local_table(spark, rows, "column string, p01 double, p50 double, p999 double, p0 double, p1 double")
 
 
 _ORD = ["o_orderstatus", "o_orderpriority"]
@@ -72,7 +73,7 @@ MIXED = "SELECT c_custkey AS customer_id, c_acctbal AS balance, c_nationkey AS n
 UNION ALL SELECT 'fixed_no' FROM v HAVING stddev_samp(fixed_no) > 0 UNION ALL SELECT 'partly' FROM v HAVING stddev_samp(partly) > 0""")
 def eligible_numeric(spark, d):
     df = view(spark, d, MIXED)
-    return spark.createDataFrame([(c,) for c in S.eligible_numeric(df, P.profile_columns(df).collect())], "column string")
+    return local_table(spark, [(c,) for c in S.eligible_numeric(df, P.profile_columns(df).collect())], "column string")
 
 
 def _pairs_sql(cols, source, corr):

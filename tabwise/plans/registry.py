@@ -36,7 +36,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def view(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     """A view text that both engines read: table names are bound to the folder's tables."""
     used = {t for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)}
-    text = re.sub(r"\b(FROM|JOIN) (" + "|".join(TABLES) + r")\b", r"\1 {\2}", sql)
+    text = sql.replace("{", "{{").replace("}", "}}")  # braces of JSON texts are not placeholders
+    text = re.sub(r"\b(FROM|JOIN) (" + "|".join(TABLES) + r")\b", r"\1 {\2}", text)
     return spark.sql(text, **{t: table(spark, folder, t) for t in used})
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def session(app: str = "tabwise", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,3 +39,16 @@ def checkpoint_cut(df: DataFrame) -> DataFrame:
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tabwise-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def local_table(spark: SparkSession, rows: list, schema: str | T.StructType) -> DataFrame:
+    """Few literal rows as a local relation: known size, no job and no Python when scanned."""
+    st = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = [f.name for f in st.fields]
+    dicts = [dict(zip(names, r)) for r in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(dicts, schema=to_arrow_schema(st)), st)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Hold a fact table (about one row per column of the data) as a local relation."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
