@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabwise.functions import fixed as V
 from tabwise.functions.exprs import count_at_most, numbers_in, q
-from tabwise.operators.quantiles import order_ranges
+from tabwise.operators.quantiles import RANGE_ROWS, order_ranges, range_no
 from tabwise.session import checkpoint_cut
 
 FEW_FACTS = 100_000  # per dataset; with more, numbers and facts are merged by sorting
@@ -71,7 +71,9 @@ def _bad_by_arrays(claims: DataFrame, typed: DataFrame, dataset: str, tolerance:
     return joined.withColumn("ungrounded", bad).drop("ints", "floats", "shares")
 
 
-def _bad_by_sort(claims: DataFrame, typed: DataFrame, dataset: str, tolerance: float) -> DataFrame:
+def _bad_by_sort(
+    claims: DataFrame, typed: DataFrame, dataset: str, tolerance: float, range_rows: int = RANGE_ROWS
+) -> DataFrame:
     """Add ``ungrounded`` by merging distinct numbers and facts in sorted ranges.
 
     Used when a dataset has too many facts for an array.  Ranges are about equal in size;
@@ -81,12 +83,8 @@ def _bad_by_sort(claims: DataFrame, typed: DataFrame, dataset: str, tolerance: f
     keyed = checkpoint_cut(keyed)  # the ids must not change between the two uses
     numbers = keyed.select("_claim", dataset, F.explode("numbers").alias("x"))
     rows = typed.unionByName(numbers.select(dataset, F.lit("claim").alias("kind"), "x").distinct())
-    cuts = order_ranges(rows, "x")
-    if cuts:
-        at = count_at_most(F.array(*[F.lit(c) for c in cuts]), F.col("x"), F.lit(len(cuts)), len(cuts))
-    else:
-        at = F.lit(0)
-    rows = rows.withColumn("_range", at)
+    cuts = order_ranges(rows, "x", range_rows)
+    rows = rows.withColumn("_range", range_no(F.col("x"), cuts))
     kinds = ("int", "float", "share")
 
     def of(kind):

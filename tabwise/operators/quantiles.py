@@ -22,7 +22,8 @@ from tabwise.functions.exprs import as_double, count_at_most, q
 
 SMALL_ROWS = 2_000_000      # below this many rows the built-in exact percentile is used
 SKETCH_ACCURACY = 20_000    # sketch error <= rows / accuracy
-RANK_PARTS = 2_048          # number of ordered ranges used for ranks and positions
+RANGE_ROWS = 2_000_000      # aimed size of one ordered range used for ranks and positions
+MAX_RANGES = 16_384
 
 
 def exact_quantiles(
@@ -108,28 +109,39 @@ def _banded_quantiles(num: DataFrame, columns: list[str], probs: list[float]) ->
     return out
 
 
-def order_ranges(df: DataFrame, order: str, parts: int = RANK_PARTS) -> list[float]:
-    """Cut points that split a numeric column into about equal ranges (bounded facts)."""
-    marks = [k / parts for k in range(1, parts)]
-    row = df.agg(F.percentile_approx(q(order), F.array(*[F.lit(m) for m in marks]), parts * 10)).first()
+def doubles(values: list[float]) -> Column:
+    """Array literal of many numbers, parsed in one call."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
+
+def order_ranges(df: DataFrame, order: str, range_rows: int = RANGE_ROWS) -> list[float]:
+    """Cut points that split a numeric column into ranges of about ``range_rows`` rows.
+
+    At most ``MAX_RANGES`` numbers come to the driver; a small table has no cuts at all.
+    """
+    n = df.count()
+    parts = min(MAX_RANGES, math.ceil(n / range_rows))
+    if parts <= 1:
+        return []
+    marks = doubles([k / parts for k in range(1, parts)])
+    row = df.agg(F.percentile_approx(q(order), marks, parts * 10)).first()
     return sorted(set(row[0])) if row[0] is not None else []
 
 
-def _range_no(order: Column, cuts: list[float]) -> Column:
-    if not cuts:
-        return F.lit(0)
-    return count_at_most(F.array(*[F.lit(float(c)) for c in cuts]), order, F.lit(len(cuts)), len(cuts))
+def range_no(order: Column, cuts: list[float]) -> Column:
+    """Number of the range a value falls into."""
+    return count_at_most(doubles(cuts), order, F.lit(len(cuts)), len(cuts)) if cuts else F.lit(0)
 
 
-def running_start(counts: DataFrame, order: str, n: str, parts: int = RANK_PARTS) -> DataFrame:
+def running_start(counts: DataFrame, order: str, n: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add ``start`` = sum of ``n`` over all rows with a smaller ``order`` value.
 
     ``order`` must be unique.  Rows are put into about equal ranges of ``order``; the
-    totals of the ranges (at most ``parts`` rows) give each range its offset, and the
+    totals of the ranges (at most ``MAX_RANGES`` rows) give each range its offset, and the
     running sum is taken inside the ranges in parallel.
     """
-    cuts = order_ranges(counts, order, parts)
-    ranged = counts.withColumn("_range", _range_no(q(order), cuts))
+    cuts = order_ranges(counts, order, range_rows)
+    ranged = counts.withColumn("_range", range_no(q(order), cuts))
     totals = ranged.groupBy("_range").agg(F.sum(n).alias("_total"))
     offsets = totals.select(
         F.col("_range"),
@@ -144,7 +156,7 @@ def running_start(counts: DataFrame, order: str, n: str, parts: int = RANK_PARTS
     )
 
 
-def average_ranks(df: DataFrame, column: str, parts: int = RANK_PARTS) -> DataFrame:
+def average_ranks(df: DataFrame, column: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(value, n, rank): average rank of every distinct value, ties share their mean."""
     types = {f.name: f.dataType for f in df.schema.fields}
     counts = (
@@ -153,12 +165,14 @@ def average_ranks(df: DataFrame, column: str, parts: int = RANK_PARTS) -> DataFr
         .groupBy("value")
         .agg(F.count("*").alias("n"))
     )
-    return running_start(counts, "value", "n", parts).select(
+    return running_start(counts, "value", "n", range_rows).select(
         "value", "n", (F.col("start") + (F.col("n") + 1) / 2.0).alias("rank")
     )
 
 
-def attach_ranks(df: DataFrame, columns: list[str], prefix: str = "rank_", hot_share: float = 0.001) -> DataFrame:
+def attach_ranks(
+    df: DataFrame, columns: list[str], prefix: str = "rank_", hot_share: float = 0.001, range_rows: int = RANGE_ROWS
+) -> DataFrame:
     """Join the average rank of each column to its rows.
 
     A value that fills more than ``hot_share`` of the table would put all its rows into
@@ -169,7 +183,7 @@ def attach_ranks(df: DataFrame, columns: list[str], prefix: str = "rank_", hot_s
     limit = max(1.0, df.count() * hot_share)
     out = df
     for c in columns:
-        ranks = average_ranks(df, c)
+        ranks = average_ranks(df, c, range_rows)
         hot = ranks.where(F.col("n") >= limit).select(F.col("value").alias("_hv"), F.col("rank").alias("_hr"))
         cold = ranks.where(F.col("n") < limit).select(F.col("value").alias("_cv"), F.col("rank").alias("_cr"))
         key = as_double(c, types[c])
@@ -191,7 +205,7 @@ def attach_ranks(df: DataFrame, columns: list[str], prefix: str = "rank_", hot_s
 
 
 def global_positions(
-    df: DataFrame, order: str, row_id: str = "_row_id", chunk: int = 1_000_000, parts: int = RANK_PARTS
+    df: DataFrame, order: str, row_id: str = "_row_id", chunk: int = 1_000_000, range_rows: int = RANGE_ROWS
 ) -> DataFrame:
     """Add ``position``: 0-based place of each row in the order (``order``, ``row_id``).
 
@@ -209,7 +223,7 @@ def global_positions(
     )
     counts = rows.groupBy("_o", "_block").agg(F.count("*").alias("n"))
     per_value = counts.groupBy("_o").agg(F.sum("n").alias("n"))
-    starts = running_start(per_value, "_o", "n", parts).select("_o", "start")
+    starts = running_start(per_value, "_o", "n", range_rows).select("_o", "start")
     # The blocks of one value are few (rows / chunk), so a window per value is small.
     blocks = counts.join(starts, "_o").select(
         "_o",

@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tabwise.functions.exprs import mask_text, q
+from tabwise.operators.clean import clean
+from tabwise.operators.dates import resolve_dates
+from tabwise.operators.profile import ROW_ID, profile_columns
 from tabwise.operators.sensitive import mask_columns
+from tabwise.session import checkpoint_cut, settle
 
 
 def intake(
@@ -26,20 +30,15 @@ def intake(
     )
 
 
-def profile_and_clean(out: str, row_id: str) -> Callable[[DataFrame, int], None]:
+def profile_and_clean(out: str, row_id: str, leave_out: list[str] = ()) -> Callable[[DataFrame, int], None]:
     """A batch handler that profiles and cleans each micro-batch into ``out/batch=<id>``.
 
     Writing by batch id makes a repeated batch overwrite itself: the result is the same
     after a restart.
     """
-    from tabwise.operators.clean import clean
-    from tabwise.operators.dates import resolve_dates
-    from tabwise.operators.profile import ROW_ID, profile_columns
-    from tabwise.session import checkpoint_cut
-
     def handle(batch: DataFrame, batch_id: int) -> None:
-        table = checkpoint_cut(batch.withColumnRenamed(row_id, ROW_ID))
-        profile = profile_columns(table)
+        table = checkpoint_cut(batch.drop(*leave_out).withColumnRenamed(row_id, ROW_ID))
+        profile = settle(profile_columns(table))
         cleaned = clean(table, profile, resolve_dates(table))
         profile.write.mode("overwrite").parquet(f"{out}/profile/batch={batch_id}")
         cleaned.table.write.mode("overwrite").parquet(f"{out}/cleaned/batch={batch_id}")
