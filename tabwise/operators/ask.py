@@ -16,7 +16,7 @@ from tabwise.functions import fixed as V
 from tabwise.functions.exprs import as_double, as_text, is_numeric, q, screen_message, shielded, shielded_by_header
 from tabwise.operators.profile import data_columns
 from tabwise.operators.quantiles import exact_quantiles
-from tabwise.session import local_table
+from tabwise.session import local_table, once
 
 EDGE = "\u0001"  # marks word boundaries inside texts and column names
 MAX_PLANS = 10_000
@@ -121,17 +121,8 @@ def classify_questions(questions: DataFrame, columns: list[str], text: str = "te
         pick = pick.when(F.col("_rows"), triple(F.lit("count"), none, none))
         pick = pick.when(b.isNotNull(), triple(F.lit("count"), b["column"], none))
     pick = pick.otherwise(triple(F.lit("unclassified"), none, none))
-    once = _once(questions, F.struct(first.alias("_a"), counted.alias("_b"), rows.alias("_rows")))
-    return _once(once, pick).drop("_a", "_b", "_rows")
-
-
-def _once(df: DataFrame, value: Column) -> DataFrame:
-    """Add the fields of a struct as columns that are computed exactly once per row.
-
-    A one-element generator keeps the optimizer from copying a long expression into every
-    later filter and projection that mentions its result.
-    """
-    return df.select("*", F.inline(F.array(value)))
+    judged = once(questions, F.struct(first.alias("_a"), counted.alias("_b"), rows.alias("_rows")))
+    return once(judged, pick).drop("_a", "_b", "_rows")
 
 
 def sensitive_columns(profile: DataFrame) -> DataFrame:
@@ -182,7 +173,7 @@ def judge_questions(classified: DataFrame, sensitive: list[str], numeric: list[s
         .when(needs_number & ~F.array_contains(numbers, c), "error")
         .otherwise("success")
     )
-    return _once(classified, F.struct(status.alias("status")))
+    return once(classified, F.struct(status.alias("status")))
 
 
 def _scalar(op: str, x: Column, c: Column) -> Column:

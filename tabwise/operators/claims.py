@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tabwise.functions import fixed as V
 from tabwise.functions.exprs import count_at_most, numbers_in, q
 from tabwise.operators.quantiles import RANGE_ROWS, order_ranges, range_no
-from tabwise.session import checkpoint_cut
+from tabwise.session import checkpoint_cut, once
 
 FEW_FACTS = 100_000  # per dataset; with more, numbers and facts are merged by sorting
 
@@ -38,14 +38,16 @@ def fact_arrays(typed: DataFrame, dataset: str = "dataset_id") -> DataFrame:
     return typed.groupBy(dataset).agg(pick("int").alias("ints"), pick("float").alias("floats"), pick("share").alias("shares"))
 
 
-def neighbours(array: Column, x: Column) -> tuple[Column, Column]:
-    """The neighbours of ``x`` in a sorted array: at or below, and above."""
-    k = count_at_most(array, x, bound=FEW_FACTS)
-    return F.when(k > 0, F.get(array, k - 1)), F.get(array, k)
+def neighbours(array: Column, x: Column, bound: int = FEW_FACTS) -> Column:
+    """The neighbours of ``x`` in a sorted array, at or below and above: one or two elements.
+
+    ``bound`` is the length of the longest array that occurs.
+    """
+    return F.slice(array, F.greatest(count_at_most(array, x, bound=bound), F.lit(1)), F.lit(2))
 
 
-def near_enough(x: Column, ints: tuple, floats: tuple, shares: tuple, tolerance: float = 0.05) -> Column:
-    """One number against its nearest facts of each kind.
+def near_enough(x: Column, ints: Column, floats: Column, shares: Column, tolerance: float = 0.05) -> Column:
+    """One number against arrays of its nearest facts of each kind.
 
     Equal to a whole fact within 0.01; to a fraction within 0.02 or the relative
     tolerance; to a proportion's percentage within 0.5 or the relative tolerance.
@@ -53,22 +55,20 @@ def near_enough(x: Column, ints: tuple, floats: tuple, shares: tuple, tolerance:
     def off(f):
         return F.abs(x - f)
 
-    tests = [off(f) <= 0.01 for f in ints]
-    tests += [(off(f) <= 0.02) | (F.try_divide(off(f), F.abs(f)) <= tolerance) for f in floats]
-    tests += [(off(f) <= 0.5) | (F.try_divide(off(f), f) <= tolerance) for f in shares]
-    hit = F.lit(False)
-    for t in tests:
-        hit = hit | F.coalesce(t, F.lit(False))
-    return hit
+    return (
+        F.exists(ints, lambda f: off(f) <= 0.01)
+        | F.exists(floats, lambda f: (off(f) <= 0.02) | (F.try_divide(off(f), F.abs(f)) <= tolerance))
+        | F.exists(shares, lambda f: (off(f) <= 0.5) | (F.try_divide(off(f), f) <= tolerance))
+    )
 
 
-def _bad_by_arrays(claims: DataFrame, typed: DataFrame, dataset: str, tolerance: float) -> DataFrame:
+def _bad_by_arrays(claims: DataFrame, typed: DataFrame, dataset: str, tolerance: float, most: int) -> DataFrame:
     """Add ``ungrounded`` by binary search; one short row per dataset joins the claims."""
     empty = F.array().cast("array<double>")
     joined = claims.join(fact_arrays(typed, dataset), dataset, "left")
     arrays = [F.coalesce(c, empty) for c in ("ints", "floats", "shares")]
-    bad = F.filter("numbers", lambda x: ~near_enough(x, *[neighbours(a, x) for a in arrays], tolerance))
-    return joined.withColumn("ungrounded", bad).drop("ints", "floats", "shares")
+    bad = F.filter("numbers", lambda x: ~near_enough(x, *[neighbours(a, x, max(most, 1)) for a in arrays], tolerance))
+    return once(joined, F.struct(bad.alias("ungrounded"))).drop("ints", "floats", "shares")
 
 
 def _bad_by_sort(
@@ -105,7 +105,7 @@ def _bad_by_sort(
     near = rows.withColumns({
         **{f"b_{k}": F.max(of(k)).over(upto) for k in kinds}, **{f"a_{k}": F.min(of(k)).over(onward) for k in kinds},
     }).where("kind = 'claim'").join(carry, [dataset, "_range"])
-    sides = [(F.coalesce(f"b_{k}", f"pre_{k}"), F.coalesce(f"a_{k}", f"post_{k}")) for k in kinds]
+    sides = [F.array_compact(F.array(F.coalesce(f"b_{k}", f"pre_{k}"), F.coalesce(f"a_{k}", f"post_{k}"))) for k in kinds]
     verdict = near.select(dataset, "x", near_enough(F.col("x"), *sides, tolerance).alias("ok"))
     bad = numbers.join(verdict, [dataset, "x"]).where("not ok").groupBy("_claim").agg(F.collect_list("x").alias("_bad"))
     empty = F.array().cast("array<double>")
@@ -126,13 +126,15 @@ def ground_claims(
     typed = typed_facts(facts, dataset)
     most = typed.groupBy(dataset).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     empty = F.array().cast("array<double>")
-    numbered = claims.withColumn("numbers", F.coalesce(numbers_in(q(text)), empty))
-    how = _bad_by_arrays if most <= few_facts else _bad_by_sort
+    numbered = once(claims, F.struct(F.coalesce(numbers_in(q(text)), empty).alias("numbers")))
+    if most <= few_facts:
+        judged = _bad_by_arrays(numbered, typed, dataset, tolerance, most)
+    else:
+        judged = _bad_by_sort(numbered, typed, dataset, tolerance)
     blank = F.coalesce(F.trim(q(text)) == "", F.lit(True))
     listed = F.concat_ws(", ", F.col("ungrounded").cast("array<string>"))
     return (
-        how(numbered, typed, dataset, tolerance)
-        .withColumn("is_grounded", ~blank & (F.size("numbers") > 0) & (F.size("ungrounded") == 0))
+        judged.withColumn("is_grounded", ~blank & (F.size("numbers") > 0) & (F.size("ungrounded") == 0))
         .withColumn(
             "reason",
             F.when(blank, "Empty insight text")

@@ -17,7 +17,7 @@ from tabwise.functions.exprs import (
 from tabwise.operators.dates import normalize_date
 from tabwise.operators.profile import ROW_ID, data_columns
 from tabwise.operators.quantiles import exact_quantiles
-from tabwise.session import local_table
+from tabwise.session import checkpoint_cut, local_table
 
 UNTOUCHED_LABELS = ["identifier", "email", "phone", "person_name", "credit_card", "ssn_national_id"]
 
@@ -46,8 +46,13 @@ def drop_duplicates(df: DataFrame, columns: list[str] | None = None, row_id: str
     """
     columns = columns or [c for c in df.columns if c != row_id]
     kept = df.groupBy(*[q(c) for c in columns]).agg(F.min(q(row_id)).alias(row_id)).select(*[q(c) for c in df.columns])
-    removed = df.join(kept.select(q(row_id)), row_id, "left_anti").select(*[q(c) for c in df.columns])
-    return kept, removed.withColumn("_orig_row_index", q(row_id))
+    return kept, removed_rows(df, kept, row_id)
+
+
+def removed_rows(df: DataFrame, kept: DataFrame, row_id: str = ROW_ID) -> DataFrame:
+    """Rows of ``df`` that are not in ``kept``, with their original index."""
+    gone = df.join(kept.select(q(row_id)), row_id, "left_anti").select(*[q(c) for c in df.columns])
+    return gone.withColumn("_orig_row_index", q(row_id))
 
 
 # --- types ----------------------------------------------------------------------
@@ -211,7 +216,7 @@ def split_columns(df: DataFrame, profile: list[Row], dates: list[Row]) -> tuple[
     types = {f.name: f.dataType for f in df.schema.fields}
     numeric, other = [], []
     for c in data_columns(df):
-        if c in skip or isinstance(types[c], (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        if c in skip or isinstance(types[c], (T.DateType, T.TimestampType, T.TimestampNTZType, T.StructType)):
             continue
         (numeric if is_numeric(types[c]) else other).append(c)
     return numeric, other
@@ -340,22 +345,22 @@ class Cleaned:
     log_rows: list[Row] = field(default_factory=list)
 
 
-def raw_sidecar(raw: DataFrame, cleaned: DataFrame, row_id: str = ROW_ID) -> DataFrame:
+RAW = "_raw_row"  # the untouched values of a row, carried next to the cleaned ones
+
+
+def raw_sidecar(both: DataFrame, row_id: str = ROW_ID) -> DataFrame:
     """(column, _row_id, raw): raw text of every kept cell whose value changed.
 
     Covers coerced numbers, flags, trimmed categories, normalised dates and filled gaps,
-    so the round trip needs nothing but the cleaned table and the sidecars.
+    so the round trip needs nothing but the cleaned table and the sidecars.  ``both``
+    carries the raw values in ``RAW``: comparing them is one projection, no join.
     """
-    names = [c for c in raw.columns if c != row_id]
-    types = {f.name: f.dataType for f in raw.schema.fields}
-    after = cleaned.select(q(row_id), *[q(c).try_cast(types[c]).alias("_new_" + c) for c in names])
-    both = raw.join(after, row_id)
     cells = [
         F.when(
-            ~q(c).eqNullSafe(q("_new_" + c)),
-            F.struct(F.lit(c).alias("column"), q(row_id).alias(row_id), q(c).cast("string").alias("raw")),
+            ~F.col(RAW)[f.name].eqNullSafe(q(f.name).try_cast(f.dataType)),
+            F.struct(F.lit(f.name).alias("column"), q(row_id).alias(row_id), F.col(RAW)[f.name].cast("string").alias("raw")),
         )
-        for c in names
+        for f in both.schema[RAW].dataType.fields
     ]
     return both.select(F.explode(F.filter(F.array(*cells), lambda e: e.isNotNull())).alias("e")).select("e.*")
 
@@ -379,23 +384,27 @@ def reconstruct(cleaned: DataFrame, removed: DataFrame, raw_cells: DataFrame, sc
 def clean(df: DataFrame, profile: DataFrame, dates: DataFrame, row_id: str = ROW_ID) -> Cleaned:
     """Run all cleaning steps in order: duplicates, types, dates, gaps, outlier flags.
 
-    ``df`` must carry a stable row id.  The de-duplicated table is read by several
-    aggregations; callers on a cluster should pass a staged (written) table.
+    ``df`` must carry a stable row id.  The de-duplicated table feeds several aggregations
+    and is staged once.
     """
     spark = df.sparkSession
     prof, ds = profile.collect(), dates.collect()  # one row per column
-    kept, removed = drop_duplicates(df, row_id=row_id)
-    n_removed = removed.count()
+    kept, _ = drop_duplicates(df, row_id=row_id)
+    kept = checkpoint_cut(kept)
+    removed = removed_rows(df, kept, row_id)
+    total = df.count()
+    n_removed = total - kept.count()
     logs: list[Row] = []
     if n_removed:
-        total = kept.count() + n_removed
         logs.append(_log(
             1, "__all__", "drop_duplicates", f"Removed {n_removed} exact duplicate rows", None, 0, 0.0,
             details={"duplicate_count": float(n_removed), "duplicate_pct": round(n_removed / total * 100.0, 2)},
         ))
-    typed, type_logs = coerce_types(kept, prof)
+    names = [c for c in kept.columns if c != row_id]
+    typed, type_logs = coerce_types(kept.withColumn(RAW, F.struct(*[q(c) for c in names])), prof)
     dated, date_logs = normalize_dates(typed, ds)
-    filled, null_cells, fill_logs = impute(dated, prof, ds, row_id)
+    both, null_cells, fill_logs = impute(dated, prof, ds, row_id)
+    filled = both.drop(RAW)
     bounds = outlier_bounds(filled, outlier_columns(filled, prof))
     flagged = outlier_summary(filled, bounds).collect()
     out_logs = [
@@ -411,7 +420,7 @@ def clean(df: DataFrame, profile: DataFrame, dates: DataFrame, row_id: str = ROW
         table=filled,
         removed=removed,
         null_cells=null_cells,
-        raw_cells=raw_sidecar(kept, filled, row_id),
+        raw_cells=raw_sidecar(both, row_id),
         outliers=outlier_cells(filled, bounds, row_id),
         log=local_table(spark, logs, LOG_SCHEMA) if logs else local_table(spark, [], LOG_SCHEMA),
         log_rows=logs,

@@ -19,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabwise.functions.exprs import as_double, count_at_most, q
+from tabwise.session import checkpoint_cut
 
 SMALL_ROWS = 2_000_000      # below this many rows the built-in exact percentile is used
 SKETCH_ACCURACY = 20_000    # sketch error <= rows / accuracy
@@ -138,8 +139,10 @@ def running_start(counts: DataFrame, order: str, n: str, range_rows: int = RANGE
 
     ``order`` must be unique.  Rows are put into about equal ranges of ``order``; the
     totals of the ranges (at most ``MAX_RANGES`` rows) give each range its offset, and the
-    running sum is taken inside the ranges in parallel.
+    running sum is taken inside the ranges in parallel.  The counts are staged once: they
+    serve the cut points, the totals and the result.
     """
+    counts = checkpoint_cut(counts)
     cuts = order_ranges(counts, order, range_rows)
     ranged = counts.withColumn("_range", range_no(q(order), cuts))
     totals = ranged.groupBy("_range").agg(F.sum(n).alias("_total"))

@@ -143,12 +143,10 @@ def claim_score(claims: DataFrame, known: DataFrame) -> DataFrame:
     nums = F.filter(F.transform(found, lambda m: F.round(m.try_cast("double"), 2)), lambda x: x.isNotNull() & ~x.isin(1.0, 2.0, 3.0))
 
     def known_near(x):
-        below, above = neighbours(F.col("facts"), x)
-
-        def close(f):
-            return F.coalesce(F.abs(x - f) <= F.lit(0.05) * F.greatest(F.abs(x), F.abs(f), F.lit(1.0)), F.lit(False))
-
-        return close(below) | close(above)
+        return F.exists(
+            neighbours(F.col("facts"), x),
+            lambda f: F.abs(x - f) <= F.lit(0.05) * F.greatest(F.abs(x), F.abs(f), F.lit(1.0)),
+        )
 
     empty = F.array().cast("array<double>")
     j = claims.join(facts, "dataset", "left").withColumn("facts", F.coalesce("facts", empty))

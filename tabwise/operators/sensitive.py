@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabwise.functions.exprs import as_text, mask_text, q, redact_secrets, screen_message
 from tabwise.operators.profile import ROW_ID
+from tabwise.session import checkpoint_cut
 
 FEW_VALUES = 64  # value lists up to this size are tested one by one inside the projection
 GRAM = 8
+MAX_CLASS = 4_000
 
 
 def mask_columns(df: DataFrame, columns: list[str] | dict[str, str]) -> DataFrame:
@@ -43,9 +45,28 @@ def screen_messages(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("screened", screen_message(q(column)))
 
 
-def _grams(text, size: int):
-    """All substrings of one size, overlapping, in one linear pass (an empty look-ahead match per position)."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)
+def _grams(text, size: int, pattern: str | None = None):
+    """Substrings of one size, overlapping, in one linear pass (an empty look-ahead match per position)."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({pattern or '.{%d}' % size}))"), 1)
+
+
+def _gram_patterns(anchor: DataFrame) -> dict[int, str]:
+    """Per size, a pattern of the characters that occur at each place of the filed substrings.
+
+    It skips most positions of a text before any string is made.  Alphabets beyond a few
+    thousand characters are not listed; every character is then accepted.
+    """
+    places = anchor.select(F.length("g").alias("size"), F.posexplode(F.split("g", "")).alias("at", "ch")).where("ch <> ''").distinct()
+    rows = places.limit(MAX_CLASS + 1).collect()
+    sizes = sorted(r[0] for r in anchor.select(F.length("g")).distinct().collect())  # six sizes at most
+    if len(rows) > MAX_CLASS:
+        return {k: ".{%d}" % k for k in sizes}
+    seen: dict[tuple[int, int], set[str]] = {}
+    for r in rows:
+        seen.setdefault((r["size"], r["at"]), set()).add(r["ch"])
+    return {
+        k: "".join("[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(seen[k, i])) + "]" for i in range(k)) for k in sizes
+    }
 
 
 def leak_scan(texts: DataFrame, text_id: str, text: str, values: DataFrame, value: str, few: int = FEW_VALUES) -> DataFrame:
@@ -65,8 +86,8 @@ def leak_scan(texts: DataFrame, text_id: str, text: str, values: DataFrame, valu
     own = listed.withColumn("g", F.explode(F.array_distinct(F.when(F.length("v") < GRAM, F.array("v")).otherwise(_grams(F.col("v"), GRAM)))))
     freq = own.groupBy("g").agg(F.count("*").alias("k"))
     anchor = own.join(freq, "g").groupBy("v").agg(F.min(F.struct("k", "g")).getField("g").alias("g"))
-    sizes = sorted(r[0] for r in anchor.select(F.length("g")).distinct().collect())  # six sizes at most
-    parts = F.concat(*[_grams(q(text), k) for k in sizes])
+    anchor = checkpoint_cut(anchor)
+    parts = F.concat(*[_grams(q(text), k, p) for k, p in _gram_patterns(anchor).items()])
     grams = texts.select(q(text_id).alias("_tid"), F.explode(parts).alias("g"))
     pairs = grams.join(anchor, "g").select("_tid", "v").distinct()
     found = (

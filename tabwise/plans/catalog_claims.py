@@ -9,7 +9,7 @@ from tabwise.plans.catalog_ask import WORDS, words
 from tabwise.plans.catalog_profile import _LABEL
 from tabwise.plans.registry import first_match, lit_list, query, table, view
 from tabwise.plans.views import CLIENTS, PEOPLE
-from tabwise.session import local_table
+from tabwise.session import local_table, once
 
 # RE2 knows only ASCII word boundaries; other letters become 'x' before numbers are read.
 def _nums(t):
@@ -246,10 +246,9 @@ def lang_words(spark, d):
 
 
 def _predicted(spark, d):
-    kind = F.coalesce(pii_by_header(F.col("name")), F.lit("none"))
-    return lang_words(spark, d).withColumns({
-        "semantic_label": F.coalesce(label_by_header(F.col("name")), F.lit("unknown")), "is_pii": kind != "none",
-    }).withColumn("confidence", F.when(F.col("semantic_label") == "unknown", 0.4).otherwise(0.9))
+    label = F.coalesce(label_by_header(F.col("name")), F.lit("unknown"))
+    judged = once(lang_words(spark, d), F.struct(label.alias("semantic_label"), pii_by_header(F.col("name")).isNotNull().alias("is_pii")))
+    return judged.withColumn("confidence", F.when(F.col("semantic_label") == "unknown", 0.4).otherwise(0.9))
 
 
 def _labels():

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
@@ -52,3 +52,12 @@ def local_table(spark: SparkSession, rows: list, schema: str | T.StructType) ->
 def settle(df: DataFrame) -> DataFrame:
     """Hold a fact table (about one row per column of the data) as a local relation."""
     return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
+def once(df: DataFrame, value: Column) -> DataFrame:
+    """Add the fields of a struct as columns that are computed exactly once per row.
+
+    A one-element generator keeps the optimizer from copying a long expression into every
+    later filter and projection that mentions its result.
+    """
+    return df.select("*", F.inline(F.array(value)))
