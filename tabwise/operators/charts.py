@@ -75,7 +75,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     width = (hi - lo) / bins if hi > lo else 1.0
     no = F.least(F.floor((x - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
     return (
-        df.select(no.alias("bin")).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"))
+        df.where(x.isNotNull()).select(no.alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
         .select("bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("low"),
                 (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("high"), "n")
     )
@@ -196,7 +196,7 @@ def violin_density(df: DataFrame, value: str, group: str | None = None, bins: in
     width = (hi - lo) / bins if hi > lo else 1.0
     no = F.least(F.floor((x - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
     cells = (
-        df.select(g.alias("group"), no.alias("bin")).where("group is not null and bin is not null")
+        df.where(x.isNotNull()).select(g.alias("group"), no.alias("bin")).where("group is not null")
         .groupBy("group", "bin").agg(F.count("*").alias("n"))
     )
     totals = cells.groupBy("group").agg(F.sum("n").alias("total"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tabwise.functions.exprs import as_double, count_at_most, q
 from tabwise.session import checkpoint_cut
 
-SMALL_ROWS = 2_000_000      # below this many rows the built-in exact percentile is used
+SMALL_ROWS = 500_000        # below this many rows the built-in exact percentile is used
 SKETCH_ACCURACY = 20_000    # sketch error <= rows / accuracy
 RANGE_ROWS = 2_000_000      # aimed size of one ordered range used for ranks and positions
 MAX_RANGES = 16_384
@@ -73,23 +73,11 @@ def _banded_quantiles(num: DataFrame, columns: list[str], probs: list[float]) ->
         *[F.count_if(q(columns[i]) < F.lit(lo)).alias(f"b{k}") for k, (i, _, lo, _, _) in enumerate(bands)]
     ).first()
     # Only rows inside a band travel; equal values are counted before the shuffle.
-    entries = F.array(
-        *[
-            F.struct(F.lit(k).alias("band"), q(columns[i]).alias("v"))
-            for k, (i, _, _, _, _) in enumerate(bands)
-        ]
-    )
-    lows = F.array(*[F.lit(float(b[2])) for b in bands])
-    highs = F.array(*[F.lit(float(b[3])) for b in bands])
-    inside = (
-        num.select(
-            F.explode(
-                F.filter(entries, lambda e: (e["v"] >= F.get(lows, e["band"])) & (e["v"] <= F.get(highs, e["band"])))
-            ).alias("e")
-        )
-        .groupBy(F.col("e.band").alias("band"), F.col("e.v").alias("v"))
-        .count()
-    )
+    entries = F.array(*[
+        F.struct(F.lit(k).alias("band"), q(columns[i]).alias("v"), q(columns[i]).between(F.lit(lo), F.lit(hi)).alias("inside"))
+        for k, (i, _, lo, hi, _) in enumerate(bands)
+    ])
+    inside = num.select(F.inline(entries)).where("inside").groupBy("band", "v").count()
     upto = F.sum("count").over(Window.partitionBy("band").orderBy("v"))
     start = F.get(F.array(*[F.lit(float(below[f"b{k}"])) for k in range(len(bands))]), F.col("band"))
     pos = F.get(F.array(*[F.lit(float(b[4])) for b in bands]), F.col("band"))

@@ -6,7 +6,7 @@ from tabwise.functions.exprs import normalize_category, parse_bool, strip_number
 from tabwise.operators import clean as K, dates as D, profile as P
 from tabwise.plans.registry import query, table, view
 from tabwise.plans.views import COPIES, GAPPY, TEXTS
-from tabwise.session import local_table
+from tabwise.session import checkpoint_cut, local_table
 
 _KEY = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
 
@@ -135,7 +135,8 @@ MESS = MESS.replace("t._row_id / 4.0", "CAST(t._row_id AS DOUBLE) / 4.0")
 
 def _mess(spark, d):
     df = view(spark, d, MESS)
-    return df, K.clean(df, P.profile_columns(df), D.resolve_dates(df))
+    counts = checkpoint_cut(P.value_counts(df))  # one pass serves types, labels and dates
+    return df, K.clean(df, P.profile_columns(df, counts=counts), D.resolve_dates(df, counts=counts))
 
 
 @query(MESS)
