@@ -45,7 +45,12 @@ def drop_duplicates(df: DataFrame, columns: list[str] | None = None, row_id: str
     one record per task.  Removed rows are found by row id, which has no hot keys.
     """
     columns = columns or [c for c in df.columns if c != row_id]
-    kept = df.groupBy(*[q(c) for c in columns]).agg(F.min(q(row_id)).alias(row_id)).select(*[q(c) for c in df.columns])
+    rest = [c for c in df.columns if c not in columns and c != row_id]
+    aggs = [F.min(q(row_id)).alias(row_id)]
+    if rest:  # a key of some columns: the others come from the row that stays
+        aggs.append(F.min_by(F.struct(*[q(c) for c in rest]), q(row_id)).alias("_rest"))
+    first = df.groupBy(*[q(c) for c in columns]).agg(*aggs)
+    kept = first.select(*[F.col("_rest")[c].alias(c) if c in rest else q(c) for c in df.columns])
     return kept, removed_rows(df, kept, row_id)
 
 

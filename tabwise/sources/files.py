@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tabwise.functions import fixed as V
-from tabwise.functions.exprs import na_to_null, q
+from tabwise.functions.exprs import na_to_null
+from tabwise.session import local_table
 from tabwise.sources.rowid import with_row_ids
 from tabwise.sources.typing import to_physical_types
 from tabwise.sources.workbook import read_workbooks
@@ -65,10 +68,16 @@ def read_delimited(
     }
     names = spark.read.options(**base).csv(path).columns
     cols = [n.strip() if trim_headers else n for n in names]
-    schema = ", ".join(f"c{i} string" for i in range(len(cols))) + ", _extra string"
-    # With a null marker that cannot occur, an empty extra field still counts as a field.
-    raw = spark.read.options(**base, nullValue="\u0001", mode="PERMISSIVE").schema(schema).csv(path)
-    kept = raw.where("_extra is null")
+    schema = ", ".join(f"c{i} string" for i in range(len(cols))) + ", _corrupt string"
+    # Rows with too few or too many fields come with their raw text; only the latter are
+    # dropped, told apart by their separators outside quotes.  Pruning stays off because it
+    # would change which rows count as malformed.
+    raw = spark.read.options(
+        **base, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", columnPruning="false"
+    ).schema(schema).csv(path)
+    bare = F.regexp_replace("_corrupt", '"(?:[^"]|"")*"', "")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+    kept = raw.where(F.col("_corrupt").isNull() | (fields <= len(cols)))
     table = kept.select(
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         *[na_to_null(F.col(f"c{i}")).alias(c) for i, c in enumerate(cols)],
@@ -90,7 +99,10 @@ def audit_files(spark: SparkSession, path: str, max_mb: int = V.MAX_FILE_MB) ->
     cap = max_mb * 1024 * 1024
     load = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    meta = load().select("path", F.col("length").alias("bytes"), ext.alias("ext"))
+    # Empty files make no input split; they are known from the driver's file listing only.
+    listed = local_table(spark, [(re.sub("^file:/+", "file:/", p),) for p in load().inputFiles()], "path string")
+    sizes = load().select("path", F.col("length").alias("bytes"))
+    meta = listed.join(sizes, "path", "left").select("path", F.coalesce("bytes", F.lit(0)).alias("bytes"), ext.alias("ext"))
     small = load().where((F.col("length") <= cap) & (F.col("length") > 0)).select("path", "content")
     head = F.hex(F.substring("content", 1, 8))
     lead = F.expr("substring(content, 1, 65536)")
@@ -142,10 +154,10 @@ def utf8_prefix(content):
 
 def list_artifacts(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes) of every file under a folder; file contents are not read."""
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .select("path", F.col("length").alias("bytes")).orderBy("path")
-    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    listed = local_table(spark, [(re.sub("^file:/+", "file:/", p),) for p in files.inputFiles()], "path string")
+    sizes = files.select("path", F.col("length").alias("bytes"))
+    return listed.join(sizes, "path", "left").select("path", F.coalesce("bytes", F.lit(0)).alias("bytes")).orderBy("path")
 
 
 def ingest(spark: SparkSession, path: str, max_mb: int = V.MAX_FILE_MB, **options) -> tuple[DataFrame, DataFrame]:
