@@ -90,8 +90,7 @@ def trend(df: DataFrame, time: str, value: str, row_id: str = ROW_ID, points: in
     n = rows.count()
     step = max(1, math.ceil(n / points)) if n > points else 1
     return (
-        global_positions(rows, "time", row_id)
-        .where(F.col("position") % step == 0)
+        global_positions(rows, "time", row_id, every=step)
         .select("position", row_id, "time", "value")
     )
 
@@ -119,12 +118,11 @@ def scatter_sample(df: DataFrame, x: str, y: str, row_id: str = ROW_ID, points:
 def category_frequency(df: DataFrame, column: str) -> DataFrame:
     """(value, n, pct) by falling count, ties by value."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    total = df.agg(F.count(q(column)).alias("total"))
+    total = df.agg(F.count(q(column))).scalar()
     return (
         df.select(as_text(column, types[column]).alias("value")).where("value is not null")
         .groupBy("value").agg(F.count("*").alias("n"))
-        .join(F.broadcast(total), how="cross")
-        .select("value", "n", F.round(share(F.col("n"), F.col("total"), 100.0), 2).alias("pct"))
+        .select("value", "n", F.round(share(F.col("n"), total, 100.0), 2).alias("pct"))
         .orderBy(F.desc("n"), "value")
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as
 from tabwise.functions import fixed as V
 from tabwise.functions.exprs import as_double, as_text, is_numeric, is_post_outcome, q, safe_corr, sample_skewness
 from tabwise.operators.quantiles import running_start
-from tabwise.session import checkpoint_cut, local_table
+from tabwise.session import checkpoint_cut, local_table, settle
 
 BOOST_MIN_ROWS = 500
 MAX_CATEGORIES = 20
@@ -25,6 +25,7 @@ def pick_target(profile: DataFrame, preferred: str | None = None) -> DataFrame:
     Preferred column, single candidate, labelled target, name keyword, few distinct
     values, first candidate.
     """
+    profile = settle(profile)  # read three times below
     label = F.col("semantic_label")
     usable = profile.where(~F.col("is_pii") & (label != "identifier"))
     labelled = label.isin("target_label", "target_value")
@@ -34,9 +35,9 @@ def pick_target(profile: DataFrame, preferred: str | None = None) -> DataFrame:
     word = F.lit(False)
     for w in V.TARGET_WORDS:
         word = word | F.lower("name").contains(w)
-    count = cands.agg(F.count("*").alias("n_candidates"))
+    count = cands.agg(F.count("*")).scalar()
     rank = (
-        F.when(wanted, 1).when(F.col("n_candidates") == 1, 2).when(labelled, 3)
+        F.when(wanted, 1).when(count == 1, 2).when(labelled, 3)
         .when(word, 4).when(F.col("unique_count") <= 10, 5).otherwise(6)
     )
     why = (
@@ -45,8 +46,7 @@ def pick_target(profile: DataFrame, preferred: str | None = None) -> DataFrame:
         .when(F.col("rank") == 5, "few values").otherwise("first candidate")
     )
     return (
-        pool.join(F.broadcast(count), how="cross")
-        .withColumn("rank", rank)
+        pool.withColumn("rank", rank)
         .orderBy("rank", "ordinal").limit(1)
         .select(F.col("name").alias("target"), why.alias("why"), "dtype_inferred", "unique_count", "n_rows", "null_count")
     )
@@ -70,10 +70,10 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
         df.select(as_text(target, types[target]).alias("class")).where("class is not null")
         .groupBy("class").agg(F.count("*").alias("n"))
     )
-    whole = counts.agg(F.sum("n").alias("t"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    return counts.join(F.broadcast(whole), how="cross").select(
-        "class", "n", F.round(F.col("n") / F.col("t") * 100.0, 2).alias("pct"),
-        F.round(F.col("hi") / F.greatest(F.lit(1), F.col("lo")), 2).alias("imbalance_ratio"),
+    whole = counts.agg(F.struct(F.sum("n").alias("t"), F.min("n").alias("lo"), F.max("n").alias("hi"))).scalar()
+    return counts.select(
+        "class", "n", F.round(F.col("n") / whole["t"] * 100.0, 2).alias("pct"),
+        F.round(whole["hi"] / F.greatest(F.lit(1), whole["lo"]), 2).alias("imbalance_ratio"),
     )
 
 

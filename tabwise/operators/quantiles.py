@@ -196,10 +196,13 @@ def attach_ranks(
 
 
 def global_positions(
-    df: DataFrame, order: str, row_id: str = "_row_id", chunk: int = 1_000_000, range_rows: int = RANGE_ROWS
+    df: DataFrame, order: str, row_id: str = "_row_id", chunk: int = 1_000_000, range_rows: int = RANGE_ROWS, every: int = 1
 ) -> DataFrame:
     """Add ``position``: 0-based place of each row in the order (``order``, ``row_id``).
 
+    ``every=k`` keeps only positions 0, k, 2k, ...: the counts tell which blocks hold such a
+    position, and only the rows of those few blocks (at most one per kept row) are moved.
+
     Rows are first counted per (order value, block of row ids); a single value that
     covers a third of the table is thereby cut into blocks of at most ``chunk`` rows.
     """
@@ -219,14 +222,17 @@ def global_positions(
     blocks = counts.join(starts, "_o").select(
         "_o",
         "_block",
+        "n",
         (F.col("start") + F.sum("n").over(Window.partitionBy("_o").orderBy("_block")) - F.col("n")).alias("_from"),
     )
+    if every > 1:
+        last = F.col("_from") + F.col("n") - 1
+        blocks = blocks.where(F.floor(last / every) * every >= F.col("_from"))
+        blocks = F.broadcast(blocks)  # at most rows / every + 1 blocks, the size of the result
+    blocks = blocks.drop("n")
     place = F.row_number().over(Window.partitionBy("_o", "_block").orderBy(q(row_id))) - 1
-    return (
-        rows.join(blocks, ["_o", "_block"])
-        .withColumn("position", (F.col("_from") + place).cast("long"))
-        .drop("_o", "_block", "_from")
-    )
+    placed = rows.join(blocks, ["_o", "_block"]).withColumn("position", (F.col("_from") + place).cast("long"))
+    return placed.where(F.col("position") % every == 0).drop("_o", "_block", "_from")
 
 
 def smallest_by_hash(df: DataFrame, n: int, row_id: str, seed: int = 42) -> DataFrame:
