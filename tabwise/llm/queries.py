@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, quality, simhash, tokens
+from . import licenses, quality, simhash, substrings, tokens
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,20 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 @query
 def op6_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, folder, "documents"), keep_text=False).drop("kept_text")
+
+
+SQL["op9_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT rid, doc_id, unnest(words) AS w, unnest(range(len(words))) AS i FROM d),
+s AS (SELECT rid, doc_id, i, string_agg(w, ' ') OVER o AS win, count(*) OVER o AS n FROM w
+  WINDOW o AS (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+g AS (SELECT rid, i, doc_id > min(doc_id) OVER (PARTITION BY win) AS later FROM s WHERE n = 13),
+c AS (SELECT DISTINCT rid, i + k AS i FROM g, range(13) x(k) WHERE later),
+k AS (SELECT w.rid, count(*) AS n, count(c.i) AS gone, string_agg(w.w, ' ' ORDER BY w.i) FILTER (c.i IS NULL) AS kept FROM w LEFT JOIN c ON w.rid = c.rid AND w.i = c.i GROUP BY w.rid)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
+"""
