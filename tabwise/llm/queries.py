@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, quality, simhash, substrings, tokens
+from . import licenses, quality, simhash, substrings, tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ c AS (SELECT DISTINCT rid, i + k AS i FROM g, range(13) x(k) WHERE later),
 k AS (SELECT w.rid, count(*) AS n, count(c.i) AS gone, string_agg(w.w, ' ' ORDER BY w.i) FILTER (c.i IS NULL) AS kept FROM w LEFT JOIN c ON w.rid = c.rid AND w.i = c.i GROUP BY w.rid)
 SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
 """
+
+
+@query
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
