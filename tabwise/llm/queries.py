@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, quality, simhash, substrings, tokens, toxicity
+from . import licenses, personal, quality, secrets, simhash, substrings, tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,27 @@ SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256
 @query
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def _joined(found, kinds=None):
+    """Spans as text: kind:start:end, in their order."""
+    chosen = F.filter(found, lambda x: x["kind"].isin(*kinds)) if kinds else F.col(found)
+    return F.array_join(F.transform(chosen, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def _count(found: str, kind: str):
+    return F.size(F.filter(found, lambda x: x["kind"] == kind)).cast("long")
+
+
+@query
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, folder, "documents"))
+    base = secrets.KINDS[:3]
+    return found.select("doc_id", *(_count("findings", k).alias(f"n_{k}") for k in base), F.sha2(_joined("findings", base), 256).alias("base_sha256"), _joined("findings").alias("spans"))
+
+
+@query
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal.find_personal(table(spark, folder, "documents"))
+    base = personal.KINDS
+    return found.select("doc_id", *(_count("spans", k).alias(f"n_{k}") for k in base), F.sha2(_joined("spans", base), 256).alias("base_sha256"), _joined("spans").alias("spans"))
