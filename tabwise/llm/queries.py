@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, personal, quality, secrets, simhash, substrings, tokens, toxicity
+from . import decontaminate, licenses, personal, quality, secrets, simhash, substrings, tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,8 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     found = personal.find_personal(table(spark, folder, "documents"))
     base = personal.KINDS
     return found.select("doc_id", *(_count("spans", k).alias(f"n_{k}") for k in base), F.sha2(_joined("spans", base), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+@query
+def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
