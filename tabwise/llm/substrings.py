@@ -5,8 +5,9 @@
    about five words gives a minimizer.
 2. Documents are dealt to shards by their id.  Each shard sends one row for every distinct window with
    a shared minimizer, with its smallest document; rows that meet name the owner.
-3. Each shard compiles its confirmed windows into an Aho-Corasick automaton over word numbers and
-   streams all of its documents through it; words that an earlier owner covers are removed.
+3. Each shard compiles the minimizer phrases of its confirmed windows into an Aho-Corasick automaton
+   and streams all of its documents through it; windows around the phrases it finds are checked
+   against the confirmed ones, and words that an earlier owner covers are removed.
 
 A key that very many documents share is cut down where it arises: a batch names it once and tells
 the others' shards without sending them to the key.
@@ -24,7 +25,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_rows, pick, stage
+from .common import map_rows, pick
 
 WINDOW = 13
 GRAM = 5
@@ -68,10 +69,10 @@ def minimizers(a: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Minimizers of a batch of documents: (kind, key, doc, shard, many).
+    """Minimizers of a batch of documents: (flags, key, doc).
 
-    kind 0 asks: is ``key`` shared?  kind 1 knows that it is, since the batch has it in several
-    documents; of these one asks as well, with ``many`` set, so that other batches learn of it.
+    Flags 0 and 1 ask: is ``key`` shared?  1 knows that it is, since the batch has it in several
+    documents, and asks so that other batches learn of it.  2 tells the shard of one more document.
     """
     seen = WordHashes()
     for batch in batches:
@@ -100,40 +101,37 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh[pair[1:]] = (group[pair[1:]] != group[pair[:-1]]) | (shard[pair[1:]] != shard[pair[:-1]])
         tell &= fresh
         rows = np.concatenate([np.flatnonzero(asks), np.flatnonzero(tell)])
-        kind = np.r_[np.zeros(asks.sum(), np.int8), np.ones(tell.sum(), np.int8)]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(kind), pa.array(key[rows].view(np.int64)), pa.array(doc[rows]), pa.array(shard[rows]), pa.array(many[rows])
-        ], ["kind", "key", "doc", "shard", "many"])
+        flags = np.r_[many[asks].astype(np.int8), np.full(tell.sum(), 2, np.int8)]
+        yield pa.RecordBatch.from_arrays([pa.array(flags), pa.array(key[rows].view(np.int64)), pa.array(doc[rows])], ["flags", "key", "doc"])
 
 
 def _answer_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (kind, key): the (shard, key) of keys that several documents have; holds one row of a key."""
-    held = None  # key, doc, shard, known to be shared
+    """From rows sorted by (told, key, doc): the (doc, key) of keys that several documents have; holds one row of a key."""
+    held = None  # key, doc, known to be shared
     for batch in batches:
         if not batch.num_rows:
             continue
-        kind, key, doc, shard, many = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        out = kind == 1
-        ask = np.flatnonzero(kind == 0)
+        flags, key, doc = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:3])
+        out = flags == 2
+        ask = np.flatnonzero(flags < 2)
         extra: list[tuple[int, int]] = []
         if len(ask):
-            k, d, m = key[ask], doc[ask], many[ask]
+            k, d, m = key[ask], doc[ask], flags[ask] == 1
             start = np.r_[True, k[1:] != k[:-1]]
             group = np.cumsum(start) - 1
             shared = np.bincount(group, m, group[-1] + 1) + np.bincount(group[1:], ~start[1:] & (d[1:] != d[:-1]), group[-1] + 1) > 0
             if held is not None and held[0] == k[0]:
-                joined = shared[0] or held[3] or held[1] != d[0]
-                if joined and not held[3]:
-                    extra.append((held[2], held[0]))
+                joined = shared[0] or held[2] or held[1] != d[0]
+                if joined and not held[2]:
+                    extra.append((held[1], held[0]))
                 shared[0] = joined
             out[ask] = shared[group]
-            last = len(ask) - 1
-            held = (k[last], d[last], shard[ask[last]], bool(shared[group[last]]))
-        s, kk = shard[out], key[out]
+            held = (k[-1], d[-1], bool(shared[group[-1]]))
+        dd, kk = doc[out], key[out]
         if extra:
-            s, kk = np.r_[s, np.array([e[0] for e in extra], s.dtype)], np.r_[kk, np.array([e[1] for e in extra], kk.dtype)]
-        if len(s):
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(kk.astype(np.int64))], ["shard", "key"])
+            dd, kk = np.r_[dd, np.array([e[0] for e in extra], dd.dtype)], np.r_[kk, np.array([e[1] for e in extra], kk.dtype)]
+        if len(dd):
+            yield pa.RecordBatch.from_arrays([pa.array(dd), pa.array(kk)], ["doc", "key"])
 
 
 def _texts(table: pa.Table) -> Iterator[tuple[int | None, list[bytes]]]:
@@ -169,8 +167,7 @@ def _windows(docs: pa.Table, keys: pa.Table) -> pa.Table:
         h1, h2, doc = h1[start], h2[start], doc[start]
     else:
         h1, h2, doc, many = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
-    own = docs.column("shard")[0].as_py() if docs.num_rows else keys.column("shard")[0].as_py()
-    return pa.table({"h1": h1.view(np.int64), "h2": h2.view(np.int32), "doc": doc, "shard": np.full(len(h1), own, np.int32), "many": many})
+    return pa.table({"h1": h1.view(np.int64), "h2": h2.view(np.int32), "doc": doc, "many": many})
 
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +176,7 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        h1, h2, doc, shard, many = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        h1, h2, doc, many = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
         owner = doc[np.maximum.accumulate(np.where(new, np.arange(len(h1)), 0))].copy()
         if held is not None and held[:2] == (h1[0], h2[0]):
@@ -188,18 +185,41 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (h1[-1], h2[-1], owner[-1])
         say = many | ~new
         if say.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[say]) for x in (shard, h1, h2, owner)], ["shard", "h1", "h2", "owner"])
-
-
-def automaton(phrases: dict[tuple[int, ...], int]):
-    """Aho-Corasick automaton over word numbers; None if there is no phrase."""
-    if not phrases:
-        return None
-    built = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for phrase, number in phrases.items():
-        built.add_word(phrase, number)
+            yield pa.RecordBatch.from_arrays([pa.array(x[say]) for x in (doc, h1, h2, owner)], ["doc", "h1", "h2", "owner"])
+
+
+def automaton(phrases: list[list[bytes]]):
+    """Aho-Corasick automaton over phrases of GRAM words, two letters a word, and the letters of each word.
+
+    Letters are numbered in a square just large enough, which keeps the branching of a state small."""
+    numbers: dict[bytes, int] = {}
+    for phrase in phrases:
+        for w in phrase:
+            numbers.setdefault(w, len(numbers))
+    side = int(len(numbers) ** 0.5) + 2
+    letters = {w: chr(256 + n // side) + chr(256 + n % side) for w, n in numbers.items()}
+    built = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for phrase in phrases:
+        built.add_word("".join(map(letters.__getitem__, phrase)))
     built.make_automaton()
-    return built
+    return built, letters
+
+
+def _lookup(h1, h2, owner, r1: np.ndarray, r2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owners of windows and whether they are confirmed; equal h1 may stand for several windows."""
+    at = np.searchsorted(h1, r1)
+    out = np.full(len(r1), -1, np.int64)
+    found = np.zeros(len(r1), bool)
+    open_ = np.arange(len(r1))
+    while len(open_):
+        open_ = open_[(at[open_] < len(h1))]
+        open_ = open_[h1[at[open_]] == r1[open_]]
+        same = h2[at[open_]] == r2[open_]
+        out[open_[same]] = owner[at[open_[same]]]
+        found[open_[same]] = True
+        open_ = open_[~same]
+        at[open_] += 1
+    return out, found
 
 
 def _remove(docs: pa.Table, known: pa.Table, keep_text: bool) -> pa.Table:
@@ -207,51 +227,53 @@ def _remove(docs: pa.Table, known: pa.Table, keep_text: bool) -> pa.Table:
     h1, h2, owner = known.column("h1").to_numpy().view(np.uint64), known.column("h2").to_numpy().view(np.uint32), known.column("owner").to_numpy()
     order = np.argsort(h1, kind="stable")
     h1, h2, owner = h1[order], h2[order], owner[order]
-    seen, numbers = WordHashes(), {}
-    phrases: dict[tuple[int, ...], int] = {}
-    owners: list[int] = []
-    done = np.zeros(len(h1), bool)
-    hit: set[int] = set()
+    seen = WordHashes()
+    phrases: list[list[bytes]] = []
     if len(h1):
-        # confirmed windows are read off the first place where they stand
-        for n, (doc, words) in enumerate(_texts(docs)):
+        # the phrases of confirmed windows are read off the first place where they stand
+        have: set[int] = set()
+        done = np.zeros(len(h1), bool)
+        for doc, words in _texts(docs):
             if doc is None or len(words) < WINDOW:
                 continue
             a = seen.of(words)
             r1 = rolling(a, WINDOW, _ODD)
             near = np.minimum(np.searchsorted(h1, r1), len(h1) - 1)
-            at = np.flatnonzero(h1[near] == r1)
-            if not len(at):
+            hit = np.flatnonzero(h1[near] == r1)
+            hit = hit[~done[near[hit]]]
+            if not len(hit):
                 continue
-            hit.add(n)
-            if done[near[at]].all():
-                continue
-            r2 = (rolling(a, WINDOW, _ODD2)[at] >> np.uint64(32)).astype(np.uint32)
-            ids = None
-            for place, i, second in zip(at.tolist(), near[at].tolist(), r2.tolist()):
-                while i < len(h1) and h1[i] == r1[place]:
-                    if h2[i] == second and not done[i]:
-                        done[i] = True
-                        if ids is None:
-                            ids = [numbers.setdefault(w, len(numbers) + 1) for w in words]
-                        phrases[tuple(ids[place:place + WINDOW])] = len(owners)
-                        owners.append(int(owner[i]))
-                    i += 1
-    search = automaton(phrases)
+            done[near[hit]] = True
+            gram = rolling(a, GRAM, _ODD)
+            value, place = np.unique(gram, return_index=True)
+            for v in np.unique(minimizers(a)[hit]).tolist():
+                if v not in have:
+                    have.add(v)
+                    p = place[np.searchsorted(value, np.uint64(v))]
+                    phrases.append(words[p:p + GRAM])
+    search, letters = automaton(phrases) if phrases else (None, {})
+    get, other = letters.get, chr(1) * 2
     out: list[tuple] = []
     for doc, words in _texts(docs):
         n = len(words)
         kept = words
         if search is not None and doc is not None and n >= WINDOW:
-            cover = np.zeros(n + 1, np.int32)
-            get = numbers.get
-            for end, number in search.iter(tuple([get(w, 0) for w in words])):
-                if owners[number] < doc:
-                    cover[end - WINDOW + 1] += 1
-                    cover[end + 1] -= 1
-            gone = np.cumsum(cover[:n]) > 0
-            if gone.any():
-                kept = [words[i] for i in np.flatnonzero(~gone).tolist()]
+            ends = np.fromiter((end for end, _ in search.iter("".join([get(w, other) for w in words]))), np.int64)
+            ends = ends[ends % 2 == 1] // 2
+            if len(ends):
+                m = n - WINDOW + 1
+                near = np.zeros(m + 1, np.int32)  # windows that hold a phrase which ends at word e start in e-12 .. e-4
+                np.add.at(near, np.clip(ends - WINDOW + 1, 0, m), 1)
+                np.add.at(near, np.clip(ends - GRAM + 2, 0, m), -1)
+                at = np.flatnonzero(np.cumsum(near[:m]) > 0)
+                a = seen.of(words)
+                own, found = _lookup(h1, h2, owner, rolling(a, WINDOW, _ODD)[at], (rolling(a, WINDOW, _ODD2)[at] >> np.uint64(32)).astype(np.uint32))
+                at = at[found & (own < doc)]
+                if len(at):
+                    cover = np.zeros(n + 1, np.int32)
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + WINDOW, -1)
+                    kept = [words[i] for i in np.flatnonzero(np.cumsum(cover[:n]) == 0).tolist()]
         text = b" ".join(kept)
         out.append((doc, n, n - len(kept), hashlib.sha256(text).hexdigest(), text.decode() if keep_text else None))
     cols = list(zip(*out)) if out else [()] * 5
@@ -270,22 +292,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = pick(docs, id_col, text_col).toDF("doc", "text")
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    d = d.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int"))
-
-    asked = d.mapInArrow(_shared_keys, "kind tinyint, key long, doc long, shard int, many boolean")
-    spread = F.when(F.col("kind") == 0, F.col("key")).otherwise(F.xxhash64("key", "shard"))
-    keys = asked.repartition(spread).sortWithinPartitions("kind", "key", "doc").mapInArrow(_answer_keys, "shard int, key long")
-
-    def packed(source: DataFrame) -> DataFrame:
-        def start():
-            pack = zstandard.ZstdCompressor(level=1)
-            return lambda doc, text, shard: ((shard, doc, pack.compress((text or "").encode())),)
-
-        return map_rows(source.select("doc", "text", "shard"), start, "shard int, doc long, z binary").groupBy("shard")
 
-    windows = packed(d).cogroup(keys.groupBy("shard")).applyInArrow(
-        _windows, "h1 long, h2 int, doc long, shard int, many boolean")
-    known = windows.repartition("h1").sortWithinPartitions("h1", "h2", "doc").mapInArrow(_owners, "shard int, h1 long, h2 int, owner long")
-    known = stage(known, "substring-windows")
-    return packed(d).cogroup(known.groupBy("shard")).applyInArrow(
+    def with_shard(df: DataFrame) -> DataFrame:
+        return df.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int"))
+
+    d = with_shard(d)
+    asked = d.mapInArrow(_shared_keys, "flags tinyint, key long, doc long")
+    told = F.col("flags") == 2
+    spread = F.when(told, F.xxhash64("key", "doc")).otherwise(F.col("key"))
+    keys = with_shard(asked.repartition(spread).sortWithinPartitions(told, "key", "doc").mapInArrow(_answer_keys, "doc long, key long"))
+
+    def start():
+        pack = zstandard.ZstdCompressor(level=3)
+        return lambda doc, text, shard: ((shard, doc, pack.compress((text or "").encode())),)
+
+    # dealt out once; both steps below read the same shuffle
+    packed = map_rows(d.select("doc", "text", "shard"), start, "shard int, doc long, z binary")
+    windows = packed.groupBy("shard").cogroup(keys.select("shard", "key").groupBy("shard")).applyInArrow(_windows, "h1 long, h2 int, doc long, many boolean")
+    known = windows.repartition("h1").sortWithinPartitions("h1", "h2", "doc").mapInArrow(_owners, "doc long, h1 long, h2 int, owner long")
+    known = with_shard(known).select("shard", "h1", "h2", "owner")
+    return packed.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(
         lambda docs, known: _remove(docs, known, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
