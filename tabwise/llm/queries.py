@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, licenses, personal, quality, secrets, simhash, substrings, tokens, toxicity
+from . import decontaminate, licenses, mixture, personal, quality, secrets, simhash, substrings, tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,9 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op3_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    plan = mixture.plan_mixture(table(spark, folder, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.size("shards").cast("long").alias("n_copies"))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_rows, pick, ship
+from .common import map_rows, pick, replace_text, ship
 
 #: Patterns of keys in texts; a match that is too short is dropped.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -262,3 +262,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return work
 
     return map_rows(pick(docs, id_col, text_col), start, f"doc_id long, findings {FINDINGS}, redacted string")
+
+
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", net: Network | None | str = "fit") -> DataFrame:
+    """All rows and columns, the values of all findings replaced by a mark."""
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col) if net == "fit" else net)
+
+    def start():
+        model = sent.value
+        return lambda text: redact(text, scan(text, model))
+
+    return replace_text(docs, text_col, start)

@@ -197,3 +197,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = linked.join(least, "root").select("fp", "component")
     whole = classes.join(named, "fp", "left").select("fp", F.coalesce("component", "first_doc").alias("component_id"))
     return prints.join(whole, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+    """One document of each group, with all of its columns: the one with the smallest id.
+
+    Of rows that share that id one stays, and of a group without any id one.  Every row is told by
+    its id and text, of which only a digest is compared.
+    """
+    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    marked = docs.withColumn("_row", key)
+    prints = stage(map_rows(pick(marked, "_row", text_col, id_col), lambda: lambda row, text, doc: ((row, doc, signed(fingerprint(text))),), "row long, doc_id long, fp long"), "simhash-rows")
+    classes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    roots = components(near_links(classes.select("fp"), crowd))
+    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    winners = rooted.groupBy("root").agg(F.min("first")["row"].alias("_row")).select("_row").distinct()
+    # rows that are the same in id and text have one digest; of these one stays
+    twice = prints.groupBy("row").count().filter("count > 1").select(F.col("row").alias("_row"))
+    kept = marked.join(winners, "_row", "left_semi")
+    if twice.isEmpty():
+        return kept.drop("_row")
+    doubled = kept.join(twice, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.join(twice, "_row", "left_anti").union(doubled).drop("_row")

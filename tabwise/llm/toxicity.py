@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pick, ship
+from .common import keep_rows, pick, ship
 
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 WINDOW, STRIDE = 32, 16
@@ -346,6 +346,30 @@ def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return [(r.text, int(r.label)) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
 
 
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
+    rows = fit_sample(docs, labels, id_col, text_col, label_col)
+    return train([t for t, _ in rows], [l for _, l in rows])
+
+
+def _words(text: str | None) -> list[bytes]:
+    return WORD.findall((text or "").encode().lower())
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The documents that score below the cut, with all of their columns; all of them if there is nothing to learn from."""
+    model = fit(docs, labels, id_col, text_col, label_col)
+    if model is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        m = sent.value
+        scorer = _Scorer(m)
+        return lambda texts: [bool(s < CUT) for s in m.score(scorer([_words(t) for t in texts]))]
+
+    return keep_rows(docs, text_col, start)
+
+
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
@@ -359,9 +383,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     ship(spark)
-    if model is None:
-        rows = fit_sample(docs, labels, id_col, text_col, label_col)
-        model = train([t for t, _ in rows], [l for _, l in rows])
+    model = model or fit(docs, labels, id_col, text_col, label_col)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +393,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column(1).to_pylist()
-                score = m.score(scorer([WORD.findall((t or "").encode().lower()) for t in texts])) if m else np.zeros(len(texts))
+                score = m.score(scorer([_words(t) for t in texts])) if m else np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score.astype(float))], ["doc_id", "score"])
 
     scored = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
