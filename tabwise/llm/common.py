@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import pyarrow as pa
@@ -36,16 +37,26 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def exact_names(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Of a function that plans on a DataFrame: columns whose names differ in case only are told apart meanwhile."""
+    @wraps(build)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        spark = docs.sparkSession
+        before = spark.conf.get("spark.sql.caseSensitive")
+        spark.conf.set("spark.sql.caseSensitive", "true")
+        try:
+            return build(docs, *args, **options)
+        finally:
+            spark.conf.set("spark.sql.caseSensitive", before)
+
+    return run
+
+
+@exact_names
 def pick(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns; of columns with one name in different case the exact one counts."""
-    spark = docs.sparkSession
-    ship(spark)
-    before = spark.conf.get("spark.sql.caseSensitive")
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    try:
-        return docs.select(*(F.col(f"`{n}`") for n in names))
-    finally:
-        spark.conf.set("spark.sql.caseSensitive", before)
+    """Only the named columns."""
+    ship(docs.sparkSession)
+    return docs.select(*(F.col(f"`{n}`") for n in names))
 
 
 def map_rows(docs: DataFrame, start: Callable[[], Callable[..., Iterable[tuple]]], schema: str) -> DataFrame:
@@ -83,6 +94,7 @@ def _text_at(docs: DataFrame, text_col: str) -> int:
     return docs.columns.index(text_col)
 
 
+@exact_names
 def keep_rows(docs: DataFrame, text_col: str, start: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
     """The rows whose text a function of a list of texts says to keep, with all of their columns, without a shuffle."""
     ship(docs.sparkSession)
@@ -98,6 +110,7 @@ def keep_rows(docs: DataFrame, text_col: str, start: Callable[[], Callable[[list
     return docs.mapInArrow(run, docs.schema)
 
 
+@exact_names
 def replace_text(docs: DataFrame, text_col: str, start: Callable[[], Callable[[str], str]]) -> DataFrame:
     """All rows and columns, the text (null stays null) put through a function."""
     ship(docs.sparkSession)

@@ -154,12 +154,15 @@ def detect(line: bytes) -> list[tuple[int, int, str, float]]:
         if all(seen[k] for k in keys):
             hits += [(-priority, m.start() - m.end(), m.start(), order, m.end(), label, weight) for m in text.finditer(line)]
     kept: list[tuple[int, int, str, float]] = []
-    for _, _, start, _, end, label, weight in sorted(hits):
-        if not any(a <= start and end <= b for a, b, _, _ in kept):
+    for low, _, start, _, end, label, weight in sorted(hits):
+        inside = any(a <= start and end <= b for a, b, _, _ in kept)
+        if not inside and not (-low <= WEAK and any(a < end and start < b for a, b, _, _ in kept)):
             kept.append((start, end, label, weight))
     return sorted(kept)
 
 
+#: Detections up to this priority are suppressed by any overlap.
+WEAK = 5
 #: Every rule needs one of these, so a text without any has no detection.
 GATE = (b"licen", b"spdx", b"hereby", b"purpose", b"redistribution", b"altered", b"machine", b"domain", b"proprietary", b"reserved", b"copyright",
         b"under", b"general", b"gpl", b"bsd", b"cc0", b"cc by", b"commons", b"unlicense", b"wtfpl", b"cecill")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import SPACES, pick, stage
+from .common import SPACES, exact_names, pick, stage
 
 #: Words of a block, on average, as long as the numbers below allow.
 BLOCK_WORDS = 2_000
@@ -154,6 +154,7 @@ def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return known.select("doc_id", "source", "key", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), own.alias("shards"))
 
 
+@exact_names
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, **options) -> DataFrame:
     """The mixed rows: all columns of the documents taken, once per copy, with shard, copy and place (the order in a shard).
 

@@ -30,7 +30,7 @@ FIT_ROWS, FIT_BYTES = 12_000, 20_000
 #: Part of the labelled findings that the threshold must keep.
 RECALL = 0.98
 #: The threshold is not set below this probability.
-LEAST = 0.9
+LEAST = 0.5
 EMBED, FILTERS, WIDTH, LETTERS = 8, 24, 5, 98
 
 

@@ -57,16 +57,22 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return bucket(whole), np.stack(grams, 1) if n else np.zeros((0, 4), np.int32)
 
 
-def _evidence(found: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """Log odds of each bucket from the buckets of each text and its label, shrunk where few texts speak."""
-    pos, neg, n = np.zeros(BUCKETS), np.zeros(BUCKETS), [0, 0]
-    for buckets, label in found:
-        (pos if label else neg)[buckets] += 1
-        n[label] += 1
-    p, q = (pos + 0.5) / (n[1] + 1), (neg + 0.5) / (n[0] + 1)
-    lo = np.log(p / q)
-    seen = np.where(lo > 0, pos, neg)
-    return np.clip(lo * seen / (seen + 4), -4, 8).astype(np.float32) / 4
+class _Evidence:
+    """Counts of buckets in toxic and clean texts, and the log odds they give, shrunk where few texts speak."""
+
+    def __init__(self, found: list[tuple[np.ndarray, int]]):
+        self.pos, self.neg, self.n = np.zeros(BUCKETS), np.zeros(BUCKETS), [0, 0]
+        for buckets, label in found:
+            (self.pos if label else self.neg)[buckets] += 1
+            self.n[label] += 1
+
+    def of(self, buckets: np.ndarray | slice = slice(None), without: int | None = None) -> np.ndarray:
+        """Evidence of buckets; ``without`` is the label of a counted text that is left out."""
+        pos, neg = np.maximum(self.pos[buckets] - (without == 1), 0), np.maximum(self.neg[buckets] - (without == 0), 0)
+        p, q = (pos + 0.5) / (self.n[1] + 1), (neg + 0.5) / (self.n[0] + 1)
+        lo = np.log(p / q)
+        seen = np.where(lo > 0, pos, neg)
+        return np.clip(lo * seen / (seen + 4), -4, 8).astype(np.float32) / 4
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -104,9 +110,14 @@ def _inputs(p, wb, cb, word_lo, char_lo):
     safe = np.where(has, cb, 0)
     lo = np.where(has, char_lo[safe], -9)
     top = np.where(has.any(1), lo.max(1), 0)
-    count = np.maximum(has.sum(1), 1)[:, None]
-    mean = (p["Ec"][safe] * has[:, :, None]).sum(1) / count
-    return np.concatenate([word_lo[wb][:, None], top[:, None], p["Ew"][wb], mean], 1).astype(np.float32)
+    return np.concatenate([word_lo[wb][:, None], top[:, None], _embedded(p, wb, cb)], 1).astype(np.float32)
+
+
+def _embedded(p, wb, cb):
+    """Learned vectors: of the word, and the mean of those of its grams (the last axis of cb)."""
+    has = cb >= 0
+    mean = (p["Ec"][np.where(has, cb, 0)] * has[..., None]).sum(-2) / np.maximum(has.sum(-1), 1)[..., None]
+    return np.concatenate([p["Ew"][wb], mean], -1).astype(np.float32)
 
 
 def _gru(proj, U, back, mask, keep):
@@ -188,7 +199,7 @@ def cut_windows(ids: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 5, epochs: int = 10) -> Model | None:
+def train(texts: list[str | None], labels: list[int], seed: int = 5, epochs: int = 7) -> Model | None:
     """Fit on texts with labels 0 and 1; None if a label is missing.  The same rows in the same order give the same model."""
     rng = np.random.default_rng(seed)
     vocab: dict[bytes, int] = {}
@@ -198,21 +209,30 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5, epochs: int
         return None
     wb, cb = word_features(list(vocab))
     wb, cb = np.r_[wb, 0], np.concatenate([cb, np.full((1, cb.shape[1]), -1, cb.dtype)])
-    order = rng.permutation(len(y))
-    fold = np.zeros(len(y), int)  # 0, 1: fitted crosswise; 2: validation
-    for label in (0, 1):
-        own = order[y[order] == label]
-        cut = int(len(own) * VALID)
-        fold[own[:cut]] = 2
-        fold[own[cut:]] = np.arange(len(own) - cut) % 2
-    word_sets = [(np.unique(wb[np.unique(i)]), int(l)) for i, l in zip(ids, y)]
-    char_sets = [((lambda g: g[g >= 0])(np.unique(cb[np.unique(i)])), int(l)) for i, l in zip(ids, y)]
-
-    def tables(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _evidence([word_sets[i] for i in use]), _evidence([char_sets[i] for i in use])
-
-    cross = [tables(np.flatnonzero(fold == 1 - k)) for k in (0, 1)]
-    final = tables(np.flatnonzero(fold < 2))
+    # with many toxic rows some of either label set the threshold; with few all do, each judged without itself
+    aside = np.zeros(len(y), bool)
+    if y.sum() >= 200:
+        order = rng.permutation(len(y))
+        for label in (0, 1):
+            own = order[y[order] == label]
+            aside[own[:int(len(own) * VALID)]] = True
+    use = np.flatnonzero(~aside)
+    uniques = [np.unique(i) for i in ids]
+    word_ev = _Evidence([(np.unique(wb[uniques[i]]), int(y[i])) for i in use])
+    char_ev = _Evidence([((lambda g: g[g >= 0])(np.unique(cb[uniques[i]])), int(y[i])) for i in use])
+
+    def evidence(i: int) -> np.ndarray:
+        """Word and character evidence of each word of a text, the text itself left out."""
+        u, back = np.unique(ids[i], return_inverse=True)
+        without = None if aside[i] else int(y[i])
+        lo = np.where(cb[u] >= 0, char_ev.of(np.maximum(cb[u], 0), without), -9).max(1)
+        return np.stack([word_ev.of(wb[u], without), np.where((cb[u] >= 0).any(1), lo, 0)], 1)[back].astype(np.float32)
+
+    def in_windows(i: int) -> tuple[np.ndarray, np.ndarray]:
+        w = cut_windows(ids[i])
+        place = cut_windows(np.arange(len(ids[i]), dtype=np.int32))
+        lo = evidence(i) if len(ids[i]) else np.zeros((1, 2), np.float32)
+        return w, np.where((w >= 0)[:, :, None], lo[np.maximum(place, 0)], 0)
 
     def r(*shape, s=0.3):
         return (rng.standard_normal(shape) * s).astype(np.float32)
@@ -221,64 +241,62 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5, epochs: int
     p = {"Ew": r(BUCKETS, EMBED, s=0.05), "Ec": r(BUCKETS, EMBED, s=0.05), "Wf": r(dim, 3 * HIDDEN), "Wb": r(dim, 3 * HIDDEN), "bf": np.zeros(3 * HIDDEN, np.float32), "bb": np.zeros(3 * HIDDEN, np.float32),
          "Uf": r(HIDDEN, 3 * HIDDEN), "Ub": r(HIDDEN, 3 * HIDDEN), "v": r(2 * HIDDEN), "w": r(2 * HIDDEN), "b": np.array([-1.0], np.float32)}
     # a toxic text lends its strongest window, a clean one its strongest and two others
-    picked, target, of_fold = [], [], []
-    for i in np.flatnonzero(fold < 2):
-        if not len(ids[i]):
-            continue
-        wlo, clo = cross[fold[i]]
-        u, back = np.unique(ids[i], return_inverse=True)
-        lo = np.where(cb[u] >= 0, clo[np.maximum(cb[u], 0)], -9).max(1)
-        strength = (wlo[wb[u]] + np.maximum(lo, 0))[back]
-        w = cut_windows(ids[i])
-        s = np.where(w >= 0, cut_windows(np.arange(len(ids[i]), dtype=np.int32)), 0)
-        power = np.where(w >= 0, strength[s], -9).max(1)
+    picked, strength, target = [], [], []
+    for i in use:
+        w, lo = in_windows(i)
+        power = np.where(w >= 0, lo[:, :, 0] + np.maximum(lo[:, :, 1], 0), -9).max(1)
         take = {int(power.argmax())} if y[i] else {int(power.argmax()), *rng.integers(0, len(w), 2).tolist()}
         for k in sorted(take):
             picked.append(w[k])
+            strength.append(lo[k])
             target.append(y[i])
-            of_fold.append(fold[i])
-    win, target, of_fold = np.array(picked), np.array(target, np.float32), np.array(of_fold)
+    win, los, target = np.array(picked), np.array(strength), np.array(target, np.float32)
     weight = np.where(target > 0, 0.5 / max(target.mean(), 1e-6), 0.5 / max(1 - target.mean(), 1e-6)).astype(np.float32)
     m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    step, total = 0, epochs * -(-len(win) // 256)
+    size = 256 if len(win) > 4_000 else 64
+    total = max(epochs * -(-len(win) // size), 300)
+    step = 0
     while step < total:
-        for k in (0, 1):
-            own = rng.permutation(np.flatnonzero(of_fold == k))
-            for at in range(0, len(own), 256):
-                b = own[at:at + 256]
-                step += 1
-                u, inv = np.unique(win[b], return_inverse=True)
-                inv = inv.reshape(win[b].shape)
-                mask = win[b] >= 0
-                x = _inputs(p, wb[u], cb[u], *cross[k])
-                proj = np.concatenate([x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]], 1)
-                logit, state = _forward(p, proj[inv], mask, keep=True)
-                d = ((sigmoid(logit) - target[b]) * weight[b] / len(b)).astype(np.float32)
-                dproj = np.zeros((*inv.shape, proj.shape[1]), np.float32)
-                g = _backward(p, state, mask, d, dproj)
-                flat = np.zeros_like(proj)
-                np.add.at(flat, inv[mask], dproj[mask])
-                df, db = flat[:, :3 * HIDDEN], flat[:, 3 * HIDDEN:]
-                g |= {"Wf": x.T @ df, "Wb": x.T @ db, "bf": df.sum(0), "bb": db.sum(0)}
-                dx = df @ p["Wf"].T + db @ p["Wb"].T
-                g["Ew"], g["Ec"] = np.zeros_like(p["Ew"]), np.zeros_like(p["Ec"])
-                np.add.at(g["Ew"], wb[u], dx[:, 2:2 + EMBED])
-                has = cb[u] >= 0
-                share = (dx[:, None, 2 + EMBED:] / np.maximum(has.sum(1), 1)[:, None, None]) * has[:, :, None]
-                np.add.at(g["Ec"], np.where(has, cb[u], 0), share)
-                rate = 0.01 * (1 - step / (total + 1))
-                for name, grad in g.items():
-                    rows = np.unique(wb[u]) if name == "Ew" else np.unique(cb[u][has]) if name == "Ec" else slice(None)
-                    gr = grad[rows] + 1e-4 * p[name][rows]
-                    m1[name][rows] = 0.9 * m1[name][rows] + 0.1 * gr
-                    m2[name][rows] = 0.99 * m2[name][rows] + 0.01 * gr * gr
-                    p[name][rows] -= rate * m1[name][rows] / (np.sqrt(m2[name][rows]) + 1e-6)
-    model = Model(p, *final)
-    valid = np.flatnonzero(fold == 2)
-    if not len(valid) or len(set(y[valid])) < 2:
-        valid = np.arange(len(y))
-    words = list(vocab)
-    z = text_logits(model, [[words[j] for j in ids[i]] for i in valid])
+        own = rng.permutation(len(win))
+        for at in range(0, len(own), size):
+            b = own[at:at + size]
+            step += 1
+            u, inv = np.unique(win[b], return_inverse=True)
+            inv = inv.reshape(win[b].shape)
+            mask = win[b] >= 0
+            x = np.concatenate([los[b], _embedded(p, wb[u], cb[u])[inv]], 2)
+            proj = np.concatenate([x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]], 2)
+            logit, state = _forward(p, proj, mask, keep=True)
+            d = ((sigmoid(logit) - target[b]) * weight[b] / len(b)).astype(np.float32)
+            dproj = np.zeros_like(proj)
+            g = _backward(p, state, mask, d, dproj)
+            dproj *= mask[:, :, None]
+            df, db = dproj[:, :, :3 * HIDDEN], dproj[:, :, 3 * HIDDEN:]
+            g |= {"Wf": np.tensordot(x, df, ([0, 1], [0, 1])), "Wb": np.tensordot(x, db, ([0, 1], [0, 1])), "bf": df.sum((0, 1)), "bb": db.sum((0, 1))}
+            dx = (df @ p["Wf"].T + db @ p["Wb"].T)[:, :, 2:]
+            flat = np.zeros((len(u), 2 * EMBED), np.float32)
+            np.add.at(flat, inv, dx)
+            g["Ew"], g["Ec"] = np.zeros_like(p["Ew"]), np.zeros_like(p["Ec"])
+            np.add.at(g["Ew"], wb[u], flat[:, :EMBED])
+            has = cb[u] >= 0
+            share = (flat[:, None, EMBED:] / np.maximum(has.sum(1), 1)[:, None, None]) * has[:, :, None]
+            np.add.at(g["Ec"], np.where(has, cb[u], 0), share)
+            rate = 0.01 * (1 - step / (total + 1))
+            for name, grad in g.items():
+                rows = np.unique(wb[u]) if name == "Ew" else np.unique(cb[u][has]) if name == "Ec" else slice(None)
+                decay = 1e-2 if name in ("Ew", "Ec") else 1e-4
+                gr = grad[rows] + decay * p[name][rows] / len(b)
+                m1[name][rows] = 0.9 * m1[name][rows] + 0.1 * gr
+                m2[name][rows] = 0.99 * m2[name][rows] + 0.01 * gr * gr
+                p[name][rows] -= rate * m1[name][rows] / (np.sqrt(m2[name][rows]) + 1e-6)
+    model = Model(p, word_ev.of(), char_ev.of())
+    valid = np.flatnonzero(aside) if aside.any() else np.arange(len(y))
+    z = np.empty(len(valid))
+    for k, i in enumerate(valid):
+        w, lo = in_windows(i)
+        x = np.concatenate([lo, _embedded(p, wb[w], cb[w])], 2) if not (w < 0).all() else np.zeros((len(w), WINDOW, 2 + 2 * EMBED), np.float32)
+        proj = np.concatenate([x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]], 2)
+        z[k] = _forward(p, proj, w >= 0)[0].max()
     model.scale, model.shift = _calibrate(z, y[valid])
     return model
 
