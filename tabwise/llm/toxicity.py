@@ -34,8 +34,19 @@ CUT = 0.7
 REMEMBERED = 400_000
 
 
-def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_features(words: list[bytes], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Word bucket (n) and character buckets (n, k) of words; -1 where a word has no such gram."""
+    parts = [_word_features(words[at:at + at_once]) for at in range(0, max(1, len(words)), at_once)]
+    width = max(c.shape[1] for _, c in parts)
+    out = np.full((len(words), width), -1, np.int32)
+    at = 0
+    for _, c in parts:
+        out[at:at + len(c), :c.shape[1]] = c
+        at += len(c)
+    return np.concatenate([w for w, _ in parts]), out
+
+
+def _word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n = len(words)
     raw = np.frombuffer(b"".join(w[:WORD_BYTES].ljust(WORD_BYTES, b"\0") for w in words), np.uint8).reshape(n, WORD_BYTES).astype(np.uint64) if n else np.zeros((0, WORD_BYTES), np.uint64)
     length = np.fromiter((min(len(w), WORD_BYTES) for w in words), np.int64, n)
