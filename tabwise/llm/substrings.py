@@ -88,18 +88,20 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keys:
             continue
         key, doc, shard = np.concatenate(keys), np.concatenate(docs), np.concatenate(owners)
-        order = np.lexsort((shard, doc, key))
+        order = np.argsort(key, kind="stable")
         key, doc, shard = key[order], doc[order], shard[order]
-        first = np.r_[True, key[1:] != key[:-1]]
-        group = np.cumsum(first) - 1
-        many = (np.bincount(group[1:], (doc[1:] != doc[:-1]) & ~first[1:], group[-1] + 1) > 0)[group]
-        asks = first
+        asks = np.r_[True, key[1:] != key[:-1]]
+        start = np.flatnonzero(asks)
+        size = np.diff(np.r_[start, len(key)])
+        many = np.repeat(np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start), size)
         # of the documents of a shared key, one row per shard is enough
-        tell = many & ~first
-        pair = np.lexsort((shard, group))
-        fresh = np.ones(len(key), bool)
-        fresh[pair[1:]] = (group[pair[1:]] != group[pair[:-1]]) | (shard[pair[1:]] != shard[pair[:-1]])
-        tell &= fresh
+        more = np.flatnonzero(many)
+        group = np.repeat(np.arange(len(start)), size)[more]
+        pair = np.lexsort((~asks[more], shard[more], group))
+        fresh = np.r_[True, (group[pair[1:]] != group[pair[:-1]]) | (shard[more[pair[1:]]] != shard[more[pair[:-1]]])] if len(more) else np.zeros(0, bool)
+        tell = np.zeros(len(key), bool)
+        tell[more[pair[fresh]]] = True
+        tell &= ~asks
         rows = np.concatenate([np.flatnonzero(asks), np.flatnonzero(tell)])
         flags = np.r_[many[asks].astype(np.int8), np.full(tell.sum(), 2, np.int8)]
         yield pa.RecordBatch.from_arrays([pa.array(flags), pa.array(key[rows].view(np.int64)), pa.array(doc[rows])], ["flags", "key", "doc"])
@@ -159,12 +161,16 @@ def _windows(docs: pa.Table, keys: pa.Table) -> pa.Table:
                 found.append((h1, h2, np.full(len(at), doc, np.int64)))
     if found:
         h1, h2, doc = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((doc, h2, h1))
+        order = np.argsort(h1, kind="stable")
         h1, h2, doc = h1[order], h2[order], doc[order]
-        new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-        start = np.flatnonzero(new)
-        many = doc[np.r_[start[1:], len(doc)] - 1] != doc[start]
-        h1, h2, doc = h1[start], h2[start], doc[start]
+        start = np.flatnonzero(np.r_[True, h1[1:] != h1[:-1]])
+        if (np.minimum.reduceat(h2, start) != np.maximum.reduceat(h2, start)).any():  # different windows with one h1
+            order = np.lexsort((h2, h1))
+            h1, h2, doc = h1[order], h2[order], doc[order]
+            start = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+        low = np.minimum.reduceat(doc, start)
+        many = np.maximum.reduceat(doc, start) != low
+        h1, h2, doc = h1[start], h2[start], low
     else:
         h1, h2, doc, many = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
     return pa.table({"h1": h1.view(np.int64), "h2": h2.view(np.int32), "doc": doc, "many": many})
