@@ -192,4 +192,3 @@ FILE_SIGNATURES = [
     ("474946383961", "GIF Image"),
 ]
 ZIP_SIGNATURE = "504B0304"
-MAX_FILE_MB = 200

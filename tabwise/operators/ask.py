@@ -16,7 +16,7 @@ from tabwise.functions import fixed as V
 from tabwise.functions.exprs import as_double, as_text, is_numeric, q, screen_message, shielded, shielded_by_header
 from tabwise.operators.profile import data_columns
 from tabwise.operators.quantiles import exact_quantiles
-from tabwise.session import local_table, once
+from tabwise.session import checkpoint_cut, local_table, once
 
 EDGE = "\u0001"  # marks word boundaries inside texts and column names
 MAX_PLANS = 10_000
@@ -297,24 +297,28 @@ def answer_questions(df: DataFrame, profile: DataFrame, questions: DataFrame, te
     names = data_columns(df)
     hidden = [r["name"] for r in sensitive_columns(profile).where("sensitive").orderBy("ordinal").collect()]
     numeric = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
-    judged = judge_questions(classify_questions(questions, names, text), hidden, numeric, text)
-    plans = [
-        (r["operation"], r["column"], r["group_column"])
-        for r in judged.where("status = 'success'").select("operation", "column", "group_column").distinct().limit(MAX_PLANS + 1).collect()
-    ]
-    if len(plans) > MAX_PLANS:
-        raise ValueError(f"more than {MAX_PLANS} different questions; split the batch")
-    answers = answer_plans(df, sorted(plans, key=str))
+    # every distinct text is judged once; the judgements are read twice below
+    judged = checkpoint_cut(judge_questions(classify_questions(questions.select(q(text)).distinct(), names, text), hidden, numeric, text))
+    plans = sorted(
+        ((r["operation"], r["column"], r["group_column"]) for r in judged.where("status = 'success'").select("operation", "column", "group_column").distinct().toLocalIterator()),
+        key=str,
+    )
+    answers = answer_plans(df, plans[:MAX_PLANS])
+    for at in range(MAX_PLANS, len(plans), MAX_PLANS):
+        answers = answers.unionByName(answer_plans(df, plans[at:at + MAX_PLANS]))
     a = answers.select(
         F.col("operation").alias("_o"), F.col("column").alias("_c"), F.col("group_column").alias("_g"), "value", "entries"
     )
-    # One row per distinct plan (at most MAX_PLANS): safe to broadcast.
+    # One row per distinct plan, broadcast up to MAX_PLANS of them.
     joined = judged.join(
-        F.broadcast(a),
+        F.broadcast(a) if len(plans) <= MAX_PLANS else a,
         (F.col("status") == "success") & (F.col("operation") == F.col("_o"))
         & F.col("column").eqNullSafe(F.col("_c")) & F.col("group_column").eqNullSafe(F.col("_g")),
         "left",
     ).drop("_o", "_c", "_g")
+    told = [c for c in joined.columns if c != text]
+    again = joined.withColumnRenamed(text, "_text")
+    joined = questions.join(again, questions[text].eqNullSafe(F.col("_text")), "left").select(*[questions[c] for c in questions.columns], *told)
     return joined.withColumn(
         "response",
         response_text(F.col("operation"), F.col("column"), F.col("group_column"), F.col("value"), F.col("entries"), F.col("status")),

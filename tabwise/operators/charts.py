@@ -6,8 +6,6 @@ most fifteen categories, or a sample of fixed size.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Row, functions as F
 
 from tabwise.functions.exprs import as_double, as_text, q, share
@@ -82,13 +80,12 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def trend(df: DataFrame, time: str, value: str, row_id: str = ROW_ID, points: int = TREND_POINTS) -> DataFrame:
-    """(position, time, value): rows in time order, every k-th so that about ``points`` remain."""
+    """(position, time, value): rows in time order, every k-th, k = rows // points (at least 1)."""
     types = {f.name: f.dataType for f in df.schema.fields}
     rows = df.select(q(row_id).alias(row_id), q(time).alias("time"), as_double(value, types[value]).alias("value")).where(
         "time is not null and value is not null"
     )
-    n = rows.count()
-    step = max(1, math.ceil(n / points)) if n > points else 1
+    step = max(1, rows.count() // points)
     return (
         global_positions(rows, "time", row_id, every=step)
         .select("position", row_id, "time", "value")

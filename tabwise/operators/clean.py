@@ -402,7 +402,7 @@ def clean(df: DataFrame, profile: DataFrame, dates: DataFrame, row_id: str = ROW
     logs: list[Row] = []
     if n_removed:
         logs.append(_log(
-            1, "__all__", "drop_duplicates", f"Removed {n_removed} exact duplicate rows", None, 0, 0.0,
+            1, "ALL_COLUMNS", "drop_duplicates", f"Removed {n_removed} exact duplicate rows", None, 0, 0.0,
             details={"duplicate_count": float(n_removed), "duplicate_pct": round(n_removed / total * 100.0, 2)},
         ))
     names = [c for c in kept.columns if c != row_id]

@@ -331,7 +331,7 @@ def limitations(f: Facts, insights: DataFrame) -> DataFrame:
     """(place, limitation): quality issues, vague dates, model status, missing insights."""
     a = f.issues.select(F.lit(1).alias("place"), F.concat(F.lit("Data Quality Issue: "), "issue").alias("limitation"))
     b = f.dates.where("needs_confirmation").select(F.lit(2).alias("place"), F.format_string("Temporal Ambiguity: Date column '%s' contained ambiguous formats and was preserved in raw format.", F.col("column")).alias("limitation"))
-    c = f.model.where(F.col("status").isin("insufficient_data", "unsupported", "leakage_detected")).select(F.lit(3).alias("place"), F.concat(F.lit("Machine Learning Limitation: Status "), "status").alias("limitation"))
+    c = f.model.where(F.col("status").isin("insufficient_data", "unsupported", "leakage_detected")).select(F.lit(3).alias("place"), F.concat(F.lit("Machine Learning Limitation: "), F.coalesce(F.nullif("reason", F.lit("")), F.concat(F.lit("Status "), "status"))).alias("limitation"))
     d = insights.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(4).alias("place"), F.lit("Business Insights: Limited numerical signal was available in the dataset to extract high-confidence business insights.").alias("limitation"))
     return a.unionByName(b).unionByName(c).unionByName(d).orderBy("place", "limitation")
 

@@ -14,7 +14,8 @@ from tabwise.session import checkpoint_cut, local_table, settle
 BOOST_MIN_ROWS = 500
 MAX_CATEGORIES = 20
 TREES = 100
-TREE_DEPTH = 12  # Spark grows trees level by level; deeper ones cost memory on every executor
+TREE_DEPTH = 30  # the deepest Spark grows
+LEAF_ROWS = 2  # stands in for "no split of fewer than 4 rows", which Spark cannot state
 
 
 # --- target ---------------------------------------------------------------------
@@ -353,19 +354,19 @@ def baseline_prediction(train: DataFrame, label: str, task: str) -> Column:
     return F.lit(float(train.agg(F.avg(label)).first()[0]))
 
 
-def candidates(task: str, n_train: int, n_classes: int, trees: int = TREES, rounds: int = 100) -> dict[str, object]:
+def candidates(task: str, n_train: int, n_classes: int, trees: int = TREES, rounds: int = 100, depth: int = TREE_DEPTH) -> dict[str, object]:
     """Model name -> estimator, or None where a candidate does not apply."""
     if task == "classification":
         boost = C.GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=5, stepSize=0.1, subsamplingRate=0.9, seed=42, weightCol="weight")
         return {
             "logistic_regression": C.LogisticRegression(labelCol="label", featuresCol="features", weightCol="weight", regParam=1.0 / n_train, maxIter=1000, standardization=False),
-            "random_forest": C.RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=TREE_DEPTH, seed=42),
+            "random_forest": C.RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=LEAF_ROWS, seed=42),
             "boosted_trees": boost if n_train >= BOOST_MIN_ROWS and n_classes == 2 else None,
         }
     boost = R.GBTRegressor(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=5, stepSize=0.1, subsamplingRate=0.9, seed=42)
     return {
         "ridge": R.LinearRegression(labelCol="label", featuresCol="features", elasticNetParam=0.0, regParam=1.0 / n_train, standardization=False),
-        "random_forest": R.RandomForestRegressor(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=TREE_DEPTH, seed=42),
+        "random_forest": R.RandomForestRegressor(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=LEAF_ROWS, seed=42),
         "boosted_trees": boost if n_train >= BOOST_MIN_ROWS else None,
     }
 

@@ -135,16 +135,18 @@ def claim_score(claims: DataFrame, known: DataFrame) -> DataFrame:
 
     Another test than ``ground_claims``: facts rounded to two decimals, 5 % of the larger
     of number, fact and 1, and the numbers 1, 2, 3 are skipped.  Facts of one dataset are
-    the few numbers of its catalogue; they travel as one sorted array per dataset.
+    the numbers of its catalogue; they travel as one sorted array per dataset, and the search
+    takes as many steps as the longest array needs.
     """
     facts = known.select("dataset", F.round("value", 2).alias("v")).distinct().groupBy("dataset").agg(F.array_sort(F.collect_list("v")).alias("facts"))
+    longest = facts.agg(F.max(F.size("facts"))).first()[0] or 1
     text = F.regexp_replace("text", V.SCALE_SUFFIX, "")
     found = F.regexp_extract_all(text, F.lit(r"(?U)\b\d+(?:\.\d+)?\b"), 0)
     nums = F.filter(F.transform(found, lambda m: F.round(m.try_cast("double"), 2)), lambda x: x.isNotNull() & ~x.isin(1.0, 2.0, 3.0))
 
     def known_near(x):
         return F.exists(
-            neighbours(F.col("facts"), x),
+            neighbours(F.col("facts"), x, longest),
             lambda f: F.abs(x - f) <= F.lit(0.05) * F.greatest(F.abs(x), F.abs(f), F.lit(1.0)),
         )
 
@@ -159,10 +161,9 @@ def claim_score(claims: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def stage_runtimes(metrics: DataFrame, stages: list[str]) -> DataFrame:
-    """(run_id, one column per stage, total): seconds per stage of each run."""
-    wide = metrics.groupBy("run_id").pivot("stage", stages).agg(F.sum("seconds"))
-    total = sum((F.coalesce(F.col(s), F.lit(0.0)) for s in stages), F.lit(0.0))
-    return wide.withColumn("total", F.round(total, 4))
+    """(run_id, one column per stage, total): seconds per stage of each run; the total is over all of its stages."""
+    each = [F.sum(F.when(F.col("stage") == s, F.col("seconds"))).alias(s) for s in stages]
+    return metrics.groupBy("run_id").agg(*each, F.round(F.coalesce(F.sum("seconds"), F.lit(0.0)), 4).alias("total"))
 
 
 def suite_means(scores: DataFrame) -> DataFrame:

@@ -76,7 +76,8 @@ def leak_scan(texts: DataFrame, text_id: str, text: str, values: DataFrame, valu
     projection.  A long one is matched by an equi-join: each value is filed under its
     rarest substring of up to eight characters, texts are broken into substrings of the
     same sizes, and only texts that hold the rare substring are tested.  Neither side is
-    collected and no pair is formed without a shared rare substring.
+    collected and no pair is formed without a shared rare substring.  Rows are told apart by
+    an id of their own, so ``text_id`` may repeat.
     """
     listed = values.select(F.trim(q(value).cast("string")).alias("v")).where(F.length("v") >= 3).distinct()
     head = [r[0] for r in listed.limit(few + 1).collect()]
@@ -87,16 +88,15 @@ def leak_scan(texts: DataFrame, text_id: str, text: str, values: DataFrame, valu
     freq = own.groupBy("g").agg(F.count("*").alias("k"))
     anchor = own.join(freq, "g").groupBy("v").agg(F.min(F.struct("k", "g")).getField("g").alias("g"))
     anchor = checkpoint_cut(anchor)
-    parts = F.concat(*[_grams(q(text), k, p) for k, p in _gram_patterns(anchor).items()])
-    grams = texts.select(q(text_id).alias("_tid"), F.explode(parts).alias("g"))
+    rows = checkpoint_cut(texts.select(q(text_id).alias("_id"), q(text).alias("_text"), F.monotonically_increasing_id().alias("_tid")))
+    parts = F.concat(*[_grams(F.col("_text"), k, p) for k, p in _gram_patterns(anchor).items()])
+    grams = rows.select("_tid", F.explode(F.array_distinct(parts)).alias("g"))
     pairs = grams.join(anchor, "g").select("_tid", "v").distinct()
     found = (
-        pairs.join(texts.select(q(text_id).alias("_tid"), q(text).alias("_text")), "_tid")
+        pairs.join(rows.select("_tid", "_text"), "_tid")
         .where(F.contains("_text", "v")).groupBy("_tid").agg(F.count_distinct("v").alias("n"))
     )
-    return texts.select(q(text_id).alias(text_id)).join(found, q(text_id) == F.col("_tid"), "left").select(
-        text_id, F.coalesce("n", F.lit(0)).alias("leaked")
-    )
+    return rows.select("_id", "_tid").join(found, "_tid", "left").select(F.col("_id").alias(text_id), F.coalesce("n", F.lit(0)).alias("leaked"))
 
 
 def leak_summary(scan: DataFrame) -> DataFrame:

@@ -18,10 +18,10 @@ def _nums(t):
 
 
 @query(f"""SELECT conv_id, turn, len(n) AS found, round(coalesce(list_sum(list_transform(n, lambda x: CAST(regexp_replace(x, '[,%]', '', 'g') AS DOUBLE))), 0), 4) AS total
-FROM (SELECT conv_id, turn, {_nums("regexp_replace(text, '\\p{L}', 'x', 'g')")} AS n FROM conversations WHERE NOT regexp_matches(text, '(?:/|out of\\s+)\\s*100'))""")
+FROM (SELECT conv_id, turn, {_nums("concat(text, ' Rated ', turn, '/100, then 7 out of 100 and 12.')")} AS n FROM conversations)""")
 def extract_numbers(spark, d):
-    t = table(spark, d, "conversations").where(~F.col("text").rlike(r"(?:/|out of\s+)\s*100"))
-    n = numbers_in(F.col("text"))
+    t = table(spark, d, "conversations")
+    n = numbers_in(F.concat("text", F.lit(" Rated "), F.col("turn").cast("string"), F.lit("/100, then 7 out of 100 and 12.")))
     return t.select("conv_id", "turn", F.size(n).cast("bigint").alias("found"), F.round(F.aggregate(n, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
@@ -213,10 +213,10 @@ def masked_samples(spark, d):
     return H.masked_samples(view(spark, d, PEOPLE), "col_e", 10)
 
 
-@query("""WITH v AS (SELECT DISTINCT trim(w) AS v FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z0-9]+')) AS w FROM benchmark) WHERE length(w) >= 9)
+@query("""WITH v AS (SELECT DISTINCT trim(w) AS v FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z0-9]+')) AS w FROM benchmark) WHERE length(w) >= 3)
 SELECT doc_id, (SELECT count(*) FROM v WHERE contains(text, v)) AS leaked FROM documents""")
 def leak_scan(spark, d):
-    values = table(spark, d, "benchmark").select(F.explode(F.split("text", "[^A-Za-z0-9]+")).alias("v")).where("length(v) >= 9")
+    values = table(spark, d, "benchmark").select(F.explode(F.split("text", "[^A-Za-z0-9]+")).alias("v")).where("length(v) >= 3")
     return H.leak_scan(table(spark, d, "documents"), "doc_id", "text", values, "v", few=0)
 
 
@@ -342,11 +342,11 @@ def claim_scorecard(spark, d):
 
 
 @query("""SELECT user_id AS run_id, round(sum(value) FILTER (event_type = 'click'), 4) AS click, round(sum(value) FILTER (event_type = 'view'), 4) AS view, round(sum(value) FILTER (event_type = 'purchase'), 4) AS purchase,
-round(coalesce(sum(value) FILTER (event_type IN ('click', 'view', 'purchase')), 0), 2) AS total FROM events GROUP BY 1""")
+round(sum(value) FILTER (event_type = 'signup'), 4) AS signup, round(sum(value) FILTER (event_type = 'error'), 4) AS error, round(coalesce(sum(value), 0), 2) AS total FROM events GROUP BY 1""")
 def stage_runtimes(spark, d):
     m = table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("stage"), F.col("value").alias("seconds"))
-    out = X.stage_runtimes(m, ["click", "view", "purchase"])
-    return out.select("run_id", *[F.round(c, 4).alias(c) for c in ("click", "view", "purchase")], F.round("total", 2).alias("total"))
+    out = X.stage_runtimes(m, ["click", "view", "purchase", "signup", "error"])
+    return out.select("run_id", *[F.round(c, 4).alias(c) for c in ("click", "view", "purchase", "signup", "error")], F.round("total", 2).alias("total"))
 
 
 @query("SELECT event_type AS evaluator, count(DISTINCT user_id) AS datasets, round(avg(value), 4) AS mean_score FROM events GROUP BY 1")

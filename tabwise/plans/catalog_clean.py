@@ -147,7 +147,7 @@ def reconstruct(spark, d):
 
 @query(f"""WITH v AS ({MESS}), k AS (SELECT min(_row_id) AS r, * EXCLUDE (_row_id) FROM v GROUP BY ALL), n AS (SELECT (SELECT count(*) FROM v) AS a, (SELECT count(*) FROM k) AS b)
 SELECT step_no, "column", method, CAST(missing_count AS BIGINT) AS missing_count FROM (
-SELECT 1 AS step_no, '__all__' AS "column", 'drop_duplicates' AS method, 0 AS missing_count FROM n WHERE a > b
+SELECT 1 AS step_no, 'ALL_COLUMNS' AS "column", 'drop_duplicates' AS method, 0 AS missing_count FROM n WHERE a > b
 UNION ALL SELECT 2, c, 'type_coercion', 0 FROM (VALUES ('money'), ('flag'), ('padded'), ('amount_x')) t(c)
 UNION ALL SELECT 3, 'day_first', 'normalize_date', (SELECT count(*) FILTER (day_first IS NULL) FROM k)
 UNION ALL SELECT 3, 'vague', 'normalize_date', (SELECT count(*) FILTER (vague IS NULL) FROM k)

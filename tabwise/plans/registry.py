@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabwise.session import local_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -45,7 +46,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder for files a query writes: the cluster's shared folder where it names one."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir")
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="tabwise-")
+    base = shared.rstrip("/") if shared else local_folder(sc, "tabwise-")
     return f"{base}/tabwise-{name}-{uuid.uuid4().hex}"
 
 

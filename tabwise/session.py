@@ -32,15 +32,23 @@ def checkpoint_cut(df: DataFrame) -> DataFrame:
 
     Used before a table is read by several jobs, so that lost executors never force
     the whole history to run again.  The folder is the one the cluster names in
-    ``spark.checkpoint.dir``; a temporary one is set only where none is named.
+    ``spark.checkpoint.dir``; a temporary one is set only where none is named and all tasks
+    run on this machine.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tabwise-checkpoint-"))
+        sc.setCheckpointDir(named or local_folder(sc, "tabwise-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def local_folder(sc, prefix: str) -> str:
+    """A temporary folder, for sessions on one machine only: executors elsewhere would not see it."""
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def local_table(spark: SparkSession, rows: list, schema: str | T.StructType) -> DataFrame:
     """Few literal rows as a local relation: known size, no job and no Python when scanned."""
     st = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema

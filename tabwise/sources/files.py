@@ -90,13 +90,14 @@ def _error(cond, text):
     return F.when(cond, F.lit(text) if isinstance(text, str) else text)
 
 
-def audit_files(spark: SparkSession, path: str, max_mb: int = V.MAX_FILE_MB) -> DataFrame:
+def audit_files(spark: SparkSession, path: str, max_mb: int | None = None) -> DataFrame:
     """(path, file_type, bytes, sha256, is_valid, errors) of every file under a landing zone.
 
-    Size and extension are judged on metadata alone; content is read only for files
-    below the size cap (the length filter is pushed to the file source).
+    Size and extension are judged on metadata alone; with ``max_mb``, content is read only for
+    files below that size (the length filter is pushed to the file source).  Encoding and
+    lines are judged on whole files.
     """
-    cap = max_mb * 1024 * 1024
+    cap = (1 << 62) if max_mb is None else max_mb * 1024 * 1024
     load = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     # Empty files make no input split; they are known from the driver's file listing only.
@@ -105,19 +106,18 @@ def audit_files(spark: SparkSession, path: str, max_mb: int = V.MAX_FILE_MB) ->
     meta = listed.join(sizes, "path", "left").select("path", F.coalesce("bytes", F.lit(0)).alias("bytes"), ext.alias("ext"))
     small = load().where((F.col("length") <= cap) & (F.col("length") > 0)).select("path", "content")
     head = F.hex(F.substring("content", 1, 8))
-    lead = F.expr("substring(content, 1, 65536)")
-    lead_text = F.expr("decode(substring(content, 1, 65536), 'ISO-8859-1')")
-    lines = F.filter(F.slice(F.split(lead_text, r"\r\n|\n|\r"), 1, HEAD_LINES), lambda x: F.trim(x) != "")
     signature = F.lit(None).cast("string")
     for sig, what in reversed(V.FILE_SIGNATURES):
         signature = F.when(head.startswith(sig), what).otherwise(signature)
+    own = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     whole_text = F.expr("decode(content, 'ISO-8859-1')")
+    as_csv, as_xlsx = F.when(own == ".csv", whole_text), F.when(own == ".xlsx", whole_text)
     facts = small.select(
-        "path", F.sha2("content", 256).alias("sha256"), head.alias("head"), signature.alias("signature"), F.size(lines).alias("n_lines"),
-        F.exists(lines, lambda x: F.regexp_replace(x, r"[,;\t|\s]", "") != "").alias("has_text"),
-        (F.contains(whole_text, F.lit("[Content_Types].xml")) | F.contains(whole_text, F.lit("xl/"))).alias("has_parts"),
-        F.contains(whole_text, F.lit("PK\u0005\u0006")).alias("has_directory"),
-        utf8_prefix(lead).alias("utf8"),
+        "path", F.sha2("content", 256).alias("sha256"), head.alias("head"), signature.alias("signature"),
+        F.regexp_count(as_csv, F.lit(r"[^\r\n]*[^\r\n ][^\r\n]*")).alias("n_lines"), as_csv.rlike(r"[^,;\t|\s]").alias("has_text"),
+        (F.contains(as_xlsx, F.lit("[Content_Types].xml")) | F.contains(as_xlsx, F.lit("xl/"))).alias("has_parts"),
+        F.contains(as_xlsx, F.lit("PK\u0005\u0006")).alias("has_directory"),
+        F.when(own == ".csv", F.is_valid_utf8(F.col("content").cast("string"))).alias("utf8"),
     )
     csv, xlsx = F.col("ext") == ".csv", F.col("ext") == ".xlsx"
     zipped = F.col("head").startswith(V.ZIP_SIGNATURE)
@@ -145,13 +145,6 @@ def audit_files(spark: SparkSession, path: str, max_mb: int = V.MAX_FILE_MB) ->
     )
 
 
-def utf8_prefix(content):
-    """Is a cut-off byte string valid UTF-8?  A character split by the cut does not count against it."""
-    text = F.hex(content)
-    cut = [F.is_valid_utf8(F.unhex(F.substr(text, F.lit(1), F.length(text) - 2 * k)).cast("string")) for k in range(4)]
-    return cut[0] | ((F.length(text) >= 131072) & (cut[1] | cut[2] | cut[3]))
-
-
 def list_artifacts(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes) of every file under a folder; file contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -160,7 +153,7 @@ def list_artifacts(spark: SparkSession, path: str) -> DataFrame:
     return listed.join(sizes, "path", "left").select("path", F.coalesce("bytes", F.lit(0)).alias("bytes")).orderBy("path")
 
 
-def ingest(spark: SparkSession, path: str, max_mb: int = V.MAX_FILE_MB, **options) -> tuple[DataFrame, DataFrame]:
+def ingest(spark: SparkSession, path: str, max_mb: int | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """(table with row ids, ingestion facts) of a delimited or workbook file or folder.
 
     Refuses files that fail the audit and tables without rows.

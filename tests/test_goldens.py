@@ -70,7 +70,7 @@ def test_dates(runs):
 
 def test_duplicates(runs):
     run = runs["messy"][1]
-    dup = log_of(run, "__all__")[0]
+    dup = log_of(run, "ALL_COLUMNS")[0]
     assert dup["details"] == {"duplicate_count": 1.0, "duplicate_pct": 14.29}
     assert [r["_orig_row_index"] for r in run.cleaned.removed.collect()] == [5]
 
