@@ -19,9 +19,12 @@ FEW_FACTS = 100_000  # per dataset; with more, numbers and facts are merged by s
 
 
 def typed_facts(facts: DataFrame, dataset: str = "dataset_id", value: str = "value") -> DataFrame:
-    """(dataset, kind, x): distinct facts as whole numbers, fractions and percentages of proportions."""
+    """(dataset, kind, x): distinct facts as whole numbers, fractions and percentages of proportions.
+
+    A column ``is_int`` of the facts says which are whole numbers; without it (or where it is NULL) the value does.
+    """
     x = q(value).cast("double")
-    whole = x % 1 == 0
+    whole = F.coalesce(F.col("is_int"), x % 1 == 0) if "is_int" in facts.columns else x % 1 == 0
     kinds = F.array(
         F.struct(F.when(whole, "int").otherwise("float").alias("kind"), x.alias("x")),
         F.when(~whole & (x > 0) & (x <= 1), F.struct(F.lit("share").alias("kind"), (x * 100.0).alias("x"))),
@@ -57,7 +60,7 @@ def near_enough(x: Column, ints: Column, floats: Column, shares: Column, toleran
 
     return (
         F.exists(ints, lambda f: off(f) <= 0.01)
-        | F.exists(floats, lambda f: (off(f) <= 0.02) | (F.try_divide(off(f), F.abs(f)) <= tolerance))
+        | F.exists(floats, lambda f: (off(f) <= 0.02) | (F.coalesce(F.try_divide(off(f), F.abs(f)), off(f)) <= tolerance))
         | F.exists(shares, lambda f: (off(f) <= 0.5) | (F.try_divide(off(f), f) <= tolerance))
     )
 

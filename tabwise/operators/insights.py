@@ -53,7 +53,10 @@ def shielded_columns(profile: DataFrame) -> DataFrame:
 
 
 def fact_base(f: Facts) -> DataFrame:
-    """(dataset_id, path, value): every number a claim may cite, sensitive columns left out."""
+    """(dataset_id, path, value, is_int): every number a claim may cite, sensitive columns left out.
+
+    Shares of categories count as fractions even where they are whole.
+    """
     out = excluded_columns(f.profile)
     num = f.numeric.join(F.broadcast(out), "column", "left_anti")
     names = [c for c in NUMERIC_SUMMARY if c != "column"]
@@ -97,7 +100,10 @@ def fact_base(f: Facts) -> DataFrame:
     everything = shape
     for part in (quality, stats, uniques, counted, pairs(f.pearson, "pearson"), pairs(f.spearman, "spearman"), metrics, sizes, drivers):
         everything = everything.unionByName(part)
-    return everything.where("value is not null").select(F.lit(f.dataset_id).alias("dataset_id"), "path", "value")
+    share_path = F.col("path").startswith("categorical.") & F.col("path").rlike(r"\.pct[12]$")
+    return everything.where("value is not null").select(
+        F.lit(f.dataset_id).alias("dataset_id"), "path", "value", (~share_path & (F.col("value") % 1 == 0)).alias("is_int")
+    )
 
 
 def evidence_summary(f: Facts) -> DataFrame:

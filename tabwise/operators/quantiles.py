@@ -212,7 +212,8 @@ def global_positions(
         key = F.unix_micros(key.cast("timestamp"))
     elif dt == "date":
         key = F.unix_date(key)
-    rows = df.where(q(order).isNotNull()).withColumn("_o", key.cast("double")).withColumn(
+    exact = dt in ("double", "bigint", "int", "smallint", "tinyint") or dt.startswith(("timestamp", "date", "decimal"))
+    rows = df.where(q(order).isNotNull()).withColumn("_o", key if exact else key.cast("double")).withColumn(
         "_block", F.floor(q(row_id) / F.lit(chunk))
     )
     counts = rows.groupBy("_o", "_block").agg(F.count("*").alias("n"))

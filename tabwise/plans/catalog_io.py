@@ -21,6 +21,11 @@ def scan_delimited(spark, d):
     )
 
 
+def _write_lines(lines, path):
+    """One text column as lines, unquoted, under its own name."""
+    lines.write.options(header="true", quote="", sep="\x01").csv(path)
+
+
 # Every tenth line carries one field too many, every seventh is short.
 RAGGED = "SELECT concat(CAST(p_partkey AS STRING), ',', p_brand, CASE WHEN p_partkey % 10 = 0 THEN ',x,y' WHEN p_partkey % 7 = 0 THEN '' ELSE concat(',', CAST(p_size AS STRING)) END) AS line FROM part"
 
@@ -28,13 +33,37 @@ RAGGED = "SELECT concat(CAST(p_partkey AS STRING), ',', p_brand, CASE WHEN p_par
 @query("SELECT p_partkey AS id, p_brand AS brand, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) END AS size FROM part WHERE p_partkey % 10 <> 0")
 def scan_ragged(spark, d):
     path = scratch(spark, "ragged")
-    head = view(spark, d, "SELECT 'id,brand,size' AS line FROM part LIMIT 1")
-    lines = view(spark, d, RAGGED)
-    # one file, header first: the write below keeps the order of its two inputs
-    head.unionByName(lines).coalesce(1).write.text(path)
+    lines = view(spark, d, RAGGED).repartition(4, "line").withColumnRenamed("line", "id,brand,size")
+    _write_lines(lines, path)  # the column's name becomes the header of every file
     return S.read_delimited(spark, path, row_ids=False)
 
 
+@query("""SELECT c_custkey, concat(c_name, ' é') AS c_name, CASE WHEN c_custkey % 3 = 2 THEN NULL ELSE c_nationkey END AS c_nationkey, c_acctbal,
+CASE WHEN c_custkey % 3 = 2 THEN 'new' END AS remark FROM customer""")
+def scan_mixed_dialects(spark, d):
+    """Files that differ in delimiter, encoding, order of columns and columns."""
+    path = scratch(spark, "mixed")
+    t = table(spark, d, "customer").withColumns({"c_name": F.concat("c_name", F.lit(" é")), "remark": F.lit("new")})
+    dialects = [
+        (",", "UTF-8", ["c_custkey", "c_name", "c_nationkey", "c_acctbal"]), (";", "ISO-8859-1", ["c_nationkey", "c_acctbal", "c_name", "c_custkey"]),
+        ("|", "UTF-8", ["c_acctbal", "remark", "c_custkey", "c_name"]),
+    ]
+    for k, (sep, encoding, columns) in enumerate(dialects):
+        t.where(F.col("c_custkey") % 3 == k).select(*columns).write.options(header="true", sep=sep, encoding=encoding).csv(f"{path}/{k}")
+    return S.read_delimited(spark, f"{path}/*").select("c_custkey", "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"), "c_acctbal", "remark")
+
+
+@query("SELECT conv_id, turn, concat(role, chr(10), '\"said\", ', chr(10), turn) AS note, CAST(turn % 5 AS BIGINT) AS score FROM conversations")
+def scan_line_breaks(spark, d):
+    """Quoted fields that hold line breaks, quotes and delimiters."""
+    path = scratch(spark, "breaks")
+    note = F.concat("role", F.lit('\n"said", \n'), F.col("turn").cast("string"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", note.alias("note"), (F.col("turn") % 5).cast("bigint").alias("score"))
+    t.repartition(4, "conv_id", "turn").write.options(header="true", escape='"').csv(path)
+    out, types = S.read_delimited(spark, path), dict(t.dtypes)
+    return out.select(*[F.col(c).cast(types[c]).alias(c) for c in t.columns])
+
+
 @query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_brand END AS brand FROM part")
 def na_tokens(spark, d):
     from tabwise.functions.exprs import na_to_null
@@ -43,30 +72,46 @@ def na_tokens(spark, d):
     return table(spark, d, "part").select("p_partkey", na_to_null(token).alias("brand"))
 
 
-@query("SELECT ';' AS delimiter, 'utf-8' AS encoding FROM customer HAVING count(*) > 0")
+@query("""SELECT CASE c_custkey % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END AS delimiter, 'utf-8' AS encoding, c_custkey % 4 = 3 AS quoted_breaks
+FROM customer GROUP BY ALL""")
 def inspect_text(spark, d):
     path = scratch(spark, "inspect")
-    table(spark, d, "customer").coalesce(1).write.option("header", "true").option("sep", ";").csv(path)
-    return S.inspect_text(spark, path).select("delimiter", "encoding")
+    t = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", F.when(F.col("c_custkey") % 4 == 3, "two\nlines").otherwise("one line").alias("note"))
+    for k, sep in enumerate(",;\t|"):
+        t.where(F.col("c_custkey") % 4 == k).write.options(header="true", sep=sep).csv(f"{path}/{k}")
+    return S.inspect_text(spark, f"{path}/*").select("delimiter", "encoding", "quoted_breaks").distinct()
 
 
-@query("SELECT 'latin-1' AS encoding FROM documents HAVING count(*) FILTER (regexp_matches(text, '[éèüñß]')) > 0")
+@query("SELECT CASE WHEN max(CASE WHEN regexp_matches(text, '[\\x{80}-\\x{FF}]') THEN 1 ELSE 0 END) = 1 THEN 'latin-1' ELSE 'utf-8' END AS encoding FROM documents")
 def detect_encoding(spark, d):
     path = scratch(spark, "latin")
     lines = table(spark, d, "documents").select(F.regexp_replace(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), r"\s+", " ").alias("line"))
-    lines.coalesce(1).write.option("encoding", "ISO-8859-1").option("header", "true").csv(path)
-    return S.inspect_text(spark, path).select("encoding")
+    lines.repartition(4, "line").write.option("encoding", "ISO-8859-1").option("header", "true").csv(path)
+    # a file without other letters is utf-8 as well
+    return S.inspect_text(spark, path).agg(F.min("encoding").alias("encoding"))
 
 
-@query()
+@query("""SELECT DISTINCT c_nationkey AS nation, kind AS extension, CASE WHEN kind = 'csv' THEN 'csv' ELSE '' END AS file_type, kind = 'csv' AS is_valid,
+CASE WHEN kind = 'csv' THEN '' ELSE 'Unsupported file extension ''.json''.' END AS errors FROM customer, (SELECT unnest(['csv', 'json']) AS kind)""")
 def audit_files(spark, d):
-    audit = S.audit_files(spark, d)
-    return audit.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "file_type", "bytes", "is_valid", F.array_join("errors", "; ").alias("errors"))
-
-
-@query()
+    """A landing zone of a folder per nation, as delimited text and as JSON, which is refused."""
+    path = scratch(spark, "zone")
+    t = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey").repartition("c_nationkey")
+    t.write.partitionBy("c_nationkey").option("header", "true").csv(f"{path}/csv")
+    t.write.partitionBy("c_nationkey").json(f"{path}/json")
+    return S.audit_files(spark, path).select(
+        F.regexp_extract("path", r"c_nationkey=(\d+)/", 1).cast("int").alias("nation"), F.regexp_extract("path", r"\.(\w+)$", 1).alias("extension"),
+        "file_type", "is_valid", F.array_join("errors", "; ").alias("errors"),
+    ).distinct()
+
+
+@query("SELECT c_nationkey AS nation, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS bytes FROM customer GROUP BY 1")
 def list_artifacts(spark, d):
-    return S.list_artifacts(spark, d).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "bytes")
+    path = scratch(spark, "artifacts")
+    table(spark, d, "customer").select("c_name", "c_nationkey").repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    nation = F.regexp_extract("path", r"c_nationkey=(\d+)/", 1).cast("int")
+    files = S.list_artifacts(spark, path).where(F.col("path").endswith(".txt"))
+    return files.groupBy(nation.alias("nation")).agg(F.sum("bytes").alias("bytes"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS ids, CAST(0 AS BIGINT) AS lowest, count(*) - 1 AS highest FROM orders")
@@ -144,9 +189,8 @@ def full_analysis(spark, d):
     return analyse(df, "customers", train=False).facts.shape
 
 
-@query()
+@query("SELECT 'csv' AS file_type, 'utf-8' AS encoding, count(*) AS n_rows, CAST((SELECT count(*) FROM (DESCRIBE supplier)) AS INTEGER) AS n_columns FROM supplier")
 def ingest_folder(spark, d):
     path = scratch(spark, "landing")
     table(spark, d, "supplier").write.option("header", "true").csv(path)
-    return S.ingest(spark, path + "/*.csv")[1].select("file_type", "encoding", "n_rows", "n_columns")
-
+    return S.ingest(spark, path + "/*.csv")[1].select("file_type", "encoding", "n_rows", "n_columns").distinct()

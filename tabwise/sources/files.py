@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tabwise.functions import fixed as V
 from tabwise.functions.exprs import na_to_null
-from tabwise.session import local_table
+from tabwise.session import checkpoint_cut, local_table
 from tabwise.sources.rowid import with_row_ids
 from tabwise.sources.typing import to_physical_types
 from tabwise.sources.workbook import read_workbooks
@@ -17,25 +19,30 @@ HEAD_LINES = 50
 CHARSET = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1"}
 
 
-def inspect_text(spark: SparkSession, path: str, lines: int = HEAD_LINES) -> DataFrame:
-    """(path, encoding, delimiter): one scan over a file or folder, one row per file.
+def inspect_text(spark: SparkSession, path: str | list[str], lines: int = HEAD_LINES) -> DataFrame:
+    """(path, encoding, delimiter, quoted_breaks, header): one scan over a file or folder, one row per file with text.
 
     Encoding: utf-8 where every line is valid, else latin-1.  Delimiter: among the four
     candidates the one that occurs equally often (and at all) in most of the first lines.
+    Quoted breaks: some line has an odd number of quotes, so a field goes on in the next line.
+    Header: digest of the first line that is not blank.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value",
         F.monotonically_increasing_id().alias("at"),
     )
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
     encodings = raw.groupBy("path").agg(
-        F.when(F.bool_and(F.is_valid_utf8("value")), "utf-8").otherwise("latin-1").alias("encoding")
+        F.when(F.bool_and(F.is_valid_utf8("value")), "utf-8").otherwise("latin-1").alias("encoding"),
+        F.bool_or(quotes % 2 == 1).alias("quoted_breaks"),
     )
     first = Window.partitionBy("path").orderBy("at")
     head = (
         raw.where("block = 0 and trim(value) <> ''")
         .withColumn("k", F.row_number().over(first)).where(F.col("k") <= lines)
-        .select("path", F.regexp_replace("value", '"[^"]*"', "").alias("line"))
+        .select("path", "k", F.md5(F.col("value").cast("binary")).alias("digest"), F.regexp_replace("value", '"[^"]*"', "").alias("line"))
     )
+    headers = head.where("k = 1").select("path", F.col("digest").alias("header"))
     counted = head.select("path", F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(d).alias("d"), (F.length("line") - F.length(F.replace("line", F.lit(d), F.lit("")))).alias("n"))
         for i, d in enumerate(V.DELIMITERS)
@@ -44,29 +51,62 @@ def inspect_text(spark: SparkSession, path: str, lines: int = HEAD_LINES) -> Dat
     best = per_count.groupBy("path").agg(
         F.max_by("d", F.struct("lines", "n", -F.col("i"))).alias("delimiter")
     )
-    return encodings.join(best, "path", "left").select("path", "encoding", F.coalesce("delimiter", F.lit(",")).alias("delimiter"))
+    return encodings.join(headers, "path").join(best, "path", "left").select(
+        "path", "encoding", F.coalesce("delimiter", F.lit(",")).alias("delimiter"), "quoted_breaks", "header"
+    )
+
+
+def _literal(path: str) -> str:
+    """A path whose signs do not count as wildcards."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+
+
+def _as_column(listed: str) -> str:
+    """A path of the driver's file listing as the file source spells it in its column."""
+    return re.sub("^file:/+", "file:/", unquote(listed))
 
 
 def read_delimited(
-    spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, multi_line: bool = False,
+    spark: SparkSession, path: str | list[str], delimiter: str | None = None, encoding: str | None = None, multi_line: bool | None = None,
     infer: bool = True, row_ids: bool = True, trim_headers: bool = False,
 ) -> DataFrame:
     """A delimited file or folder as a table.
 
+    Every file is read in its own dialect: files are grouped by delimiter, encoding, header and
+    quoted line breaks, and the groups are put together by column name (a column that a file
+    lacks is NULL there).  Arguments that are given hold for all files; with all three given,
+    all files have the header of the first.  A file with quoted line breaks cannot be split and
+    is one task's work.
+
     Rows with too many fields are dropped, short rows are filled with NULL, missing-value
     tokens become NULL, and columns get a physical type only where every value fits it.
     """
-    if delimiter is None or encoding is None:
-        seen = inspect_text(spark, path).orderBy("path").first()
-        if seen is None:
+    given = {"delimiter": delimiter, "encoding": encoding, "quoted_breaks": multi_line}
+    if None in given.values():
+        seen = inspect_text(spark, path).withColumns({k: F.lit(v) for k, v in given.items() if v is not None})
+        dialect = [*given, "header"]
+        groups = seen.groupBy(*dialect).agg(F.array_sort(F.collect_list("path")).alias("paths")).drop("header").collect()
+        if not groups:
             raise ValueError(f"nothing to read under '{path}'")
-        delimiter = delimiter or seen["delimiter"]
-        encoding = encoding or seen["encoding"]
+        if len(groups) == 1:
+            groups = [groups[0].asDict() | {"paths": path}]
+        else:
+            groups = [g.asDict() | {"paths": [_literal(unquote(p)) for p in g.paths]} for g in sorted(groups, key=lambda g: g.paths[0])]
+    else:
+        groups = [given | {"paths": path}]
+    parts = [_read_group(spark, g["paths"], g["delimiter"], g["encoding"], g["quoted_breaks"], trim_headers) for g in groups]
+    table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    table = with_row_ids(table, ["_file", "_block"]) if row_ids else table.drop("_file", "_block")
+    return to_physical_types(table) if infer else table
+
+
+def _read_group(spark: SparkSession, paths: str | list[str], delimiter: str, encoding: str, multi_line: bool, trim_headers: bool) -> DataFrame:
+    """Files of one dialect as text columns, with ``_file`` and ``_block``."""
     base = {
         "sep": delimiter, "encoding": CHARSET.get(encoding, encoding), "quote": '"', "escape": '"',
         "multiLine": str(multi_line).lower(), "header": "true",
     }
-    names = spark.read.options(**base).csv(path).columns
+    names = [n.lstrip("\ufeff") for n in spark.read.options(**base).csv(paths).columns]
     cols = [n.strip() if trim_headers else n for n in names]
     schema = ", ".join(f"c{i} string" for i in range(len(cols))) + ", _corrupt string"
     # Rows with too few or too many fields come with their raw text; only the latter are
@@ -74,16 +114,14 @@ def read_delimited(
     # would change which rows count as malformed.
     raw = spark.read.options(
         **base, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", columnPruning="false"
-    ).schema(schema).csv(path)
-    bare = F.regexp_replace("_corrupt", '"(?:[^"]|"")*"', "")
+    ).schema(schema).csv(paths)
+    bare = F.regexp_replace("_corrupt", '"[^"]*"', "")
     fields = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
     kept = raw.where(F.col("_corrupt").isNull() | (fields <= len(cols)))
-    table = kept.select(
+    return kept.select(
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         *[na_to_null(F.col(f"c{i}")).alias(c) for i, c in enumerate(cols)],
     )
-    table = with_row_ids(table, ["_file", "_block"]) if row_ids else table.drop("_file", "_block")
-    return to_physical_types(table) if infer else table
 
 
 def _error(cond, text):
@@ -101,7 +139,7 @@ def audit_files(spark: SparkSession, path: str, max_mb: int | None = None) -> Da
     load = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     # Empty files make no input split; they are known from the driver's file listing only.
-    listed = local_table(spark, [(re.sub("^file:/+", "file:/", p),) for p in load().inputFiles()], "path string")
+    listed = local_table(spark, [(_as_column(p),) for p in load().inputFiles()], "path string")
     sizes = load().select("path", F.col("length").alias("bytes"))
     meta = listed.join(sizes, "path", "left").select("path", F.coalesce("bytes", F.lit(0)).alias("bytes"), ext.alias("ext"))
     small = load().where((F.col("length") <= cap) & (F.col("length") > 0)).select("path", "content")
@@ -148,7 +186,7 @@ def audit_files(spark: SparkSession, path: str, max_mb: int | None = None) -> Da
 def list_artifacts(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes) of every file under a folder; file contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    listed = local_table(spark, [(re.sub("^file:/+", "file:/", p),) for p in files.inputFiles()], "path string")
+    listed = local_table(spark, [(_as_column(p),) for p in files.inputFiles()], "path string")
     sizes = files.select("path", F.col("length").alias("bytes"))
     return listed.join(sizes, "path", "left").select("path", F.coalesce("bytes", F.lit(0)).alias("bytes")).orderBy("path")
 
@@ -156,23 +194,26 @@ def list_artifacts(spark: SparkSession, path: str) -> DataFrame:
 def ingest(spark: SparkSession, path: str, max_mb: int | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """(table with row ids, ingestion facts) of a delimited or workbook file or folder.
 
-    Refuses files that fail the audit and tables without rows.
+    Files that fail the audit are left out; the facts name them with their errors.  Refuses
+    a path without a valid file and tables without rows.
     """
-    audit = audit_files(spark, path, max_mb)
+    audit = checkpoint_cut(audit_files(spark, path, max_mb))
+    kinds = sorted(r[0] for r in audit.where("is_valid").select("file_type").distinct().collect())
     bad = audit.where("not is_valid").orderBy("path").first()
-    if bad is not None:
+    if bad is not None and not kinds:
         raise ValueError(f"File validation failed for '{bad['path']}': {'; '.join(bad['errors'])}")
-    kinds = sorted(r[0] for r in audit.select("file_type").distinct().collect())
+    # without a refused file the path itself is read; else the valid files by name
+    good = path if bad is None else [_literal(r[0]) for r in audit.where("is_valid").select("path").orderBy("path").collect()]
     if kinds == ["xlsx"]:
-        table = read_workbooks(spark, path, **options)
+        table = read_workbooks(spark, good, **options)
     elif kinds == ["csv"]:
-        table = read_delimited(spark, path, **options)
+        table = read_delimited(spark, good, **options)
     else:
         raise ValueError(f"mixed or missing file types under '{path}': {kinds}")
     n = table.count()
     if n == 0:
         raise ValueError(f"Dataset '{path}' contains zero data rows after parsing.")
-    facts = audit.select("path", "file_type", "bytes", "sha256", "encoding").withColumns(
+    facts = audit.select("path", "file_type", "bytes", "sha256", "encoding", "is_valid", "errors").withColumns(
         {"n_rows": F.lit(n), "n_columns": F.lit(len(table.columns) - 1)}
     )
     return table, facts

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabwise.operators import ask as A, profile as P, scorecards as X, sensitive as H
+from tabwise.operators import ask as A, claims as G, profile as P, quantiles as Q, scorecards as X, sensitive as H
 from tabwise.session import local_folder
 from tabwise.sources import files as S
 
@@ -46,6 +46,22 @@ def test_questions_beyond_the_plan_limit(spark, monkeypatch):
     assert sorted(map(str, A.answer_questions(df, profile, questions).collect())) == want and len(want) == 25
 
 
+def test_positions_of_large_whole_numbers(spark):
+    rows = [(0, 9007199254740993), (1, 9007199254740992), (2, -9007199254740993), (3, None), (4, 9007199254740993)]
+    df = spark.createDataFrame(rows, "_row_id long, k long")
+    for range_rows in (2_000_000, 1):
+        got = {r["_row_id"]: r["position"] for r in Q.global_positions(df, "k", range_rows=range_rows).collect()}
+        assert got == {2: 0, 1: 1, 0: 2, 4: 3}
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_whole_shares_count_as_fractions(spark, few):
+    facts = spark.createDataFrame([("d", 25.0, False), ("d", 60.0, True), ("d", 0.0, False)], "dataset_id string, value double, is_int boolean")
+    claims = spark.createDataFrame([("d", "25.4 %"), ("d", "60.4 rows"), ("d", "60 rows"), ("d", "0.04 of all")], "dataset_id string, text string")
+    got = {r["text"]: r["is_grounded"] for r in G.ground_claims(claims, facts, few_facts=few).collect()}
+    assert got == {"25.4 %": True, "60.4 rows": False, "60 rows": True, "0.04 of all": True}
+
+
 def test_no_local_folder_on_a_cluster():
     class Context:
         master = "spark://host:7077"

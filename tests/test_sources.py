@@ -53,6 +53,35 @@ def test_latin_and_quotes(spark, tmp_path):
     assert rows == [(0, 1, 'señor; "x"', True), (1, 2, "café", False)]
 
 
+def test_every_file_in_its_own_dialect(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,name\n1,"a\nb"\n2,"x ""y"", z"\n')
+    (tmp_path / "b.csv").write_text("id;name\n3;c\n")
+    (tmp_path / "c [1] é%20.csv").write_text("\n\nname,id\nd,4\n")
+    (tmp_path / "d.csv").write_bytes("id,name,more\n5,é,0.5\n".encode("latin-1"))
+    (tmp_path / "e.csv").write_text("id,name\n6,é\n7,f,too,long\n8\n")
+    (tmp_path / "empty.csv").write_text("")
+    df = S.read_delimited(spark, str(tmp_path))
+    rows = sorted((tuple(r[c] for c in ("id", "name", "more")) for r in df.collect()))
+    assert rows == [(1, "a\nb", None), (2, 'x "y", z', None), (3, "c", None), (4, "d", None), (5, "é", 0.5), (6, "é", None), (8, None, None)]
+    assert sorted(r[0] for r in df.select(ROW_ID).collect()) == list(range(7))
+
+
+def test_long_quoted_fields(spark, tmp_path):
+    long = "x, " * 50_000
+    (tmp_path / "a.csv").write_text(f'id,note\n1,"{long}"\n2,"{long}",over\n3\n')
+    assert [(r["id"], len(r["note"] or "")) for r in S.read_delimited(spark, str(tmp_path)).orderBy(ROW_ID).collect()] == [(1, 150_000), (3, 0)]
+
+
+def test_ingest_leaves_out_refused_files(spark, tmp_path):
+    (tmp_path / "good.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "also [good].csv").write_text("b;a\n4;3\n")
+    (tmp_path / "header.csv").write_text("a,b\n")
+    (tmp_path / "data.json").write_text("{}")
+    table, facts = S.ingest(spark, str(tmp_path))
+    assert sorted((r["a"], r["b"]) for r in table.collect()) == [(1, 2), (3, 4)]
+    assert {r["path"].rsplit("/", 1)[1] for r in facts.where("not is_valid and size(errors) = 1").collect()} == {"header.csv", "data.json"}
+
+
 def test_row_ids_are_dense_over_files(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"f{k}.csv").write_text("v\n" + "".join(f"{k * 100 + i}\n" for i in range(50)))
