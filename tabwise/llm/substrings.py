@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
@@ -29,24 +30,38 @@ from .common import map_rows, pick
 
 WINDOW = 13
 GRAM = 5
+NO_DOC = -(1 << 63)
 #: Text bytes of a shard, on average.
 SHARD_BYTES = 8_000_000
-REMEMBERED = 500_000
+#: Documents that are split into words at a time, where no more is needed at once.
+AT_ONCE = 1_000
 _ODD = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(WINDOW)], np.uint64)
 _ODD2 = np.array([pow(0xC2B2AE3D27D4EB4F, j + 1, 1 << 64) for j in range(WINDOW)], np.uint64)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+class Words:
+    """Words of several texts, one after another: numbers of words, their hashes, and the text of each place."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 1)
-        return h
+    def __init__(self, texts: pa.Array):
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        words, offsets = lists.flatten(), lists.offsets.to_numpy()
+        real = pc.binary_length(words).to_numpy() > 0  # spaces at either end leave empty words
+        self.words = words.filter(pa.array(real))
+        self.offsets = np.r_[0, np.cumsum(real)][offsets]
+        self.lengths = np.diff(self.offsets)
+        coded = self.words.dictionary_encode()
+        self.number = coded.indices.to_numpy()
+        self.distinct = len(coded.dictionary)
+        known = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, self.distinct)
+        self.hash = known[self.number] if self.distinct else np.zeros(0, np.uint64)
+        self.text = np.repeat(np.arange(len(texts)), self.lengths)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def __len__(self) -> int:
+        return len(self.hash)
+
+    def inside(self) -> np.ndarray:
+        """For every place where a window of words starts: does it end in the same text?"""
+        return self.text[:len(self) - WINDOW + 1] == self.text[WINDOW - 1:]
 
 
 def rolling(a: np.ndarray, n: int, odd: np.ndarray) -> np.ndarray:
@@ -68,23 +83,27 @@ def minimizers(a: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return low
 
 
+def window_hashes(a: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of hash of the windows that start at some places."""
+    return rolling(a, WINDOW, _ODD)[at], (rolling(a, WINDOW, _ODD2)[at] >> np.uint64(32)).astype(np.uint32)
+
+
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Minimizers of a batch of documents: (flags, key, doc).
 
     Flags 0 and 1 ask: is ``key`` shared?  1 knows that it is, since the batch has it in several
     documents, and asks so that other batches learn of it.  2 tells the shard of one more document.
     """
-    seen = WordHashes()
-    for batch in batches:
+    for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
+        known = pc.is_valid(batch.column(0)).to_numpy(zero_copy_only=False)
+        ids, shards = pc.fill_null(batch.column(0), 0).to_numpy(), pc.fill_null(batch.column(2), 0).to_numpy()
+        words = Words(batch.column(1))
         keys, docs, owners = [], [], []
-        for doc, text, shard in zip(*(c.to_pylist() for c in batch.columns)):
-            words = (text or "").encode().split()
-            if doc is None or len(words) < WINDOW:
-                continue
-            k = np.unique(minimizers(seen.of(words)))
+        for i in np.flatnonzero(known & (words.lengths >= WINDOW)):
+            k = np.unique(minimizers(words.hash[words.offsets[i]:words.offsets[i + 1]]))
             keys.append(k)
-            docs.append(np.full(len(k), doc, np.int64))
-            owners.append(np.full(len(k), shard, np.int32))
+            docs.append(np.full(len(k), ids[i], np.int64))
+            owners.append(np.full(len(k), shards[i], np.int32))
         if not keys:
             continue
         key, doc, shard = np.concatenate(keys), np.concatenate(docs), np.concatenate(owners)
@@ -136,29 +155,29 @@ def _answer_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(dd), pa.array(kk)], ["doc", "key"])
 
 
-def _texts(table: pa.Table) -> Iterator[tuple[int | None, list[bytes]]]:
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
+    """Ids (the smallest number where there is none) and texts of packed documents."""
     unpack = zstandard.ZstdDecompressor()
-    for batch in table.select(["doc", "z"]).to_batches(max_chunksize=64):
-        for doc, z in zip(*(c.to_pylist() for c in batch.columns)):
-            yield doc, unpack.decompress(z).split()
+    texts = pa.array((unpack.decompress(z) for z in table.column("z").to_pylist()), pa.large_binary()).cast(pa.large_string())
+    return pc.fill_null(table.column("doc"), NO_DOC).to_numpy(), texts
 
 
 def _windows(docs: pa.Table, keys: pa.Table) -> pa.Table:
     """One row per distinct window of a shard with a shared minimizer: hashes, smallest document, in several documents or not."""
     wanted = np.unique(keys.column("key").to_numpy().view(np.uint64))
-    seen = WordHashes()
     found: list[tuple[np.ndarray, ...]] = []
-    if len(wanted):
-        for doc, words in _texts(docs):
-            if doc is None or len(words) < WINDOW:
-                continue
-            a = seen.of(words)
-            low = minimizers(a)
-            near = np.searchsorted(wanted, low)
-            at = np.flatnonzero(wanted[np.minimum(near, len(wanted) - 1)] == low)
-            if len(at):
-                h1, h2 = rolling(a, WINDOW, _ODD)[at], (rolling(a, WINDOW, _ODD2)[at] >> np.uint64(32)).astype(np.uint32)
-                found.append((h1, h2, np.full(len(at), doc, np.int64)))
+    for first in range(0, docs.num_rows if len(wanted) else 0, AT_ONCE):
+        ids, texts = _unpacked(docs.slice(first, AT_ONCE))
+        words = Words(texts)
+        if len(words) < WINDOW:
+            continue
+        low = minimizers(words.hash)
+        near = np.searchsorted(wanted, low)
+        at = np.flatnonzero((wanted[np.minimum(near, len(wanted) - 1)] == low) & words.inside())
+        at = at[ids[words.text[at]] != NO_DOC]
+        if len(at):
+            h1, h2 = window_hashes(words.hash, at)
+            found.append((h1, h2, ids[words.text[at]]))
     if found:
         h1, h2, doc = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(h1, kind="stable")
@@ -194,23 +213,26 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[say]) for x in (doc, h1, h2, owner)], ["doc", "h1", "h2", "owner"])
 
 
-def automaton(phrases: list[list[bytes]]):
-    """Aho-Corasick automaton over phrases of GRAM words, two letters a word, and the letters of each word.
+def automaton(phrases: np.ndarray, distinct: int) -> tuple[ahocorasick.Automaton, np.ndarray]:
+    """Aho-Corasick automaton over phrases of GRAM word numbers, two letters a word, and the letters of all words.
 
     Letters are numbered in a square just large enough, which keeps the branching of a state small."""
-    numbers: dict[bytes, int] = {}
-    for phrase in phrases:
-        for w in phrase:
-            numbers.setdefault(w, len(numbers))
-    side = int(len(numbers) ** 0.5) + 2
-    letters = {w: chr(256 + n // side) + chr(256 + n % side) for w, n in numbers.items()}
+    used = np.unique(phrases)
+    side = int(len(used) ** 0.5) + 2
+    letters = np.full((distinct, 2), 1, np.uint32)
+    letters[used] = 256 + np.stack(np.divmod(np.arange(len(used)), side), 1)
     built = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for phrase in phrases:
-        built.add_word("".join(map(letters.__getitem__, phrase)))
+    text = spelled(letters, phrases.ravel())
+    for at in range(0, len(text), 2 * GRAM):
+        built.add_word(text[at:at + 2 * GRAM])
     built.make_automaton()
     return built, letters
 
 
+def spelled(letters: np.ndarray, numbers: np.ndarray) -> str:
+    return letters[numbers].astype("<u4").tobytes().decode("utf-32-le")
+
+
 def _lookup(h1, h2, owner, r1: np.ndarray, r2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Owners of windows and whether they are confirmed; equal h1 may stand for several windows."""
     at = np.searchsorted(h1, r1)
@@ -233,58 +255,43 @@ def _remove(docs: pa.Table, known: pa.Table, keep_text: bool) -> pa.Table:
     h1, h2, owner = known.column("h1").to_numpy().view(np.uint64), known.column("h2").to_numpy().view(np.uint32), known.column("owner").to_numpy()
     order = np.argsort(h1, kind="stable")
     h1, h2, owner = h1[order], h2[order], owner[order]
-    seen = WordHashes()
-    phrases: list[list[bytes]] = []
-    if len(h1):
-        # the phrases of confirmed windows are read off the first place where they stand
-        have: set[int] = set()
-        done = np.zeros(len(h1), bool)
-        for doc, words in _texts(docs):
-            if doc is None or len(words) < WINDOW:
-                continue
-            a = seen.of(words)
-            r1 = rolling(a, WINDOW, _ODD)
-            near = np.minimum(np.searchsorted(h1, r1), len(h1) - 1)
-            hit = np.flatnonzero(h1[near] == r1)
-            hit = hit[~done[near[hit]]]
-            if not len(hit):
-                continue
-            done[near[hit]] = True
-            gram = rolling(a, GRAM, _ODD)
-            value, place = np.unique(gram, return_index=True)
-            for v in np.unique(minimizers(a)[hit]).tolist():
-                if v not in have:
-                    have.add(v)
-                    p = place[np.searchsorted(value, np.uint64(v))]
-                    phrases.append(words[p:p + GRAM])
-    search, letters = automaton(phrases) if phrases else (None, {})
-    get, other = letters.get, chr(1) * 2
-    out: list[tuple] = []
-    for doc, words in _texts(docs):
-        n = len(words)
-        kept = words
-        if search is not None and doc is not None and n >= WINDOW:
-            ends = np.fromiter((end for end, _ in search.iter("".join([get(w, other) for w in words]))), np.int64)
-            ends = ends[ends % 2 == 1] // 2
-            if len(ends):
-                m = n - WINDOW + 1
-                near = np.zeros(m + 1, np.int32)  # windows that hold a phrase which ends at word e start in e-12 .. e-4
-                np.add.at(near, np.clip(ends - WINDOW + 1, 0, m), 1)
-                np.add.at(near, np.clip(ends - GRAM + 2, 0, m), -1)
-                at = np.flatnonzero(np.cumsum(near[:m]) > 0)
-                a = seen.of(words)
-                own, found = _lookup(h1, h2, owner, rolling(a, WINDOW, _ODD)[at], (rolling(a, WINDOW, _ODD2)[at] >> np.uint64(32)).astype(np.uint32))
-                at = at[found & (own < doc)]
-                if len(at):
-                    cover = np.zeros(n + 1, np.int32)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + WINDOW, -1)
-                    kept = [words[i] for i in np.flatnonzero(np.cumsum(cover[:n]) == 0).tolist()]
-        text = b" ".join(kept)
-        out.append((doc, n, n - len(kept), hashlib.sha256(text).hexdigest(), text.decode() if keep_text else None))
-    cols = list(zip(*out)) if out else [()] * 5
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
-    return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+    ids, texts = _unpacked(docs)
+    words = Words(texts)
+    keep = np.ones(len(words), bool)
+    phrases = _phrases(words, h1) if len(h1) and len(words) >= WINDOW else np.zeros(0, np.int64)
+    if len(phrases):
+        search, letters = automaton(words.number[phrases[:, None] + np.arange(GRAM)], words.distinct)
+        ends = np.fromiter((end for end, _ in search.iter(spelled(letters, words.number))), np.int64)
+        ends = ends[ends % 2 == 1] // 2
+        m = len(words) - WINDOW + 1
+        near = np.zeros(m + 1, np.int32)  # windows that hold a phrase which ends at word e start in e-12 .. e-4
+        np.add.at(near, np.clip(ends - WINDOW + 1, 0, m), 1)
+        np.add.at(near, np.clip(ends - GRAM + 2, 0, m), -1)
+        at = np.flatnonzero((np.cumsum(near[:m]) > 0) & words.inside())
+        own, found = _lookup(h1, h2, owner, *window_hashes(words.hash, at))
+        at = at[found & (own < ids[words.text[at]])]
+        cover = np.zeros(len(words) + 1, np.int32)
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + WINDOW, -1)
+        keep = np.cumsum(cover[:-1]) == 0
+    offsets = np.r_[0, np.cumsum(keep)][words.offsets]
+    left = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words.words.filter(pa.array(keep))), pa.scalar(" ", pa.large_string()))
+    digests = [hashlib.sha256(t).hexdigest() for t in left.cast(pa.large_binary()).to_pylist()]
+    return pa.table({
+        "doc_id": docs.column("doc"), "n_words": pa.array(words.lengths, pa.int64()), "n_removed": pa.array(words.lengths - np.diff(offsets), pa.int64()),
+        "kept_sha256": pa.array(digests, pa.string()), "kept_text": left.cast(pa.string()) if keep_text else pa.nulls(len(left), pa.string()),
+    })
+
+
+def _phrases(words: Words, h1: np.ndarray) -> np.ndarray:
+    """Places of the minimizer phrases of confirmed windows, one place for each phrase."""
+    r1 = rolling(words.hash, WINDOW, _ODD)
+    near = np.minimum(np.searchsorted(h1, r1), len(h1) - 1)
+    at = np.flatnonzero((h1[near] == r1) & words.inside())
+    value, first = np.unique(minimizers(words.hash)[at], return_index=True)
+    gram = rolling(words.hash, GRAM, _ODD)
+    inside = gram[at[first][:, None] + np.arange(WINDOW - GRAM + 1)] == value[:, None]
+    return at[first] + inside.argmax(1)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, shard_bytes: int = SHARD_BYTES) -> DataFrame:
