@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 Each word enters by a word part and a character part (its prefixes and inner four-byte grams), both
-hashed to buckets with an evidence weight and a learned vector.  The network reads overlapping windows
+hashed to buckets with an evidence weight and a learned vector.  A run too long for one word, as in
+scripts without spaces, is cut into overlapping pieces, each a word of its own.  The network reads overlapping windows
 of words in both directions, attention pools each window, and a text scores as its highest window.
 It is fitted on a bounded sample of labelled rows; scoring covers every window of every text.
 """
@@ -21,8 +22,10 @@ from .common import keep_rows, pick, ship
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 WINDOW, STRIDE = 32, 16
 BUCKETS = 1 << 16
-#: Bytes of a word that enter its character part.
+#: Most bytes of a word.
 WORD_BYTES = 24
+#: A longer run becomes pieces of so many bytes, one from each STEP bytes on (three letters at every letter in most scripts without spaces).
+PIECE, STEP = 9, 3
 HIDDEN, EMBED = 8, 4
 #: The fit uses at most so many labelled rows of either label, none longer than the bytes stated.
 FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 2_500, 3_500, 20_000
@@ -34,6 +37,20 @@ CUT = 0.7
 REMEMBERED = 400_000
 
 
+def pieces(runs: list[bytes]) -> list[bytes]:
+    """Words of runs of letters: a run itself, or its overlapping pieces if it is longer than WORD_BYTES."""
+    if not runs or max(map(len, runs)) <= WORD_BYTES:
+        return runs
+    out = []
+    for run in runs:
+        out += [run] if len(run) <= WORD_BYTES else [run[at:at + PIECE] for at in range(0, len(run) - PIECE + STEP, STEP)]
+    return out
+
+
+def _words(text: str | None) -> list[bytes]:
+    return pieces(WORD.findall((text or "").encode().lower()))
+
+
 def word_features(words: list[bytes], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Word bucket (n) and character buckets (n, k) of words; -1 where a word has no such gram."""
     parts = [_word_features(words[at:at + at_once]) for at in range(0, max(1, len(words)), at_once)]
@@ -214,7 +231,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5, epochs: int
     """Fit on texts with labels 0 and 1; None if a label is missing.  The same rows in the same order give the same model."""
     rng = np.random.default_rng(seed)
     vocab: dict[bytes, int] = {}
-    ids = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in WORD.findall((t or "").encode().lower())), np.int32) for t in texts]
+    ids = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in _words(t)), np.int32) for t in texts]
     y = np.array(labels)
     if len(set(labels)) < 2 or min(np.bincount(y, minlength=2)) < 4:
         return None
@@ -330,7 +347,7 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def text_logits(model: Model, texts: list[list[bytes]]) -> np.ndarray:
     """Highest window logit of each text."""
-    return _Scorer(model)(texts)
+    return _Scorer(model)([pieces(t) for t in texts])
 
 
 class _Scorer:
@@ -380,10 +397,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([t for t, _ in rows], [l for _, l in rows])
 
 
-def _words(text: str | None) -> list[bytes]:
-    return WORD.findall((text or "").encode().lower())
-
-
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The documents that score below the cut, with all of their columns; all of them if there is nothing to learn from."""
     model = fit(docs, labels, id_col, text_col, label_col)

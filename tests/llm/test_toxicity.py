@@ -82,3 +82,34 @@ def test_nothing_to_learn_from(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic long")
     assert [r.score for r in X.score_toxicity(docs, labels).collect()] == [0.0, 0.0]
     assert X.score_toxicity(docs.limit(0), labels).count() == 0 and X.drop_toxic(docs, labels).count() == 2
+
+
+def test_pieces_hold_every_byte_and_gram():
+    for n in [*range(1, 130), 1000]:
+        run = bytes(33 + (i * i + i // 7) % 90 for i in range(n))
+        got = X.pieces([b"ab", run])[1:]
+        at = [0] if n <= X.WORD_BYTES else list(range(0, n - X.PIECE + X.STEP, X.STEP))
+        size = n if n <= X.WORD_BYTES else X.PIECE
+        assert got == [run[a:a + size] for a in at] and X.pieces(got) == got
+        assert {a + j for a, g in zip(at, got) for j in range(len(g))} == set(range(n))
+        inner = {a + j for a, g in zip(at, got) for j in range(1, len(g) - 3)}
+        assert inner == set(range(1, n - 3))
+
+
+def unspaced(n, seed, letters, bad):
+    """One run of letters a text; in every third, toxic letters stand somewhere behind byte 24."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        run = "".join(r.choices(letters, k=r.randint(40, 160)))
+        at = r.randint(24, len(run))
+        out.append((run[:at] + r.choice(bad) + run[at:] if i % 3 == 0 else run, int(i % 3 == 0)))
+    return out
+
+
+def test_toxic_piece_behind_byte_24_of_an_unspaced_run():
+    for letters, bad in (("abdefgh", ["zorkung", "vexilzork"]), ("人大天日月水火木", ["死鬼毒苦"])):
+        rows = unspaced(450, 7, letters, bad)
+        model = X.train([t for t, _ in rows[:330]], [y for _, y in rows[:330]])
+        hit = model.score(X.text_logits(model, [X.WORD.findall(t.encode()) for t, _ in rows[330:]])) >= X.CUT
+        assert (hit == np.array([y == 1 for _, y in rows[330:]])).mean() > 0.9
