@@ -1,8 +1,8 @@
 """License scan: ordered signature rules behind a keyword gate.
 
 A text is cut into words and put back with single spaces, so one rule text covers every way of
-writing it.  Each rule belongs to a license (label), has a priority and needs its keywords to occur
-before its expression is tried.  Detections are taken from the highest priority down; one that lies
+writing it.  Each rule belongs to a license (label), has a priority and needs one keyword of each of its
+sets to occur before its expression is tried; every alternative of the expression holds one of each.  Detections are taken from the highest priority down; one that lies
 inside a taken one is suppressed.
 """
 
@@ -20,9 +20,9 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Phrases whose words must follow each other, and their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
-#: Licenses: label, keyword, name, short identifier (expressions over lower-case words with single spaces).
+#: Licenses: label, keywords of which every name has one (split by |), name, short identifier (expressions over lower-case words with single spaces).
 LICENSES = [
-    ("mit", "mit", r"(?:mit|expat|x11) (?:style )?licen[sc]e", r"mit(?: 0)?"),
+    ("mit", "mit|expat|x11", r"(?:mit|expat|x11) (?:style )?licen[sc]e", r"mit(?: 0)?"),
     ("apache-2.0", "apache", r"apache (?:software )?licen[sc]e (?:version |v ?)?2(?: 0)?", r"apache 2 0"),
     ("apache-1.1", "apache", r"apache (?:software )?licen[sc]e (?:version |v ?)?1 1", r"apache 1 1"),
     ("apache", "apache", r"apache (?:software )?licen[sc]e", r"apache"),
@@ -41,7 +41,7 @@ LICENSES = [
     ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)(?: licen[sc]e)?", r"bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:modified bsd|new bsd|revised bsd|bsd 3 clause|3 clause bsd)(?: licen[sc]e)?", r"bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd)(?: licen[sc]e)?", r"bsd 4 clause"),
-    ("bsd-0-clause", "bsd", r"(?:zero clause bsd|bsd 0 clause|0 clause bsd|free public licen[sc]e 1 0 0)", r"0bsd"),
+    ("bsd-0-clause", "bsd|free public", r"(?:zero clause bsd|bsd 0 clause|0 clause bsd|free public licen[sc]e 1 0 0)", r"0bsd"),
     ("bsd", "bsd", r"bsd (?:style )?licen[sc]e", r"bsd"),
     ("cc0-1.0", "cc0", r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?", r"cc0 1 0"),
     ("cc0-1.0", "commons", r"creative commons zero(?: v?1 0)?(?: universal)?", r"cc zero"),
@@ -51,7 +51,7 @@ LICENSES = [
     ("cc-by-nd", "cc by nd", r"cc by nd(?: [1-4] [05])?(?: licen[sc]e)?", r"cc by nd(?: [1-4] [05])?"),
     ("cc-by-sa", "cc by sa", r"cc by sa(?: [1-4] [05])?(?: licen[sc]e)?", r"cc by sa(?: [1-4] [05])?"),
     ("cc-by", "cc by", r"cc by(?: [1-4] [05])?(?: licen[sc]e)?", r"cc by(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "noderiv", r"creative commons attribution non ?commercial no ?deriv(?:s|ative|atives)(?: works)?(?: [1-4] [05])?", r"by nc nd"),
+    ("cc-by-nc-nd", "deriv", r"creative commons attribution non ?commercial no ?deriv(?:s|ative|atives)(?: works)?(?: [1-4] [05])?", r"by nc nd"),
     ("cc-by-nc-sa", "alike", r"creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?", r"by nc sa"),
     ("cc-by-nc", "commercial", r"creative commons attribution non ?commercial(?: [1-4] [05])?", r"by nc"),
     ("cc-by-nd", "deriv", r"creative commons attribution no ?deriv(?:s|ative|atives)(?: works)?(?: [1-4] [05])?", r"by nd"),
@@ -104,11 +104,11 @@ LICENSES = [
     ("elastic-2.0", "elastic", r"elastic licen[sc]e(?: (?:version |v ?)?2(?: 0)?)?", r"elastic 2 0"),
 ]
 
-#: Ways of naming a license: priority, keyword, weight, expression around the name or the identifier.
+#: Ways of naming a license: priority, keywords of which every way has one, weight, expression around the name or the identifier.
 FORMS = [
     (50, "spdx", 1.0, r"spdx licen[sc]e identifier (?:{short})"),
     (40, "under", 0.95, r"(?:licen[sc]ed|released|distributed|available|published|provided|covered|redistribute it) (?:to you )?under (?:the )?(?:terms of )?(?:the )?(?:{name}|{short} licen[sc]e)"),
-    (35, "licen", 0.85, r"(?:see|read|refer to|copy of|text of|terms of) (?:the )?(?:{name})"),
+    (35, "", 0.85, r"(?:see|read|refer to|copy of|text of|terms of) (?:the )?(?:{name})"),
     (30, "licen", 0.8, r"licen[sc]e (?:is )?(?:the )?(?:{short})"),
     (20, "", 0.7, r"(?:{name})"),
 ]
@@ -129,8 +129,8 @@ MARKS = [
 
 
 @lru_cache(maxsize=1)
-def rules() -> list[tuple[int, str, tuple[bytes, ...], float, re.Pattern]]:
-    """All rules, highest priority first: priority, label, keywords that must occur, weight, expression."""
+def rules() -> list[tuple[int, str, tuple[tuple[bytes, ...], ...], float, re.Pattern]]:
+    """All rules, highest priority first: priority, label, sets of keywords of which one each must occur, weight, expression."""
     found = []
     for label, key, name, short in LICENSES:
         for priority, word, weight, form in FORMS:
@@ -139,18 +139,18 @@ def rules() -> list[tuple[int, str, tuple[bytes, ...], float, re.Pattern]]:
                 keys = [word]
             found.append((priority, label, keys, weight, form.format(name=name, short=short)))
     found += [(priority, label, [key], weight, text) for label, priority, key, weight, text in MARKS]
-    ready = [(p, label, tuple(k.encode() for k in keys if k), w, re.compile(rb"(?<= )(?:" + text.encode() + rb")(?= )")) for p, label, keys, w, text in found]
+    ready = [(p, label, tuple(tuple(k.encode().split(b"|")) for k in keys if k), w, re.compile(rb"(?<= )(?:" + text.encode() + rb")(?= )")) for p, label, keys, w, text in found]
     return sorted(ready, key=lambda r: -r[0])
 
 
 def detect(line: bytes) -> list[tuple[int, int, str, float]]:
     """Detections in a line of words with a space before and after each: start, end, label, weight."""
-    seen: dict[bytes, bool] = {}
+    seen: dict[tuple[bytes, ...], bool] = {}
     hits = []
     for order, (priority, label, keys, weight, text) in enumerate(rules()):
         for k in keys:
             if k not in seen:
-                seen[k] = k in line
+                seen[k] = any(x in line for x in k)
         if all(seen[k] for k in keys):
             hits += [(-priority, m.start() - m.end(), m.start(), order, m.end(), label, weight) for m in text.finditer(line)]
     kept: list[tuple[int, int, str, float]] = []

@@ -46,3 +46,54 @@ def test_empty_table_and_other_columns(spark):
     assert L.scan_licenses(spark.createDataFrame([], "doc_id long, text string, labels int")).count() == 0
     df = spark.createDataFrame([(1, "mit license", "x", None)], "doc_id long, text string, Text string, labels string")
     assert [r.labels for r in L.scan_licenses(df).collect()] == ["mit"]
+
+
+def spelled(text):
+    """All texts that an expression of the rules matches."""
+    def many(nodes):
+        out = [""]
+        for op, arg in nodes:
+            name = str(op)
+            if name == "LITERAL":
+                ends = [chr(arg)]
+            elif name == "IN":
+                ends = [chr(c) for o, a in arg for c in ([a] if str(o) == "LITERAL" else [*range(a[0], a[1] + 1)])]
+            elif name == "MAX_REPEAT":
+                ends = ["", *many(arg[2])]
+                assert arg[:2] == (0, 1)
+            elif name == "SUBPATTERN":
+                ends = many(arg[3])
+            else:
+                assert name == "BRANCH", name
+                ends = [x for branch in arg[1] for x in many(branch)]
+            out = [a + b for a in out for b in ends]
+        return out
+    return many(re._parser.parse(text))
+
+
+def test_keywords_hide_no_alternative():
+    names = [(label, key, x) for label, key, name, _ in L.LICENSES for x in spelled(name)]
+    for label, key, name in names:
+        assert any(k in name for k in key.split("|")), (label, key, name)
+        assert any(g in f" {name} ".encode() for g in L.GATE), name
+    for _, word, _, form in L.FORMS:
+        for x in spelled(form.replace("{name}", "N").replace("{short}", "S")):
+            assert not word or any(k in x for k in word.split("|")), (word, x)
+    for _, _, word, _, text in L.MARKS:
+        for x in spelled(text):
+            assert any(k in x for k in word.split("|")) and any(g in x.encode() for g in L.GATE), x
+
+
+def test_detections_are_the_same_without_keywords(monkeypatch):
+    texts = [x for _, _, name, short in L.LICENSES for n in (spelled(name)[::7], spelled(short)[:2]) for y in n for x in (y, "see the " + y, "license " + y)]
+    lines = [f" a {x} b ".encode() for x in texts]
+    got = [L.detect(line) for line in lines]
+    bare = [(p, label, (), w, e) for p, label, _, w, e in L.rules()]
+    monkeypatch.setattr(L, "rules", lambda: bare)
+    assert got == [L.detect(line) for line in lines]
+    assert [L.scan_text(t)[2][0][2:] for t in ("X11 License", "see the Expat License", "Free Public License 1.0.0")] == [("mit", 0.7), ("mit", 0.85), ("bsd-0-clause", 0.7)]
+
+
+def test_no_derivative_works_is_not_the_weaker_license():
+    text = "licensed under a Creative Commons Attribution-Noncommercial-No Derivative Works 3.0 License"
+    assert [x[2] for x in L.scan_text(text)[2] if x[2].startswith("cc")] == ["cc-by-nc-nd"]
