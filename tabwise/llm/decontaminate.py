@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so a question whose parameters were changed has
 the same template.  Windows of template tokens of the benchmark are matched by hash against those of
 every document; matches that line up cover an item, and the values behind its placeholders must map
-consistently from item to document.
+consistently from item to document.  All windows are matched a second time by their lower-case words
+alone, so exact copies are found whatever they are made of.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from .common import keep_rows, map_rows, pick, ship
 
 #: Template tokens of a window; items with fewer have one window, as long as they are.
 WINDOW = 8
-#: Least tokens of an item that can be found at all.
+#: Least tokens of an item that can be found with other values; an exact copy is found from one word on.
 LEAST = 3
-#: Part of a window's tokens that must be words of its own, not placeholders.
+#: Part of a template window's tokens that must be words of its own, not placeholders.
 LITERAL = 0.5
 #: An item counts as leaked if so large a part, or so many of its tokens in a row, is covered.
 COVER, RUN = 0.5, 13
@@ -42,6 +43,8 @@ UNITS = frozenset(
 _STRIP = b".,;:!?\"'()[]{}<>*_`"
 _ENDS = b".!?:"
 NUM, NAME, UNIT = (np.uint64(xxhash.xxh64_intdigest(x, 7) & ~15) for x in (b"<num>", b"<name>", b"<unit>"))
+#: Of a token that is punctuation only.
+NO_WORD = np.uint64(xxhash.xxh64_intdigest(b"", 7) & ~15)
 _ODD = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(WINDOW)], np.uint64)
 
 
@@ -57,11 +60,12 @@ class _Tokens(dict):
         h = self[raw] = (xxhash.xxh64_intdigest(low, 7) & ~15) | flags
         return h
 
-    def template(self, words: list[bytes]) -> np.ndarray:
-        """Template hashes: placeholders for numbers, capitals within a sentence and units after a number."""
+    def template(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of lower-case words, and of the template: placeholders for numbers, capitals within a sentence and units after a number."""
         a = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
         f = (a & np.uint64(15)).astype(np.uint8)
-        h = a & np.uint64(0xFFFFFFFFFFFFFFF0)
+        plain = a & np.uint64(0xFFFFFFFFFFFFFFF0)
+        h = plain.copy()
         number, inside = (f & 1) > 0, np.zeros(len(a), bool)
         after_number = np.zeros(len(a), bool)
         inside[1:] = (f[:-1] & 4) == 0
@@ -69,7 +73,7 @@ class _Tokens(dict):
         h[((f & 2) > 0) & inside & ~number] = NAME
         h[((f & 8) > 0) & after_number] = UNIT
         h[number] = NUM
-        return h
+        return plain, h
 
 
 def _hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -86,28 +90,36 @@ def _slot(h: np.uint64) -> bool:
 
 @dataclass
 class Index:
-    """Windows of benchmark items by length: sorted hashes with item and place; the items' words and templates."""
+    """Windows of benchmark items by kind (1 template, 0 words) and length: sorted hashes with item and place; the items' words and slots."""
 
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    windows: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
     words: list[list[bytes]]
     slots: list[np.ndarray]
     ids: list[int]
 
 
 def build_index(items: list[tuple[int, str]]) -> Index:
-    """Index of (item id, text); null texts and texts of fewer than LEAST words have no window."""
+    """Index of (item id, text); null texts and texts without words have no window.
+
+    A template without placeholders is left to the windows of words, which match wherever it would.
+    """
     tokens, words, slots, found = _Tokens(), [], [], defaultdict(list)
     for k, (_, text) in enumerate(items):
         w = (text or "").encode().split()
-        h = tokens.template(w)
+        plain, h = tokens.template(w)
         slot = np.isin(h, np.array([NUM, NAME, UNIT]))
         words.append(w)
         slots.append(slot)
         n = min(len(w), WINDOW)
+        if n == 0:
+            continue
+        for place, x in enumerate(_hashes(plain, n)):
+            if (plain[place:place + n] != NO_WORD).any():
+                found[0, n].append((int(x), k, place))
         if n >= LEAST:
             for place, x in enumerate(_hashes(h, n)):
-                if (~slot[place:place + n]).sum() >= LITERAL * n:
-                    found[n].append((int(x), k, place))
+                if slot[place:place + n].any() and (~slot[place:place + n]).sum() >= LITERAL * n:
+                    found[1, n].append((int(x), k, place))
     windows = {}
     for n, rows in found.items():
         rows.sort()
@@ -118,14 +130,14 @@ def build_index(items: list[tuple[int, str]]) -> Index:
 def leaks(text: str | None, index: Index, tokens: _Tokens) -> list[dict]:
     """Items of which a text holds enough, each with its coverage, kind and first word."""
     words = (text or "").encode().split()
-    if len(words) < LEAST:
+    if not words:
         return []
-    h = tokens.template(words)
+    hashes = tokens.template(words)
     hits: dict[int, set[tuple[int, int]]] = defaultdict(set)
-    for n, (keys, item, place) in index.windows.items():
-        if len(h) < n:
+    for (kind, n), (keys, item, place) in index.windows.items():
+        if len(words) < n:
             continue
-        x = _hashes(h, n)
+        x = _hashes(hashes[kind], n)
         at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
         for i in np.flatnonzero(keys[at] == x).tolist():
             k = int(at[i])
@@ -153,7 +165,7 @@ def leaks(text: str | None, index: Index, tokens: _Tokens) -> list[dict]:
             total = same = 0
             for a, b in sorted(by_shift[shift]):
                 if slot[a]:
-                    v, w = own[a].strip(_STRIP), words[b].strip(_STRIP)
+                    v, w = own[a].strip(_STRIP).lower(), words[b].strip(_STRIP).lower()
                     to[v][w] += 1
                     total += 1
                     same += v == w
@@ -172,7 +184,7 @@ def _parts(benchmark: DataFrame, id_col: str, text_col: str, max_windows: int) -
     """Indexes of the benchmark, none with more windows than stated (or one item)."""
     parts, held, size = [], [], 0
     for r in pick(benchmark, id_col, text_col).toDF("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        n = len((r.text or "").split())
+        n = 2 * len((r.text or "").split())
         if held and size + n > max_windows:
             parts.append(build_index(held))
             held, size = [], 0

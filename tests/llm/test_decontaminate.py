@@ -49,3 +49,24 @@ def test_empty_tables(spark):
     d, b = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.find_leaks(d, b).count() == 0 and D.drop_leaks(d, b).count() == 1
     assert D.find_leaks(d.limit(0), spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")).count() == 0
+
+
+def test_exact_copies_of_any_kind(spark):
+    items = ["The series 2, 4, 8, 16, 32, 64, 128, 256", "1 2 3 4 5 6 7 8 9 10 11 12", "Anna Berta Clara Dora Emma Frida Greta Hanna Ida", "Who Was The First President Of The United States?",
+             "WHICH CITY IS LARGEST?", "What is the capital of Peru?", "Photosynthesis", "plate tectonics", None, "", "..."]
+    texts = [f"Exercises\n{t}\nThen more ... of this" for t in items if t] + ["who was the first president of the united states", "Anna met Berta 2, 4 times", "photo synthesis of plate and tectonics", "", None]
+
+    def plain(t):
+        return [w.strip(".,?").lower() for w in (t or "").split()]
+
+    def holds(t, q):
+        a, b = plain(t), plain(q)
+        return any(b) and any(a[i:i + len(b)] == b for i in range(len(a) - len(b) + 1))
+
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(i, k) for i, t in enumerate(texts) for k, q in enumerate(items) if holds(t, q)}
+    assert len(want) >= 9
+    for bound in (D.MAX_WINDOWS, 20):
+        assert {(x.doc_id, x.item_id) for x in D.find_leaks(d, b, max_windows=bound).collect() if x.kind == "exact"} == want
+    assert D.drop_leaks(d, b).count() == len(texts) - len({i for i, _ in want})
