@@ -178,7 +178,7 @@ def failure_alerts(spark, d):
 def stream_intake(spark, d):
     out = scratch(spark, "intake")
     schema = table(spark, d, "orders").schema
-    handler = T.profile_and_clean(out, "o_orderkey", ["o_orderdate"])
+    handler = T.profile_and_clean(out, "o_orderkey")
     T.intake(spark, d, schema, handler, out + "-state", pathGlobFilter="orders.parquet").awaitTermination()
     return spark.read.parquet(f"{out}/cleaned").select("_row_id", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
 
@@ -186,7 +186,7 @@ def stream_intake(spark, d):
 @query("SELECT count(*) AS n_rows, CAST(5 AS INTEGER) AS n_columns FROM customer")
 def full_analysis(spark, d):
     df = table(spark, d, "customer").withColumn(ROW_ID, F.col("c_custkey"))
-    return analyse(df, "customers", train=False).facts.shape
+    return analyse(df, "customers").facts.shape
 
 
 @query("SELECT 'csv' AS file_type, 'utf-8' AS encoding, count(*) AS n_rows, CAST((SELECT count(*) FROM (DESCRIBE supplier)) AS INTEGER) AS n_columns FROM supplier")

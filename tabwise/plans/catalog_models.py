@@ -162,19 +162,19 @@ _FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linestatus"]
 
 @query()
 def leaderboard_classification(spark, d):
-    board, _, _ = M.train_models(view(spark, d, CASES), "churn", _FEATURES, "classification", "_row_id", trees=10, rounds=5)
+    board, _, _ = M.train_models(view(spark, d, CASES), "churn", _FEATURES, "classification", "_row_id")
     return board.select("model", "status", F.explode_outer("metrics").alias("metric", "value"))
 
 
 @query()
 def leaderboard_regression(spark, d):
-    board, _, _ = M.train_models(view(spark, d, CASES), "l_extendedprice", _FEATURES, "regression", "_row_id", trees=10, rounds=5)
+    board, _, _ = M.train_models(view(spark, d, CASES), "l_extendedprice", _FEATURES, "regression", "_row_id")
     return board.select("model", "status", F.explode_outer("metrics").alias("metric", "value"))
 
 
 @query()
 def feature_importance(spark, d):
-    _, models, split = M.train_models(view(spark, d, CASES), "l_extendedprice", _FEATURES, "regression", "_row_id", trees=10, rounds=5, only=["random_forest"])
+    _, models, split = M.train_models(view(spark, d, CASES), "l_extendedprice", _FEATURES, "regression", "_row_id", only=["random_forest"])
     return M.feature_importance(models["random_forest"], models["random_forest"].transform(split.where("is_test")))
 
 
@@ -189,7 +189,7 @@ def model_round_trip(spark, d):
 @query()
 def model_status(spark, d):
     df = view(spark, d, CASES).drop("flag_copy", "shadow")
-    out = M.model_status(df, P.profile_columns(df), "_row_id", "churn", trees=5, rounds=3, only=["logistic_regression"])
+    out = M.model_status(df, P.profile_columns(df), "_row_id", "churn")
     return local_table(spark, [(out["status"], out.get("target"), out.get("task"), out.get("selected_model"))], "status string, target string, task string, selected_model string")
 
 

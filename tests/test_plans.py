@@ -74,3 +74,26 @@ def test_same_result_under_other_partitioning(spark):
         assert sorted(map(str, P.profile_columns(df.repartition(9)).collect())) == before
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_queries_train_with_the_defaults(monkeypatch):
+    from tabwise.plans import catalog_io, catalog_models
+
+    class Seen(Exception):
+        pass
+
+    def seen(*args, **named):
+        raise Seen(named)
+
+    for name in ("view", "table"):
+        for module in (catalog_io, catalog_models):
+            monkeypatch.setattr(module, name, lambda *a: type("T", (), {"drop": lambda s, *c: s, "withColumn": lambda s, *c: s})())
+    for name in ("train_models", "model_status"):
+        monkeypatch.setattr(catalog_models.M, name, seen)
+    monkeypatch.setattr(catalog_models.P, "profile_columns", lambda *a: None)
+    monkeypatch.setattr(catalog_io, "analyse", seen)
+    monkeypatch.setattr(catalog_io.F, "col", lambda *a: None)
+    for name in ("leaderboard_classification", "leaderboard_regression", "feature_importance", "model_status", "full_analysis"):
+        with pytest.raises(Seen) as found:
+            QUERIES[name](None, SMALL)
+        assert not set(found.value.args[0]) & {"trees", "rounds", "train"} and (name == "feature_importance" or "only" not in found.value.args[0]), name
