@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 
 from tabwise.llm import secrets as S
 from tabwise.llm.queries import QUERIES
@@ -69,3 +70,20 @@ def test_rows(spark):
 def test_query_columns(spark):
     out = QUERIES["op8_secret_scan"](spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+
+
+def test_candidates_without_a_digit():
+    text = "aBcDeFgHiJkLm abcd-efgh/ijkl Internationally INTERNATIONAL international ========== abc12345678"
+    assert [text[a:b] for a, b in S.candidates(text)] == ["aBcDeFgHiJkLm", "abcd-efgh/ijkl", "abc12345678"]
+
+
+def test_threshold_keeps_recall_of_rows_left_out(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(900):
+        n = 24 if i % 8 == 0 else 23  # the patterns take 24 of them, and those are hard to tell from 23
+        rows.append((i, "some words then the " + "".join(r.choices("0123456789abcdef", k=n)) + " and so"))
+    net = S.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    left = [t for i, t in rows if zlib.crc32(str(i).encode()) % 4 == 0]
+    best = [net.probability(net.logits(S.encode(t, a, b))).max() for x in left for t, a, b, y in S.labelled(x) if y]
+    assert len(best) > 10 and sum(p >= net.threshold for p in best) >= S.RECALL * len(best)
