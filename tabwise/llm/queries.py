@@ -1,4 +1,4 @@
-"""Queries op1_ to op10_, one per operator, over whole tables; SQL where it can say the same."""
+"""Queries op1_ to op13_, one per operator, over whole tables; SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, licenses, mixture, personal, quality, secrets, simhash, substrings, tokens, toxicity
+from . import decontaminate, licenses, mixture, personal, quality, secrets, simhash, substrings, tokens, toxicity, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,8 @@ def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 def op3_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
     plan = mixture.plan_mixture(table(spark, folder, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", F.size("shards").cast("long").alias("n_copies"))
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
