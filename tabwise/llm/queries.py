@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, licenses, mixture, personal, quality, secrets, simhash, substrings, tokens, toxicity, whitening
+from . import audit, decontaminate, licenses, mixture, personal, quality, secrets, simhash, substrings, tokens, toxicity, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,27 @@ def op3_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+SQL["op13_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+low AS (SELECT text, min(doc_id) AS low FROM d GROUP BY text),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN doc_id > low THEN 'E' ELSE '' END AS fails FROM d JOIN low USING (text) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, i::INT AS step, filter_order[i] AS f, filter_order[1:i - 1] AS before FROM o, range(1, 6) r(i)),
+r AS (SELECT part, filter_order, step, s.f, contains(fails, s.f) AS fail, length(translate(fails, before, '')) = length(fails) AS reached, fails = s.f AS alone, n, good, bad FROM c, s),
+g AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (reached AND NOT fail), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (reached AND fail), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (fail AND NOT reached), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (reached AND fail), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (reached AND fail), 0)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM g
+"""
