@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audit, decontaminate, licenses, mixture, personal, quality, secrets, simhash, substrings, tokens, toxicity, whitening
+from . import audit, decontaminate, licenses, mixture, packing, personal, quality, secrets, simhash, substrings, tokens, toxicity, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,6 +126,14 @@ def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+@query
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return packing.pack_documents(table(spark, folder, "documents"), f.read())
+
+
 @query
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
