@@ -118,7 +118,7 @@ def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 @query
 def op3_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
     plan = mixture.plan_mixture(table(spark, folder, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", F.size("shards").cast("long").alias("n_copies"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.size("shards").cast("long").alias("n_copies"), F.array_join(F.transform("shards", lambda x: x.cast("string")), ",").alias("shards"))
 
 
 @query
