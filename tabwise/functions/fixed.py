@@ -192,3 +192,18 @@ FILE_SIGNATURES = [
     ("474946383961", "GIF Image"),
 ]
 ZIP_SIGNATURE = "504B0304"
+
+# What the audit of a file says, word for word.
+AUDIT = {
+    "empty": "File is empty (0 bytes).",
+    "large": "Dataset too large for this version (maximum {}MB).",
+    "legacy": "Legacy .xls format is unsupported.",
+    "extension": "Unsupported file extension '%s'.",
+    "not_zip": "Content sniffing failed: .xlsx file is not a valid OpenXML Zip archive.",
+    "broken_zip": "Corrupted .xlsx file: unable to read zip structure.",
+    "no_parts": "Invalid Excel structure: missing '[Content_Types].xml' or 'xl/' folder in .xlsx.",
+    "signature": "Content sniffing failed: file has .csv extension but signature matches %s.",
+    "no_text": "Dataset contains no parseable text.",
+    "no_rows": "Dataset contains zero parseable rows.",
+    "header_only": "Dataset contains no data rows (zero rows).",
+}

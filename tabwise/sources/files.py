@@ -9,13 +9,17 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tabwise.functions import fixed as V
-from tabwise.functions.exprs import na_to_null
-from tabwise.session import checkpoint_cut, local_table
+from tabwise.functions.exprs import na_to_null, q
+from tabwise.operators.profile import ROW_ID
+from tabwise.session import checkpoint_cut
 from tabwise.sources.rowid import with_row_ids
+from tabwise.sources.scan import list_files, scan_files, signature
 from tabwise.sources.typing import to_physical_types
 from tabwise.sources.workbook import read_workbooks
 
 HEAD_LINES = 50
+#: Bytes of a line that Spark's text readers can hold.
+MOST_LINE = 1 << 30
 CHARSET = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1"}
 
 
@@ -61,11 +65,6 @@ def _literal(path: str) -> str:
     return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
 
 
-def _as_column(listed: str) -> str:
-    """A path of the driver's file listing as the file source spells it in its column."""
-    return re.sub("^file:/+", "file:/", unquote(listed))
-
-
 def read_delimited(
     spark: SparkSession, path: str | list[str], delimiter: str | None = None, encoding: str | None = None, multi_line: bool | None = None,
     infer: bool = True, row_ids: bool = True, trim_headers: bool = False,
@@ -129,87 +128,80 @@ def _error(cond, text):
 
 
 def audit_files(spark: SparkSession, path: str, max_mb: int | None = None) -> DataFrame:
-    """(path, file_type, bytes, sha256, is_valid, errors) of every file under a landing zone.
+    """(path, file_type, bytes, megabytes, sha256, encoding, is_valid, errors) of every file under a landing zone.
 
-    Size and extension are judged on metadata alone; with ``max_mb``, content is read only for
-    files below that size (the length filter is pushed to the file source).  Encoding and
-    lines are judged on whole files.
+    Size and extension are judged on the listing alone; files above ``max_mb`` are not opened.  Every other file is
+    read once, as a stream, by one task: digest, encoding, signature and lines are those of the whole file.
     """
     cap = (1 << 62) if max_mb is None else max_mb * 1024 * 1024
-    load = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    # Empty files make no input split; they are known from the driver's file listing only.
-    listed = local_table(spark, [(_as_column(p),) for p in load().inputFiles()], "path string")
-    sizes = load().select("path", F.col("length").alias("bytes"))
-    meta = listed.join(sizes, "path", "left").select("path", F.coalesce("bytes", F.lit(0)).alias("bytes"), ext.alias("ext"))
-    small = load().where((F.col("length") <= cap) & (F.col("length") > 0)).select("path", "content")
-    head = F.hex(F.substring("content", 1, 8))
-    signature = F.lit(None).cast("string")
-    for sig, what in reversed(V.FILE_SIGNATURES):
-        signature = F.when(head.startswith(sig), what).otherwise(signature)
-    own = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    whole_text = F.expr("decode(content, 'ISO-8859-1')")
-    as_csv, as_xlsx = F.when(own == ".csv", whole_text), F.when(own == ".xlsx", whole_text)
-    facts = small.select(
-        "path", F.sha2("content", 256).alias("sha256"), head.alias("head"), signature.alias("signature"),
-        F.regexp_count(as_csv, F.lit(r"[^\r\n]*[^\r\n ][^\r\n]*")).alias("n_lines"), as_csv.rlike(r"[^,;\t|\s]").alias("has_text"),
-        (F.contains(as_xlsx, F.lit("[Content_Types].xml")) | F.contains(as_xlsx, F.lit("xl/"))).alias("has_parts"),
-        F.contains(as_xlsx, F.lit("PK\u0005\u0006")).alias("has_directory"),
-        F.when(own == ".csv", F.is_valid_utf8(F.col("content").cast("string"))).alias("utf8"),
-    )
+    meta = checkpoint_cut(list_files(spark, path)).withColumn("ext", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
+    facts = scan_files(spark, path, meta.where((F.col("bytes") <= cap) & (F.col("bytes") > 0))).withColumn("signature", signature(F.col("head")))
     csv, xlsx = F.col("ext") == ".csv", F.col("ext") == ".xlsx"
-    zipped = F.col("head").startswith(V.ZIP_SIGNATURE)
-    ok_meta = (F.col("bytes") > 0) & (F.col("bytes") <= cap)
+    zipped = F.hex("head").startswith(V.ZIP_SIGNATURE)
+    sized = (F.col("bytes") > 0) & (F.col("bytes") <= cap)
+    ok_meta = sized & F.col("opened")
+    plain = ok_meta & csv & F.col("signature").isNull()
     errors = F.array(
-        _error(F.col("bytes") == 0, "File is empty (0 bytes)."),
-        _error(F.col("bytes") > cap, f"Dataset too large for this version (maximum {max_mb}MB)."),
-        _error(ok_meta & (F.col("ext") == ".xls"), "Legacy .xls format is unsupported."),
-        _error(ok_meta & ~csv & ~xlsx & (F.col("ext") != ".xls"), F.format_string("Unsupported file extension '%s'.", F.col("ext"))),
-        _error(ok_meta & xlsx & ~zipped, "Content sniffing failed: .xlsx file is not a valid OpenXML Zip archive."),
-        _error(ok_meta & xlsx & zipped & ~F.col("has_directory"), "Corrupted .xlsx file: unable to read zip structure."),
-        _error(ok_meta & xlsx & zipped & F.col("has_directory") & ~F.col("has_parts"), "Invalid Excel structure: missing '[Content_Types].xml' or 'xl/' folder in .xlsx."),
-        _error(ok_meta & csv & F.col("signature").isNotNull(), F.format_string("Content sniffing failed: file has .csv extension but signature matches %s.", F.col("signature"))),
-        _error(ok_meta & csv & F.col("signature").isNull() & (F.col("n_lines") == 0), "Dataset contains no parseable text."),
-        _error(ok_meta & csv & F.col("signature").isNull() & (F.col("n_lines") > 0) & ~F.col("has_text"), "Dataset contains zero parseable rows."),
-        _error(ok_meta & csv & F.col("signature").isNull() & F.col("has_text") & (F.col("n_lines") < 2), "Dataset contains no data rows (zero rows)."),
+        _error(F.col("bytes") == 0, V.AUDIT["empty"]),
+        _error(F.col("bytes") > cap, V.AUDIT["large"].format(max_mb)),
+        _error(sized & (F.col("ext") == ".xls"), V.AUDIT["legacy"]),
+        _error(sized & ~csv & ~xlsx & (F.col("ext") != ".xls"), F.format_string(V.AUDIT["extension"], F.col("ext"))),
+        _error(sized & (csv | xlsx) & ~F.col("opened"), "File is too large for the only reader that can open it."),
+        _error(ok_meta & xlsx & ~zipped, V.AUDIT["not_zip"]),
+        _error(ok_meta & xlsx & zipped & ~F.col("has_directory"), V.AUDIT["broken_zip"]),
+        _error(ok_meta & xlsx & zipped & F.col("has_directory") & ~F.col("has_parts"), V.AUDIT["no_parts"]),
+        _error(ok_meta & csv & F.col("signature").isNotNull(), F.format_string(V.AUDIT["signature"], F.col("signature"))),
+        _error(plain & (F.col("n_lines") == 0), V.AUDIT["no_text"]),
+        _error(plain & (F.col("n_lines") > 0) & ~F.col("has_text"), V.AUDIT["no_rows"]),
+        _error(plain & F.col("has_text") & (F.col("n_lines") < 2), V.AUDIT["header_only"]),
+        _error(plain & (F.col("longest_line") > MOST_LINE), f"Dataset has a line of more than {MOST_LINE} bytes."),
     )
     return (
         meta.join(facts, "path", "left")
         .withColumn("errors", F.array_compact(errors))
         .select(
             "path", F.when(csv, "csv").when(xlsx, "xlsx").otherwise("").alias("file_type"), "bytes", F.round(F.col("bytes") / 1048576.0, 2).alias("megabytes"),
-            "sha256", F.when(csv, F.when(F.col("utf8"), "utf-8").otherwise("latin-1")).alias("encoding"), (F.size("errors") == 0).alias("is_valid"), "errors",
+            "sha256", F.when(csv, F.when(F.col("utf8"), "utf-8").when(~F.col("utf8"), "latin-1")).alias("encoding"), (F.size("errors") == 0).alias("is_valid"), "errors",
         )
     )
 
 
 def list_artifacts(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes) of every file under a folder; file contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    listed = local_table(spark, [(_as_column(p),) for p in files.inputFiles()], "path string")
-    sizes = files.select("path", F.col("length").alias("bytes"))
-    return listed.join(sizes, "path", "left").select("path", F.coalesce("bytes", F.lit(0)).alias("bytes")).orderBy("path")
+    return list_files(spark, path).orderBy("path")
 
 
 def ingest(spark: SparkSession, path: str, max_mb: int | None = None, **options) -> tuple[DataFrame, DataFrame]:
-    """(table with row ids, ingestion facts) of a delimited or workbook file or folder.
+    """(table with row ids, ingestion facts) of a file or folder of delimited files, workbooks, or both.
 
-    Files that fail the audit are left out; the facts name them with their errors.  Refuses
-    a path without a valid file and tables without rows.
+    Files that fail the audit are left out; the facts name them with their errors.  Delimited files and workbooks are
+    put together by column name, delimited files first.  Refuses a path without a valid file and tables without rows.
     """
     audit = checkpoint_cut(audit_files(spark, path, max_mb))
-    kinds = sorted(r[0] for r in audit.where("is_valid").select("file_type").distinct().collect())
-    bad = audit.where("not is_valid").orderBy("path").first()
-    if bad is not None and not kinds:
-        raise ValueError(f"File validation failed for '{bad['path']}': {'; '.join(bad['errors'])}")
-    # without a refused file the path itself is read; else the valid files by name
-    good = path if bad is None else [_literal(r[0]) for r in audit.where("is_valid").select("path").orderBy("path").collect()]
+    counts = {r.file_type: (r.good, r.n) for r in audit.groupBy("file_type").agg(F.count_if("is_valid").alias("good"), F.count("*").alias("n")).collect()}
+    kinds = sorted(k for k, (good, _) in counts.items() if good)
+    if not kinds:
+        bad = audit.where("not is_valid").orderBy("path").first()
+        raise ValueError(f"File validation failed for '{bad['path']}': {'; '.join(bad['errors'])}" if bad else f"no file under '{path}'")
+    whole = all(good == n for good, n in counts.values())
+
+    def paths(kind: str) -> str | list[str]:
+        # the path itself where all of it is read; else the valid files of a kind by name
+        return path if whole and len(kinds) == 1 else [_literal(r[0]) for r in audit.where(F.col("is_valid") & (F.col("file_type") == kind)).select("path").orderBy("path").collect()]
+
     if kinds == ["xlsx"]:
-        table = read_workbooks(spark, good, **options)
+        table = read_workbooks(spark, paths("xlsx"), **options)
     elif kinds == ["csv"]:
-        table = read_delimited(spark, good, **options)
+        table = read_delimited(spark, paths("csv"), **options)
     else:
-        raise ValueError(f"mixed or missing file types under '{path}': {kinds}")
+        own = {k: v for k, v in options.items() if k != "infer"}
+        # text first: a column's type is decided over files of both kinds
+        parts = [(0, read_delimited(spark, paths("csv"), infer=False, **own)), (1, read_workbooks(spark, paths("xlsx"), infer=False, **own))]
+        a, b = (t.withColumnRenamed(ROW_ID, "_at").withColumn("_part", F.lit(k)) for k, t in parts)
+        first = parts[0][1].count()
+        both = a.unionByName(b, allowMissingColumns=True)
+        table = both.select((F.col("_at") + F.lit(first) * F.col("_part")).alias(ROW_ID), *[q(c) for c in both.columns if c not in ("_at", "_part")])
+        table = to_physical_types(table) if options.get("infer", True) else table
     n = table.count()
     if n == 0:
         raise ValueError(f"Dataset '{path}' contains zero data rows after parsing.")

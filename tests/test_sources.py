@@ -1,7 +1,6 @@
 """Files, workbooks, audits, row ids, sinks, streams."""
 
 import hashlib
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,26 +9,7 @@ from tabwise.operators.profile import ROW_ID
 from tabwise.sources import files as S, rowid, sinks
 from tabwise.sources.workbook import read_workbooks
 from tabwise.streaming import streams as T
-
-
-def write_xlsx(path, rows, sheet="Data"):
-    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    strings = sorted({v for r in rows for v in r if isinstance(v, str)})
-
-    def cell(i, j, v):
-        ref = f"{chr(65 + j)}{i + 1}"
-        if v is None:
-            return ""
-        return f'<c r="{ref}" t="s"><v>{strings.index(v)}</v></c>' if isinstance(v, str) else f'<c r="{ref}"><v>{v}</v></c>'
-
-    body = "".join(f'<row r="{i + 1}">' + "".join(cell(i, j, v) for j, v in enumerate(r)) + "</row>" for i, r in enumerate(rows))
-    with zipfile.ZipFile(path, "w") as z:
-        z.writestr("[Content_Types].xml", "<Types/>")
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{rel}"><sheets><sheet name="{sheet}" sheetId="1" r:id="rId1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{ns}">' + "".join(f"<si><t>{s}</t></si>" for s in strings) + "</sst>")
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{ns}"><sheetData>{body}</sheetData></worksheet>')
+from tests_xlsx import write_xlsx
 
 
 @pytest.mark.parametrize("sep,name", [(",", "comma"), (";", "semicolon"), ("\t", "tab"), ("|", "pipe")])
