@@ -11,13 +11,15 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_rows, pick, stage
+from .common import pick, stage
 
 #: Tokens, segments and loss-bearing tokens a sequence may hold.
 LIMITS = (2048, 128, 2048)
@@ -27,37 +29,102 @@ PADDING = 1 / 128
 END = 1
 #: Pieces of a group, on average.
 GROUP = 2_000
-#: Words whose ids a task remembers, none longer than the bytes stated; beyond, it forgets all and goes on.
-REMEMBERED, WORD_BYTES = 200_000, 100
+#: Words of a generation that a worker remembers, none longer than the bytes stated.
+REMEMBERED, WORD_BYTES = 600_000, 100
+#: ASCII signs that are neither letter, digit nor space.
+SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+#: Bytes of text that are tokenised at a time; a longer text is alone.
+AT_ONCE = 16_000_000
 
 
 # ---------------------------------------------------------------- tokens
 
 
-def word_ids(tokenizer_json: str) -> Callable[[list[str]], Iterable[bytes]]:
-    """Function of texts giving each one's ids as little-endian unsigned 32-bit numbers.
+class WordIds:
+    """Ids of texts.
 
-    ASCII white space separates words before anything else, so a word's ids are those it has alone and are remembered.
+    ASCII white space separates words before anything else, so a word's ids are those it has alone.  Two generations of
+    words are remembered: a full one takes the place of the one before it, so frequent words stay.
     """
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallel part
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(tokenizer_json)
-    known: dict[bytes, bytes] = {}
-
-    def run(texts: list[str]) -> Iterable[bytes]:
-        for text in texts:
-            words = text.encode().split()
-            new = [w for w in set(words) if w not in known]
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            got = tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            own = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, got)}
-            known.update((w, v) for w, v in own.items() if len(w) <= WORD_BYTES)
-            yield b"".join([known[w] if w in known else own[w] for w in words])
 
-    return run
+    def __init__(self, tokenizer_json: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallel part
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # pieces that end a run of letters
+        self.ends[[i for p, i in vocabulary.items() if p.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's ids begin; null texts have none."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        coded = lists.flatten().dictionary_encode()
+        distinct, place = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy()
+        own = self._ids(distinct)
+        flat, count = np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) // 4
+        start, many = np.cumsum(count) - count, count[place]
+        ends = np.cumsum(many)
+        ids = flat[np.arange(many.sum()) + np.repeat(start[place] - ends + many, many)]
+        return ids, np.r_[0, ends][lists.offsets.to_numpy()]
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        known, before = self.known, self.before
+        runs, others, joined = set(), set(), []
+        for w in words:
+            if w in known:
+                continue
+            if w in before:
+                known[w] = before[w]
+                continue
+            # letters followed by ASCII signs are two parts that do not touch; the letters' case is of no account
+            stem = w.rstrip(SIGNS)
+            if stem.isalpha() or not stem.isascii() and stem.decode().isalpha():
+                p, tail = stem.lower(), w[len(stem):]
+                if p != w:
+                    joined.append((w, p, tail))
+                if p not in known:
+                    if p in before:
+                        known[p] = before[p]
+                    else:
+                        runs.add(p)
+                if tail and tail not in known:
+                    others.add(tail)
+            else:
+                others.add(w)
+        if runs:
+            # letters alone are one run, whose last piece, and no other, is one that ends it
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(runs).decode()], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(runs):
+                raw, last = ids.tobytes(), (4 * last).tolist()
+                known.update(zip(runs, map(raw.__getitem__, map(slice, [0, *last], last))))
+            else:  # a letter that is several signs in lower case
+                others |= runs
+        for p, e in zip(others, self.tokenizer.encode_batch_fast([p.decode() for p in others], add_special_tokens=False)):
+            known[p] = np.array(e.ids, "<u4").tobytes()
+        for w, p, tail in joined:
+            known[w] = known[p] + known[tail] if tail else known[p]
+        out = [known[w] for w in words]
+        if len(known) > REMEMBERED:
+            self.known, self.before = {}, {w: v for w, v in known.items() if len(w) <= WORD_BYTES}
+        return out
+
+
+@lru_cache(maxsize=2)
+def word_ids(tokenizer_json: str) -> WordIds:
+    """Kept between the tasks of a worker."""
+    return WordIds(tokenizer_json)
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch with texts in its second column, in parts of about AT_ONCE bytes."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) // AT_ONCE
+    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, batch.num_rows] if batch.num_rows else [0]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
 
 
 def digits(n: int) -> list[int]:
@@ -65,6 +132,9 @@ def digits(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long, parts array<long>"
+
+
 def cut_documents(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", most: int = LIMITS[0], end: int | None = END) -> DataFrame:
     """Pieces of at most ``most`` ids: doc_id, start, length, ids_crc32, doc_tokens, loss, parts.
 
@@ -74,22 +144,26 @@ def cut_documents(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id",
     held = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     last = b"" if end is None else np.array([end], "<u4").tobytes()
 
-    def start():
+    def cut(doc: int | None, raw: bytes) -> Iterator[tuple]:
+        n = len(raw) // 4
+        for at in range(0, n, most):
+            length = min(most, n - at)
+            parts, p = [], at
+            for size in digits(length) if length < most else ():
+                parts.append(zlib.crc32(raw[4 * p:4 * (p + size)]))
+                p += size
+            yield doc, at, length, zlib.crc32(raw[4 * at:4 * (at + length)]), n, length - 1, parts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(held.value)
+        for b in batches:
+            for part in slices(b):
+                ids, starts = encode(part.column(1))
+                rows = [r for doc, x, y in zip(part.column(0).to_pylist(), starts.tolist(), starts[1:].tolist()) for r in cut(doc, ids[x:y].tobytes() + last)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 6 + [pa.list_(pa.int64())])], PIECE.split()[::2])
 
-        def work(doc, text):
-            raw = next(iter(encode([text or ""]))) + last
-            n = len(raw) // 4
-            for at in range(0, n, most):
-                length = min(most, n - at)
-                parts, p = [], at
-                for size in digits(length) if length < most else ():
-                    parts.append(zlib.crc32(raw[4 * p:4 * (p + size)]))
-                    p += size
-                yield doc, at, length, zlib.crc32(raw[4 * at:4 * (at + length)]), n, length - 1, parts
-        return work
-
-    return map_rows(pick(docs, id_col, text_col), start, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long, parts array<long>")
+    return pick(docs, id_col, text_col).mapInArrow(run, PIECE)
 
 
 # ---------------------------------------------------------------- packing of one group
@@ -229,11 +303,15 @@ def examples_of_turns(turns: DataFrame, tokenizer_json: str, conv_col: str = "co
     """
     held = turns.sparkSession.sparkContext.broadcast(tokenizer_json)
 
-    def start():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(held.value)
-        return lambda conv, role, text: ((conv, len(next(iter(encode([text or ""])))) // 4 + 1, role == learned),)
+        for b in batches:
+            for part in slices(b):
+                tokens = np.diff(encode(part.column(1))[1]) + 1  # every turn has an end
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.int64()), pc.fill_null(pc.equal(part.column(2), learned), False)], ["conv_id", "tokens", "bears"])
 
-    each = map_rows(pick(turns, conv_col, role_col, text_col).filter(F.col(f"`{conv_col}`").isNotNull()), start, "conv_id long, tokens long, bears boolean")
+    own = pick(turns, conv_col, text_col, role_col).filter(F.col(f"`{conv_col}`").isNotNull())
+    each = own.mapInArrow(run, "conv_id long, tokens long, bears boolean")
     return each.groupBy("conv_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("segments"), F.sum(F.when(F.col("bears"), F.col("tokens")).otherwise(0)).alias("loss"))
 
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -55,10 +56,17 @@ def texts(n, seed):
     return [r.choice([" ", "\n", " \t", "\x0b"]).join(r.choices(words, k=int(r.paretovariate(0.7)) % 900 + 1)) for _ in range(n)]
 
 
-def test_ids_of_words_are_those_of_texts():
-    encode = P.word_ids(JSON)
-    for t in texts(60, 3) + ["", " ", "<|endoftext|> a<|startoftext|>b", "x" * 3_000, " ́ a"]:
-        assert np.frombuffer(next(iter(encode([t]))), "<u4").tolist() == ids_of(t)[:-1], t[:80]
+@pytest.mark.parametrize("remembered", [400_000, 5])
+def test_ids_of_words_are_those_of_texts(monkeypatch, remembered):
+    monkeypatch.setattr(P, "REMEMBERED", remembered)
+    encode = P.WordIds(JSON)
+    made = texts(60, 3) + ["", " ", None, "<|endoftext|> a<|startoftext|>b", "x" * 3_000, " \u0301 a", "İstanbul, a\u0301 \u212b ÀÉ. ſs ŉ ﬀ ǅ", "ß! Σας", "It's DON'T 'tis I'll'' a'b, the... (x) x) E.g., Straße, Ab-Cd!?' \"Q\" 'S 's, l'eau\u2019s"]
+    for together in (1, 7, len(made)):
+        for at in range(0, len(made), together):
+            part = made[at:at + together]
+            ids, starts = encode(pa.array(part, pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [ids_of(t)[:-1] for t in part]
+    assert encode(pa.array([], pa.string()))[0].tolist() == []
 
 
 @pytest.mark.parametrize("limits", [(2048, 128, 2048), (64, 3, 64), (256, 1, 300)])
