@@ -17,6 +17,7 @@ from tabwise.functions.exprs import (
 from tabwise.operators.dates import normalize_date
 from tabwise.operators.profile import ROW_ID, data_columns
 from tabwise.operators.quantiles import exact_quantiles
+from tabwise.operators.sieve import passing, sieve, stopped
 from tabwise.session import checkpoint_cut, local_table
 
 UNTOUCHED_LABELS = ["identifier", "email", "phone", "person_name", "credit_card", "ssn_national_id"]
@@ -60,6 +61,29 @@ def removed_rows(df: DataFrame, kept: DataFrame, row_id: str = ROW_ID) -> DataFr
     return gone.withColumn("_orig_row_index", q(row_id))
 
 
+def row_digests(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
+    """(digest, n): how many rows have a digest of all values; mergeable by summing ``n``."""
+    return df.select(_digest(df, row_id).alias("digest")).groupBy("digest").agg(F.count("*").alias("n"))
+
+
+def _digest(df: DataFrame, row_id: str) -> Column:
+    return F.xxhash64(*[q(c) for c in df.columns if c != row_id])
+
+
+def split_copies(df: DataFrame, row_id: str = ROW_ID, digests: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kept, removed) as ``drop_duplicates`` over all columns, moving only rows whose digest occurs again.
+
+    ``digests`` are the merged ``row_digests`` of the table where they are known.  A filter of bounded size lets rows
+    with a digest of their own pass where they are; the others are compared by their values.
+    """
+    digests = row_digests(df, row_id) if digests is None else digests
+    again = checkpoint_cut(sieve(digests.where("n > 1").select("digest"), "digest"))
+    suspects = checkpoint_cut(passing(df, _digest(df, row_id), again))
+    first = drop_duplicates(suspects, row_id=row_id)[0]
+    kept = stopped(df, _digest(df, row_id), again).unionByName(first.select(*[q(c) for c in df.columns]))
+    return kept, removed_rows(suspects, first, row_id)
+
+
 # --- types ----------------------------------------------------------------------
 
 def coerce_column(c: Column, dt: T.DataType, logical: str) -> Column:
@@ -386,19 +410,18 @@ def reconstruct(cleaned: DataFrame, removed: DataFrame, raw_cells: DataFrame, sc
     return restored.unionByName(back).select(*[q(f.name) for f in schema.fields])
 
 
-def clean(df: DataFrame, profile: DataFrame, dates: DataFrame, row_id: str = ROW_ID) -> Cleaned:
+def clean(df: DataFrame, profile: DataFrame, dates: DataFrame, row_id: str = ROW_ID, digests: DataFrame | None = None) -> Cleaned:
     """Run all cleaning steps in order: duplicates, types, dates, gaps, outlier flags.
 
     ``df`` must carry a stable row id.  The de-duplicated table feeds several aggregations
-    and is staged once.
+    and is staged once.  ``digests`` are its merged ``row_digests`` where they are known.
     """
     spark = df.sparkSession
     prof, ds = profile.collect(), dates.collect()  # one row per column
-    kept, _ = drop_duplicates(df, row_id=row_id)
+    kept, removed = split_copies(df, row_id, digests)
     kept = checkpoint_cut(kept)
-    removed = removed_rows(df, kept, row_id)
-    total = df.count()
-    n_removed = total - kept.count()
+    n_removed = removed.count()
+    total = kept.count() + n_removed
     logs: list[Row] = []
     if n_removed:
         logs.append(_log(

@@ -25,10 +25,19 @@ def sieve(keys: DataFrame, name: str, bits: int = BITS) -> DataFrame:
     return at.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(one).alias("set_bits"))
 
 
+_HIT = "getbit(_sieve_bits, cast(_sieve_at % 64 as int)) = 1"
+
+
+def _met(rows: DataFrame, key: Column, filter_table: DataFrame, bits: int, how: str) -> DataFrame:
+    small = F.broadcast(filter_table.toDF("_sieve_word", "_sieve_bits"))  # at most bits / 64 rows
+    return rows.withColumn("_sieve_at", _place(key, bits)).join(small, F.expr("_sieve_at div 64") == F.col("_sieve_word"), how)
+
+
 def passing(rows: DataFrame, key: Column, filter_table: DataFrame, bits: int = BITS) -> DataFrame:
     """The rows whose key may be among the filter's, with the columns they had."""
-    names = rows.columns
-    marked = rows.withColumn("_sieve_at", _place(key, bits))
-    small = F.broadcast(filter_table.toDF("_sieve_word", "_sieve_bits"))  # at most bits / 64 rows
-    hit = marked.join(small, F.expr("_sieve_at div 64") == F.col("_sieve_word")).filter("getbit(_sieve_bits, cast(_sieve_at % 64 as int)) = 1")
-    return hit.select(*(F.col(f"`{n}`") for n in names))
+    return _met(rows, key, filter_table, bits, "inner").filter(_HIT).select(*(F.col(f"`{n}`") for n in rows.columns))
+
+
+def stopped(rows: DataFrame, key: Column, filter_table: DataFrame, bits: int = BITS) -> DataFrame:
+    """The other rows: their key is certainly not among the filter's."""
+    return _met(rows, key, filter_table, bits, "left").filter(f"not coalesce({_HIT}, false)").select(*(F.col(f"`{n}`") for n in rows.columns))

@@ -1,6 +1,7 @@
 """Files, workbooks, audits, row ids, sinks, streams."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,16 +116,42 @@ def test_intake_processes_each_file_once(spark, tmp_path):
     rows = [(i, "x" if i % 2 else None, float(i)) for i in range(20)]
     spark.createDataFrame(rows, "k long, c string, v double").coalesce(1).write.parquet(str(src))
     schema = spark.read.parquet(str(src)).schema
-    seen = []
+    seen, table = [], T.Intake(str(out), "k")
 
     def handle(batch, no):
         seen.append(batch.count())
-        T.profile_and_clean(str(out), "k")(batch, no)
+        table.absorb(batch, no)
+        table.absorb(batch, no)  # as after a failure
 
     for _ in range(2):
         T.intake(spark, str(src), schema, handle, str(state)).awaitTermination()
     assert seen == [20]
-    assert spark.read.parquet(f"{out}/cleaned").where("c is null").count() == 0
+    table.publish(spark)
+    cleaned = spark.read.parquet(f"{out}/cleaned")
+    assert cleaned.count() == 20 and cleaned.where("c is null").count() == 0
+
+
+def test_batches_do_not_change_the_result(spark, tmp_path):
+    r = random.Random(6)
+    pool = [(r.choice(["12", "7", "3.5", "x", None]), r.choice(["a", "b", None, " "]), r.choice([1.0, 2.0, 500.0, None]), r.choice(["31/12/2020", "01/02/2021", None])) for _ in range(60)]
+    rows = [(i, *r.choice(pool)) for i in range(400)]
+    r.shuffle(rows)
+    schema = "k long, amount string, kind string, v double, day string"
+    got = {}
+    for name, files in (("one", 1), ("many", 9)):
+        src, out = tmp_path / f"{name}-in", tmp_path / name
+        for at in range(files):
+            spark.createDataFrame(rows[at::files], schema).coalesce(1).write.mode("append").parquet(str(src))
+        table = T.Intake(str(out), "k")
+        T.intake(spark, str(src), spark.read.parquet(str(src)).schema, table.absorb, str(out) + "-state", files_per_batch=1).awaitTermination()
+        done = table.publish(spark)
+        assert len(list((out / "landed").glob("_batch=*"))) == files
+        got[name] = [sorted(map(str, spark.read.parquet(f"{out}/{x}").collect())) for x in ("profile", "cleaned", "removed")] + [sorted(map(str, done.log_rows)), sorted(map(str, done.outliers.collect()))]
+    assert got["one"] == got["many"]
+    first = {}
+    for row in sorted(rows):
+        first.setdefault(row[1:], row[0])
+    assert len(got["one"][1]) == len(first) and len(got["one"][2]) == 400 - len(first)
 
 
 def test_failure_windows(spark, tmp_path):
