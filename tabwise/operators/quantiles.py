@@ -6,15 +6,17 @@ aggregation buffer.  That is fine for a table of a million rows and fatal for on
 
 1. read a small quantile sketch per column (a few thousand numbers, bounded by its
    accuracy, collected as facts),
-2. count rows around the wanted positions in one map-side aggregation, and
-3. sort only the narrow band of values that can hold the answer.
+2. count rows around the wanted positions in one map-side aggregation, do both again within the
+   narrower bands until each holds few rows or one value, and
+3. sort only those.
 
-The sketch merely decides where to look: the answers are exact.
+The sketches merely decide where to look: the answers are exact.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,6 +25,8 @@ from tabwise.session import checkpoint_cut
 
 SMALL_ROWS = 500_000        # below this many rows the built-in exact percentile is used
 SKETCH_ACCURACY = 20_000    # sketch error <= rows / accuracy
+BAND_ROWS = 20_000          # rows of a band of values that one task sorts
+MAX_ROUNDS = 40             # of narrowing; each divides a band's rows by about accuracy / 4
 RANGE_ROWS = 2_000_000      # aimed size of one ordered range used for ranks and positions
 MAX_RANGES = 16_384
 
@@ -41,61 +45,129 @@ def exact_quantiles(
     return _banded_quantiles(num, columns, probs)
 
 
-def _banded_quantiles(num: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    eps = 2.0 / SKETCH_ACCURACY
-    marks = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
-    sketch = num.agg(
-        *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[
-            F.percentile_approx(q(c), F.array(*[F.lit(m) for m in marks]), SKETCH_ACCURACY).alias(f"s{i}")
-            for i, c in enumerate(columns)
-        ],
-        *[F.min(q(c)).alias(f"lo{i}") for i, c in enumerate(columns)],
+def _banded_quantiles(
+    num: DataFrame, columns: list[str], probs: list[float], accuracy: int = SKETCH_ACCURACY, band_rows: int = BAND_ROWS
+) -> dict[str, list[float | None]]:
+    """Bands of values around every wanted position are narrowed until each holds few rows or a single value.
+
+    A round is two aggregations over all columns at once: sketches of the open bands, then counts of the rows below and
+    inside the narrower ones.  A band shrinks by about accuracy / 4 a round, so rounds grow with the logarithm of the
+    table.  Only the last, small bands are sorted.
+    """
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    near = {p: (max(0.0, p - 2.0 / accuracy), min(1.0, p + 2.0 / accuracy)) for p in probs}
+    marks = sorted({m for pair in near.values() for m in pair})
+    whole = num.agg(
+        *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(columns)], *[F.min(q(c)).alias(f"lo{i}") for i, c in enumerate(columns)],
         *[F.max(q(c)).alias(f"hi{i}") for i, c in enumerate(columns)],
+        *[F.percentile_approx(q(c), F.array(*[F.lit(m) for m in marks]), accuracy).alias(f"s{i}") for i, c in enumerate(columns)],
     ).first()
-
-    bands = []  # (column index, prob index, low, high, position)
+    bands = []
     for i, c in enumerate(columns):
-        n = sketch[f"n{i}"]
-        if not n:
-            continue
-        at = dict(zip(marks, sketch[f"s{i}"]))
-        for j, p in enumerate(probs):
-            a, b = min(1.0, max(0.0, p - eps)), min(1.0, max(0.0, p + eps))
-            low = sketch[f"lo{i}"] if a == 0.0 else at[a]
-            high = sketch[f"hi{i}"] if b == 1.0 else at[b]
-            bands.append((i, j, low, high, p * (n - 1)))
+        if whole[f"n{i}"]:
+            at = dict(zip(marks, whole[f"s{i}"]))
+            for j, p in enumerate(probs):
+                b = _Band(i, j, p * (whole[f"n{i}"] - 1), 0, whole[f"n{i}"], whole[f"lo{i}"], whole[f"hi{i}"], 2.0 / accuracy)
+                b.aim = (b.low if near[p][0] == 0.0 else at[near[p][0]], b.high if near[p][1] == 1.0 else at[near[p][1]])
+                bands.append(b)
+    opened = bands
+    for _ in range(MAX_ROUNDS):
+        if opened:
+            _count(num, columns, opened)
+        opened = [b for b in bands if b.found is None and b.n > band_rows]
+        if not opened:
+            break
+        _sketch(num, columns, opened, accuracy)
+    rest = [b for b in bands if b.found is None]
+    if rest:
+        # Only rows of the small bands travel; equal values are counted before the shuffle.
+        entries = F.array(*[F.struct(F.lit(k).alias("band"), q(columns[b.column]).alias("v"), b.inside(columns).alias("inside")) for k, b in enumerate(rest)])
+        counted = num.select(F.inline(entries)).where("inside").groupBy("band", "v").count()
+        lists = counted.groupBy("band").agg(F.array_sort(F.collect_list(F.struct("v", "count"))).alias("vs"))  # band_rows values at most
+        places = ([math.floor(b.at) - b.below for b in rest], [math.ceil(b.at) - b.below for b in rest])
+        for r in lists.select("band", _value_at("vs", places[0]).alias("lo"), _value_at("vs", places[1]).alias("hi")).collect():
+            rest[r["band"]].found = r["lo"], r["hi"]
+    for b in bands:
+        lo, hi = b.found
+        out[columns[b.column]][b.prob] = lo + (hi - lo) * (b.at - math.floor(b.at))
+    return out
 
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
-    if not bands:
-        return out
-    below = num.agg(
-        *[F.count_if(q(columns[i]) < F.lit(lo)).alias(f"b{k}") for k, (i, _, lo, _, _) in enumerate(bands)]
-    ).first()
-    # Only rows inside a band travel; equal values are counted before the shuffle.
-    entries = F.array(*[
-        F.struct(F.lit(k).alias("band"), q(columns[i]).alias("v"), q(columns[i]).between(F.lit(lo), F.lit(hi)).alias("inside"))
-        for k, (i, _, lo, hi, _) in enumerate(bands)
-    ])
-    inside = num.select(F.inline(entries)).where("inside").groupBy("band", "v").count()
-    upto = F.sum("count").over(Window.partitionBy("band").orderBy("v"))
-    start = F.get(F.array(*[F.lit(float(below[f"b{k}"])) for k in range(len(bands))]), F.col("band"))
-    pos = F.get(F.array(*[F.lit(float(b[4])) for b in bands]), F.col("band"))
-    picked = (
-        inside.withColumn("upto", start + upto)
-        .withColumn("pos", pos)
-        .groupBy("band")
-        .agg(
-            F.min(F.when(F.col("upto") > F.floor("pos"), F.col("v"))).alias("lo"),
-            F.min(F.when(F.col("upto") > F.ceil("pos"), F.col("v"))).alias("hi"),
-        )
-        .collect()
+
+@dataclass
+class _Band:
+    """Values from ``low`` to ``high`` that hold position ``at`` of a column: ``below`` rows lie under them, ``n`` inside."""
+
+    column: int
+    prob: int
+    at: float
+    below: int
+    n: int
+    low: float
+    high: float
+    eps: float
+    aim: tuple[float, float] | None = None  # narrower band to count next
+    found: tuple[float, float] | None = None  # values at the places around the position
+
+    def inside(self, columns: list[str]) -> Column:
+        return q(columns[self.column]).between(F.lit(self.low), F.lit(self.high))
+
+    def narrow(self, under: int, first: int, last: int, n: int, next_: float | None, before: float | None) -> None:
+        """Take in what was counted of the aimed band: rows under it, at its ends and in it, and the values next to its ends."""
+        lo, hi = self.aim
+        f, c = math.floor(self.at) - self.below - under, math.ceil(self.at) - self.below - under
+        if f < 0 or c >= n:
+            self.eps *= 4  # the sketch was off by more than it promises
+            return
+        middle = n - first - last if lo < hi else 0
+
+        def value(k: int) -> float | None:
+            return lo if k < first else hi if k >= first + middle else None
+
+        a, b = value(f), value(c)
+        if a is None and b is None:
+            self.below, self.n, self.low, self.high = self.below + under + first, middle, next_, before
+        else:
+            self.found = (before if a is None else a, next_ if b is None else b)
+
+
+def _count(num: DataFrame, columns: list[str], bands: list[_Band]) -> None:
+    """Count rows around the aimed bands, in one aggregation."""
+    aggs = []
+    for k, b in enumerate(bands):
+        v = F.when(b.inside(columns), q(columns[b.column]))
+        lo, hi = (F.lit(x) for x in b.aim)
+        aggs += [F.count_if(v < lo), F.count_if(v == lo), F.count_if(v == hi), F.count_if(v.between(lo, hi)), F.min(F.when(v > lo, v)), F.max(F.when(v < hi, v))]
+    row = num.agg(*[a.alias(f"a{k}") for k, a in enumerate(aggs)]).first()
+    for k, b in enumerate(bands):
+        b.narrow(*row[6 * k:6 * k + 6])
+
+
+def _sketch(num: DataFrame, columns: list[str], bands: list[_Band], accuracy: int) -> None:
+    """Aim at narrower bands by a sketch of each open one; positions that share a band share its sketch."""
+    spans: dict[tuple, set[float]] = {}
+    for b in bands:
+        place = (b.at - b.below) / max(b.n - 1, 1)
+        b.aim = max(0.0, place - b.eps), min(1.0, place + b.eps)
+        spans.setdefault((b.column, b.low, b.high), set()).update(b.aim)
+    aggs = [
+        F.percentile_approx(F.when(q(columns[i]).between(F.lit(lo), F.lit(hi)), q(columns[i])), F.array(*[F.lit(m) for m in sorted(wanted)]), accuracy).alias(f"s{k}")
+        for k, ((i, lo, hi), wanted) in enumerate(spans.items())
+    ]
+    row = num.agg(*aggs).first()
+    at = {span: dict(zip(sorted(wanted), row[k])) for k, (span, wanted) in enumerate(spans.items())}
+    for b in bands:
+        found = at[b.column, b.low, b.high]
+        b.aim = (b.low if b.aim[0] == 0.0 else found[b.aim[0]], b.high if b.aim[1] == 1.0 else found[b.aim[1]])
+
+
+def _value_at(counted: str, places: list[int]) -> Column:
+    """The value at a 0-based place (by band) of a sorted array of values with counts."""
+    place = F.get(F.array(*[F.lit(p) for p in places]), F.col("band"))
+    step = F.aggregate(
+        counted, F.struct(place.cast("long").alias("left"), F.lit(None).cast("double").alias("v")),
+        lambda s, e: F.struct((s["left"] - e["count"]).alias("left"), F.when((s["left"] >= 0) & (s["left"] < e["count"]), e["v"]).otherwise(s["v"]).alias("v")),
     )
-    for r in picked:
-        i, j, _, _, position = bands[r["band"]]
-        frac = position - math.floor(position)
-        out[columns[i]][j] = r["lo"] + (r["hi"] - r["lo"]) * frac
-    return out
+    return step["v"]
 
 
 def doubles(values: list[float]) -> Column:
@@ -161,6 +233,28 @@ def average_ranks(df: DataFrame, column: str, range_rows: int = RANGE_ROWS) -> D
     )
 
 
+def keyed_ranks(entries: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(key, value, n, rank): average rank of every distinct value within its key, all keys in one pass.
+
+    Every key's values are cut into about equal ranges; ranges of all keys are summed side by side, and the totals, at
+    most ``MAX_RANGES`` and one per key, give each range its offset.
+    """
+    counts = checkpoint_cut(entries.groupBy("key", "value").agg(F.count("*").alias("n")))
+    sizes = counts.groupBy("key").agg(F.count("*").alias("m")).agg(F.count("*").alias("keys"), F.max("m").alias("m")).first()
+    parts = max(1, min(MAX_RANGES // max(1, sizes["keys"]), math.ceil((sizes["m"] or 0) / range_rows)))
+    if parts == 1:
+        ranged = counts.withColumn("_range", F.lit(0))
+    else:
+        marks = doubles([k / parts for k in range(1, parts)])
+        cuts = counts.groupBy("key").agg(F.percentile_approx("value", marks, parts * 10).alias("_cuts"))
+        ranged = counts.join(F.broadcast(cuts), "key").withColumn("_range", count_at_most(F.col("_cuts"), F.col("value"), None, parts)).drop("_cuts")  # MAX_RANGES numbers
+    totals = ranged.groupBy("key", "_range").agg(F.sum("n").alias("_total"))
+    offsets = totals.select("key", "_range", (F.sum("_total").over(Window.partitionBy("key").orderBy("_range")) - F.col("_total")).alias("_offset"))
+    upto = F.sum("n").over(Window.partitionBy("key", "_range").orderBy("value"))
+    return ranged.withColumn("_upto", upto).join(F.broadcast(offsets), ["key", "_range"]).select(
+        "key", "value", "n", (F.col("_offset") + F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank"))
+
+
 def attach_ranks(
     df: DataFrame, columns: list[str], prefix: str = "rank_", hot_share: float = 0.001, range_rows: int = RANGE_ROWS
 ) -> DataFrame:

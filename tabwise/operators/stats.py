@@ -7,10 +7,13 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as
 from tabwise.functions.exprs import (
     as_double, as_text, is_numeric, q, safe_corr, sample_kurtosis, sample_skewness, share,
 )
+from tabwise.operators.comoments import correlations
 from tabwise.operators.profile import data_columns
-from tabwise.operators.quantiles import SMALL_ROWS, attach_ranks, exact_quantiles
-from tabwise.session import local_table
+from tabwise.operators.quantiles import SMALL_ROWS, attach_ranks, exact_quantiles, keyed_ranks
+from tabwise.session import checkpoint_cut, local_table
 
+FEW_COLUMNS = 10  # whose pairs are one aggregation
+HOT = 1_000  # a value with more than one in so many of all entries is joined by broadcast
 BATCH = 200  # expressions per aggregation, so that generated code stays within JVM method limits
 
 
@@ -173,40 +176,92 @@ def _pair_agg(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
 PAIRS = "i int, j int, col1 string, col2 string, r double"
 
 
-def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(i, j, col1, col2, r) for every pair i < j, pairwise complete, one pass, no row shuffle."""
+def _placed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """PAIRS from (i, j, r) with numbers of columns."""
+    name = F.array(*[F.lit(c) for c in columns])
+    return rows.select("i", "j", F.get(name, F.col("i")).alias("col1"), F.get(name, F.col("j")).alias("col2"), "r")
+
+
+def pearson_pairs(df: DataFrame, columns: list[str], few: int = FEW_COLUMNS) -> DataFrame:
+    """(i, j, col1, col2, r) for every pair i < j, pairwise complete, one pass, no row shuffle.
+
+    The pairs of few columns are one aggregation; of more columns every task adds up one matrix of products.
+    """
     if len(columns) < 2:
         return local_table(df.sparkSession, [], PAIRS)
     types = {f.name: f.dataType for f in df.schema.fields}
-    return _pair_agg(df, {c: as_double(c, types[c]) for c in columns})
+    if len(columns) <= few:
+        return _pair_agg(df, {c: as_double(c, types[c]) for c in columns})
+    found = correlations(df.select(*[as_double(c, types[c]).alias(c) for c in columns]))
+    # a pair without a common row has no sums
+    every = local_table(df.sparkSession, [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))], "i int, j int")
+    return _placed(every.join(found, ["i", "j"], "left"), columns)
 
 
 def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """(i, j, col1, col2, r) of average ranks.
 
-    Complete columns share one ranking each.  Where a column has gaps the ranks must be
-    taken over the complete pairs, so such pairs are ranked on their own rows.
+    Complete columns share one ranking each.  A pair with gaps is ranked over its complete rows; its ranks are
+    those of a column among the rows where a pattern of gaps is filled, and all pairs with that pattern share them.
     """
     if len(columns) < 2:
         return local_table(df.sparkSession, [], PAIRS)
     types = {f.name: f.dataType for f in df.schema.fields}
     num = df.select(*[as_double(c, types[c]).alias(c) for c in columns])
     row = num.agg(F.count("*").alias("n"), *[F.count(q(c)).alias(f"f{i}") for i, c in enumerate(columns)]).first()
-    full = [c for i, c in enumerate(columns) if row[f"f{i}"] == row["n"]]
-    at = {c: i for i, c in enumerate(columns)}
-    out = None
+    full = [i for i, c in enumerate(columns) if row[f"f{i}"] == row["n"]]
+    parts = []
     if len(full) > 1:
-        ranked = attach_ranks(num.select(*[q(c) for c in full]), full)
-        out = _pair_agg(ranked, {c: q("rank_" + c) for c in full})
-    for a in columns:
-        for b in columns:
-            if at[a] < at[b] and not (a in full and b in full):
-                rows = num.select(q(a), q(b)).where(q(a).isNotNull() & q(b).isNotNull())
-                ranked = attach_ranks(rows, [a, b])
-                part = _pair_agg(ranked, {a: q("rank_" + a), b: q("rank_" + b)})
-                out = part if out is None else out.unionByName(part)
-    place = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(at[c]))])
-    return out.select(place[F.col("col1")].alias("i"), place[F.col("col2")].alias("j"), "col1", "col2", "r")
+        names = [columns[i] for i in full]
+        ranked = attach_ranks(num.select(*[q(c) for c in names]), names)
+        at = F.array(*[F.lit(i) for i in full])
+        parts.append(_pair_agg(ranked, {c: q("rank_" + c) for c in names}).select(F.get(at, F.col("i")).alias("i"), F.get(at, F.col("j")).alias("j"), "r"))
+    if len(full) < len(columns):
+        parts.append(_gappy_spearman(num, columns, full))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return _placed(out, columns)
+
+
+def gap_patterns(num: DataFrame, columns: list[str]) -> list[int]:
+    """For every column the number of its pattern of gaps: columns that are null in the same rows share one."""
+    h = F.xxhash64("_at").cast("decimal(38,0)")
+    rows = num.withColumn("_at", F.monotonically_increasing_id())
+    sums = rows.agg(*[F.struct(F.count(F.when(q(c).isNull(), 1)).alias("n"), F.sum(F.when(q(c).isNull(), h)).alias("h")).alias(f"p{i}") for i, c in enumerate(columns)]).first()
+    seen: dict = {}
+    return [seen.setdefault((p["n"], p["h"]), len(seen)) for p in sums]
+
+
+def _gappy_spearman(num: DataFrame, columns: list[str], full: list[int]) -> DataFrame:
+    """(i, j, r) of all pairs with a column that has gaps: one ranking of (column, pattern) entries, one matrix of products."""
+    staged = checkpoint_cut(num.withColumn("_at", F.monotonically_increasing_id()))
+    pattern = gap_patterns(staged.drop("_at"), columns)
+    mask = {}  # a column that stands for its pattern
+    for i, p in enumerate(pattern):
+        mask.setdefault(p, i)
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns)) if not (i in full and j in full)]
+    keys: dict[tuple[int, int], int] = {}
+    for i, j in pairs:
+        keys.setdefault((i, pattern[j]), len(keys))
+        keys.setdefault((j, pattern[i]), len(keys))
+    entry = F.array(*[
+        F.struct(F.lit(k).alias("key"), F.when(q(columns[mask[p]]).isNotNull(), q(columns[i])).alias("value")) for (i, p), k in keys.items()
+    ])
+    entries = staged.select("_at", F.inline(entry)).where("value is not null")
+    ranks = checkpoint_cut(keyed_ranks(entries))
+    # values that many rows share are joined by broadcast: at most one in HOT of all entries each
+    limit = max(1.0, ranks.agg(F.sum("n")).first()[0] / HOT)
+    hot = F.broadcast(ranks.where(F.col("n") >= limit).select("key", "value", F.col("rank").alias("_hot")))  # HOT rows at most
+    met = entries.join(hot, ["key", "value"], "left")
+    served = met.where("_hot is not null").select("_at", "key", F.col("_hot").alias("rank"))
+    rest = met.where("_hot is null").join(ranks.where(F.col("n") < limit), ["key", "value"]).select("_at", "key", "rank")
+    wide = served.unionByName(rest).groupBy("_at").agg(F.map_from_entries(F.collect_list(F.struct("key", "rank"))).alias("m"))  # one entry a key
+    found = correlations(wide.select(*[F.col("m")[k].alias(f"k{k}") for k in keys.values()]))
+    place = {}
+    for i, j in pairs:
+        a, b = keys[i, pattern[j]], keys[j, pattern[i]]
+        place[i, j] = min(a, b), max(a, b)
+    wanted = local_table(num.sparkSession, [(i, j, a, b) for (i, j), (a, b) in place.items()], "x int, y int, i int, j int")
+    return wanted.join(found, ["i", "j"], "left").select(F.col("x").alias("i"), F.col("y").alias("j"), "r")
 
 
 def top_pairs(pairs: DataFrame, n: int | None = None) -> DataFrame:
