@@ -204,19 +204,21 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One document of each group, with all of its columns: the one with the smallest id.
 
     Of rows that share that id one stays, and of a group without any id one.  Every row is told by
-    its id and text, of which only a digest is compared.
+    128 bits of hash of its id and text; all columns are kept, whatever their names.
     """
-    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    marked = docs.withColumn("_row", key)
-    prints = stage(map_rows(pick(marked, "_row", text_col, id_col), lambda: lambda row, text, doc: ((row, doc, signed(fingerprint(text))),), "row long, doc_id long, fp long"), "simhash-rows")
-    classes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    keys = [F.xxhash64(F.lit(k), id_, F.coalesce(text, F.lit(""))).alias(f"k{k}") for k in (1, 2)]
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *keys)
+    told = docs.select(*keys, text.alias("text"), id_.cast("long").alias("doc_id"))
+    prints = stage(map_rows(told, lambda: lambda k1, k2, text, doc: ((k1, k2, doc, signed(fingerprint(text))),), "k1 long, k2 long, doc_id long, fp long"), "simhash-rows")
+    classes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("first"))
     roots = components(near_links(classes.select("fp"), crowd))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "first")
-    winners = rooted.groupBy("root").agg(F.min("first")["row"].alias("_row")).select("_row").distinct()
-    # rows that are the same in id and text have one digest; of these one stays
-    twice = prints.groupBy("row").count().filter("count > 1").select(F.col("row").alias("_row"))
-    kept = marked.join(winners, "_row", "left_semi")
-    if twice.isEmpty():
-        return kept.drop("_row")
-    doubled = kept.join(twice, "_row", "left_semi").dropDuplicates(["_row"])
-    return kept.join(twice, "_row", "left_anti").union(doubled).drop("_row")
+    winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
+    # rows that are the same in id and text have one key; of these one stays
+    twice = prints.groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2")
+    kept = marked.join(winners, ["k1", "k2"], "left_semi")
+    if not twice.isEmpty():
+        doubled = kept.join(twice, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row")
+        kept = kept.join(twice, ["k1", "k2"], "left_anti").select("row").union(doubled)
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

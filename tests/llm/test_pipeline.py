@@ -33,7 +33,8 @@ def test_stages_against_their_operators(spark):
 
 def test_one_row_of_each_group_stays(spark):
     rows = [(1, "a b c d", "x"), (1, "a b c d", "x"), (2, "A B c d", "y"), (None, "e f g h", None), (None, "e f g h", "q"), (3, None, "z"), (4, "", "z"), (3, "zz yy xx", "z")]
-    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, _source string"))
-    assert out.columns == ["doc_id", "text", "_source"]
+    out = simhash.drop_near_duplicates(spark.createDataFrame([(*r, 5, "a.b") for r in rows], "doc_id long, text string, _row string, k1 int, `row.x` string"))
+    assert out.columns == ["doc_id", "text", "_row", "k1", "row.x"] and {r["_row"] for r in out.collect()} <= {"x", "q", "z", None} and {r["row.x"] for r in out.collect()} == {"a.b"}
+    out = out.select("doc_id", "text")
     assert sorted((r.doc_id or -1, r.text or "") for r in out.collect()) == [(-1, "e f g h"), (1, "a b c d"), (3, ""), (3, "zz yy xx")]
     assert simhash.drop_near_duplicates(out.limit(0)).count() == 0
