@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import urlsplit
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C, feature as P, regression as R
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F, types as T
 
 from tabwise.functions import fixed as V
 from tabwise.functions.exprs import as_double, as_text, is_numeric, is_post_outcome, q, safe_corr, sample_skewness
 from tabwise.operators.quantiles import running_start
 from tabwise.session import checkpoint_cut, local_table, settle
+from tabwise.sources.rowid import with_row_ids
+from tabwise.sources.scan import list_files, scan_files
 
 BOOST_MIN_ROWS = 500
+FEW_CLASSES = 10_000  # tables of so many classes are broadcast; larger ones are joined by shuffle
 MAX_CATEGORIES = 20
 TREES = 100
 TREE_DEPTH = 30  # the deepest Spark grows
@@ -219,13 +225,18 @@ def split_rows(df: DataFrame, row_id: str, label: str | None = None, test_share:
         .where((F.col("_before") < F.col("_want")) & (F.col("_before") + F.col("_n") >= F.col("_want")))
         .select(F.col("_y").alias("_cy"), F.col("_p").alias("_cp"), (F.col("_want") - F.col("_before")).alias("_left"))
     )
-    at = keyed.join(F.broadcast(cut), F.col("_y").eqNullSafe(F.col("_cy")))
+    if label:  # one row per class
+        cut = checkpoint_cut(cut)
+        sent = F.broadcast if cut.count() <= FEW_CLASSES else lambda facts: facts
+    else:
+        sent = F.broadcast
+    at = keyed.join(sent(cut), F.col("_y").eqNullSafe(F.col("_cy")))
     edge = at.where(F.col("_p") == F.col("_cp")).withColumn(
         "_k", F.row_number().over(Window.partitionBy("_y").orderBy("_h"))
     )
     last = edge.where(F.col("_k") <= F.col("_left")).groupBy("_y").agg(F.max("_h").alias("_cut"))
     return (
-        keyed.join(F.broadcast(last.select(F.col("_y").alias("_cy"), "_cut")), F.col("_y").eqNullSafe(F.col("_cy")), "left")
+        keyed.join(sent(last.select(F.col("_y").alias("_cy"), "_cut")), F.col("_y").eqNullSafe(F.col("_cy")), "left")
         .withColumn("is_test", F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False)))
         .drop("_y", "_h", "_p", "_cy", "_cut")
     )
@@ -361,7 +372,7 @@ def candidates(task: str, n_train: int, n_classes: int, trees: int = TREES, roun
         return {
             "logistic_regression": C.LogisticRegression(labelCol="label", featuresCol="features", weightCol="weight", regParam=1.0 / n_train, maxIter=1000, standardization=False),
             "random_forest": C.RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=LEAF_ROWS, seed=42),
-            "boosted_trees": boost if n_train >= BOOST_MIN_ROWS and n_classes == 2 else None,
+            "boosted_trees": None if n_train < BOOST_MIN_ROWS else boost if n_classes <= 2 else C.OneVsRest(classifier=boost, labelCol="label", featuresCol="features", weightCol="weight", parallelism=4),
         }
     boost = R.GBTRegressor(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=5, stepSize=0.1, subsamplingRate=0.9, seed=42)
     return {
@@ -371,13 +382,20 @@ def candidates(task: str, n_train: int, n_classes: int, trees: int = TREES, roun
     }
 
 
-def class_labels(df: DataFrame, target: str) -> list[str]:
-    """Sorted class names; a class gets its place as label, so the higher one is positive."""
+def class_table(df: DataFrame, target: str) -> DataFrame:
+    """(class, label): every class with its place in the order of names, so the higher one of two is positive."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    rows = df.select(as_text(target, types[target]).alias("c")).where("c is not null").distinct().limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError(f"'{target}' has more than 10000 classes")
-    return sorted(r[0] for r in rows)
+    names = df.select(as_text(target, types[target]).alias("class")).where("class is not null").distinct()
+    return with_row_ids(names.orderBy("class"), row_id="_place").select("class", F.col("_place").cast("double").alias("label"))
+
+
+def one_against_rest(scored: DataFrame) -> DataFrame:
+    """Add ``probability``: each class's chance by its own boosted model against the rest, scaled to sum to one."""
+    from pyspark.ml.functions import vector_to_array
+
+    own = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-2 * x)))
+    total = F.aggregate("_own", F.lit(0.0), lambda s, x: s + x)
+    return scored.withColumn("_own", own).withColumn("probability", F.transform("_own", lambda x: F.try_divide(x, total))).drop("_own")
 
 
 def train_models(
@@ -393,10 +411,10 @@ def train_models(
     rows = df.where(q(target).isNotNull())
     split = split_rows(rows, row_id, target if task == "classification" else None)
     if task == "classification":
-        classes = class_labels(rows, target)
-        index = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
-        split = split.withColumn("label", index[as_text(target, types[target])])
-        n_classes = len(classes)
+        classes = checkpoint_cut(class_table(rows, target))
+        n_classes = classes.count()
+        sent = F.broadcast if n_classes <= FEW_CLASSES else lambda facts: facts
+        split = split.join(sent(classes.toDF("_class", "label")), as_text(target, types[target]) == F.col("_class")).drop("_class")
     else:
         split = split.withColumn("label", as_double(target, types[target]))
         n_classes = 0
@@ -404,10 +422,10 @@ def train_models(
     stages, kept = feature_stages(train, features)
     split = feature_inputs(split, features, kept)
     if task == "classification":
-        per = {r[0]: r[1] for r in train.groupBy("label").agg(F.count("*")).collect()}
-        n = sum(per.values())
-        weights = F.create_map(*[x for k, v in per.items() for x in (F.lit(k), F.lit(n / (len(per) * v)))])
-        split = split.withColumn("weight", F.coalesce(weights[F.col("label")], F.lit(1.0)))
+        per = checkpoint_cut(train.groupBy("label").agg(F.count("*").alias("n")))
+        n, k = per.agg(F.sum("n"), F.count("*")).first()
+        weights = per.select(F.col("label").alias("_label"), (F.lit(float(n)) / (F.lit(k) * F.col("n"))).alias("_weight"))
+        split = split.join(sent(weights), F.col("label") == F.col("_label"), "left").withColumn("weight", F.coalesce("_weight", F.lit(1.0))).drop("_label", "_weight")
     else:
         split = split.withColumn("weight", F.lit(1.0))
     split = checkpoint_cut(split)
@@ -463,6 +481,8 @@ def feature_importance(model: PipelineModel, scored: DataFrame) -> DataFrame:
     last = model.stages[-1]
     if hasattr(last, "featureImportances"):
         values = last.featureImportances.toArray()
+    elif hasattr(last, "models"):  # one for each class
+        values = sum(m.featureImportances.toArray() for m in last.models) / len(last.models)
     elif hasattr(last, "coefficients") and not hasattr(last, "coefficientMatrix"):
         values = abs(last.coefficients.toArray())
     else:
@@ -473,10 +493,38 @@ def feature_importance(model: PipelineModel, scored: DataFrame) -> DataFrame:
     return local_table(scored.sparkSession, rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def _below(path: str) -> Column:
+    """Pattern of a folder at the start of a listed path, whatever its scheme is spelled like."""
+    return F.lit("^.*?" + re.escape(urlsplit(path).path.rstrip("/")))
+
+
+def artifact_digest(spark: SparkSession, path: str) -> Row:
+    """(files, bytes, digest) of a saved folder: equal for equal files under equal relative names, in whatever order they are listed."""
+    files = scan_files(spark, path, list_files(spark, path)).select("path", "sha256").join(list_files(spark, path), "path")
+    inside = F.regexp_replace(F.col("path"), _below(path), F.lit(""))
+    return files.agg(
+        F.count("*").alias("files"), F.sum("bytes").alias("bytes"),
+        F.sum(F.conv(F.substring(F.sha2(F.concat_ws(":", inside, "sha256"), 256), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias("digest"),
+    ).first()
+
+
 def save_and_verify(model: PipelineModel, sample: DataFrame, path: str, rows: int = 2) -> DataFrame:
-    """Write the model, load it again and predict a few rows with the loaded copy."""
+    """Write the model, load it again and predict some rows with both: (label, prediction, reloaded, digest).
+
+    Refuses an artefact whose digest changed while it was read, and a count of predictions other than that of the rows.
+    """
+    spark = sample.sparkSession
     model.write().overwrite().save(path)
-    return PipelineModel.load(path).transform(sample.limit(rows)).select("label", "prediction")
+    before = artifact_digest(spark, path)
+    some = checkpoint_cut(sample.limit(rows).withColumn("_sample", F.monotonically_increasing_id()))
+    own = model.transform(some).select("_sample", "label", "prediction")
+    again = PipelineModel.load(path).transform(some).select("_sample", F.col("prediction").alias("reloaded"))
+    out = checkpoint_cut(own.join(again, "_sample").select("label", "prediction", "reloaded", F.lit(before["digest"]).alias("digest")))
+    if artifact_digest(spark, path) != before:
+        raise ValueError(f"the model under '{path}' changed while it was read")
+    if out.count() != some.count():
+        raise ValueError(f"{out.count()} predictions for {some.count()} rows")
+    return out
 
 
 def model_status(

@@ -178,12 +178,23 @@ def feature_importance(spark, d):
     return M.feature_importance(models["random_forest"], models["random_forest"].transform(split.where("is_test")))
 
 
-@query()
+@query("SELECT CAST(ceil(count(*) * 0.2) AS BIGINT) AS predictions, CAST(ceil(count(*) * 0.2) AS BIGINT) AS equal, CAST(1 AS BIGINT) AS digests FROM lineitem")
 def model_round_trip(spark, d):
+    """All test rows predicted by a model and by the copy read back from its files."""
     from tabwise.plans.registry import scratch
 
     _, models, split = M.train_models(view(spark, d, CASES), "l_extendedprice", _FEATURES, "regression", "_row_id", only=["ridge"])
-    return M.save_and_verify(models["ridge"], split.where("is_test"), scratch(spark, "model"))
+    test = split.where("is_test")
+    out = M.save_and_verify(models["ridge"], test, scratch(spark, "model"), test.count())
+    return out.agg(F.count("prediction").alias("predictions"), F.count_if(F.col("prediction") == F.col("reloaded")).alias("equal"), F.count_distinct("digest").alias("digests"))
+
+
+@query()
+def leaderboard_many_classes(spark, d):
+    """Boosted trees for five classes, one model for each against the rest."""
+    df = table(spark, d, "orders").withColumnRenamed("o_orderkey", "_row_id")
+    board, _, _ = M.train_models(df, "o_orderpriority", ["o_totalprice", "o_orderstatus"], "classification", "_row_id", only=["boosted_trees"])
+    return board.select("model", "status", F.explode_outer("metrics").alias("metric", "value"))
 
 
 @query()
