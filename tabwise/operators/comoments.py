@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tabwise.functions.exprs import q
+from tabwise.session import ship
 
 #: Rows of one matrix product.
 BLOCK = 8_192
@@ -53,6 +54,7 @@ def co_moments(num: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.astype(np.int32), b.astype(np.int32), n[a, b], s[a, b], s[b, a], ss[a, b], ss[b, a], p[a, b])], names)
 
     names = ["i", "j", "n", "si", "sj", "sii", "sjj", "sij"]
+    ship(num.sparkSession)
     parts = num.mapInArrow(run, "i int, j int, " + ", ".join(f"{c} double" for c in names[2:]))
     return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names[2:]])
 

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tabwise.functions.exprs import as_text, mask_text, q, redact_secrets, screen_message
+from tabwise.operators.grams import SENT_BYTES, count_inside
 from tabwise.operators.profile import ROW_ID
-from tabwise.session import checkpoint_cut
 
 FEW_VALUES = 64  # value lists up to this size are tested one by one inside the projection
-GRAM = 8
-MAX_CLASS = 4_000
 
 
 def mask_columns(df: DataFrame, columns: list[str] | dict[str, str]) -> DataFrame:
@@ -45,58 +43,21 @@ def screen_messages(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("screened", screen_message(q(column)))
 
 
-def _grams(text, size: int, pattern: str | None = None):
-    """Substrings of one size, overlapping, in one linear pass (an empty look-ahead match per position)."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({pattern or '.{%d}' % size}))"), 1)
-
-
-def _gram_patterns(anchor: DataFrame) -> dict[int, str]:
-    """Per size, a pattern of the characters that occur at each place of the filed substrings.
-
-    It skips most positions of a text before any string is made.  Alphabets beyond a few
-    thousand characters are not listed; every character is then accepted.
-    """
-    places = anchor.select(F.length("g").alias("size"), F.posexplode(F.split("g", "")).alias("at", "ch")).where("ch <> ''").distinct()
-    rows = places.limit(MAX_CLASS + 1).collect()
-    sizes = sorted(r[0] for r in anchor.select(F.length("g")).distinct().collect())  # six sizes at most
-    if len(rows) > MAX_CLASS:
-        return {k: ".{%d}" % k for k in sizes}
-    seen: dict[tuple[int, int], set[str]] = {}
-    for r in rows:
-        seen.setdefault((r["size"], r["at"]), set()).add(r["ch"])
-    return {
-        k: "".join("[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(seen[k, i])) + "]" for i in range(k)) for k in sizes
-    }
-
-
-def leak_scan(texts: DataFrame, text_id: str, text: str, values: DataFrame, value: str, few: int = FEW_VALUES) -> DataFrame:
+def leak_scan(texts: DataFrame, text_id: str, text: str, values: DataFrame, value: str, few: int = FEW_VALUES, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """(text_id, leaked): number of distinct listed values that occur inside each text.
 
-    Values shorter than three characters are ignored.  A short list is tested inside the
-    projection.  A long one is matched by an equi-join: each value is filed under its
-    rarest substring of up to eight characters, texts are broken into substrings of the
-    same sizes, and only texts that hold the rare substring are tested.  Neither side is
-    collected and no pair is formed without a shared rare substring.  Rows are told apart by
-    an id of their own, so ``text_id`` may repeat.
+    Values shorter than three characters are ignored.  A short list is tested inside the projection.  A long one is
+    filed under the substring of each value that the fewest texts hold; filters of bounded size drop all other places
+    of the texts, and a text is tested for the values whose rare substring it holds.  Rows are told apart by an id of
+    their own, so ``text_id`` may repeat.
     """
     listed = values.select(F.trim(q(value).cast("string")).alias("v")).where(F.length("v") >= 3).distinct()
     head = [r[0] for r in listed.limit(few + 1).collect()]
     if len(head) <= few:
         hits = sum((F.when(F.contains(q(text), F.lit(v)), 1).otherwise(0) for v in head), F.lit(0))
         return texts.select(q(text_id).alias(text_id), F.coalesce(hits, F.lit(0)).cast("long").alias("leaked"))
-    own = listed.withColumn("g", F.explode(F.array_distinct(F.when(F.length("v") < GRAM, F.array("v")).otherwise(_grams(F.col("v"), GRAM)))))
-    freq = own.groupBy("g").agg(F.count("*").alias("k"))
-    anchor = own.join(freq, "g").groupBy("v").agg(F.min(F.struct("k", "g")).getField("g").alias("g"))
-    anchor = checkpoint_cut(anchor)
-    rows = checkpoint_cut(texts.select(q(text_id).alias("_id"), q(text).alias("_text"), F.monotonically_increasing_id().alias("_tid")))
-    parts = F.concat(*[_grams(F.col("_text"), k, p) for k, p in _gram_patterns(anchor).items()])
-    grams = rows.select("_tid", F.explode(F.array_distinct(parts)).alias("g"))
-    pairs = grams.join(anchor, "g").select("_tid", "v").distinct()
-    found = (
-        pairs.join(rows.select("_tid", "_text"), "_tid")
-        .where(F.contains("_text", "v")).groupBy("_tid").agg(F.count_distinct("v").alias("n"))
-    )
-    return rows.select("_id", "_tid").join(found, "_tid", "left").select(F.col("_id").alias(text_id), F.coalesce("n", F.lit(0)).alias("leaked"))
+    found = count_inside(texts.select(q(text_id), q(text)), listed, sent_bytes)
+    return found.toDF(text_id, "leaked")
 
 
 def leak_summary(scan: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabwise.functions import fixed as V
-from tabwise.session import checkpoint_cut, local_table
+from tabwise.session import checkpoint_cut, local_table, ship
 
 CHUNK = 4 << 20
 #: Bytes of a file that Spark's binary reader can hold in a cell.
@@ -83,6 +83,7 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
                 for at in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at:at + 10_000]), (pa.string(), pa.int64(), pa.bool_()))], ["path", "bytes", "folder"])
 
+    ship(spark)
     level = local_table(spark, [(path,)], "path string")
     files = None
     while True:
@@ -202,6 +203,7 @@ def scan_files(spark: SparkSession, path: str, listed: DataFrame) -> DataFrame:
     Files that Python cannot open are read by Spark's binary reader as far as it can hold them; of
     the others ``opened`` is false.
     """
+    ship(spark)
     known = checkpoint_cut(listed.select("path").repartition("path").mapInArrow(_streamed, FACTS))
     closed = known.where("not opened").select("path")
     if closed.isEmpty():
