@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from functools import wraps
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import ship
+
 SPACES = r"[^\x20\x09-\x0D]+"
 
 
@@ -20,23 +20,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package's code, once per application, so that their Python can import it."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="code-")) / f"{package.name}-code.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(target))
-    _shipped.add(sc.applicationId)
-
-
 def exact_names(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """Of a function that plans on a DataFrame: columns whose names differ in case only are told apart meanwhile."""
     @wraps(build)
