@@ -6,17 +6,20 @@ most fifteen categories, or a sample of fixed size.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Row, functions as F
 
 from tabwise.functions.exprs import as_double, as_text, q, share
 from tabwise.operators.profile import ROW_ID, data_columns
-from tabwise.operators.quantiles import exact_quantiles, global_positions, smallest_by_hash
+from tabwise.operators.quantiles import exact_quantiles, global_positions, keyed_ranks, smallest_by_hash
 from tabwise.operators.stats import eligible_numeric, numeric_columns, sensitive_names
-from tabwise.session import local_table
+from tabwise.session import checkpoint_cut, local_table
 
 TREND_POINTS = 5_000
 SCATTER_POINTS = 10_000
-MAX_GROUPS = 15
+MAX_GROUPS = 15  # what a plan offers, and what becomes columns of one pass
+KERNEL_REACH = 6  # bandwidths beyond which the kernel is left out
 
 
 def chart_plan(
@@ -124,11 +127,11 @@ def category_frequency(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def box_plot(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
+def box_plot(df: DataFrame, value: str, group: str | None = None, few: int = MAX_GROUPS) -> DataFrame:
     """(group, n, q1, median, q3, low_whisker, high_whisker, outliers) per group.
 
-    At most fifteen groups (the planner offers no others); the groups become columns of
-    one wide exact-quantile pass, so no group is ever gathered in one task.
+    Few groups become columns of one wide exact-quantile pass; the values of more groups are ranked side by side in
+    ranges.  Either way no group is gathered in one task.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     x = as_double(value, types[value])
@@ -137,9 +140,9 @@ def box_plot(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
         wide = df.select(x.alias("g0"))
     else:
         g = as_text(group, types[group])
-        keys = [r[0] for r in df.select(g.alias("g")).where("g is not null").distinct().limit(MAX_GROUPS + 1).collect()]
-        if len(keys) > MAX_GROUPS:
-            raise ValueError(f"'{group}' has more than {MAX_GROUPS} groups; box plots need few groups")
+        keys = [r[0] for r in df.select(g.alias("g")).where("g is not null").distinct().limit(few + 1).collect()]
+        if len(keys) > few:
+            return _boxes_of_many(df.select(g.alias("key"), x.alias("value")).where("key is not null and value is not null"))
         keys.sort()
         wide = df.select(*[F.when(g == F.lit(k), x).alias(f"g{i}") for i, k in enumerate(keys)])
     cols = [f"g{i}" for i in range(len(keys))]
@@ -163,6 +166,28 @@ def box_plot(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
     ]))).where("n > 0")
 
 
+def _boxes_of_many(entries: DataFrame) -> DataFrame:
+    """``box_plot`` of (key, value) rows for any number of keys."""
+    ranks = checkpoint_cut(keyed_ranks(entries))
+    start = F.col("rank") - (F.col("n") + 1) / 2  # values before the first of this value
+    total = ranks.groupBy("key").agg(F.sum("n").alias("total"))
+    placed = ranks.join(total, "key").withColumn("start", start)
+    aggs = []
+    for i, p in enumerate((0.25, 0.5, 0.75)):
+        at = (F.col("total") - 1) * F.lit(p)
+        for j, place in enumerate((F.floor(at), F.ceil(at))):
+            here = (F.col("start") <= place) & (place < F.col("start") + F.col("n"))
+            aggs.append(F.max(F.when(here, F.col("value"))).alias(f"v{i}{j}"))
+    found = placed.groupBy("key", "total").agg(*aggs)
+    between = [F.col(f"v{i}0") + (F.col(f"v{i}1") - F.col(f"v{i}0")) * ((F.col("total") - 1) * F.lit(p) - F.floor((F.col("total") - 1) * F.lit(p))) for i, p in enumerate((0.25, 0.5, 0.75))]
+    quart = found.select("key", *[b.alias(a) for a, b in zip(("q1", "median", "q3"), between)])
+    inside = F.col("value").between(F.expr("q1 - 1.5 * (q3 - q1)"), F.expr("q3 + 1.5 * (q3 - q1)"))
+    return ranks.join(quart, "key").groupBy(F.col("key").alias("group"), "q1", "median", "q3").agg(
+        F.sum("n").alias("n"), F.min(F.when(inside, F.col("value"))).alias("low_whisker"), F.max(F.when(inside, F.col("value"))).alias("high_whisker"),
+        F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"),
+    ).select("group", "n", "q1", "median", "q3", "low_whisker", "high_whisker", "outliers")
+
+
 def target_distribution(df: DataFrame, target: str, discrete: bool, bins: int = 30) -> DataFrame:
     """Counts of a discrete target (value, n, pct), else its histogram."""
     return category_frequency(df, target) if discrete else histogram(df, target, bins)
@@ -199,3 +224,38 @@ def violin_density(df: DataFrame, value: str, group: str | None = None, bins: in
         "group", "bin", (F.lit(lo) + (F.col("bin") + 0.5) * F.lit(width)).alias("centre"), "n",
         (F.col("n") / (F.col("total") * F.lit(width))).alias("density"),
     )
+
+
+def violin(df: DataFrame, value: str, group: str | None = None, cells: int = 128, most_cells: int = 4_096) -> DataFrame:
+    """(group, point, at, density, bandwidth, n, q1, median, q3, low_whisker, high_whisker, outliers) of every group.
+
+    A Gaussian kernel density over all rows and the box beside it.  The bandwidth follows spread and size of the group
+    (the smaller of standard deviation and scaled interquartile range); the grid reaches two bandwidths beyond the
+    values, with at least four cells a bandwidth up to ``most_cells``.  Values are shared out between the two grid
+    points around them, and the kernel is applied to the grid, so the work on rows does not grow with the grid.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    g = F.lit("all") if group is None else as_text(group, types[group])
+    rows = df.select(g.alias("group"), as_double(value, types[value]).alias("x")).where("group is not null and x is not null")
+    spread = rows.groupBy("group").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_samp("x").alias("sd"))
+    boxes = box_plot(df, value, group).join(spread, "group")
+    narrow = F.when(F.expr("q3 > q1"), F.least("sd", F.expr("(q3 - q1) / 1.349"))).otherwise(F.col("sd"))
+    h = F.when(F.col("sd") > 0, 1.059 * narrow * F.pow("n", F.lit(-0.2))).otherwise(1.0)
+    shape = boxes.withColumn("h", h).withColumn("low", F.expr("lo - 2 * h")).withColumn("range", F.expr("hi - lo + 4 * h"))
+    shape = shape.withColumn("cells", F.greatest(F.lit(cells), F.least(F.lit(most_cells), F.ceil(F.expr("range / (h / 4)"))).cast("int"))).withColumn("step", F.expr("range / cells"))
+    shape = checkpoint_cut(shape)
+    sent = F.broadcast if shape.count() <= 10_000 else lambda facts: facts  # one row a group
+    at = F.expr("(x - low) / step")
+    k = F.least(F.floor(at), F.col("cells") - 1).cast("int")
+    shares = rows.join(sent(shape.select("group", "low", "step", "cells")), "group").select("group", F.inline(F.array(
+        F.struct(k.alias("k"), (1 - (at - k)).alias("w")), F.struct((k + 1).alias("k"), (at - k).alias("w")))))
+    grid = shares.groupBy("group", "k").agg(F.sum("w").alias("w"))
+    near = grid.join(sent(shape.select("group", "h", "step", "cells")), "group").withColumn("reach", F.ceil(F.expr(f"{KERNEL_REACH} * h / step")))
+    spreaded = near.select("group", "k", "w", "h", "step", F.explode(F.expr("sequence(greatest(0, k - int(reach)), least(cells, k + int(reach)))")).alias("point"))
+    dense = spreaded.groupBy("group", "point").agg(F.sum(F.expr("w * exp(-0.5 * pow((point - k) * step / h, 2))")).alias("mass"))
+    points = shape.select("*", F.explode(F.expr("sequence(0, cells)")).alias("point"))
+    density = F.coalesce("mass", F.lit(0.0)) / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))
+    return points.join(dense, ["group", "point"], "left").select(
+        "group", "point", F.expr("low + point * step").alias("at"), density.alias("density"), F.col("h").alias("bandwidth"),
+        "n", "q1", "median", "q3", "low_whisker", "high_whisker", "outliers",
+    )

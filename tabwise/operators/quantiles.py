@@ -236,8 +236,8 @@ def average_ranks(df: DataFrame, column: str, range_rows: int = RANGE_ROWS) -> D
 def keyed_ranks(entries: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(key, value, n, rank): average rank of every distinct value within its key, all keys in one pass.
 
-    Every key's values are cut into about equal ranges; ranges of all keys are summed side by side, and the totals, at
-    most ``MAX_RANGES`` and one per key, give each range its offset.
+    Every key's values are cut into about equal ranges; ranges of all keys are summed side by side, and the totals
+    give each range its offset.
     """
     counts = checkpoint_cut(entries.groupBy("key", "value").agg(F.count("*").alias("n")))
     sizes = counts.groupBy("key").agg(F.count("*").alias("m")).agg(F.count("*").alias("keys"), F.max("m").alias("m")).first()
@@ -251,7 +251,8 @@ def keyed_ranks(entries: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     totals = ranged.groupBy("key", "_range").agg(F.sum("n").alias("_total"))
     offsets = totals.select("key", "_range", (F.sum("_total").over(Window.partitionBy("key").orderBy("_range")) - F.col("_total")).alias("_offset"))
     upto = F.sum("n").over(Window.partitionBy("key", "_range").orderBy("value"))
-    return ranged.withColumn("_upto", upto).join(F.broadcast(offsets), ["key", "_range"]).select(
+    offsets = F.broadcast(offsets) if (sizes["keys"] or 0) * parts <= MAX_RANGES else offsets
+    return ranged.withColumn("_upto", upto).join(offsets, ["key", "_range"]).select(
         "key", "value", "n", (F.col("_offset") + F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank"))
 
 

@@ -195,6 +195,23 @@ def violin_density(spark, d):
     return C.violin_density(table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag").select("group", "bin", "n", F.round("density", 10).alias("density"))
 
 
+@query("""WITH s AS (SELECT l_returnflag AS g, count(*) AS n, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, stddev_samp(l_extendedprice) AS sd,
+quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1),
+b AS (SELECT *, 1.059 * least(sd, (q3 - q1) / 1.349) * pow(n, -0.2) AS h FROM s),
+c AS (SELECT *, lo - 2 * h AS low, greatest(128, least(4096, ceil((hi - lo + 4 * h) / (h / 4)))) AS cells FROM b), d AS (SELECT *, (hi - lo + 4 * h) / cells AS step FROM c),
+p AS (SELECT d.g, least(floor((l_extendedprice - low) / step), cells - 1) AS k, (l_extendedprice - low) / step AS at FROM lineitem JOIN d ON l_returnflag = d.g),
+w AS (SELECT g, k, sum(w) AS w FROM (SELECT g, k, 1 - (at - k) AS w FROM p UNION ALL SELECT g, k + 1, at - k FROM p) GROUP BY ALL),
+j AS (SELECT d.*, unnest(range(CAST(cells AS BIGINT) + 1)) AS point FROM d),
+f AS (SELECT j.g, point, sum(w * exp(-0.5 * pow((point - k) * step / h, 2))) AS mass FROM j JOIN w ON w.g = j.g AND abs(point - k) <= ceil(6 * h / step) GROUP BY ALL),
+o AS (SELECT d.g, count(*) FILTER (l_extendedprice < q1 - 1.5 * (q3 - q1) OR l_extendedprice > q3 + 1.5 * (q3 - q1)) AS outliers FROM lineitem JOIN d ON l_returnflag = d.g GROUP BY 1)
+SELECT j.g AS "group", CAST(j.point AS INTEGER) AS point, round(low + j.point * step, 4) AS at, round(coalesce(mass, 0) / (n * h * sqrt(2 * pi())), 12) AS density, round(h, 6) AS bandwidth,
+n, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, outliers FROM j LEFT JOIN f ON f.g = j.g AND f.point = j.point JOIN o ON o.g = j.g""")
+def violin(spark, d):
+    out = C.violin(table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag")
+    digits = {"at": 4, "density": 12, "bandwidth": 6, "q1": 4, "median": 4, "q3": 4}
+    return out.withColumns({c: F.round(c, k) for c, k in digits.items()}).drop("low_whisker", "high_whisker")
+
+
 @query("""SELECT CAST(place AS INTEGER) AS place, chart_type, x_col, y_col FROM (VALUES (1, 'scatter', 'balance', 'nation_no'), (2, 'histogram', 'balance', NULL), (3, 'histogram', 'nation_no', NULL),
 (4, 'categorical_bar', 'segment', NULL), (5, 'boxplot', 'segment', 'balance'), (6, 'target_distribution', NULL, 'segment')) t(place, chart_type, x_col, y_col)
 WHERE (SELECT count(DISTINCT c_mktsegment) FROM customer) BETWEEN 2 AND 10""")

@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,10 +165,37 @@ def test_fingerprint_ignores_order(spark):
 
 # --- charts -----------------------------------------------------------------------------
 
-def test_box_plot_rejects_many_groups(spark):
-    df = spark.createDataFrame([(float(i), f"g{i}") for i in range(40)], "x double, g string")
-    with pytest.raises(ValueError):
-        C.box_plot(df, "x", "g")
+@pytest.mark.parametrize("few", [1, 40])
+def test_boxes_of_any_number_of_groups(spark, few):
+    rng = random.Random(9)
+    rows = [(rng.choice([f"g{i}" for i in range(30)] + ["g0"] * 30 + [None]), rng.choice([None, float(rng.randint(0, 40)), rng.gauss(0, 50)])) for _ in range(900)]
+    got = {r["group"]: r for r in C.box_plot(spark.createDataFrame(rows, "g string, x double"), "x", "g", few).collect()}
+    assert set(got) == {g for g, x in rows if g and x is not None}
+    for g, r in got.items():
+        own = np.array([x for k, x in rows if k == g and x is not None])
+        q1, q2, q3 = np.quantile(own, [0.25, 0.5, 0.75])
+        inside = own[(own >= q1 - 1.5 * (q3 - q1)) & (own <= q3 + 1.5 * (q3 - q1))]
+        assert [r["n"], r["outliers"], r["low_whisker"], r["high_whisker"]] == [len(own), len(own) - len(inside), inside.min(), inside.max()]
+        assert [r["q1"], r["median"], r["q3"]] == pytest.approx([q1, q2, q3])
+
+
+def test_violin_against_a_direct_sum(spark):
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.standard_normal(700), "b": np.r_[rng.standard_normal(300) * 0.1, rng.standard_normal(300) + 40], "c": np.full(5, 2.0), "d": np.array([1.0]), "e": np.r_[np.zeros(50), 1.0, 900.0]}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [(None, 1.0), ("a", None), ("z", None)]
+    out = C.violin(spark.createDataFrame(rows, "g string, x double").repartition(4), "x", "g").collect()
+    assert {r["group"] for r in out} == set(groups)
+    for g, xs in groups.items():
+        own = sorted((r for r in out if r["group"] == g), key=lambda r: r["point"])
+        h, at, d = own[0]["bandwidth"], np.array([r["at"] for r in own]), np.array([r["density"] for r in own])
+        direct = np.exp(-0.5 * ((at[:, None] - xs) / h) ** 2).sum(1) / (len(xs) * h * np.sqrt(2 * np.pi))
+        assert np.abs(d - direct).max() <= 0.02 * direct.max() and [r["point"] for r in own] == list(range(len(own)))
+        assert abs(own[0]["at"] - (xs.min() - 2 * h)) < 1e-9 and abs(own[-1]["at"] - (xs.max() + 2 * h)) < 1e-9
+        assert own[0]["median"] == pytest.approx(np.median(xs)) and own[0]["n"] == len(xs)
+    a = groups["a"]
+    iqr = np.subtract(*np.quantile(a, [0.75, 0.25]))
+    assert next(r["bandwidth"] for r in out if r["group"] == "a") == pytest.approx(1.059 * min(a.std(ddof=1), iqr / 1.349) * len(a) ** -0.2)
+    assert C.violin(spark.createDataFrame([], "g string, x double"), "x").count() == 0
 
 
 def test_histogram_covers_all_rows(spark):
