@@ -207,3 +207,7 @@ AUDIT = {
     "no_rows": "Dataset contains zero parseable rows.",
     "header_only": "Dataset contains no data rows (zero rows).",
 }
+
+# Number formats of workbooks that show a date, and those that show a time of day.
+DATE_FORMAT_IDS = [14, 15, 16, 17, 22, 27, 28, 29, 30, 31, 34, 35, 36, 50, 51, 52, 53, 54, 55, 56, 57, 58]
+TIME_FORMAT_IDS = [18, 19, 20, 21, 32, 33, 45, 47]

@@ -8,7 +8,7 @@ from tabwise.plans.analyse import analyse
 from tabwise.plans.catalog_claims import _mask
 from tabwise.plans.registry import query, scratch, table, view
 from tabwise.plans.views import CLIENTS, COPIES
-from tabwise.sources import files as S, rowid, sinks
+from tabwise.sources import files as S, rowid, sinks, workbook as W
 from tabwise.streaming import streams as T
 
 
@@ -72,6 +72,18 @@ def na_tokens(spark, d):
     return table(spark, d, "part").select("p_partkey", na_to_null(token).alias("brand"))
 
 
+@query("""SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE concat(o_orderpriority, ' <&> é') END AS note, o_totalprice,
+CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS placed, o_custkey % 2 = 0 AS even FROM orders""")
+def scan_workbooks(spark, d):
+    """Orders written as workbooks and read back: numbers, flags, gaps, texts and moments."""
+    path = scratch(spark, "books")
+    placed = F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 86400)
+    note = F.when(F.col("o_custkey") % 7 != 0, F.concat("o_orderpriority", F.lit(" <&> é")))
+    t = table(spark, d, "orders").select("o_orderkey", "o_custkey", note.alias("note"), "o_totalprice", placed.alias("placed"), (F.col("o_custkey") % 2 == 0).alias("even"))
+    W.write_workbooks(t.repartition(4, "o_orderkey"), path)
+    return W.read_workbooks(spark, path).drop(ROW_ID)
+
+
 @query("""SELECT CASE c_custkey % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END AS delimiter, 'utf-8' AS encoding, c_custkey % 4 = 3 AS quoted_breaks
 FROM customer GROUP BY ALL""")
 def inspect_text(spark, d):

@@ -187,7 +187,10 @@ def ingest(spark: SparkSession, path: str, max_mb: int | None = None, **options)
 
     def paths(kind: str) -> str | list[str]:
         # the path itself where all of it is read; else the valid files of a kind by name
-        return path if whole and len(kinds) == 1 else [_literal(r[0]) for r in audit.where(F.col("is_valid") & (F.col("file_type") == kind)).select("path").orderBy("path").collect()]
+        if whole and len(kinds) == 1:
+            return path
+        names = [r[0] for r in audit.where(F.col("is_valid") & (F.col("file_type") == kind)).select("path").orderBy("path").collect()]
+        return [_literal(n) for n in names] if kind == "csv" else names
 
     if kinds == ["xlsx"]:
         table = read_workbooks(spark, paths("xlsx"), **options)

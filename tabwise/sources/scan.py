@@ -45,6 +45,15 @@ def locate(path: str) -> tuple[arrow_fs.FileSystem, str] | None:
     return arrow_fs.FileSystem.from_uri(f"{scheme}://{parts.netloc}{parts.path}")
 
 
+def reachable(path: str) -> bool:
+    """Can Python open what lies there?"""
+    try:
+        found = locate(path)
+        return found is not None and found[0].get_file_info(found[1]).type in (arrow_fs.FileType.File, arrow_fs.FileType.Directory)
+    except OSError:
+        return False
+
+
 def spelled(path: str, like: str) -> str:
     """A path within a file system as Spark's file sources spell it; ``like`` is a path of the same store."""
     scheme = urlsplit(like).scheme
@@ -65,12 +74,7 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     Folders are listed by tasks, one job for each level of the tree; names and sizes stay on the
     executors.  Paths with wildcards and stores that pyarrow does not know are listed by Spark.
     """
-    try:
-        found = None if re.search(r"[*?{\[]", path) else locate(path)
-        kind = None if found is None else found[0].get_file_info(found[1]).type
-    except OSError:
-        kind = None
-    if kind not in (arrow_fs.FileType.File, arrow_fs.FileType.Directory):
+    if not reachable(path):  # wildcards, or a store that only Spark reads
         return _listed_by_spark(spark, path)
 
     def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
