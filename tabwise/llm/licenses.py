@@ -2,15 +2,17 @@
 
 A text is cut into words and put back with single spaces, so one rule text covers every way of
 writing it.  Each rule belongs to a license (label), has a priority and needs one keyword of each of its
-sets to occur before its expression is tried; every alternative of the expression holds one of each.  Detections are taken from the highest priority down; one that lies
-inside a taken one is suppressed.
+sets to occur before its expression is tried; every alternative of the expression holds one of each.
+Detections are taken from the highest priority down; one that lies inside a taken one is suppressed.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_rows, pick
@@ -124,6 +126,64 @@ MARKS = [
     ("proprietary", 25, "proprietary", 0.6, r"(?:proprietary and confidential|confidential and proprietary)"),
     ("all-rights-reserved", 15, "reserved", 0.5, r"all rights reserved"),
     ("copyright", 10, "copyright", 0.4, r"copyright (?:c )?(?:19|20)[0-9][0-9]"),
+    # headers of source files
+    ("apache-2.0", 48, "compliance", 0.95, r"you may not use this (?:file|software|work) except in compliance with the licen[sc]e"),
+    ("apache", 44, "applicable", 0.85, r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis"),
+    ("apache", 44, "contributor licen", 0.8, r"licen[sc]ed to the apache software foundation (?:asf )?under one or more contributor licen[sc]e agreements"),
+    ("gpl", 46, "redistribute it", 0.9, r"(?:this|the) (?:program|file|software|work) is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e"),
+    ("lgpl", 46, "redistribute it", 0.9, r"(?:this|the) (?:library|program|file|software) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e"),
+    ("agpl", 46, "redistribute it", 0.9, r"(?:this|the) (?:program|file|software) is free software you can redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e"),
+    ("gpl", 43, "received a copy", 0.8, r"you should have received a copy of the gnu general public licen[sc]e"),
+    ("lgpl", 43, "received a copy", 0.8, r"you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e"),
+    ("agpl", 43, "received a copy", 0.8, r"you should have received a copy of the gnu affero general public licen[sc]e"),
+    ("gpl", 22, "later version", 0.6, r"either version [23] (?:0 )?of the licen[sc]e or at your option any later version"),
+    ("gpl-exception", 47, "exception", 0.8, r"as a special exception (?:to the gnu general public licen[sc]e|the copyright holders? gives? you permission)"),
+    ("mpl-2.0", 46, "source code form", 0.95, r"this source code form is subject to the terms of the mozilla public licen[sc]e v ?2 0"),
+    ("mpl-1.1", 46, "contents of this file", 0.9, r"the contents of this file are subject to the (?:mozilla|netscape) public licen[sc]e version 1 [01]"),
+    ("epl", 46, "accompanying", 0.9, r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e"),
+    ("cddl", 46, "contents of this file", 0.9, r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e"),
+    ("eupl", 46, "eupl", 0.9, r"licen[sc]ed under the eupl version 1 [12]"),
+    ("ms-pl", 44, "governs", 0.8, r"this licen[sc]e governs use of the accompanying software if you use the software you accept this licen[sc]e"),
+    ("bsd", 42, "bsd style", 0.8, r"(?:use of this source code is )?governed by a bsd style licen[sc]e"),
+    ("mit", 42, "mit style", 0.8, r"(?:use of this source code is )?governed by an mit style licen[sc]e"),
+    # clauses of the texts themselves
+    ("mit", 44, "copyright notice", 0.85, r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("isc", 44, "copyright notice", 0.85, r"provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsd", 44, "redistributions", 0.85, r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", 44, "redistributions", 0.85, r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3-clause", 44, "endorse", 0.85, r"may be used to endorse or promote products derived from this software without (?:specific )?prior written permission"),
+    ("bsd-4-clause", 45, "advertising", 0.9, r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-1.1", 45, "software foundation", 0.85, r"this product includes software developed by the apache software foundation"),
+    ("apache-2.0", 44, "contributor hereby", 0.9, r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+    ("gpl", 41, "copyleft", 0.7, r"the gnu general public licen[sc]e is a free copyleft licen[sc]e for software"),
+    ("gpl-2.0", 44, "licenses for most", 0.8, r"the licenses for most software are designed to take away your freedom to share and change it"),
+    ("agpl-3.0", 44, "network", 0.85, r"your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("zlib", 44, "origin", 0.85, r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("unlicense", 46, "unencumbered", 0.95, r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", 44, "anyone is free", 0.8, r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("cc0-1.0", 45, "waived", 0.9, r"has waived all copyright and related or neighboring rights"),
+    ("wtfpl", 45, "what the", 0.95, r"you just do what the fuck you want to"),
+    ("beerware", 45, "beer", 0.95, r"you can buy me a beer in return"),
+    ("boost-1.0", 44, "copyright notices", 0.85, r"the copyright notices in the software and this entire statement including the above licen[sc]e grant"),
+    ("artistic", 44, "standard version", 0.8, r"you may distribute verbatim copies of the (?:source form of the )?standard version of this package"),
+    ("postgresql", 44, "documentation for any purpose", 0.85, r"permission to use copy modify and distribute this software and its documentation for any purpose without fee"),
+    ("ofl-1.1", 45, "reserved font", 0.9, r"no modified version of the font software may use the reserved font name"),
+    ("ofl-1.1", 44, "font software", 0.85, r"permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("openssl", 45, "openssl", 0.9, r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("json", 45, "good not evil", 0.95, r"the software shall be used for good not evil"),
+    ("commons-clause", 47, "commons clause", 0.9, r"(?:the )?commons clause licen[sc]e condition"),
+    ("sspl-1.0", 45, "as a service", 0.9, r"if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("busl-1.1", 45, "change date", 0.85, r"effective on the change date or the fourth anniversary of the first publicly available distribution"),
+    ("odbl", 45, "database", 0.85, r"(?:this|the) (?:data|database) is (?:made available|licen[sc]ed) under the open database licen[sc]e"),
+    ("ogl", 45, "contains", 0.85, r"contains public sector information licen[sc]ed under the open government licen[sc]e"),
+    ("gfdl", 45, "free documentation", 0.9, r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e"),
+    ("openrail", 45, "derivatives of the model", 0.85, r"you agree not to use the model or derivatives of the model"),
+    # refusals and claims
+    ("proprietary", 26, "proprietary|confidential", 0.7, r"this (?:document|file|software|material) (?:contains|is) (?:proprietary|confidential)(?: and (?:proprietary|confidential))?(?: information)?"),
+    ("proprietary", 26, "unauthori", 0.65, r"unauthori[sz]ed (?:copying|reproduction|use|distribution)(?: of this (?:file|document|software)| or distribution)? is strictly prohibited"),
+    ("non-commercial", 24, "use only|purposes only", 0.6, r"for (?:personal|research|educational|non commercial)(?: and (?:personal|research|educational|non commercial))? (?:use|purposes) only"),
+    ("no-redistribution", 24, "without", 0.6, r"may not be (?:reproduced|copied|distributed|republished)(?: in whole or in part| in any form)? without (?:the )?(?:express |prior )?(?:written )?(?:permission|consent)"),
+    ("warranty-disclaimer", 12, "warranty", 0.4, r"(?:provided|distributed) as is without (?:any )?warranty of any kind"),
     ("unknown-license", 5, "licen", 0.3, r"(?:this work|this file|this document|this software|it) is licen[sc]ed under"),
 ]
 
@@ -143,8 +203,32 @@ def rules() -> list[tuple[int, str, tuple[tuple[bytes, ...], ...], float, re.Pat
     return sorted(ready, key=lambda r: -r[0])
 
 
+class Reach:
+    """How far the kept detections that start at or before a place reach, for places known beforehand (a tree of maxima)."""
+
+    def __init__(self, places: list[int]):
+        self.places = sorted(set(places))
+        self.far = [-1] * (len(self.places) + 1)
+
+    def keep(self, start: int, end: int) -> None:
+        i = bisect_left(self.places, start) + 1
+        while i <= len(self.places):
+            self.far[i] = max(self.far[i], end)
+            i += i & -i
+
+    def up_to(self, place: int) -> int:
+        i, far = bisect_right(self.places, place), -1
+        while i:
+            far = max(far, self.far[i])
+            i -= i & -i
+        return far
+
+
 def detect(line: bytes) -> list[tuple[int, int, str, float]]:
-    """Detections in a line of words with a space before and after each: start, end, label, weight."""
+    """Detections in a line of words with a space before and after each: start, end, label, weight.
+
+    In order of priority and length, a detection inside a kept one is suppressed, and a weak one by any overlap.
+    """
     seen: dict[tuple[bytes, ...], bool] = {}
     hits = []
     for order, (priority, label, keys, weight, text) in enumerate(rules()):
@@ -154,17 +238,19 @@ def detect(line: bytes) -> list[tuple[int, int, str, float]]:
         if all(seen[k] for k in keys):
             hits += [(-priority, m.start() - m.end(), m.start(), order, m.end(), label, weight) for m in text.finditer(line)]
     kept: list[tuple[int, int, str, float]] = []
+    reach = Reach([h[2] for h in hits])
     for low, _, start, _, end, label, weight in sorted(hits):
-        inside = any(a <= start and end <= b for a, b, _, _ in kept)
-        if not inside and not (-low <= WEAK and any(a < end and start < b for a, b, _, _ in kept)):
+        if reach.up_to(start) < end and (-low > WEAK or reach.up_to(end - 1) <= start):
             kept.append((start, end, label, weight))
+            reach.keep(start, end)
     return sorted(kept)
 
 
 #: Detections up to this priority are suppressed by any overlap.
 WEAK = 5
 #: Every rule needs one of these, so a text without any has no detection.
-GATE = (b"licen", b"spdx", b"hereby", b"purpose", b"redistribution", b"altered", b"machine", b"domain", b"proprietary", b"reserved", b"copyright",
+GATE = (b"warranty", b"redistribute", b"endorse", b"advertising", b"developed by", b"network", b"origin", b"unencumbered", b"waived", b"beer", b"what the", b"standard version",
+        b"font", b"openssl", b"evil", b"as a service", b"change date", b"confidential", b"unauthori", b"use only", b"purposes only", b"may not be", b"anyone is free", b"derivatives of the model", b"special exception", b"licen", b"spdx", b"hereby", b"purpose", b"redistribution", b"altered", b"machine", b"domain", b"proprietary", b"reserved", b"copyright",
         b"under", b"general", b"gpl", b"bsd", b"cc0", b"cc by", b"commons", b"unlicense", b"wtfpl", b"cecill")
 
 
@@ -174,17 +260,21 @@ def scan_text(text: str | None) -> tuple[int, list[tuple[int, int, str]], list[t
     line = b" " + b" ".join(words) + b" "
     base: list[tuple[int, int, str]] = []
     if b" license " in line:
+        spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
         for phrase, label in BASE:
             n, raw, at = phrase.count(" ") + 1, f" {phrase} ".encode(), line.find(f" {phrase} ".encode())
             while at >= 0:
-                first = line.count(b" ", 0, at)
+                first = int(np.searchsorted(spaces, at))
                 base.append((first, first + n, label))
                 at = line.find(raw, at + 1)
     spans = []
     if any(g in line for g in GATE):
-        for start, end, label, weight in detect(line):
-            first = line.count(b" ", 0, start - 1)
-            spans.append((first, first + line.count(b" ", start, end) + 1, label, weight))
+        found = detect(line)
+        if found:
+            spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+            # words before a detection and up to its end
+            first, after = (np.searchsorted(spaces, np.array([x[k] for x in found]) - 1 + k) for k in (0, 1))
+            spans = [(a, b, label, weight) for a, b, (_, _, label, weight) in zip(first.tolist(), after.tolist(), found)]
     return len(words), sorted(base), spans
 
 

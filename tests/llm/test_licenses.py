@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from tabwise.llm import licenses as L
 
@@ -97,3 +99,45 @@ def test_detections_are_the_same_without_keywords(monkeypatch):
 def test_no_derivative_works_is_not_the_weaker_license():
     text = "licensed under a Creative Commons Attribution-Noncommercial-No Derivative Works 3.0 License"
     assert [x[2] for x in L.scan_text(text)[2] if x[2].startswith("cc")] == ["cc-by-nc-nd"]
+
+
+def plain_suppression(line):
+    """Detections with every hit compared to every kept one."""
+    hits = [(-p, m.start() - m.end(), m.start(), k, m.end(), label, w) for k, (p, label, _, w, e) in enumerate(L.rules()) for m in e.finditer(line)]
+    kept = []
+    for low, _, start, _, end, label, w in sorted(hits):
+        if not any(a <= start and end <= b for a, b, _, _ in kept) and not (-low <= L.WEAK and any(a < end and start < b for a, b, _, _ in kept)):
+            kept.append((start, end, label, w))
+    return sorted(kept)
+
+
+def test_suppression_against_all_pairs():
+    r = random.Random(8)
+    names = [x for _, _, name, short in L.LICENSES for x in (*spelled(name)[:2], *spelled(short)[:1])] + [x for m in L.MARKS for x in spelled(m[4])[:1]]
+    glue = ["licensed under the", "see the", "or", "spdx license identifier", "license is", "this work is licensed under", "and", "copyright 2020"]
+    for _ in range(150):
+        words = " ".join(r.choice(glue if r.random() < 0.6 else names) for _ in range(r.randint(1, 25)))
+        line = f" {words} ".encode()
+        assert L.detect(line) == plain_suppression(line), words
+        n, _, spans = L.scan_text(words)
+        at = [(line.count(b" ", 0, a - 1), line.count(b" ", 0, b)) for a, b, _, _ in L.detect(line)]
+        assert [(a, b) for a, b, _, _ in spans] == at and all(0 <= a < b <= n for a, b in at)
+
+
+def test_long_lists_of_licenses_take_linear_time():
+    text = "Released under the MIT License, see the Apache License 2.0. " * 35_000
+    start = time.process_time()
+    n, base, spans = L.scan_text(text)
+    took = time.process_time() - start
+    assert n == 11 * 35_000 and len(base) == 70_000 and len(spans) == 70_000
+    small = time.process_time()
+    L.scan_text(text[:len(text) // 8])
+    small = time.process_time() - small
+    assert took < 20 * small + 2, (took, small)
+
+
+def test_clauses_of_their_own():
+    for text, label in (("You may not use this file except in compliance with the License.", "apache-2.0"), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"),
+                        ("The Software shall be used for Good, not Evil.", "json"), ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "bsd"),
+                        ("This is free and unencumbered software released into the public domain.", "unlicense")):
+        assert label in [x[2] for x in L.scan_text(text)[2]], text
