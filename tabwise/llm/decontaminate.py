@@ -146,40 +146,50 @@ def leaks(text: str | None, index: Index, tokens: _Tokens) -> list[dict]:
                 k += 1
     out = []
     for k, pairs in sorted(hits.items()):
-        own, slot = index.words[k], index.slots[k]
-        covered = sorted({a for a, _ in pairs})
-        run = best = 0
-        last = None
-        for a in covered:
-            run = run + 1 if last == a - 1 else 1
-            best, last = max(best, run), a
-        if best < min(RUN, len(own)) and len(covered) < COVER * len(own):
-            continue
-        # values behind the placeholders, per alignment: one value of the item stands for one of the document
-        by_shift: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        by_shift: dict[int, list[int]] = defaultdict(list)
         for a, b in pairs:
-            by_shift[b - a].append((a, b))
-        kind, first = "inconsistent", None
-        for shift in sorted(by_shift):
-            to: dict[bytes, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
-            total = same = 0
-            for a, b in sorted(by_shift[shift]):
-                if slot[a]:
-                    v, w = own[a].strip(_STRIP).lower(), words[b].strip(_STRIP).lower()
-                    to[v][w] += 1
-                    total += 1
-                    same += v == w
-            wrong = total - sum(max(c.values()) for c in to.values())
-            if total == 0 or wrong <= LOOSE * total:
-                now = "exact" if total == same else "reparameterised"
-                if kind != "exact":
-                    kind = now
-                first = min(b for _, b in by_shift[shift]) if first is None else min(first, min(b for _, b in by_shift[shift]))
-        if kind != "inconsistent":
-            out.append({"item_id": index.ids[k], "covered": len(covered), "item_words": len(own), "kind": kind, "first_word": first})
+            by_shift[b - a].append(a)
+        # an alignment counts if the values behind its placeholders map consistently, one of the item to one of the document
+        exact, loose = {}, {}
+        for shift, places in by_shift.items():
+            same = _consistent(index.words[k], index.slots[k], words, shift, places)
+            if same is not None:
+                loose[shift] = places
+                if same:
+                    exact[shift] = places
+        for kind, chosen in (("exact", exact), ("reparameterised", loose)):
+            covered = sorted({a for places in chosen.values() for a in places})
+            if _enough(covered, len(index.words[k])):
+                out.append({"item_id": index.ids[k], "covered": len(covered), "item_words": len(index.words[k]), "kind": kind, "first_word": min(min(p) + s for s, p in chosen.items())})
+                break
     return out
 
 
+def _enough(covered: list[int], n: int) -> bool:
+    """Is a large part of an item's places covered, or enough of them in a row?"""
+    run = best = 0
+    last = None
+    for a in covered:
+        run = run + 1 if last == a - 1 else 1
+        best, last = max(best, run), a
+    return bool(covered) and (best >= min(RUN, n) or len(covered) >= COVER * n)
+
+
+def _consistent(own: list[bytes], slot: np.ndarray, words: list[bytes], shift: int, places: list[int]) -> bool | None:
+    """Are an alignment's values the same (true), others that map consistently (false), or neither (none)?"""
+    to: dict[bytes, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
+    total = same = 0
+    for a in places:
+        if slot[a]:
+            v, w = own[a].strip(_STRIP).lower(), words[a + shift].strip(_STRIP).lower()
+            to[v][w] += 1
+            total += 1
+            same += v == w
+    if total == same:
+        return True
+    return False if total - sum(max(c.values()) for c in to.values()) <= LOOSE * total else None
+
+
 def _parts(benchmark: DataFrame, id_col: str, text_col: str, max_windows: int) -> list[Index]:
     """Indexes of the benchmark, none with more windows than stated (or one item)."""
     parts, held, size = [], [], 0

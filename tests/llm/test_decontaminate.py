@@ -70,3 +70,40 @@ def test_exact_copies_of_any_kind(spark):
     for bound in (D.MAX_WINDOWS, 20):
         assert {(x.doc_id, x.item_id) for x in D.find_leaks(d, b, max_windows=bound).collect() if x.kind == "exact"} == want
     assert D.drop_leaks(d, b).count() == len(texts) - len({i for i, _ in want})
+
+
+def test_alignments_are_judged_one_by_one(spark):
+    """A copy of an item's last words elsewhere does not clear an alignment whose values map inconsistently."""
+    item = "A farmer has 12 cows and 7 sheep and 12 goats and 30 hens and 7 ducks so how many animals with two legs does the farmer keep on the old farm by the quiet river"
+    tail = " ".join(item.split()[-8:])
+    right = item.replace("12", "15").replace("30", "44").replace("7", "9")
+    wrong = "A farmer has 5 cows and 6 sheep and 8 goats and 9 hens and 11 ducks" + item.split("ducks")[1].split("keep")[0] + "sells today"
+    texts = [(1, f"Intro text here. {right} and so on."), (2, f"Intro text here. {wrong}"), (3, f"Other words stand first and then {wrong} then later {tail} ends"), (4, item), (5, f"only {tail}")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    b = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: (r.kind, r.covered == r.item_words) for r in D.find_leaks(d, b).collect()}
+    assert got == {1: ("reparameterised", True), 4: ("exact", True)}
+
+
+def reparameterised(seed, n=120):
+    r = random.Random(seed)
+    verbs, things = ["buys", "sells", "paints", "packs", "moves", "counts"], ["boxes", "apples", "pens", "chairs", "books", "cups"]
+    people = ["Anna", "Boris", "Carla", "David", "Elena", "Farid", "Greta", "Hugo"]
+    items, docs = [], []
+    for k in range(n):
+        v, t, u = r.choice(verbs), r.choice(things), r.choice(things)
+        shape = f"On day {k} of the fair {{p}} {v} {{a}} {t} in the morning and {{b}} {u} in the evening at {{c}} dollars each while {{q}} {r.choice(verbs)} the rest, how much is left for {{p}} at the end of this long day"
+
+        def made():
+            p, q_ = r.sample(people, 2)
+            return shape.format(p=p, q=q_, a=r.randint(2, 99), b=r.randint(2, 99), c=r.randint(2, 99))
+
+        items.append((k, made()))
+        docs.append((k, "Some talk before it. " + made() + " Some talk after it."))
+    return items, docs
+
+
+def test_recall_of_changed_parameters(spark):
+    items, docs = reparameterised(3)
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum((k, k) in got for k, _ in items) >= 0.9 * len(items)
