@@ -198,7 +198,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Netw
     some = d.filter("doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 0").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     fitted = F.coalesce(F.col("sampled") & (F.octet_length("text") <= FIT_BYTES), F.lit(False))
     marked = d.join(F.broadcast(some.withColumn("sampled", F.lit(True))), "doc_id", "left")  # FIT_ROWS ids at most
-    d = marked.filter(fitted)
+    # FIT_ROWS rows at most, also where an id has very many
+    d = marked.filter(fitted).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(FIT_ROWS).repartition(16, F.xxhash64("doc_id", "text"))
 
     def start():
         return lambda doc, text: ((doc, *x) for x in labelled(text or ""))

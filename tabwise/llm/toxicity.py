@@ -388,7 +388,8 @@ def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     known = known.filter(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
     sample = known.filter("label = 1").orderBy("h", "doc_id").limit(FIT_TOXIC).union(known.filter("label = 0").orderBy("h", "doc_id").limit(FIT_CLEAN))
     d = pick(docs, id_col, text_col).toDF("doc_id", "text").filter(F.octet_length("text") <= FIT_BYTES)
-    rows = d.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").collect()  # at most FIT_TOXIC + FIT_CLEAN ids are sent
+    # FIT_TOXIC + FIT_CLEAN ids are sent at most, and as many rows come back, also where an id has very many
+    rows = d.join(F.broadcast(sample), "doc_id").orderBy("h", "doc_id", "text").limit(FIT_TOXIC + FIT_CLEAN).select("doc_id", "text", "label").collect()
     return [(r.text, int(r.label)) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
 
 

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from tabwise.llm import personal as P
 
 RAW = [
@@ -50,8 +52,12 @@ def corpus(n, seed):
     return out
 
 
+def trained():
+    return P.train(P.joined_examples([t for _, t in corpus(400, 1)]))
+
+
 def test_field_labels_follow_distant_tokens():
-    field = P.train(P.joined_examples([t for _, t in corpus(400, 1)]))
+    field = trained()
     hit = total = 0
     for _, t in corpus(150, 2):
         if (x := P.prepared(t)):
@@ -59,15 +65,44 @@ def test_field_labels_follow_distant_tokens():
             hit += int((p.argmax(1) == x[3]).sum())
             total += len(x[3])
     assert hit > 0.97 * total
-    # skip links favour agreement, and two equal tokens pull each other
-    assert all(field.skip[k, k] > 0 for k in (1, 2, 4))
-    alone = field.marginals([[5]], [], [])
-    lean = [[f for f in P.features("10.20.30.40", 0, 11)], [5]]
-    tied = field.marginals(lean, [], [(0, 1)])
-    assert tied[1, 2] > alone[0, 2]
-    text = "call +1 (724) 555-7058 37.9 or +1 (724) 555-7058 now"
-    spans = P.scan(text, field)
-    assert {"phone", "crf_phone"} >= {s["kind"] for s in spans if "phone" in s["kind"]} and any(s["kind"] == "phone" for s in spans)
+    # equal tokens pull each other, however many lie between them
+    assert all(field.skip[0][k, k] > max(np.delete(field.skip[0][:, k], k)) for k in (1, 2, 4))
+    for copies in (2, 60):
+        tied = field.marginals([[]] * copies, [], [(0, list(range(copies)))], [2] + [0] * (copies - 1))
+        assert (tied[1:, 2] > 0.5).all() and np.ptp(tied[1:, 2]) < 1e-3
+
+
+def test_a_document_differs_without_skip_links():
+    field = trained()
+    bare = P.Field(field.node, field.chain, np.zeros_like(field.skip))
+    text = "reach me at +1 (724) 555-7058 any day. " + "word " * 200 + "if busy, ring 555-7058 or ask for 555-7058 there"
+    spans = {(s["start"], text[s["start"]:s["end"]]) for s in P.scan(text, field) if s["kind"] == "crf_phone"}
+    assert {t for _, t in spans} == {"555-7058"} and len(spans) == 2
+    assert P.scan(text, bare) != P.scan(text, field) and P.scan(text, bare)[:1] == P.scan(text, field)[:1]
+    # without the full number nothing is told
+    assert [s for s in P.scan(text[39:], field) if s["kind"] == "crf_phone"] == []
+
+
+def test_messages_settle():
+    field = trained()
+    r = random.Random(3)
+    for _, t in corpus(40, 9):
+        text = " ".join([t] * r.randint(1, 30))
+        if (x := P.prepared(text)):
+            before, P.MOST_ROUNDS = P.MOST_ROUNDS, 2 * P.MOST_ROUNDS
+            more = field.marginals(*x[:3])
+            P.MOST_ROUNDS = before
+            assert np.abs(field.marginals(*x[:3]) - more).max() < 0.01
+
+
+def test_rows_of_the_fit_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(P, "FIT_ROWS", 5)
+    seen = []
+    monkeypatch.setattr(P, "train", lambda e: seen.append(e))
+    monkeypatch.setattr(P, "joined_examples", lambda texts: texts)
+    df = spark.createDataFrame([(7, f"mail a{i}@b.cd") for i in range(400)], "doc_id long, text string")
+    P.fit(df)
+    assert len(seen[0]) == 5
 
 
 def test_rows(spark):
