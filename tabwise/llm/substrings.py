@@ -4,10 +4,12 @@
    share has a minimizer that two documents share, so only such windows are looked at further; one in
    about five words gives a minimizer.
 2. Documents are dealt to shards by their id.  Each shard sends one row for every distinct window with
-   a shared minimizer, with its smallest document; rows that meet name the owner.
-3. Each shard compiles the minimizer phrases of its confirmed windows into an Aho-Corasick automaton
-   and streams all of its documents through it; windows around the phrases it finds are checked
-   against the confirmed ones, and words that an earlier owner covers are removed.
+   a shared minimizer, with its smallest document; rows that meet confirm a window and name its owner.
+3. The owner's shard puts confirmed windows that follow each other together to passages, and sends each
+   passage once to every shard that repeats it.
+4. Each shard compiles its passages into an Aho-Corasick automaton of their minimizer phrases and streams
+   all of its documents through it; places around what it finds are compared with the passages word by
+   word, and words that an earlier owner covers are removed.
 
 A key that very many documents share is cut down where it arises: a batch names it once and tells
 the others' shards without sending them to the key.
@@ -24,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import map_rows, pick
 
@@ -196,7 +198,7 @@ def _windows(docs: pa.Table, keys: pa.Table) -> pa.Table:
 
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (h1, h2, doc): each shard's windows that an earlier document owns, or that it holds several times."""
+    """From rows sorted by (h1, h2, doc): each confirmed window's owner, with a document of every shard that repeats it."""
     held = None  # h1, h2, owner
     for batch in batches:
         if not batch.num_rows:
@@ -210,7 +212,61 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (h1[-1], h2[-1], owner[-1])
         say = many | ~new
         if say.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[say]) for x in (doc, h1, h2, owner)], ["doc", "h1", "h2", "owner"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[say]) for x in (owner, h1, h2, doc)], ["owner", "h1", "h2", "to_doc"])
+
+
+def _passages(docs: pa.Table, wanted: pa.Table) -> pa.Table:
+    """Passages of a shard's documents that hold confirmed windows they own: (dest, owner, passage), one for each run of windows and shard."""
+    h1, h2, owner, dest = (wanted.column(c).to_numpy() for c in ("h1", "h2", "owner", "dest"))
+    order = np.lexsort((dest, h2, h1.view(np.uint64)))
+    h1, h2, owner, dest = h1[order].view(np.uint64), h2[order].view(np.uint32), owner[order], dest[order]
+    start = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) if len(h1) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[start, len(h1)])
+    k1, k2, k_owner = h1[start], h2[start], owner[start]
+    out = []
+    for first in range(0, docs.num_rows if len(k1) else 0, AT_ONCE):
+        ids, texts = _unpacked(docs.slice(first, AT_ONCE))
+        words = Words(texts)
+        if len(words) < WINDOW:
+            continue
+        r1 = rolling(words.hash, WINDOW, _ODD)
+        near = np.minimum(np.searchsorted(k1, r1), len(k1) - 1)
+        at = np.flatnonzero((k1[near] == r1) & words.inside())
+        if not len(at):
+            continue
+        r2 = window_hashes(words.hash, at)[1]
+        key, found = _met(k1, k2, r1[at], r2)
+        own = found & (k_owner[np.maximum(key, 0)] == ids[words.text[at]])
+        at, key = at[own], key[own]
+        # every shard that wants a window, and runs of windows that follow each other
+        each = np.repeat(np.arange(len(at)), count[key])
+        rank = np.arange(len(each)) - np.repeat(np.cumsum(count[key]) - count[key], count[key])
+        to, place = dest[start[key[each]] + rank], at[each]
+        order = np.lexsort((place, to))
+        to, place = to[order], place[order]
+        head = np.flatnonzero(np.r_[True, (to[1:] != to[:-1]) | (place[1:] != place[:-1] + 1)]) if len(to) else np.zeros(0, np.int64)
+        last = np.r_[head[1:], len(to)] - 1
+        length = place[last] - place[head] + WINDOW
+        pieces = np.repeat(place[head] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        lists = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)], pa.int64()), words.words.take(pa.array(pieces)))
+        texts = pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
+        out.append(pa.table({"dest": pa.array(to[head], pa.int32()), "owner": pa.array(ids[words.text[place[head]]], pa.int64()), "passage": texts.cast(pa.string())}))
+    return pa.concat_tables(out) if out else pa.table({"dest": pa.array([], pa.int32()), "owner": pa.array([], pa.int64()), "passage": pa.array([], pa.string())})
+
+
+def _met(k1: np.ndarray, k2: np.ndarray, r1: np.ndarray, r2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of (r1, r2) in a table sorted by (k1, k2), and whether they are there; equal k1 may stand for several windows."""
+    at = np.searchsorted(k1, r1)
+    found = np.zeros(len(r1), bool)
+    open_ = np.arange(len(r1))
+    while len(open_):
+        open_ = open_[at[open_] < len(k1)]
+        open_ = open_[k1[at[open_]] == r1[open_]]
+        same = k2[at[open_]] == r2[open_]
+        found[open_[same]] = True
+        open_ = open_[~same]
+        at[open_] += 1
+    return at, found
 
 
 def automaton(phrases: np.ndarray, distinct: int) -> tuple[ahocorasick.Automaton, np.ndarray]:
@@ -233,62 +289,71 @@ def spelled(letters: np.ndarray, numbers: np.ndarray) -> str:
     return letters[numbers].astype("<u4").tobytes().decode("utf-32-le")
 
 
-def _lookup(h1, h2, owner, r1: np.ndarray, r2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Owners of windows and whether they are confirmed; equal h1 may stand for several windows."""
-    at = np.searchsorted(h1, r1)
-    out = np.full(len(r1), -1, np.int64)
-    found = np.zeros(len(r1), bool)
-    open_ = np.arange(len(r1))
+def _equal(words: Words, at: np.ndarray, known: np.ndarray, h1: np.ndarray) -> np.ndarray:
+    """For every window, a place of ``known`` (sorted by their hashes h1) that has the same words, or -1."""
+    hashes = rolling(words.hash, WINDOW, _ODD)[at]
+    near = np.searchsorted(h1, hashes)
+    out = np.full(len(at), -1, np.int64)
+    open_ = np.arange(len(at))
     while len(open_):
-        open_ = open_[(at[open_] < len(h1))]
-        open_ = open_[h1[at[open_]] == r1[open_]]
-        same = h2[at[open_]] == r2[open_]
-        out[open_[same]] = owner[at[open_[same]]]
-        found[open_[same]] = True
+        open_ = open_[near[open_] < len(h1)]
+        open_ = open_[h1[near[open_]] == hashes[open_]]
+        same = np.ones(len(open_), bool)
+        for j in range(WINDOW):
+            same &= words.number[at[open_] + j] == words.number[known[near[open_]] + j]
+        out[open_[same]] = near[open_[same]]
         open_ = open_[~same]
-        at[open_] += 1
-    return out, found
+        near[open_] += 1
+    return out
 
 
-def _remove(docs: pa.Table, known: pa.Table, keep_text: bool) -> pa.Table:
-    """Results of a shard's documents, given its confirmed windows with their owners."""
-    h1, h2, owner = known.column("h1").to_numpy().view(np.uint64), known.column("h2").to_numpy().view(np.uint32), known.column("owner").to_numpy()
-    order = np.argsort(h1, kind="stable")
-    h1, h2, owner = h1[order], h2[order], owner[order]
+def _remove(docs: pa.Table, passages: pa.Table, keep_text: bool) -> pa.Table:
+    """Results of a shard's documents, given the passages that earlier documents own."""
     ids, texts = _unpacked(docs)
-    words = Words(texts)
-    keep = np.ones(len(words), bool)
-    phrases = _phrases(words, h1) if len(h1) and len(words) >= WINDOW else np.zeros(0, np.int64)
-    if len(phrases):
-        search, letters = automaton(words.number[phrases[:, None] + np.arange(GRAM)], words.distinct)
-        ends = np.fromiter((end for end, _ in search.iter(spelled(letters, words.number))), np.int64)
-        ends = ends[ends % 2 == 1] // 2
-        m = len(words) - WINDOW + 1
-        near = np.zeros(m + 1, np.int32)  # windows that hold a phrase which ends at word e start in e-12 .. e-4
-        np.add.at(near, np.clip(ends - WINDOW + 1, 0, m), 1)
-        np.add.at(near, np.clip(ends - GRAM + 2, 0, m), -1)
-        at = np.flatnonzero((np.cumsum(near[:m]) > 0) & words.inside())
-        own, found = _lookup(h1, h2, owner, *window_hashes(words.hash, at))
-        at = at[found & (own < ids[words.text[at]])]
-        cover = np.zeros(len(words) + 1, np.int32)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + WINDOW, -1)
+    # passages are read behind the documents, so that both number their words alike
+    words = Words(pa.concat_arrays([texts, passages.column("passage").combine_chunks().cast(pa.large_string())]) if passages.num_rows else texts)
+    own = words.offsets[docs.num_rows]
+    keep = np.ones(own, bool)
+    places = _find(words, own) if passages.num_rows else np.zeros(0, np.int64)
+    if len(places):
+        known = own + np.flatnonzero(words.inside()[own:])
+        h1 = rolling(words.hash, WINDOW, _ODD)[known]
+        order = np.argsort(h1, kind="stable")
+        known, h1 = known[order], h1[order]
+        met = _equal(words, places, known, h1)
+        owner = passages.column("owner").to_numpy()[words.text[known[met]] - docs.num_rows]
+        places = places[(met >= 0) & (owner < ids[words.text[places]])]
+        cover = np.zeros(own + 1, np.int32)
+        np.add.at(cover, places, 1)
+        np.add.at(cover, places + WINDOW, -1)
         keep = np.cumsum(cover[:-1]) == 0
-    offsets = np.r_[0, np.cumsum(keep)][words.offsets]
-    left = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words.words.filter(pa.array(keep))), pa.scalar(" ", pa.large_string()))
+    offsets = np.r_[0, np.cumsum(keep)][words.offsets[:docs.num_rows + 1]]
+    left = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words.words[:own].filter(pa.array(keep))), pa.scalar(" ", pa.large_string()))
     digests = [hashlib.sha256(t).hexdigest() for t in left.cast(pa.large_binary()).to_pylist()]
+    lengths = words.lengths[:docs.num_rows]
     return pa.table({
-        "doc_id": docs.column("doc"), "n_words": pa.array(words.lengths, pa.int64()), "n_removed": pa.array(words.lengths - np.diff(offsets), pa.int64()),
+        "doc_id": docs.column("doc"), "n_words": pa.array(lengths, pa.int64()), "n_removed": pa.array(lengths - np.diff(offsets), pa.int64()),
         "kept_sha256": pa.array(digests, pa.string()), "kept_text": left.cast(pa.string()) if keep_text else pa.nulls(len(left), pa.string()),
     })
 
 
-def _phrases(words: Words, h1: np.ndarray) -> np.ndarray:
-    """Places of the minimizer phrases of confirmed windows, one place for each phrase."""
-    r1 = rolling(words.hash, WINDOW, _ODD)
-    near = np.minimum(np.searchsorted(h1, r1), len(h1) - 1)
-    at = np.flatnonzero((h1[near] == r1) & words.inside())
-    value, first = np.unique(minimizers(words.hash)[at], return_index=True)
+def _find(words: Words, own: int) -> np.ndarray:
+    """Windows of the documents (the first ``own`` words) around phrases of the passages (the words behind), found by an automaton."""
+    phrases = _phrases(words, own)
+    search, letters = automaton(words.number[phrases[:, None] + np.arange(GRAM)], words.distinct)
+    ends = np.fromiter((end for end, _ in search.iter(spelled(letters, words.number[:own]))), np.int64)
+    ends = ends[ends % 2 == 1] // 2
+    m = max(0, own - WINDOW + 1)
+    near = np.zeros(m + 1, np.int32)  # windows that hold a phrase which ends at word e start in e-12 .. e-4
+    np.add.at(near, np.clip(ends - WINDOW + 1, 0, m), 1)
+    np.add.at(near, np.clip(ends - GRAM + 2, 0, m), -1)
+    return np.flatnonzero((np.cumsum(near[:m]) > 0) & words.inside()[:m])
+
+
+def _phrases(words: Words, own: int) -> np.ndarray:
+    """Places of the minimizer phrases of the passages' windows, one place for each phrase."""
+    at = own + np.flatnonzero(words.inside()[own:])
+    value, first = np.unique(minimizers(words.hash[own:])[at - own], return_index=True)
     gram = rolling(words.hash, GRAM, _ODD)
     inside = gram[at[first][:, None] + np.arange(WINDOW - GRAM + 1)] == value[:, None]
     return at[first] + inside.argmax(1)
@@ -306,23 +371,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
 
-    def with_shard(df: DataFrame) -> DataFrame:
-        return df.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int"))
+    def to_shard(doc: str) -> Column:
+        return F.pmod(F.xxhash64(doc), F.lit(shards)).cast("int")
 
-    d = with_shard(d)
+    d = d.withColumn("shard", to_shard("doc"))
     asked = d.mapInArrow(_shared_keys, "flags tinyint, key long, doc long")
     told = F.col("flags") == 2
     spread = F.when(told, F.xxhash64("key", "doc")).otherwise(F.col("key"))
-    keys = with_shard(asked.repartition(spread).sortWithinPartitions(told, "key", "doc").mapInArrow(_answer_keys, "doc long, key long"))
+    keys = (asked.repartition(spread).sortWithinPartitions(told, "key", "doc").mapInArrow(_answer_keys, "doc long, key long")).withColumn("shard", to_shard("doc"))
 
     def start():
         pack = zstandard.ZstdCompressor(level=3)
         return lambda doc, text, shard: ((shard, doc, pack.compress((text or "").encode())),)
 
-    # dealt out once; both steps below read the same shuffle
+    # dealt out once; all steps below read the same shuffle
     packed = map_rows(d.select("doc", "text", "shard"), start, "shard int, doc long, z binary")
     windows = packed.groupBy("shard").cogroup(keys.select("shard", "key").groupBy("shard")).applyInArrow(_windows, "h1 long, h2 int, doc long, many boolean")
-    known = windows.repartition("h1").sortWithinPartitions("h1", "h2", "doc").mapInArrow(_owners, "doc long, h1 long, h2 int, owner long")
-    known = with_shard(known).select("shard", "h1", "h2", "owner")
-    return packed.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(
-        lambda docs, known: _remove(docs, known, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    known = windows.repartition("h1").sortWithinPartitions("h1", "h2", "doc").mapInArrow(_owners, "owner long, h1 long, h2 int, to_doc long")
+    known = known.select(to_shard("owner").alias("shard"), "owner", "h1", "h2", to_shard("to_doc").alias("dest"))
+    passages = packed.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_passages, "dest int, owner long, passage string")
+    return packed.groupBy("shard").cogroup(passages.groupBy("dest")).applyInArrow(
+        lambda docs, found: _remove(docs, found, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

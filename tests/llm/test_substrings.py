@@ -62,3 +62,36 @@ def test_empty_table_and_other_columns(spark):
     assert S.remove_repeats(df).count() == 0
     df = spark.createDataFrame([(1, "q " * 15, 1, 2), (2, "q " * 15, None, None)], "doc_id long, text string, shard int, Doc_ID int")
     assert sorted(r.n_removed for r in S.remove_repeats(df).collect()) == [0, 15]
+
+
+def test_nothing_is_removed_without_the_automaton(spark, monkeypatch):
+    rows = made(40, 3)
+    docs = S.pa.table({"doc": S.pa.array([i for i, _ in rows]), "z": S.pa.array([S.zstandard.ZstdCompressor().compress(t.encode()) for _, t in rows])})
+    owners = {}
+    for i, t in sorted(rows):
+        w = t.split()
+        for j in range(len(w) - 12):
+            owners.setdefault(tuple(w[j:j + 13]), i)
+    found = S.pa.table({"owner": S.pa.array(list(owners.values())), "passage": S.pa.array([" ".join(k) for k in owners])})
+    want = {i: gone for i, _, gone, _, _ in brute(rows)}
+    got = S._remove(docs, found, False)
+    assert dict(zip(got["doc_id"].to_pylist(), got["n_removed"].to_pylist())) == want and sum(want.values()) > 100
+    empty = S.ahocorasick.Automaton(S.ahocorasick.STORE_LENGTH)
+    empty.add_word("\x00")
+    empty.make_automaton()
+    real = S.automaton
+    monkeypatch.setattr(S, "automaton", lambda phrases, distinct: (empty, real(phrases, distinct)[1]))
+    assert sum(S._remove(docs, found, False)["n_removed"].to_pylist()) == 0
+
+
+def test_equal_hashes_are_compared_by_their_words(monkeypatch):
+    import numpy as np
+
+    rows = [(1, " ".join("a%d" % i for i in range(13))), (2, " ".join("b%d" % i for i in range(13)))]
+    docs = S.pa.table({"doc": S.pa.array([2]), "z": S.pa.array([S.zstandard.ZstdCompressor().compress(rows[1][1].encode())])})
+    real = S.rolling
+    monkeypatch.setattr(S, "rolling", lambda a, n, odd: real(a, n, odd) * np.uint64(n != S.WINDOW))  # all windows' hashes alike
+    got = S._remove(docs, S.pa.table({"owner": S.pa.array([1, 1]), "passage": S.pa.array([rows[0][1], rows[1][1]])}), False)
+    assert got["n_removed"].to_pylist() == [13]
+    got = S._remove(docs, S.pa.table({"owner": S.pa.array([1]), "passage": S.pa.array([rows[0][1]])}), False)
+    assert got["n_removed"].to_pylist() == [0]
