@@ -19,6 +19,7 @@ from tabwise.operators.quantiles import exact_quantiles
 from tabwise.session import checkpoint_cut, local_table, once
 
 EDGE = "\u0001"  # marks word boundaries inside texts and column names
+HOT_QUESTIONS = 1_000
 MAX_PLANS = 10_000
 
 # Question grammar (fixed values): operation -> words, in order of precedence.
@@ -318,13 +319,29 @@ def answer_questions(df: DataFrame, profile: DataFrame, questions: DataFrame, te
     ).drop("_o", "_c", "_g")
     told = [c for c in joined.columns if c != text]
     again = joined.withColumnRenamed(text, "_text")
-    joined = questions.join(again, questions[text].eqNullSafe(F.col("_text")), "left").select(*[questions[c] for c in questions.columns], *told)
+    joined = _back_to(questions, again, text, told)
     return joined.withColumn(
         "response",
         response_text(F.col("operation"), F.col("column"), F.col("group_column"), F.col("value"), F.col("entries"), F.col("status")),
     )
 
 
+def _back_to(questions: DataFrame, judged: DataFrame, text: str, told: list[str]) -> DataFrame:
+    """The judgement of every question's text beside it.
+
+    A text that more than one in HOT_QUESTIONS of all questions share is joined by broadcast, the others by shuffle.
+    """
+    counts = questions.groupBy(q(text).alias("_hot")).agg(F.count("*").alias("_n"))
+    hot = checkpoint_cut(counts.where(F.col("_n") > F.lit(questions.count() / HOT_QUESTIONS)).select("_hot", F.lit(True).alias("_is_hot")))  # HOT_QUESTIONS rows at most
+    marked = questions.join(F.broadcast(hot), questions[text].eqNullSafe(F.col("_hot")), "left")
+    few = judged.join(F.broadcast(hot), F.col("_text").eqNullSafe(F.col("_hot")), "left_semi")
+    parts = []
+    for own, side in ((F.col("_is_hot"), F.broadcast(few)), (F.col("_is_hot").isNull(), judged)):
+        rows = marked.where(own).drop("_hot", "_is_hot")
+        parts.append(rows.join(side, rows[text].eqNullSafe(F.col("_text")), "left").select(*[rows[c] for c in questions.columns], *told))
+    return parts[0].unionByName(parts[1])
+
+
 def lookup_topic(text: Column) -> Column:
     """Topic of a free question answered from facts, by keyword, in order."""
     low = F.lower(text)

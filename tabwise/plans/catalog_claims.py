@@ -73,19 +73,22 @@ def check_contract(spark, d):
     return G.check_contract(view(spark, d, CLAIMS)).select("claim_id", "contract_reason")
 
 
-@query(f"{_GROUNDED}, k AS (SELECT *, {_CONTRACT} AS contract_reason, trim(text) <> '' AND numbers > 0 AND bad = 0 AS ok FROM r) SELECT claim_id, contract_reason = '' AND ok AS accepted, contract_reason FROM k")
+@query(f"""{_GROUNDED}, k AS (SELECT *, {_CONTRACT} AS contract_reason, trim(text) <> '' AND numbers > 0 AND bad = 0 AS ok FROM r) SELECT claim_id, contract_reason = '' AND ok AS accepted, contract_reason,
+CASE WHEN contract_reason <> '' THEN contract_reason WHEN ok THEN '' WHEN numbers = 0 THEN 'Insight contains zero numbers (unquantifiable claim)' ELSE 'Ungrounded numerical claim(s) detected' END AS rejection FROM k""")
 def screen_claims(spark, d):
-    return G.screen_claims(view(spark, d, CLAIMS), view(spark, d, FACTS)).select("claim_id", "accepted", "contract_reason")
+    out = G.screen_claims(view(spark, d, CLAIMS), view(spark, d, FACTS))
+    rejection = F.coalesce(F.regexp_replace("rejection", r": \[.*\]$", ""), F.lit(""))  # numbers are spelled differently elsewhere
+    return out.select("claim_id", "accepted", "contract_reason", rejection.alias("rejection"))
 
 
 JSONS = """SELECT c_custkey, concat('Here you go: [{"category": "quality", "text": "Balance ', CAST(c_acctbal AS STRING), '", "confidence": 0.5, "evidence": "e", "recommendation": "r"}, {"category": "odd", "text": "',
 c_mktsegment, '", "confidence": "0.9"}] Bye') AS raw FROM customer"""
 
 
-@query("""SELECT c_custkey, CAST(0 AS INTEGER) AS place, 'quality' AS category, concat('Balance ', CAST(c_acctbal AS VARCHAR)) AS text, '0.5' AS confidence FROM customer
-UNION ALL SELECT c_custkey, 1, 'odd', c_mktsegment, NULL FROM customer""")
+@query("""SELECT c_custkey, CAST(0 AS INTEGER) AS place, 'quality' AS category, concat('Balance ', CAST(c_acctbal AS VARCHAR)) AS text, '0.5' AS confidence, 'e' AS evidence, 'r' AS recommendation FROM customer
+UNION ALL SELECT c_custkey, 1, 'odd', c_mktsegment, NULL, NULL, NULL FROM customer""")
 def parse_claims(spark, d):
-    return G.parse_claims(view(spark, d, JSONS), "raw", ["c_custkey"]).select("c_custkey", "place", "category", "text", "confidence")
+    return G.parse_claims(view(spark, d, JSONS), "raw", ["c_custkey"]).select("c_custkey", "place", "category", "text", "confidence", "evidence", "recommendation")
 
 
 _EVID = V.EVIDENCE_HEADER.replace("'", "''")
@@ -138,13 +141,24 @@ def rule_insights(spark, d):
     return I.rule_insights(client_facts(spark, d)).select("category", "text")
 
 
-@query(_CLIENT + """, f AS (SELECT 'shape.n_rows' AS path, CAST(n AS DOUBLE) AS value FROM s UNION ALL SELECT 'shape.n_columns', 6.0 FROM s UNION ALL SELECT 'quality.score', 98.0 FROM s
-UNION ALL SELECT 'numeric.balance.mean', m FROM s UNION ALL SELECT 'numeric.balance.median', md FROM s UNION ALL SELECT 'numeric.balance.std', sd FROM s
-UNION ALL SELECT 'categorical.segment.unique_count', u FROM t UNION ALL SELECT 'pearson.balance.nation_no', round(r, 4) FROM s)
-SELECT path, CAST(value AS DOUBLE) AS value FROM f""")
+_STATS = """count({c}) AS count, count(*) - count({c}) AS null_count, (count(*) - count({c})) / count(*) * 100 AS null_pct, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, quantile_cont({c}, 0.25) AS q25,
+quantile_cont({c}, 0.5) AS median, quantile_cont({c}, 0.75) AS q75, max({c}) AS max, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS iqr, skewness({c}) AS skewness, kurtosis({c}) AS kurtosis"""
+
+
+def _numbers_of(name, column):
+    row = f"SELECT {_STATS.replace('{c}', column)} FROM customer"
+    return " UNION ALL ".join(f"SELECT 'numeric.{name}.{k}', round({k}, 4) FROM ({row})" for k in S.NUMERIC_SUMMARY[1:])
+
+
+@query(_CLIENT + f""", g AS (SELECT c_mktsegment AS v, count(*) AS k, count(*) * 100.0 / (SELECT count(*) FROM customer) AS p FROM customer GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5),
+a AS (SELECT c_acctbal AS x, rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0 AS rx, rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0 AS ry FROM customer),
+f(path, value) AS (SELECT 'shape.n_rows', CAST(n AS DOUBLE) FROM s UNION ALL SELECT 'shape.n_columns', 6.0 FROM s UNION ALL SELECT 'quality.score', 98.0 FROM s
+UNION ALL {_numbers_of("balance", "c_acctbal")} UNION ALL {_numbers_of("nation_no", "c_nationkey")}
+UNION ALL SELECT 'categorical.segment.unique_count', u FROM t UNION ALL SELECT 'categorical.segment.n', k FROM g UNION ALL SELECT 'categorical.segment.pct1', round(p, 1) FROM g
+UNION ALL SELECT 'categorical.segment.pct2', round(p, 2) FROM g UNION ALL SELECT 'pearson.balance.nation_no', round(r, 4) FROM s UNION ALL SELECT 'spearman.balance.nation_no', round(corr(rx, ry), 4) FROM a)
+SELECT path, CAST(value AS DOUBLE) AS value, CASE WHEN path LIKE '%.pct_' THEN false ELSE value % 1 = 0 END AS is_int FROM f""")
 def fact_base(spark, d):
-    keep = ["shape.n_rows", "shape.n_columns", "quality.score", "numeric.balance.mean", "numeric.balance.median", "numeric.balance.std", "categorical.segment.unique_count", "pearson.balance.nation_no"]
-    return I.fact_base(client_facts(spark, d)).where(F.col("path").isin(keep)).select("path", "value")
+    return I.fact_base(client_facts(spark, d)).select("path", "value", "is_int")
 
 
 @query()
@@ -158,12 +172,29 @@ def chat_context(spark, d):
     return I.chat_context(f, I.rule_insights(f))
 
 
-@query(_CLIENT + """SELECT 'shape' AS topic, printf('The dataset contains %d rows and 6 columns.', n) AS answer FROM s
+@query(_CLIENT + """, i AS (SELECT printf('Column ''balance'' averages %.2f (median: %.2f) spanning a range from %.2f to %.2f.', m, md, lo, hi) AS a,
+printf('Column ''nation_no'' averages %.2f (median: %.2f) spanning a range from %.2f to %.2f.', nm, nmd, CAST(nlo AS DOUBLE), CAST(nhi AS DOUBLE)) AS b,
+printf('Column ''segment'' has %d unique categories, led by ''%s'' with %d occurrences (%.1f%% of total).', u, v, k, k * 100.0 / n) AS c,
+printf('Detected a mild %s linear correlation of %.2f between ''balance'' and ''nation_no''.', CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END, r) AS e, abs(r) >= 0.2 AS told FROM s, t)
+SELECT 'shape' AS topic, printf('The dataset contains %d rows and 6 columns.', n) AS answer FROM s
 UNION ALL SELECT 'targets', 'Potential target candidates identified in the dataset: segment.' FROM t WHERE u BETWEEN 2 AND 10
-UNION ALL SELECT 'model', 'Machine learning status: skipped.' FROM s""")
+UNION ALL SELECT 'model', 'Machine learning status: skipped.' FROM s
+UNION ALL SELECT 'quality', 'The dataset has an overall data quality score of 98/100. Key issues identified: Low-confidence semantic label in column ''segment'' (confidence: 0.4)' FROM s
+UNION ALL SELECT 'domain', 'The detected domain for this dataset is Generic (confidence: 50.0%).' FROM s
+UNION ALL SELECT 'insights', concat('Key analytical insights:', CASE WHEN told THEN concat(chr(10), '- ', e) ELSE '' END, chr(10), '- ', a, chr(10), '- ', b, CASE WHEN told THEN '' ELSE concat(chr(10), '- ', c) END) FROM i""")
 def fact_answers(spark, d):
     f = client_facts(spark, d)
-    return I.fact_answers(f, I.rule_insights(f)).where("topic in ('shape', 'targets', 'model')")
+    return I.fact_answers(f, I.rule_insights(f))
+
+
+@query(_CLIENT + """, a AS (SELECT n_nationkey AS place, concat('Nation ', n_name, ' has number ', n_nationkey, '.') AS text FROM nation WHERE n_nationkey < 2),
+r AS (SELECT 1 AS k, printf('Column ''balance'' averages %.2f (median: %.2f) spanning a range from %.2f to %.2f.', m, md, lo, hi) AS text FROM s WHERE abs(r) < 0.2
+UNION ALL SELECT 2, printf('Column ''nation_no'' averages %.2f (median: %.2f) spanning a range from %.2f to %.2f.', nm, nmd, CAST(nlo AS DOUBLE), CAST(nhi AS DOUBLE)) FROM s WHERE abs(r) < 0.2)
+SELECT printf('ins_%03d', place + 1) AS id, 'quality' AS category, text FROM a UNION ALL SELECT printf('ins_%03d', k + 2), 'distribution', text FROM r""")
+def merge_insights(spark, d):
+    """Two accepted claims, and rule insights up to four, since the claims are fewer than three."""
+    accepted = view(spark, d, "SELECT n_nationkey AS place, ' Quality ' AS category, concat('Nation ', n_name, ' has number ', CAST(n_nationkey AS STRING), '.') AS text, 0.5 AS confidence, 'nation' AS evidence, 'look' AS recommendation FROM nation WHERE n_nationkey < 2")
+    return I.merge_insights(accepted, I.rule_insights(client_facts(spark, d)), 3, 4).select("id", "category", "text")
 
 
 @query()

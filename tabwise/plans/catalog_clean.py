@@ -145,17 +145,20 @@ def reconstruct(spark, d):
     return K.reconstruct(c.table, c.removed, c.raw_cells, df.schema)
 
 
-@query(f"""WITH v AS ({MESS}), k AS (SELECT min(_row_id) AS r, * EXCLUDE (_row_id) FROM v GROUP BY ALL), n AS (SELECT (SELECT count(*) FROM v) AS a, (SELECT count(*) FROM k) AS b)
+@query(f"""WITH v AS ({MESS}), k AS (SELECT min(_row_id) AS r, * EXCLUDE (_row_id) FROM v GROUP BY ALL), n AS (SELECT (SELECT count(*) FROM v) AS a, (SELECT count(*) FROM k) AS b),
+x AS (SELECT 'money' AS c, CAST(substr(money, 2) AS DOUBLE) AS x FROM k UNION ALL SELECT 'amount_x', coalesce(amount_x, (SELECT CASE WHEN abs(skewness(amount_x)) > 1 THEN quantile_cont(amount_x, 0.5) ELSE avg(amount_x) END FROM k)) FROM k),
+e AS (SELECT c, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM x GROUP BY 1), o AS (SELECT c FROM x JOIN e USING (c) WHERE q3 > q1 GROUP BY 1 HAVING count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) > 0)
 SELECT step_no, "column", method, CAST(missing_count AS BIGINT) AS missing_count FROM (
 SELECT 1 AS step_no, 'ALL_COLUMNS' AS "column", 'drop_duplicates' AS method, 0 AS missing_count FROM n WHERE a > b
 UNION ALL SELECT 2, c, 'type_coercion', 0 FROM (VALUES ('money'), ('flag'), ('padded'), ('amount_x')) t(c)
 UNION ALL SELECT 3, 'day_first', 'normalize_date', (SELECT count(*) FILTER (day_first IS NULL) FROM k)
 UNION ALL SELECT 3, 'vague', 'normalize_date', (SELECT count(*) FILTER (vague IS NULL) FROM k)
 UNION ALL SELECT 4, 'mostly_number', 'constant_unknown', (SELECT count(*) FILTER (mostly_number = 'nan') FROM k)
-UNION ALL SELECT 4, 'amount_x', (SELECT CASE WHEN abs(skewness(amount_x)) > 1 THEN 'median' ELSE 'mean' END FROM k), (SELECT count(*) FILTER (amount_x IS NULL) FROM k))""")
+UNION ALL SELECT 4, 'amount_x', (SELECT CASE WHEN abs(skewness(amount_x)) > 1 THEN 'median' ELSE 'mean' END FROM k), (SELECT count(*) FILTER (amount_x IS NULL) FROM k)
+UNION ALL SELECT 5, c, 'flag_outliers_iqr', 0 FROM o)""")
 def cleaning_log(spark, d):
     _, c = _mess(spark, d)
-    return c.log.where("step_no < 5").select("step_no", "column", "method", "missing_count")
+    return c.log.select("step_no", "column", "method", "missing_count")
 
 
 @query(f"""WITH v AS ({MESS}), k AS (SELECT DISTINCT * EXCLUDE (_row_id) FROM v)

@@ -25,10 +25,13 @@ def target_preferred(spark, d):
 
 
 @query("""SELECT 'o_orderstatus' AS target, 'classification' AS task, CASE WHEN count(DISTINCT o_orderstatus) = 2 THEN 'binary' ELSE 'multiclass' END AS subtype FROM orders
-UNION ALL SELECT 'o_totalprice', 'regression', 'continuous' FROM orders HAVING count(DISTINCT o_totalprice) > 10""")
+UNION ALL SELECT 'o_orderpriority', 'classification', CASE WHEN count(DISTINCT o_orderpriority) = 2 THEN 'binary' ELSE 'multiclass' END FROM orders
+UNION ALL SELECT 'o_totalprice', 'regression', 'continuous' FROM orders HAVING count(DISTINCT o_totalprice) > 10
+UNION ALL SELECT 'o_custkey', 'regression', 'continuous' FROM orders HAVING count(DISTINCT o_custkey) > 10
+UNION ALL SELECT 'o_orderdate', 'regression', 'continuous' FROM orders HAVING count(DISTINCT o_orderdate) > 10""")
 def task_types(spark, d):
     rows = P.profile_columns(table(spark, d, "orders").withColumnRenamed("o_orderkey", "_row_id")).collect()
-    got = [(r["name"], *M.task_type(r["dtype_inferred"], r["unique_count"], r["n_rows"] - r["null_count"])[:2]) for r in rows if r["name"] in ("o_orderstatus", "o_totalprice")]
+    got = [(r["name"], *M.task_type(r["dtype_inferred"], r["unique_count"], r["n_rows"] - r["null_count"])[:2]) for r in rows]
     return local_table(spark, got, "target string, task string, subtype string")
 
 

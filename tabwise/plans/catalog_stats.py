@@ -39,10 +39,12 @@ _ORD = ["o_orderstatus", "o_orderpriority"]
 
 @query(f"WITH v AS (SELECT o_orderstatus, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE concat(' ', o_orderpriority) END AS o_orderpriority FROM orders)\n" + each(_ORD, """SELECT '{c}' AS "column", count(*) FILTER (trim({c}) <> '') AS count, count(DISTINCT trim({c})) AS unique_count, count(*) - count({c}) AS null_count,
 round((count(*) - count({c})) / count(*) * 100, 2) AS null_pct, (SELECT trim({c}) FROM v WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top_category,
-(SELECT count(*) FROM v WHERE {c} IS NOT NULL GROUP BY trim({c}) ORDER BY 1 DESC LIMIT 1) AS top_category_freq FROM v"""))
+(SELECT count(*) FROM v WHERE {c} IS NOT NULL GROUP BY trim({c}) ORDER BY 1 DESC LIMIT 1) AS top_category_freq,
+(SELECT string_agg(t || '=' || n, ', ' ORDER BY n DESC, t) FROM (SELECT trim({c}) AS t, count(*) AS n FROM v WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)) AS top_categories FROM v"""))
 def categorical_summary(spark, d):
     v = view(spark, d, "SELECT o_orderstatus, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE concat(' ', o_orderpriority) END AS o_orderpriority FROM orders")
-    return S.categorical_summary(v, _ORD).drop("top_categories")
+    told = F.transform("top_categories", lambda e: F.concat_ws("=", e["value"], e["n"].cast("string")))
+    return S.categorical_summary(v, _ORD).withColumn("top_categories", F.array_join(told, ", "))
 
 
 @query(each(["p_brand", "p_type"], """SELECT * FROM (SELECT '{c}' AS "column", CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) AS INTEGER) AS place, {c} AS value, count(*) AS n FROM part GROUP BY {c}) WHERE place <= 5"""))
@@ -188,6 +190,13 @@ def target_distribution(spark, d):
     return C.target_distribution(table(spark, d, "orders"), "o_orderstatus", True)
 
 
+@query("""WITH b AS (SELECT min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice)) / 30 AS w FROM orders)
+SELECT CAST(least(floor((o_totalprice - lo) / w), 29) AS INTEGER) AS bin, count(*) AS n FROM orders, b GROUP BY 1""")
+def target_histogram(spark, d):
+    """A target of many values is shown as a histogram."""
+    return C.target_distribution(table(spark, d, "orders"), "o_totalprice", False).select("bin", "n")
+
+
 @query("""WITH b AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 40 AS w FROM lineitem),
 c AS (SELECT l_returnflag AS "group", CAST(least(floor((l_extendedprice - lo) / w), 39) AS INTEGER) AS bin, count(*) AS n FROM lineitem, b GROUP BY 1, 2)
 SELECT "group", bin, n, round(n / (sum(n) OVER (PARTITION BY "group") * w), 10) AS density FROM c, b""")
@@ -199,12 +208,12 @@ def violin_density(spark, d):
 quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1),
 b AS (SELECT *, 1.059 * least(sd, (q3 - q1) / 1.349) * pow(n, -0.2) AS h FROM s),
 c AS (SELECT *, lo - 2 * h AS low, greatest(128, least(4096, ceil((hi - lo + 4 * h) / (h / 4)))) AS cells FROM b), d AS (SELECT *, (hi - lo + 4 * h) / cells AS step FROM c),
-p AS (SELECT d.g, least(floor((l_extendedprice - low) / step), cells - 1) AS k, (l_extendedprice - low) / step AS at FROM lineitem JOIN d ON l_returnflag = d.g),
-w AS (SELECT g, k, sum(w) AS w FROM (SELECT g, k, 1 - (at - k) AS w FROM p UNION ALL SELECT g, k + 1, at - k FROM p) GROUP BY ALL),
+p AS (SELECT d.g, least(floor((l_extendedprice - low) / step), cells - 1) AS k, (l_extendedprice - low) / step AS pos FROM lineitem JOIN d ON l_returnflag = d.g),
+w AS (SELECT g, k, sum(w) AS w FROM (SELECT g, k, 1 - (pos - k) AS w FROM p UNION ALL SELECT g, k + 1, pos - k FROM p) GROUP BY ALL),
 j AS (SELECT d.*, unnest(range(CAST(cells AS BIGINT) + 1)) AS point FROM d),
 f AS (SELECT j.g, point, sum(w * exp(-0.5 * pow((point - k) * step / h, 2))) AS mass FROM j JOIN w ON w.g = j.g AND abs(point - k) <= ceil(6 * h / step) GROUP BY ALL),
 o AS (SELECT d.g, count(*) FILTER (l_extendedprice < q1 - 1.5 * (q3 - q1) OR l_extendedprice > q3 + 1.5 * (q3 - q1)) AS outliers FROM lineitem JOIN d ON l_returnflag = d.g GROUP BY 1)
-SELECT j.g AS "group", CAST(j.point AS INTEGER) AS point, round(low + j.point * step, 4) AS at, round(coalesce(mass, 0) / (n * h * sqrt(2 * pi())), 12) AS density, round(h, 6) AS bandwidth,
+SELECT j.g AS "group", CAST(j.point AS INTEGER) AS point, round(low + j.point * step, 4) AS "at", round(coalesce(mass, 0) / (n * h * sqrt(2 * pi())), 12) AS density, round(h, 6) AS bandwidth,
 n, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, outliers FROM j LEFT JOIN f ON f.g = j.g AND f.point = j.point JOIN o ON o.g = j.g""")
 def violin(spark, d):
     out = C.violin(table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag")
