@@ -103,4 +103,5 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.when(F.col("again").isNull(), 0).otherwise(F.size(covered)).cast("long").alias("n_repeat_words"),
         F.aggregate("lost", F.lit(0).cast("long"), lambda n, x: n + F.regexp_count(x, F.lit(SPACES))).alias("n_lost_words"), left.alias("cleaned"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") <= most_lost * F.col("n_words")))
+    judged = d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") <= most_lost * F.col("n_words")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_words", "cleaned")
