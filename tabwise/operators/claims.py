@@ -140,9 +140,9 @@ def ground_claims(
         judged.withColumn("is_grounded", ~blank & (F.size("numbers") > 0) & (F.size("ungrounded") == 0))
         .withColumn(
             "reason",
-            F.when(blank, "Empty insight text")
-            .when(F.size("numbers") == 0, "Insight contains zero numbers (unquantifiable claim)")
-            .when(F.size("ungrounded") > 0, F.concat(F.lit("Ungrounded numerical claim(s) detected: ["), listed, F.lit("]")))
+            F.when(blank, V.SAYS["empty_text"])
+            .when(F.size("numbers") == 0, V.SAYS["no_numbers"])
+            .when(F.size("ungrounded") > 0, F.concat(F.lit(V.SAYS["ungrounded"]), listed, F.lit("]")))
             .otherwise(""),
         )
     )
@@ -159,13 +159,13 @@ def contract_reason(c: Column) -> Column:
     conf = c["confidence"].try_cast("double")
     category = F.lower(F.trim(c["category"]))
     return (
-        F.when(~text("category"), "Missing or empty 'category' field")
+        F.when(~text("category"), V.SAYS["no_category"])
         .when(~category.isin(V.CLAIM_CATEGORIES), "Invalid 'category'")
-        .when(~text("text"), "Missing or empty 'text' field")
+        .when(~text("text"), V.SAYS["no_text"])
         .when(conf.isNull() | F.isnan(conf), "Invalid 'confidence' value")
         .when((conf < 0.0) | (conf > 1.0), "Out-of-range 'confidence' value")
-        .when(~text("evidence"), "Missing or empty 'evidence' field")
-        .when(~text("recommendation"), "Missing or empty 'recommendation' field")
+        .when(~text("evidence"), V.SAYS["no_evidence"])
+        .when(~text("recommendation"), V.SAYS["no_recommendation"])
         .otherwise("")
     )
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
+from tabwise.functions import fixed as V
 from tabwise.functions.exprs import (
     as_double, is_blank, is_numeric, normalize_category, parse_bool, q, sample_skewness, share, strip_number,
 )
@@ -146,12 +147,12 @@ def normalize_dates(df: DataFrame, dates: list[Row]) -> tuple[DataFrame, list[Ro
         if fmt == "ambiguous":
             logs.append(_log(
                 3, c, "preserve_ambiguous_date",
-                "Date format is ambiguous and requires user confirmation; preserved raw values unchanged.",
+                V.SAYS["ambiguous_date"],
                 None, missing, pct, warning=True,
             ))
         else:
             logs.append(_log(
-                3, c, "normalize_date", f"Normalized date format from '{fmt}' to ISO 'YYYY-MM-DD'",
+                3, c, "normalize_date", V.SAYS["date_normalized"].format(fmt),
                 "YYYY-MM-DD", missing, pct,
             ))
     return out, logs
@@ -182,15 +183,15 @@ def numeric_fill_facts(df: DataFrame, columns: list[str]) -> dict[str, dict]:
         missing = n - filled
         f = {"missing": missing, "pct": round(missing / n * 100.0, 2), "skew": skew, "whole": bool(whole and filled)}
         if not filled:
-            f.update(method="constant", value=0.0, reason="all values missing, filled with 0.0")
+            f.update(method="constant", value=0.0, reason=V.SAYS["all_missing"])
         elif c in medians:
             f.update(
                 method="median", value=medians[c][0],
-                reason=f"distribution skew = {skew:.2f} (|skew| > 1), median chosen over mean",
+                reason=V.SAYS["median_chosen"].format(skew),
             )
         else:
             f.update(
-                method="mean", value=row[f"m{i}"], reason=f"distribution skew = {skew:.2f} (|skew| <= 1), mean chosen"
+                method="mean", value=row[f"m{i}"], reason=V.SAYS["mean_chosen"].format(skew)
             )
         if filled and whole:
             f["value"] = float(round(f["value"]))
@@ -228,12 +229,12 @@ def category_fill_facts(df: DataFrame, columns: list[str]) -> dict[str, dict]:
         if pct <= 30.0 and c in modes:
             facts[c] = {
                 "missing": b, "pct": pct, "method": "mode", "value": modes[c],
-                "reason": f"missing percentage = {pct:.1f}% (<= 30%), mode '{modes[c]}' used",
+                "reason": V.SAYS["mode_used"].format(pct, modes[c]),
             }
         else:
             facts[c] = {
                 "missing": b, "pct": pct, "method": "constant_unknown", "value": "Unknown",
-                "reason": f"missing percentage = {pct:.1f}% (> 30% or no valid mode), 'Unknown' assigned",
+                "reason": V.SAYS["unknown_used"].format(pct),
             }
     return facts
 
@@ -425,7 +426,7 @@ def clean(df: DataFrame, profile: DataFrame, dates: DataFrame, row_id: str = ROW
     logs: list[Row] = []
     if n_removed:
         logs.append(_log(
-            1, "ALL_COLUMNS", "drop_duplicates", f"Removed {n_removed} exact duplicate rows", None, 0, 0.0,
+            1, "ALL_COLUMNS", "drop_duplicates", V.SAYS["copies_removed"].format(n_removed), None, 0, 0.0,
             details={"duplicate_count": float(n_removed), "duplicate_pct": round(n_removed / total * 100.0, 2)},
         ))
     names = [c for c in kept.columns if c != row_id]
@@ -438,7 +439,7 @@ def clean(df: DataFrame, profile: DataFrame, dates: DataFrame, row_id: str = ROW
     out_logs = [
         _log(
             5, r["column"], "flag_outliers_iqr",
-            f"IQR outlier detection: [{r['lower_bound']:.2f}, {r['upper_bound']:.2f}] (retained and flagged)",
+            V.SAYS["outliers_flagged"].format(r['lower_bound'], r['upper_bound']),
             details={k: float(r[k]) for k in ("q1", "q3", "iqr", "lower_bound", "upper_bound", "outlier_count", "outlier_pct")},
         )
         for r in flagged

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tabwise.functions import fixed as V
 from tabwise.functions.exprs import kept_out_of_evidence, numbers_in, shielded
 from tabwise.operators.stats import NUMERIC_SUMMARY
 
@@ -157,10 +158,10 @@ def model_insights(f: Facts) -> DataFrame:
     score = trained.select(
         F.lit(1).alias("priority"), F.lit(1).alias("place"), F.lit("machine_learning").alias("category"),
         F.when(F.col("task") == "classification", F.format_string(
-            "Machine learning classification model (%s) achieved an F1 score of %.2f (Accuracy: %.1f%%) predicting target column '%s'.",
+            V.SAYS["classifier_score"],
             F.col("selected_model"), F.coalesce(m["f1"], F.lit(0.0)), F.coalesce(m["accuracy"], F.lit(0.0)) * 100.0, F.col("target")))
         .otherwise(F.format_string(
-            "Machine learning regression model (%s) achieved an RMSE of %.2f with an R² score of %.2f predicting target column '%s'.",
+            V.SAYS["regressor_score"],
             F.col("selected_model"), F.coalesce(m["rmse"], F.lit(0.0)), F.coalesce(m["r2"], F.lit(0.0)), F.col("target"))).alias("text"),
         F.lit(0.85).alias("confidence"), F.lit("model.metrics").alias("evidence"),
         F.format_string("Use the %s model for predictions on new records.", F.col("selected_model")).alias("recommendation"),
@@ -169,7 +170,7 @@ def model_insights(f: Facts) -> DataFrame:
         f.importance.join(out, F.col("feature") == F.col("column"), "left_anti")
         .orderBy(F.desc("importance"), "feature").limit(1).select(
             F.lit(1).alias("priority"), F.lit(2).alias("place"), F.lit("machine_learning").alias("category"),
-            F.format_string("Primary predictive driver is '%s' with a relative feature importance of %.1f%%.", F.col("feature"), F.col("importance") * 100.0).alias("text"),
+            F.format_string(V.SAYS["driver"], F.col("feature"), F.col("importance") * 100.0).alias("text"),
             F.lit(0.80).alias("confidence"), F.concat(F.lit("model.importance."), "feature").alias("evidence"),
             F.format_string("Focus on managing variations in '%s'.", F.col("feature")).alias("recommendation"),
         )
@@ -185,7 +186,7 @@ def correlation_insights(f: Facts) -> DataFrame:
     top = best_pairs(f).where(a >= 0.20).withColumn("a", a).limit(2).withColumn("place", F.row_number().over(w))
     return top.select(
         F.lit(2).alias("priority"), "place", F.lit("correlation").alias("category"),
-        F.format_string("Detected a %s %s linear correlation of %.2f between '%s' and '%s'.", band, F.when(r > 0, "positive").otherwise("negative"), r, F.col("col1"), F.col("col2")).alias("text"),
+        F.format_string(V.SAYS["correlation"], band, F.when(r > 0, "positive").otherwise("negative"), r, F.col("col1"), F.col("col2")).alias("text"),
         F.lit(0.90).alias("confidence"), F.concat_ws(".", F.lit("correlations.pearson"), "col1", "col2").alias("evidence"),
         F.format_string("Evaluate whether '%s' and '%s' depend on each other.", F.col("col1"), F.col("col2")).alias("recommendation"),
     )
@@ -214,7 +215,7 @@ def leader_insights(f: Facts) -> DataFrame:
     )
     return first.withColumn("place", F.row_number().over(Window.orderBy("ordinal"))).select(
         F.lit(4).alias("priority"), "place", F.lit("distribution").alias("category"),
-        F.format_string("Column '%s' has %d unique categories, led by '%s' with %d occurrences (%.1f%% of total).", F.col("column"), F.col("unique_count"), F.col("top_category"), F.col("top_category_freq"), F.col("top_category_freq") * 100.0 / F.col("n_rows")).alias("text"),
+        F.format_string(V.SAYS["leader"], F.col("column"), F.col("unique_count"), F.col("top_category"), F.col("top_category_freq"), F.col("top_category_freq") * 100.0 / F.col("n_rows")).alias("text"),
         F.lit(0.95).alias("confidence"), F.concat(F.lit("summary.categorical."), "column").alias("evidence"),
         F.format_string("Segment reports by '%s'.", F.col("column")).alias("recommendation"),
     )
@@ -223,7 +224,7 @@ def leader_insights(f: Facts) -> DataFrame:
 def size_insight(f: Facts) -> DataFrame:
     return f.shape.join(f.quality.select("score"), how="cross").where("n_rows > 0 and n_columns > 0").select(
         F.lit(5).alias("priority"), F.lit(1).alias("place"), F.lit("quality").alias("category"),
-        F.format_string("Analyzed dataset of %d rows and %d columns with an overall data quality score of %d/100.", F.col("n_rows"), F.col("n_columns"), F.col("score")).alias("text"),
+        F.format_string(V.SAYS["size"], F.col("n_rows"), F.col("n_columns"), F.col("score")).alias("text"),
         F.lit(1.0).alias("confidence"), F.lit("quality.score").alias("evidence"),
         F.lit("Keep data ingestion standardised to preserve data quality.").alias("recommendation"),
     )
@@ -287,7 +288,7 @@ def chat_context(f: Facts, insights: DataFrame, max_tokens: int = 1200) -> DataF
         "\n\n",
         F.format_string("### Dataset Overview\n- Total Rows: %d\n- Total Columns: %d", F.col("n_rows"), F.col("n_columns")),
         F.format_string("### Domain\n- Detected Domain: %s (Confidence: %.1f%%)", F.initcap("domain"), F.col("confidence") * 100.0),
-        F.format_string("### Data Quality\n- Quality Score: %d/100\n- Key Issues: %s", F.col("score"), F.when(F.col("issues") == "", "No major anomalies flagged.").otherwise(F.col("issues"))),
+        F.format_string("### Data Quality\n- Quality Score: %d/100\n- Key Issues: %s", F.col("score"), F.when(F.col("issues") == "", V.SAYS["no_anomalies"]).otherwise(F.col("issues"))),
         F.when(F.col("stat_lines") != "", F.concat(F.lit("### Key Statistical Summaries\n"), "stat_lines")),
         F.when(F.col("status").isNotNull(), F.concat(
             F.lit("### Machine Learning\n- Status: "), "status", F.lit("\n- Task Type: "), F.coalesce("task", F.lit("None")), F.lit("\n- Target Column: "), F.coalesce("target", F.lit("None")),
@@ -296,7 +297,7 @@ def chat_context(f: Facts, insights: DataFrame, max_tokens: int = 1200) -> DataF
     )
     cap = max_tokens * 4
     return one.select(text.alias("full")).select(
-        F.when(F.length("full") > cap, F.concat(F.substring("full", 1, cap), F.lit("\n\n[Context truncated to token budget]"))).otherwise(F.col("full")).alias("context")
+        F.when(F.length("full") > cap, F.concat(F.substring("full", 1, cap), F.lit(V.SAYS["truncated"]))).otherwise(F.col("full")).alias("context")
     )
 
 
@@ -305,26 +306,26 @@ def fact_answers(f: Facts, insights: DataFrame) -> DataFrame:
     issues = f.issues.agg(F.array_join(F.collect_list("issue"), "; ").alias("issues"))
     quality = f.quality.join(issues, how="cross").select(
         F.lit("quality").alias("topic"),
-        F.format_string("The dataset has an overall data quality score of %d/100. Key issues identified: %s", F.col("score"), F.when(F.col("issues") == "", "No major defects.").otherwise(F.col("issues"))).alias("answer"),
+        F.format_string(V.SAYS["quality_answer"], F.col("score"), F.when(F.col("issues") == "", V.SAYS["no_defects"]).otherwise(F.col("issues"))).alias("answer"),
     )
-    domain = f.domain.select(F.lit("domain").alias("topic"), F.format_string("The detected domain for this dataset is %s (confidence: %.1f%%).", F.initcap("domain"), F.col("confidence") * 100.0).alias("answer"))
-    shape = f.shape.select(F.lit("shape").alias("topic"), F.format_string("The dataset contains %d rows and %d columns.", F.col("n_rows"), F.col("n_columns")).alias("answer"))
+    domain = f.domain.select(F.lit("domain").alias("topic"), F.format_string(V.SAYS["domain_answer"], F.initcap("domain"), F.col("confidence") * 100.0).alias("answer"))
+    shape = f.shape.select(F.lit("shape").alias("topic"), F.format_string(V.SAYS["shape_answer"], F.col("n_rows"), F.col("n_columns")).alias("answer"))
     metrics = F.array_join(F.transform(F.array_sort(F.map_entries("metrics")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", ")
     model = f.model.select(
         F.lit("model").alias("topic"),
-        F.when(F.col("status") == "insufficient_data", "Machine learning training was safely skipped due to insufficient data rows.")
-        .when(F.col("status") == "unsupported", "Machine learning was skipped because no suitable prediction target column was identified.")
+        F.when(F.col("status") == "insufficient_data", V.SAYS["too_few_rows"])
+        .when(F.col("status") == "unsupported", V.SAYS["no_target"])
         .when(F.col("status") == "trained", F.concat(F.lit("Model training completed ("), "task", F.lit("). Best performing model: "), "selected_model", F.lit(" on target '"), "target", F.lit("'. Metrics: "), metrics, F.lit(".")))
         .otherwise(F.concat(F.lit("Machine learning status: "), "status", F.lit("."))).alias("answer"),
     )
     told = insights.orderBy("id").limit(3).agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("l")).select(
         F.lit("insights").alias("topic"),
-        F.when(F.size("l") == 0, "No executive insights were generated for this dataset.")
+        F.when(F.size("l") == 0, V.SAYS["no_insights"])
         .otherwise(F.concat(F.lit("Key analytical insights:\n"), F.array_join(F.transform("l", lambda e: F.concat(F.lit("- "), e["text"])), "\n"))).alias("answer"),
     )
     targets = f.profile.where("is_target_candidate").agg(F.array_sort(F.collect_list(F.struct("ordinal", "name"))).alias("l")).select(
         F.lit("targets").alias("topic"),
-        F.when(F.size("l") == 0, "No target candidate columns were flagged in this dataset.")
+        F.when(F.size("l") == 0, V.SAYS["no_candidates"])
         .otherwise(F.concat(F.lit("Potential target candidates identified in the dataset: "), F.array_join(F.transform("l", lambda e: e["name"]), ", "), F.lit("."))).alias("answer"),
     )
     out = quality
@@ -336,9 +337,9 @@ def fact_answers(f: Facts, insights: DataFrame) -> DataFrame:
 def limitations(f: Facts, insights: DataFrame) -> DataFrame:
     """(place, limitation): quality issues, vague dates, model status, missing insights."""
     a = f.issues.select(F.lit(1).alias("place"), F.concat(F.lit("Data Quality Issue: "), "issue").alias("limitation"))
-    b = f.dates.where("needs_confirmation").select(F.lit(2).alias("place"), F.format_string("Temporal Ambiguity: Date column '%s' contained ambiguous formats and was preserved in raw format.", F.col("column")).alias("limitation"))
+    b = f.dates.where("needs_confirmation").select(F.lit(2).alias("place"), F.format_string(V.SAYS["date_limit"], F.col("column")).alias("limitation"))
     c = f.model.where(F.col("status").isin("insufficient_data", "unsupported", "leakage_detected")).select(F.lit(3).alias("place"), F.concat(F.lit("Machine Learning Limitation: "), F.coalesce(F.nullif("reason", F.lit("")), F.concat(F.lit("Status "), "status"))).alias("limitation"))
-    d = insights.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(4).alias("place"), F.lit("Business Insights: Limited numerical signal was available in the dataset to extract high-confidence business insights.").alias("limitation"))
+    d = insights.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(4).alias("place"), F.lit(V.SAYS["insight_limit"]).alias("limitation"))
     return a.unionByName(b).unionByName(c).unionByName(d).orderBy("place", "limitation")
 
 
