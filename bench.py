@@ -25,7 +25,7 @@ HEADLINE = [
     "violin_density", "scatter_sample", "leakage_pearson", "leakage_nmi", "split_stratified", "clf_metrics", "reg_metrics",
     "roc_auc", "ask_group_sum", "ask_value_counts", "ask_median", "ask_batch", "extract_numbers", "ground_numbers",
     "screen_claims", "mask_documents", "screen_messages", "leak_scan", "redact_log_lines", "semantic_scorecard", "usage_ledger",
-    "full_analysis", "stream_intake", "scan_delimited", "ingest_folder",
+    "full_analysis", "stream_intake", "scan_delimited", "ingest_folder", "audit_files", "scan_workbooks", "violin", "spearman_gaps",
 ]
 
 

@@ -12,7 +12,7 @@ from tabwise.operators import models as M
 def three(spark):
     r = random.Random(2)
     rows = []
-    for i in range(900):
+    for i in range(700):
         k = r.choice("abc")
         x = {"a": 0.0, "b": 3.0, "c": 6.0}[k] + r.gauss(0, 0.8)
         rows.append((i, x, r.random(), r.choice(["u", "v", None]), f"class {k}", 1.0))
@@ -20,7 +20,7 @@ def three(spark):
 
 
 def test_boosting_for_three_classes(spark, three, tmp_path):
-    board, models, split = M.train_models(three.drop("weight"), "target", ["x", "noise", "kind"], "classification", "_row_id", rounds=3, only=["boosted_trees"])
+    board, models, split = M.train_models(three.drop("weight"), "target", ["x", "noise", "kind"], "classification", "_row_id", rounds=2, only=["boosted_trees"])
     got = {r["model"]: r for r in board.collect()}
     assert got["boosted_trees"]["status"] == "trained" and got["boosted_trees"]["metrics"]["f1"] > 0.9 > got["baseline"]["metrics"]["f1"]
     test = split.where("is_test")
