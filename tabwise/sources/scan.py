@@ -97,7 +97,16 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
         level = level.where("folder").select("path")
         if level.isEmpty():
             return files
-        level = level.repartition("path")
+        level = one_each(level)
+
+
+def one_each(files: DataFrame, most: int = 10_000) -> DataFrame:
+    """The (path, ...) rows in a task for each file.
+
+    A number of parts is given because paths are short: parts of any other shuffle are merged into one task, which
+    would read all files.
+    """
+    return files.repartitionByRange(min(max(files.count(), 1), most), "path")
 
 
 def _as_column(listed: str) -> str:
@@ -208,7 +217,7 @@ def scan_files(spark: SparkSession, path: str, listed: DataFrame) -> DataFrame:
     the others ``opened`` is false.
     """
     ship(spark)
-    known = checkpoint_cut(listed.select("path").repartition("path").mapInArrow(_streamed, FACTS))
+    known = checkpoint_cut(one_each(listed.select("path")).mapInArrow(_streamed, FACTS))
     closed = known.where("not opened").select("path")
     if closed.isEmpty():
         return known

@@ -23,7 +23,7 @@ from tabwise.functions.exprs import na_to_null, q
 from tabwise.operators.profile import ROW_ID
 from tabwise.session import checkpoint_cut, local_table, ship
 from tabwise.sources.rowid import with_row_ids
-from tabwise.sources.scan import list_files, locate, reachable
+from tabwise.sources.scan import list_files, locate, one_each, reachable
 from tabwise.sources.typing import to_physical_types
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -168,7 +168,7 @@ def read_cells(spark: SparkSession, path: str | list[str], sheet: str | int = 0)
 
     if reachable(first):
         files = local_table(spark, [(p,) for p in path], "path string") if isinstance(path, list) else list_files(spark, path).where(F.lower("path").endswith(".xlsx")).select("path")
-        return files.repartition("path").mapInArrow(streamed, CELLS)
+        return one_each(files).mapInArrow(streamed, CELLS)
     # a store that only Spark reads: a workbook is one cell there
     names = [re.sub(r"([{}\[\]*?\\])", r"\\\1", p) for p in path] if isinstance(path, list) else path
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(names).select("path", "content")
@@ -186,7 +186,7 @@ def read_workbooks(spark: SparkSession, path: str | list[str], sheet: str | int
     if len(heads) != 1:
         raise ValueError(f"workbooks under '{path}' have {'different headers' if heads else 'no rows'}")
     names = [n if n is not None else f"Unnamed: {i}" for i, n in enumerate(heads[0])]
-    rows = cells.join(firsts.select("path", "_head"), "path").where(F.col("row_no") > F.col("_head"))
+    rows = cells.join(F.broadcast(firsts.select("path", "_head")), "path").where(F.col("row_no") > F.col("_head"))
     own = [na_to_null(F.get("cells", F.lit(i))) for i in range(len(names))]
     kinds = rows.agg(*[F.bool_and(F.when(c.isNotNull(), F.get("stamped", F.lit(i)))).alias(f"k{i}") for i, c in enumerate(own)]).first() if infer else [None] * len(names)
     table = rows.select(F.col("path").alias("_file"), "row_no", *[(c.try_cast("timestamp") if k else c).alias(n) for c, k, n in zip(own, kinds, names)])

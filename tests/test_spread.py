@@ -29,3 +29,26 @@ def test_stream_of_a_table_in_one_file(spark, tmp_path):
     (file,) = (tmp_path / "parts" / "documents.parquet").glob("part-*")
     (tmp_path / "documents.parquet").write_bytes(file.read_bytes())
     assert QUERIES["mask_stream"](spark, str(tmp_path)).count() == 24
+
+
+def test_a_task_for_each_file(spark, tmp_path):
+    W.write_workbooks(spark.range(60).repartition(6), str(tmp_path / "books"))
+    cells = W.read_cells(spark, str(tmp_path / "books"))
+    read = cells.rdd.mapPartitionsWithIndex(lambda i, rows: [(i, r["path"]) for r in rows]).collect()
+    own = {(i, p) for i, p in read}
+    assert len({p for _, p in own}) == 6 and max(Counter(i for i, _ in own).values()) == 1
+    listed = scan.list_files(spark, str(tmp_path / "books"))
+    assert scan.scan_files(spark, str(tmp_path / "books"), listed).rdd.getNumPartitions() == 6
+    table = W.read_workbooks(spark, str(tmp_path / "books")).collect()
+    assert sorted(r["id"] for r in table) == [*range(60)] and sorted(r["_row_id"] for r in table) == [*range(60)]
+    assert scan.one_each(spark.createDataFrame([], "path string")).count() == 0
+
+
+def test_workbooks_grow_with_the_table(spark, tmp_path, monkeypatch):
+    rows = "cast(id as int) as o_orderkey, cast(id % 5 as int) as o_custkey, 'O' as o_orderstatus, id / 4 as o_totalprice, date'2020-01-01' as o_orderdate, '1-URGENT' as o_orderpriority"
+    spark.range(90).selectExpr(*rows.split(", ")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(catalog_io, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(catalog_io, "BOOK_ROWS", 5)
+    out = QUERIES["scan_workbooks"](spark, str(tmp_path)).collect()
+    assert sorted(r["o_orderkey"] for r in out) == [*range(90)] and sum(r["note"] is None for r in out) == 18
+    assert len([*Path(f"{tmp_path}/books").glob("*.xlsx")]) > 4
