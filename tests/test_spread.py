@@ -31,6 +31,20 @@ def test_stream_of_a_table_in_one_file(spark, tmp_path):
     assert QUERIES["mask_stream"](spark, str(tmp_path)).count() == 24
 
 
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_text_files_grow_with_the_table(spark, tmp_path, monkeypatch, small_splits):
+    documents(spark, tmp_path)
+    monkeypatch.setattr(catalog_io, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    assert [r[0] for r in QUERIES["detect_encoding"](spark, str(tmp_path)).collect()] == ["latin-1"]
+    assert len([*Path(f"{tmp_path}/latin").glob("part-*")]) > 4
+
+
 def test_a_task_for_each_file(spark, tmp_path):
     W.write_workbooks(spark.range(60).repartition(6), str(tmp_path / "books"))
     cells = W.read_cells(spark, str(tmp_path / "books"))
