@@ -16,6 +16,7 @@ from tabwise.operators.quantiles import RANGE_ROWS, order_ranges, range_no
 from tabwise.session import checkpoint_cut, once
 
 FEW_FACTS = 100_000  # per dataset; with more, numbers and facts are merged by sorting
+SENT_FACTS = 1_000_000  # of all datasets; so many are sent to the tasks that hold claims
 
 
 def typed_facts(facts: DataFrame, dataset: str = "dataset_id", value: str = "value") -> DataFrame:
@@ -65,10 +66,15 @@ def near_enough(x: Column, ints: Column, floats: Column, shares: Column, toleran
     )
 
 
-def _bad_by_arrays(claims: DataFrame, typed: DataFrame, dataset: str, tolerance: float, most: int) -> DataFrame:
-    """Add ``ungrounded`` by binary search; one short row per dataset joins the claims."""
+def _bad_by_arrays(claims: DataFrame, typed: DataFrame, dataset: str, tolerance: float, most: int, send: bool = True) -> DataFrame:
+    """Add ``ungrounded`` by binary search; one short row per dataset joins the claims.
+
+    With ``send`` the facts go to the claims: datasets may be few and their claims many, so that a shuffle by
+    dataset would put most claims into a few tasks.
+    """
     empty = F.array().cast("array<double>")
-    joined = claims.join(fact_arrays(typed, dataset), dataset, "left")
+    arrays_of = fact_arrays(typed, dataset)
+    joined = claims.join(F.broadcast(arrays_of) if send else arrays_of, dataset, "left")
     arrays = [F.coalesce(c, empty) for c in ("ints", "floats", "shares")]
     bad = F.filter("numbers", lambda x: ~near_enough(x, *[neighbours(a, x, max(most, 1)) for a in arrays], tolerance))
     return once(joined, F.struct(bad.alias("ungrounded"))).drop("ints", "floats", "shares")
@@ -127,11 +133,11 @@ def ground_claims(
     A claim needs at least one number and every number must be grounded.
     """
     typed = typed_facts(facts, dataset)
-    most = typed.groupBy(dataset).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    most, total = (n or 0 for n in typed.groupBy(dataset).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first())
     empty = F.array().cast("array<double>")
     numbered = once(claims, F.struct(F.coalesce(numbers_in(q(text)), empty).alias("numbers")))
     if most <= few_facts:
-        judged = _bad_by_arrays(numbered, typed, dataset, tolerance, most)
+        judged = _bad_by_arrays(numbered, typed, dataset, tolerance, most, total <= SENT_FACTS)
     else:
         judged = _bad_by_sort(numbered, typed, dataset, tolerance)
     blank = F.coalesce(F.trim(q(text)) == "", F.lit(True))

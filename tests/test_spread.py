@@ -66,3 +66,21 @@ def test_workbooks_grow_with_the_table(spark, tmp_path, monkeypatch):
     out = QUERIES["scan_workbooks"](spark, str(tmp_path)).collect()
     assert sorted(r["o_orderkey"] for r in out) == [*range(90)] and sum(r["note"] is None for r in out) == 18
     assert len([*Path(f"{tmp_path}/books").glob("*.xlsx")]) > 4
+
+
+def test_facts_go_to_the_claims(spark, monkeypatch):
+    claims = spark.createDataFrame([(k, "ab"[k % 2] if k % 5 else None, f"About {k} units.", "quality", "0.5", "e", "r") for k in range(20)],
+                                   "id long, dataset_id string, text string, category string, confidence string, evidence string, recommendation string")
+    facts = spark.createDataFrame([("a", 4.0), ("b", 7.0), ("b", 0.13), ("c", 1.0)], "dataset_id string, value double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = G.screen_claims(claims, facts)
+        plan = sent._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        monkeypatch.setattr(G, "SENT_FACTS", 0)
+        other = G.screen_claims(claims, facts)
+        assert "SortMergeJoin" in other._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, sent.collect())) == sorted(map(str, other.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["id"] for r in sent.where("accepted").collect()} == {4, 7, 13}
