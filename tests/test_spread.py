@@ -84,3 +84,14 @@ def test_facts_go_to_the_claims(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {r["id"] for r in sent.where("accepted").collect()} == {4, 7, 13}
+
+
+def test_fits_use_all_cores(spark):
+    df = spark.range(600).coalesce(1).selectExpr("id as _row_id", "cast(id % 37 as double) as x", "cast(id % 11 as double) as y", "if(id % 37 > 18, 'u', 'v') as target")
+    board, models, split = M.train_models(df, "target", ["x", "y"], "classification", "_row_id", trees=3, only=["random_forest"])
+    assert split.rdd.getNumPartitions() == M.fit_parts(spark, 600) == spark.sparkContext.defaultParallelism > 1
+    assert split.count() == 600 and {r["model"]: r["metrics"].get("f1") for r in board.collect()}["random_forest"] == 1.0
+    assert M.fit_parts(spark, 50 * M.PART_ROWS + 1) >= 51
+    for task in ("classification", "regression"):
+        assert M.candidates(task, 600, 2)["random_forest"].getCacheNodeIds()
+    assert not [*spark.sparkContext._jsc.getPersistentRDDs()]
