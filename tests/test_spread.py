@@ -95,3 +95,8 @@ def test_fits_use_all_cores(spark):
     for task in ("classification", "regression"):
         assert M.candidates(task, 600, 2)["random_forest"].getCacheNodeIds()
     assert not [*spark.sparkContext._jsc.getPersistentRDDs()]
+
+
+def test_classes_are_boosted_side_by_side(spark):
+    ways = [M.candidates("classification", 600, k)["boosted_trees"].getParallelism() for k in (3, 5, 30)]
+    assert ways == [3, 5, 8]
