@@ -6,7 +6,7 @@ from pyspark.ml import classification as C, regression as R
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tabwise.operators import cells as X, models as M
+from tabwise.operators import cells as X, models as M, profile as P
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +89,17 @@ def test_too_many_cells_are_left_to_spark(spark, cases, monkeypatch, large):
     monkeypatch.setattr(M, "fit_cells", None)
     board, models, _ = M.train_models(cases, "amount", ["x", "z"], "regression", "_row_id", trees=2, only=["random_forest"])
     assert models["random_forest"].stages[-1].getNumTrees == 2 and not [*spark.sparkContext._jsc.getPersistentRDDs()]
+
+
+def test_the_profile_is_taken_once(spark, cases, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def audit(df, profile, *rest):
+        raise Seen(profile._jdf.queryExecution().optimizedPlan().toString())
+
+    df = cases.drop("amount")
+    monkeypatch.setattr(M, "leakage_audit", audit)
+    with pytest.raises(Seen) as seen:
+        M.model_status(df, P.profile_columns(df), "_row_id", "target")
+    assert "Aggregate" not in str(seen.value) and "Range" not in str(seen.value)
