@@ -17,3 +17,10 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="module", autouse=True)
+def nothing_held(spark):
+    """What a module's tests cached is not there for the next module's."""
+    yield
+    spark.catalog.clearCache()
